@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_tree import digest_bpe
 from .common import table
 from .quality_rules import apply_quality_rules
+from .sharding import shard_documents
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -41,3 +42,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
