@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import digest_bpe
 from .common import table
+from .lm_scoring import score_documents
 from .quality_rules import apply_quality_rules
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -47,3 +48,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
