@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_tree import digest_bpe
 from .common import table
 from .lm_scoring import score_documents
+from .ngram_join import ngram_components
 from .quality_rules import apply_quality_rules
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -53,3 +54,8 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
