@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import digest_bpe
 from .common import table
+from .decontamination import find_leaks
 from .lm_scoring import score_documents
 from .ngram_join import ngram_components
 from .quality_rules import apply_quality_rules
@@ -59,3 +60,8 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
