@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, lower_words, materialize, mix
+from .common import id_fold, lower_words, materialize, mix, pack, unpack
 
 BLOCK = 1_000_000
 #: Blocks whose keys a range holds, about.
@@ -56,7 +56,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, size: int) ->
         keys = np.array([0, *map(xxhash.xxh3_64_intdigest, vocabulary)], np.uint64)
         values = [
             [(task << 32) + n], [ids], [np.array(folds, np.int8).tobytes()], [np.array([len(t) for t in tokens], np.int64).tobytes()],
-            [np.concatenate(tokens).astype(np.int32).tobytes()], [keys.tobytes()],
+            [pack(np.concatenate(tokens).astype(np.int32))], [keys.tobytes()],
         ]
         kinds = [pa.int64(), pa.list_(kind), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "folds", "lengths", "tokens", "keys"])
@@ -82,7 +82,7 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.folds, self.lengths = np.frombuffer(row["folds"], np.int8), np.frombuffer(row["lengths"], np.int64)
-        self.tokens, own = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["keys"], np.uint64)
+        self.tokens, own = unpack(row["tokens"], np.int32), np.frombuffer(row["keys"], np.uint64)
         self.order = np.argsort(own, kind="stable")  # of the vocabulary, by key
         self.token_keys = own[self.order]
         self.place = np.empty(len(own), np.int64)
@@ -123,7 +123,7 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
                 for k in range(ranges):
                     part = slice(cuts[k], cuts[k + 1])
                     if cuts[k] < cuts[k + 1]:
-                        out.append((2 * k + which, row["block"], keys[part].tobytes(), rest[part].tobytes(), deleted[part].tobytes()))
+                        out.append((2 * k + which, row["block"], keys[part].tobytes(), pack(rest[part]), pack(deleted[part])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["range", "block", "keys", "rest", "deleted"],
@@ -135,12 +135,12 @@ def _answer(table: pa.Table) -> pa.Table:
     asked = list(_rows(table))
     keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in asked])
     distinct, at = np.unique(keys, return_inverse=True)
-    sums = {c: np.bincount(at, np.concatenate([np.frombuffer(r[c], np.int32) for r in asked]), len(distinct)).astype(np.int64) for c in ("rest", "deleted")}
+    sums = {c: np.bincount(at, np.concatenate([unpack(r[c], np.int32) for r in asked]), len(distinct)).astype(np.int64) for c in ("rest", "deleted")}
     whole = sums["rest"] + sums["deleted"]
     rest_at, whole_at, begin, out = sums["rest"][at], whole[at], 0, []
     for k, r in enumerate(asked):
         end = begin + len(r["keys"]) // 8
-        out.append((r["range"], r["block"], rest_at[begin:end].tobytes(), whole_at[begin:end].tobytes(), *([int((sums["rest"] > 0).sum()), int((whole > 0).sum())] if k == 0 else [0, 0])))
+        out.append((r["range"], r["block"], pack(rest_at[begin:end]), pack(whole_at[begin:end]), *([int((sums["rest"] > 0).sum()), int((whole > 0).sum())] if k == 0 else [0, 0])))
         begin = end
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
     return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["range", "block", "rest", "whole", "n_rest", "n_whole"])
@@ -150,7 +150,7 @@ def _heard(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the block's tokens and bigrams, in the order of their keys."""
     parts: tuple[list, list] = ([], [])
     for r in sorted(_rows(answers.select(["range", column])), key=lambda r: r["range"]):
-        parts[r["range"] % 2].append(np.frombuffer(r[column], np.int64))
+        parts[r["range"] % 2].append(unpack(r[column], np.int64))
     return np.concatenate(parts[TOKENS]), np.concatenate(parts[PAIRS])
 
 
