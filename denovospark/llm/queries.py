@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import find_leaks
 from .lm_scoring import score_documents
 from .ngram_join import ngram_components
+from .pii import pseudonymise
 from .quality_rules import apply_quality_rules
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -65,3 +66,12 @@ def op8_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The key of the registered query; production sets its own.
+KEY = "documents-2024"
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count_col="n_replaced")
