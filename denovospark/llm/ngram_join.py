@@ -4,7 +4,7 @@
 2. Keys are in one global order: by hash, but keys that many texts hold come last (COMMON of them at most, counted over all
    texts; any order gives the same links, this one keeps shared passages out of the prefixes). Two sets that are similar
    enough share a key among their first n - ceil(t n) + 1, so only these are shuffled, as arrays by ranges of the hash.
-3. A range gives the keys that several classes share. Each class is first held against one other, the centre of most of its
+3. A range finds the keys that several classes share. Each class is first held against one other, the centre of most of its
    keys, and the links found are closed to components. Then all classes that share a key but not a component, and whose
    sizes allow a link, are held against each other: no link between components is lost, and a family of thousands of near
    copies never becomes all its pairs.
@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix
+from .common import lower_words, materialize, mix, pack, unpack
 from .components import connected_components
 
 COMMON, COMMON_FROM = 1 << 17, 8
 _LAST = np.uint64(1 << 63)
 TREE = 256
 #: Keys in a range, and bits of the filter of rows whose sets are needed.
-RANGE_KEYS, FILTER_BITS = 3_000_000, 1 << 25
+RANGE_KEYS, FILTER_BITS = 1_500_000, 1 << 25
 
 
 class _Hashes(dict):
@@ -52,10 +52,12 @@ def shingle_keys(text: str | None, width: int = 5) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
-    out = mix(h[: len(h) - width + 1] + np.uint64(width))
+    # word hashes are uniform already: a polynomial in an odd number keeps their order apart, one finaliser spreads it
+    out = h[: len(h) - width + 1] + np.uint64(width)
     for k in range(1, width):
-        out = mix(out * np.uint64(3) + h[k : len(h) - width + 1 + k])
-    return np.unique(out >> np.uint64(1))
+        out = out * np.uint64(0x7FB5D329728EA185) + h[k : len(h) - width + 1 + k]
+    out = np.sort(mix(out) >> np.uint64(1))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def fingerprint(keys: np.ndarray) -> bytes:
@@ -131,41 +133,104 @@ def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+_SHARED = "range int, fp binary, centre binary, keys long, tokens binary, nodes binary, fps binary, sizes binary"
+_NAME = np.dtype((np.void, 16))
+
+
+def _names(x: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
 def _shared(table: pa.Table, percent: int) -> pa.Table:
-    """The keys of a range that several classes hold: (token, fp, n, centre), the centre being the least of its classes."""
+    """The keys of a range that several classes hold.
+
+    A row (fp, centre, keys) for each class and centre: in how many of its keys that is the least class. One row more has
+    the keys and their classes as arrays.
+    """
     tokens, at, fps, sizes, held = [], [], [], [], 0
     for k in range(table.num_rows):
-        row = {c: table.column(c)[k].as_py() for c in ("tokens", "at", "fps", "sizes")}
-        tokens.append(np.frombuffer(row["tokens"], np.uint64))
-        at.append(np.frombuffer(row["at"], np.int32).astype(np.int64) + held)
-        fps.append(np.frombuffer(row["fps"], np.dtype((np.void, 16))))
-        sizes.append(np.frombuffer(row["sizes"], np.int32))
+        tokens.append(np.frombuffer(table.column("tokens")[k].as_py(), np.uint64))
+        at.append(np.frombuffer(table.column("at")[k].as_py(), np.int32) + np.int32(held))
+        fps.append(np.frombuffer(table.column("fps")[k].as_py(), _NAME))
+        sizes.append(np.frombuffer(table.column("sizes")[k].as_py(), np.int32))
         held += len(sizes[-1])
     name = np.concatenate(fps)
     parts = name.view(">u8").reshape(-1, 2)
     order = np.lexsort((parts[:, 1], parts[:, 0]))  # classes by name; copies from several batches are one
     new = np.append(True, (parts[order][1:] != parts[order][:-1]).any(1))
-    rank = np.empty(len(name), np.int64)
+    rank = np.empty(len(name), np.int32)
     rank[order] = np.cumsum(new) - 1
-    name, size = name[order][new], np.concatenate(sizes)[order][new].astype(np.int64)
+    name, size = name[order][new], np.concatenate(sizes)[order][new]
     tokens, nodes = np.concatenate(tokens), rank[np.concatenate(at)]
+    by = np.argsort(tokens, kind="stable")
+    tokens, nodes = tokens[by], nodes[by]
+    del by, at, parts, order, rank
+    same = tokens[1:] == tokens[:-1]
+    several = np.append(same, False) | np.append(False, same)  # most keys have one class
+    tokens, nodes = tokens[several], nodes[several]
     by = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[by], nodes[by]
-    keep = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))
+    keep = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))[: len(tokens)]
     tokens, nodes = tokens[keep], nodes[keep]
-    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
-    count = np.diff(np.append(first, len(tokens)))
-    group = np.repeat(np.arange(len(first)), count)
+    group = np.cumsum(np.append(0, tokens[1:] != tokens[:-1]))[: len(tokens)]
     # a class stays if another of its group has a size that allows a link: the nearest smaller or larger one decides
     by = np.lexsort((size[nodes], group))
-    g, s = group[by], size[nodes[by]]
-    near = (g[1:] == g[:-1]) & may_link(s[1:], s[:-1], percent) if len(g) else np.empty(0, bool)
+    g, s = group[by], size[nodes[by]].astype(np.int64)
+    near = (g[1:] == g[:-1]) & may_link(s[1:], s[:-1], percent)
     stays = np.zeros(len(tokens), bool)
-    if len(near):
+    if len(tokens):
         stays[by] = np.append(near, False) | np.append(False, near)
-    centre = name[nodes[first]][group] if len(first) else name[:0]
-    column = lambda x: pa.array([bytes(v) for v in x], pa.binary())
-    return pa.table([pa.array(tokens[stays].astype(np.int64)), column(name[nodes[stays]]), pa.array(size[nodes[stays]]), column(centre[stays])], names=["token", "fp", "n", "centre"])
+    tokens, nodes = tokens[stays], nodes[stays]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+    centre = np.repeat(nodes[first], np.diff(np.append(first, len(tokens))))
+    pairs, keys = np.unique(nodes.astype(np.int64) << 32 | centre, return_counts=True)
+    own, nodes = np.unique(nodes, return_inverse=True)
+    n = len(pairs)
+    rows = [pa.array(np.full(n, table.column("range")[0].as_py(), np.int32)), _names(name[pairs >> 32]), _names(name[pairs & 0xFFFFFFFF]), pa.array(keys.astype(np.int64)), *(pa.nulls(n, pa.binary()) for _ in range(4))]
+    arrays = [pack(tokens), pack(nodes.astype(np.int32)), name[own].tobytes(), size[own].tobytes()]
+    last = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)]
+    names = [c.split()[0] for c in _SHARED.split(", ")]
+    return pa.concat_tables([pa.Table.from_arrays(rows, names=names), pa.Table.from_arrays(last, names=names)])
+
+
+def _across(table: pa.Table, percent: int) -> pa.Table:
+    """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different components."""
+    root_of: dict[bytes, bytes] = {}
+    packed = []
+    for fp, root, *arrays in zip(*(table.column(c).to_pylist() for c in ("fp", "root", "tokens", "nodes", "fps", "sizes")), strict=True):
+        if fp is None:
+            packed.append(arrays)
+        else:
+            root_of[fp] = root
+    left, right = [], []
+    for tokens, nodes, fps, sizes in packed:
+        tokens, nodes = unpack(tokens, np.uint64), unpack(nodes, np.int32)
+        names, size = np.frombuffer(fps, _NAME), np.frombuffer(sizes, np.int32).astype(np.int64)
+        number: dict[bytes, int] = {}
+        root = np.array([number.setdefault(root_of.get(bytes(f), bytes(f)), len(number)) for f in names], np.int64)
+        by = np.lexsort((root[nodes], tokens))
+        tokens, nodes = tokens[by], nodes[by]
+        starts = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]), len(tokens))
+        pairs: list[np.ndarray] = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            own = nodes[a:b]
+            r = root[own]
+            if r[0] == r[-1]:
+                continue
+            cuts = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(own))
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                one, rest = own[x:y], own[y:]
+                if len(rest):
+                    i, k = np.nonzero(may_link(size[one][:, None], size[rest][None, :], percent))
+                    pairs.append(np.minimum(one[i], rest[k]).astype(np.int64) << 32 | np.maximum(one[i], rest[k]))
+            if len(pairs) > 1000:
+                pairs = [np.unique(np.concatenate(pairs))]
+        if pairs:
+            pairs = [np.unique(np.concatenate(pairs))]
+            left.append(names[pairs[0] >> 32])
+            right.append(names[pairs[0] & 0xFFFFFFFF])
+    none = np.empty(0, _NAME)
+    return pa.Table.from_arrays([_names(np.concatenate(left or [none])), _names(np.concatenate(right or [none]))], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -268,10 +333,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = total * (100 - percent) // 100 // RANGE_KEYS + 8
     prefixes = source.select("text").mapInArrow(lambda b: _prefixes(b, shipped.value, ranges, width, percent), "range int, tokens binary, at binary, fps binary, sizes binary")
-    shared = materialize(prefixes.groupBy("range").applyInArrow(lambda t: _shared(t, percent), "token long, fp binary, n long, centre binary"), "ngram-shared", "zstd")
+    shared = materialize(prefixes.groupBy("range").applyInArrow(lambda t: _shared(t, percent), _SHARED), "ngram-shared", "zstd")
+    centres = shared.filter("tokens is null").select("range", "fp", "centre", "keys")
     classes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least")), "ngram-classes")
     bit = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))).alias("bit")
-    nodes = materialize(shared.select("fp").distinct().join(classes, "fp").select("fp", "least", bit("least")), "ngram-nodes")
+    nodes = materialize(centres.select("fp").distinct().join(classes, "fp").select("fp", "least", bit("least")), "ngram-nodes")
     bits = nodes.groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits"))
     wanted = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in bits.toLocalIterator():  # FILTER_BITS / 8 at most
@@ -283,17 +349,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = sets.join(nodes.select("fp", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("fp").agg(F.first("keys").alias("keys"))
     sets = materialize(sets, "ngram-sets")
 
-    stars = shared.filter("fp <> centre").groupBy("fp", "centre").count().groupBy("fp").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("fp").alias("b"))
+    stars = centres.filter("fp <> centre").groupBy("fp", "centre").agg(F.sum("keys").alias("keys")).groupBy("fp").agg(F.max_by("centre", F.struct("keys", "centre")).alias("a")).select("a", F.col("fp").alias("b"))
     near = materialize(verified(stars.join(sets.select(F.col("fp").alias("a")), "a", "left_semi"), sets, percent), "ngram-links")
     roots = materialize(connected_components(near), "ngram-roots")
 
-    members = materialize(shared.select("token", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root")), "ngram-members")
-    mixed = materialize(members.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token"), "ngram-mixed")
-    apart = materialize(members.join(mixed, "token"), "ngram-apart")
-    groups = materialize(apart.select("token", "root").distinct(), "ngram-groups")
-    couples = groups.withColumnRenamed("root", "r1").join(groups.withColumnRenamed("root", "r2"), "token").filter("r1 < r2")
-    one, two = (apart.select("token", F.col("fp").alias(f), F.col("n").alias(n), F.col("root").alias(r)) for f, n, r in (("a", "n1", "r1"), ("b", "n2", "r2")))
-    crossed = couples.join(one, ["token", "r1"]).join(two, ["token", "r2"]).filter(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select("a", "b").distinct()
+    rooted = centres.select("range", "fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *(F.lit(None).cast("binary").alias(c) for c in ("tokens", "nodes", "fps", "sizes")))
+    arrays = shared.filter("tokens is not null").select("range", "fp", F.col("centre").alias("root"), "tokens", "nodes", "fps", "sizes")
+    crossed = rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary").distinct()
     across = verified(crossed, sets, percent)
     links = near.unionByName(across)
     roots = materialize(connected_components(links), "ngram-roots")
