@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import digest_bpe
+from .chat import link_calls, turns_as_calls
 from .common import table
 from .decontamination import find_leaks
 from .lm_scoring import score_documents
@@ -75,3 +76,23 @@ KEY = "documents-2024"
 @query
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count_col="n_replaced")
+
+
+@query
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(*turns_as_calls(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op9_tool_calls"] = r"""
+WITH asks AS (SELECT conv_id, turn, coalesce(text, '') AS text, role, CASE WHEN role = 'user' THEN 'reply' ELSE role END AS name FROM conversations WHERE role IS NULL OR role <> 'assistant'),
+     answers AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+     firsts AS (SELECT conv_id, turn AS step FROM asks WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT conv_id, 0 AS depth, turn AS step, 0 AS part, turn, turn::VARCHAR AS call_id,
+       CASE WHEN name IS NULL OR name NOT IN ('reply', 'system') THEN 'unknown tool' WHEN EXISTS (SELECT 1 FROM answers b WHERE b.conv_id = a.conv_id AND b.turn - 1 = a.turn) THEN 'ok' ELSE 'no result' END AS status,
+       '{"arguments":{"length":' || CASE WHEN name IN ('reply', 'system') THEN length(text)::VARCHAR ELSE '"' || length(text) || '"' END || ',"prompt":' || to_json(text) || '},"id":"' || turn || '"' || coalesce(',"name":' || to_json(name), '') || ',"role":"assistant"}' AS json
+FROM asks a
+UNION ALL
+SELECT b.conv_id, 0, coalesce(f.step, b.turn), 1, b.turn, (b.turn - 1)::VARCHAR, CASE WHEN f.step IS NULL THEN 'orphan' ELSE 'ok' END,
+       '{"content":' || to_json(b.text) || ',"id":"' || (b.turn - 1) || '","role":"tool"}'
+FROM answers b LEFT JOIN firsts f ON f.conv_id = b.conv_id AND f.step = b.turn - 1
+"""
