@@ -1,10 +1,66 @@
-"""Placeholder until the stages exist."""
+"""A pipeline over ``documents``: toxicity, n-gram Jaccard join, benchmark decontamination, pseudonyms, byte-level BPE.
 
+Each stage gets all rows that its predecessor kept, and all but the last return them with the columns of ``documents``.
+A null or empty text passes every filter. The stages' own rules for repeated rows and null ids are in their docstrings.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from denovospark.llm.bpe_tree import digest_bpe
+from denovospark.llm.common import materialize, table
+from denovospark.llm.decontamination import find_leaks
+from denovospark.llm.ngram_join import ngram_components
+from denovospark.llm.pii import pseudonymise
+from denovospark.llm.queries import KEY
+from denovospark.llm.toxicity import without_toxic
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written first, so that Spark knows the size of the ids and broadcasts them only within its threshold."""
+    return docs.join(materialize(ids.distinct(), "pipeline-dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by n-gram similarity the document with the least id stays; of repeated rows of one id, one. Rows without an id stay."""
+    groups = materialize(ngram_components(docs), "pipeline-groups")
+    kept = _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    twice = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values in the texts become pseudonyms. n_chars stays what it was: values keep their length but for addresses."""
+    return pseudonymise(docs, KEY)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes that they decode to."""
+    return digest_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 
-STAGES = []
+STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("decontamination", decontamination), ("pseudonyms", pseudonyms), ("encoding", encoding)]
+#: The first stage can't be expressed in SQL; the tests hold the pipeline against a version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -159,6 +159,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(counts[:, 0], pa.int64())], names=["id", "score", "n_windows"])
 
 
+def _kept(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int, least: float) -> Iterator[pa.RecordBatch]:
+    meter, weights = _meter(model.ordinary, model.toxic, model.window), np.array(model.weights)
+    for batch in batches:
+        counts = np.array([meter.features(v.as_py()) for v in batch.column(at)]).reshape(-1, len(GAINS) + 1)
+        p = 1 / (1 + np.exp(-np.clip(_design(counts) @ weights, -30, 30)))
+        yield batch.filter(pa.array(p < least))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: float = 0.5, folds: int = 5, max_toxic: int = 4000, max_ordinary: int = 6000, max_bytes: int = 65536) -> DataFrame:
+    """``docs`` without the rows that score ``least`` or more, with all columns; learnt as in ``score_toxicity``. Rows aren't moved."""
+    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes))
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _kept(b, model, at, least), docs.schema)
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5,
     max_toxic: int = 4000, max_ordinary: int = 6000, max_bytes: int = 65536,
