@@ -24,21 +24,50 @@ UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hours days week
 
 def canonical(text: Column) -> Column:
     """Words separated by one blank; slots as #n=42, #p=anna, #u=km."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\d,;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\d])", "\u0001p\u0002$1")
+    named = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll}\d,;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\d])", "\u0001p\u0002$1")
     lower = F.lower(named)
     numbered = F.when(lower.rlike(r"\d"), F.regexp_replace(F.regexp_replace(lower, r"(?<![\p{L}\d])(\d+(?:[.,]\d+)*)(?![\p{L}\d])", "\u0001n\u0002$1"), rf"(\u0001n\u0002[\d.,]+ ?)({'|'.join(UNITS)})(?!\p{{L}})", "$1 \u0001u\u0002$2")).otherwise(lower)
     words = F.regexp_replace(numbered, "[^\\p{L}\\d\u0001\u0002]+", " ")
     return F.trim(F.translate(words, "\u0001\u0002", "#="))
 
 
+def template(words: Column) -> Column:
+    return F.when(F.instr(words, "#") > 0, F.regexp_replace(words, "=[^ ]+", "")).otherwise(words)
+
+
+def _joined(df: DataFrame, name: str, one: str, other: str, offset: int) -> DataFrame:
+    """Add the hashes of runs that are made of a run of ``one`` and the run of ``other`` that begins ``offset`` words later."""
+    df = df.withColumn("_later", F.slice(other, offset + 1, F.greatest(F.size(other) - offset, F.lit(0))))
+    return df.withColumn(name, F.zip_with(one, "_later", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))).drop("_later")
+
+
 def windows(texts: DataFrame, key: str, length: int) -> DataFrame:
-    """(key, at, window, template, hash) for every run of ``length`` words of the canonical ``words``, slots being half of it at most."""
-    each = F.regexp_extract_all("words", F.lit(rf"(?:^| )(?=((?:[^ ]+ ){{{length - 1}}}[^ ]+))"), 1)
-    run = texts.select(key, F.posexplode(each).alias("at", "window"))
-    template = F.when(F.instr("window", "#") > 0, F.regexp_replace("window", "=[^ ]+", "")).otherwise(F.col("window"))
-    run = run.withColumn("template", template)
-    slots = F.length("template") - F.length(F.translate("template", "#", ""))
-    return run.filter((F.instr("window", "#") == 0) | (2 * slots <= length)).withColumn("hash", F.xxhash64("template"))
+    """(key, words, at, hash) for every run of ``length`` words of the canonical ``words``.
+
+    Runs of 1, 2, 4, ... words are hashed from two of half their length; the steps are columns, so that none is computed twice.
+    """
+    df = texts.select(key, "words", F.transform(F.split(template(F.col("words")), " "), lambda w: F.xxhash64(w)).alias("_1"))
+    size, out, held = 1, None, 0
+    while True:
+        if length & size:
+            if out is None:
+                out, held = f"_{size}", size
+            else:
+                df, out, held = _joined(df, f"_o{size}", out, f"_{size}", held), f"_o{size}", held + size
+        if 2 * size > length:
+            break
+        df, size = _joined(df, f"_{2 * size}", f"_{size}", f"_{size}", size), 2 * size
+    # outer: else Spark would filter by the array's size first, and compute all of it a second time for that
+    return df.select(key, "words", F.posexplode_outer(out).alias("at", "hash")).filter("hash is not null")
+
+
+def window_at(words: Column, at: Column, length: int) -> Column:
+    return F.array_join(F.slice(F.split(words, " "), at + 1, F.lit(length)), " ")
+
+
+def mostly_words(window: Column, length: int) -> Column:
+    """Whether slots are half of the window at most."""
+    return 2 * (F.length(window) - F.length(F.translate(window, "#", ""))) <= length
 
 
 def _values(window: str) -> Column:
@@ -62,20 +91,24 @@ def find_leaks(
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # WINDOW at most
     sides = []
     for n in lengths:
-        sides.append(windows(items.filter(F.col("length") == n), "item", n).withColumn("length", F.lit(n)))
-    if not sides:
-        sides = [windows(items, "item", WINDOW).withColumn("length", F.lit(WINDOW))]
+        own = windows(items.filter(F.col("length") == n), "item", n).withColumn("item_window", window_at(F.col("words"), F.col("at"), n))
+        sides.append(own.filter(mostly_words(F.col("item_window"), n)).select("item", F.col("at").alias("item_at"), "item_window", "hash", F.lit(n).alias("length")))
+    if not sides:  # no items
+        return docs.select(id_col).limit(0).select(id_col, *(F.lit(0).cast(k).alias(n) for n, k in ((item_col, "long"), ("n_windows", "long"), ("item_windows", "long"), ("n_slots", "long"), ("n_changed", "long"))), F.lit("").alias("kind"))
     item_side = sides[0]
     for s in sides[1:]:
         item_side = item_side.unionByName(s)
-    item_side = materialize(item_side.select("item", F.col("at").alias("item_at"), F.col("window").alias("item_window"), F.col("template").alias("item_template"), "hash", "length"), "leak-items")
+    item_side = materialize(item_side, "leak-items")
     of_item = materialize(item_side.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows")), "leak-sizes")
     small = item_side.count() <= BROADCAST_WINDOWS
-    texts = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("words")).filter("id is not null and words <> ''")
+    texts = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("words")).filter("id is not null")
     matched = None
-    for n in lengths or [WINDOW]:
+    for n in lengths:
         own = item_side.filter(F.col("length") == n).drop("length")
-        met = windows(texts, "id", n).join(F.broadcast(own) if small else own, "hash").filter("template = item_template")
+        met = windows(texts, "id", n).join(F.broadcast(own) if small else own, "hash")
+        met = met.withColumn("window", window_at(F.col("words"), F.col("at"), n))
+        # equal templates; as an equation it would become a join key, and be computed for all windows
+        met = met.filter(F.startswith(F.concat(template(F.col("window")), F.lit("|")), F.concat(template(F.col("item_window")), F.lit("|"))))
         met = met.select("id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "window", "item_window")
         matched = met if matched is None else matched.unionByName(met)
     matched = materialize(matched, "leak-matches")
