@@ -5,7 +5,7 @@
    texts; any order gives the same links, this one keeps shared passages out of the prefixes). Two sets that are similar
    enough share a key among their first n - ceil(t n) + 1, so only these are shuffled, as arrays by ranges of the hash.
 3. A range finds the keys that several classes share. Each class is first held against one other, the centre of most of its
-   keys, and the links found are closed to components. Then all classes that share a key but not a component, and whose
+   keys (in groups of a few, against all that share enough keys), and the links found are closed to components. Then all classes that share a key but not a component, and whose
    sizes allow a link, are held against each other: no link between components is lost, and a family of thousands of near
    copies never becomes all its pairs.
 4. Pairs are decided by walking prefix trees: the partners of a set, at most about TREE at a time, are a tree over the global
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_words, materialize, mix, pack, unpack
@@ -28,6 +28,8 @@ from .components import connected_components
 COMMON, COMMON_FROM = 1 << 17, 8
 _LAST = np.uint64(1 << 63)
 TREE = 256
+#: Classes of a key up to which all their pairs are counted at once.
+SMALL_GROUP = 24
 #: Keys in a range, and bits of the filter of rows whose sets are needed.
 RANGE_KEYS, FILTER_BITS = 1_500_000, 1 << 25
 
@@ -133,7 +135,7 @@ def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-_SHARED = "range int, fp binary, centre binary, keys long, tokens binary, nodes binary, fps binary, sizes binary"
+_SHARED = "range int, a binary, b binary, size_a int, size_b int, keys long, large boolean, tokens binary, nodes binary, fps binary, sizes binary"
 _NAME = np.dtype((np.void, 16))
 
 
@@ -144,8 +146,8 @@ def _names(x: np.ndarray) -> pa.Array:
 def _shared(table: pa.Table, percent: int) -> pa.Table:
     """The keys of a range that several classes hold.
 
-    A row (fp, centre, keys) for each class and centre: in how many of its keys that is the least class. One row more has
-    the keys and their classes as arrays.
+    A row for each pair of classes within groups of SMALL_GROUP at most, with the number of keys that both hold; for each class
+    in larger groups, with the least class of the group instead. One row more has the keys and their classes as arrays.
     """
     tokens, at, fps, sizes, held = [], [], [], [], 0
     for k in range(table.num_rows):
@@ -182,17 +184,47 @@ def _shared(table: pa.Table, percent: int) -> pa.Table:
         stays[by] = np.append(near, False) | np.append(False, near)
     tokens, nodes = tokens[stays], nodes[stays]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+    count = np.repeat(np.diff(np.append(first, len(tokens))), np.diff(np.append(first, len(tokens))))
+    codes = []
+    for step in range(1, SMALL_GROUP):
+        a, b = nodes[:-step], nodes[step:]
+        here = (tokens[step:] == tokens[:-step]) & (count[step:] <= SMALL_GROUP)
+        if not here.any():
+            break
+        a, b = a[here], b[here]
+        codes.append((a.astype(np.int64) << 32 | b)[may_link(size[a].astype(np.int64), size[b].astype(np.int64), percent)])
     centre = np.repeat(nodes[first], np.diff(np.append(first, len(tokens))))
-    pairs, keys = np.unique(nodes.astype(np.int64) << 32 | centre, return_counts=True)
+    far = (count > SMALL_GROUP) & (centre != nodes)
+    pairs, keys = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
+    stars, star_keys = np.unique(centre[far].astype(np.int64) << 32 | nodes[far], return_counts=True)
+    large = np.append(np.zeros(len(pairs), bool), np.ones(len(stars), bool))
+    pairs, keys = np.append(pairs, stars), np.append(keys, star_keys)
     own, nodes = np.unique(nodes, return_inverse=True)
     n = len(pairs)
-    rows = [pa.array(np.full(n, table.column("range")[0].as_py(), np.int32)), _names(name[pairs >> 32]), _names(name[pairs & 0xFFFFFFFF]), pa.array(keys.astype(np.int64)), *(pa.nulls(n, pa.binary()) for _ in range(4))]
+    rows = [pa.array(np.full(n, table.column("range")[0].as_py(), np.int32)), _names(name[pairs >> 32]), _names(name[pairs & 0xFFFFFFFF]), pa.array(size[pairs >> 32]), pa.array(size[pairs & 0xFFFFFFFF]), pa.array(keys.astype(np.int64)), pa.array(large), *(pa.nulls(n, pa.binary()) for _ in range(4))]
     arrays = [pack(tokens), pack(nodes.astype(np.int32)), name[own].tobytes(), size[own].tobytes()]
-    last = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)]
+    last = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), *(pa.array([x], pa.binary()) for x in arrays)]
     names = [c.split()[0] for c in _SHARED.split(", ")]
     return pa.concat_tables([pa.Table.from_arrays(rows, names=names), pa.Table.from_arrays(last, names=names)])
 
 
+def _added(found: tuple[np.ndarray, np.ndarray], pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each occurs, with those found before."""
+    codes, at = np.unique(np.concatenate([found[0], *pairs]), return_inverse=True)
+    times = np.concatenate([found[1], *(np.ones(len(p), np.int64) for p in pairs)])
+    return codes, np.bincount(at, times, len(codes)).astype(np.int64)
+
+
+def enough_keys(percent: int) -> Column:
+    """Whether the keys that two prefixes share leave a chance of a link.
+
+    All shared keys up to the end of the prefix that ends first lie in both prefixes; beyond it, that set has
+    ceil(t n) - 1 keys left. Together they have to reach the overlap t / (1 + t) (n_a + n_b).
+    """
+    beyond = F.ceil(F.lit(percent) * F.greatest("size_a", "size_b") / 100) - 1
+    return (100 + percent) * (F.col("keys") + beyond) >= percent * (F.col("size_a") + F.col("size_b"))
+
+
 def _across(table: pa.Table, percent: int) -> pa.Table:
     """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different components."""
     root_of: dict[bytes, bytes] = {}
@@ -202,7 +234,7 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
             packed.append(arrays)
         else:
             root_of[fp] = root
-    left, right = [], []
+    out: list[pa.Table] = []
     for tokens, nodes, fps, sizes in packed:
         tokens, nodes = unpack(tokens, np.uint64), unpack(nodes, np.int32)
         names, size = np.frombuffer(fps, _NAME), np.frombuffer(sizes, np.int32).astype(np.int64)
@@ -212,6 +244,7 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
         tokens, nodes = tokens[by], nodes[by]
         starts = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]), len(tokens))
         pairs: list[np.ndarray] = []
+        found = np.empty(0, np.int64), np.empty(0, np.int64)
         for a, b in zip(starts, starts[1:], strict=False):
             own = nodes[a:b]
             r = root[own]
@@ -224,13 +257,13 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
                     i, k = np.nonzero(may_link(size[one][:, None], size[rest][None, :], percent))
                     pairs.append(np.minimum(one[i], rest[k]).astype(np.int64) << 32 | np.maximum(one[i], rest[k]))
             if len(pairs) > 1000:
-                pairs = [np.unique(np.concatenate(pairs))]
-        if pairs:
-            pairs = [np.unique(np.concatenate(pairs))]
-            left.append(names[pairs[0] >> 32])
-            right.append(names[pairs[0] & 0xFFFFFFFF])
-    none = np.empty(0, _NAME)
-    return pa.Table.from_arrays([_names(np.concatenate(left or [none])), _names(np.concatenate(right or [none]))], names=["a", "b"])
+                found = _added(found, pairs)
+                pairs = []
+        codes, keys = _added(found, pairs)
+        one, two = (codes >> 32).astype(np.int64), codes & 0xFFFFFFFF
+        out.append(pa.Table.from_arrays([_names(names[one]), _names(names[two]), pa.array(size[one]), pa.array(size[two]), pa.array(keys)], names=["a", "b", "size_a", "size_b", "keys"]))
+    none = [pa.array([], pa.binary()), pa.array([], pa.binary()), *(pa.array([], pa.int64()) for _ in range(3))]
+    return pa.concat_tables([pa.Table.from_arrays(none, names=["a", "b", "size_a", "size_b", "keys"]), *out])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -334,29 +367,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = total * (100 - percent) // 100 // RANGE_KEYS + 8
     prefixes = source.select("text").mapInArrow(lambda b: _prefixes(b, shipped.value, ranges, width, percent), "range int, tokens binary, at binary, fps binary, sizes binary")
     shared = materialize(prefixes.groupBy("range").applyInArrow(lambda t: _shared(t, percent), _SHARED), "ngram-shared", "zstd")
-    centres = shared.filter("tokens is null").select("range", "fp", "centre", "keys")
+    counted = shared.filter("tokens is null").select("range", "a", "b", "size_a", "size_b", "keys", "large")
     classes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least")), "ngram-classes")
     bit = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))).alias("bit")
-    nodes = materialize(centres.select("fp").distinct().join(classes, "fp").select("fp", "least", bit("least")), "ngram-nodes")
-    bits = nodes.groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.toLocalIterator():  # FILTER_BITS / 8 at most
-        wanted[r["byte"]] = r["bits"]
-    filtered = spark.sparkContext.broadcast(wanted)
-    hashed = source.select("id", "text", bit("id"))
-    sets = hashed.mapInArrow(lambda b: _sets(b, filtered.value, shipped.value, width), "id long, fp binary, keys binary")
-    # of the copies of a class, the row with the least id (or all rows without one) has the set
-    sets = sets.join(nodes.select("fp", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("fp").agg(F.first("keys").alias("keys"))
-    sets = materialize(sets, "ngram-sets")
-
-    stars = centres.filter("fp <> centre").groupBy("fp", "centre").agg(F.sum("keys").alias("keys")).groupBy("fp").agg(F.max_by("centre", F.struct("keys", "centre")).alias("a")).select("a", F.col("fp").alias("b"))
-    near = materialize(verified(stars.join(sets.select(F.col("fp").alias("a")), "a", "left_semi"), sets, percent), "ngram-links")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The ordered sets (fp, keys) of the classes in ``pairs``, from the row with the least id of each (or all without one)."""
+        nodes = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(classes, "fp").select("fp", "least", bit("least")), "ngram-nodes")
+        bits = nodes.groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits"))
+        wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in bits.toLocalIterator():  # FILTER_BITS / 8 at most
+            wanted[r["byte"]] = r["bits"]
+        filtered = spark.sparkContext.broadcast(wanted)
+        hashed = source.select("id", "text", bit("id"))
+        sets = hashed.mapInArrow(lambda b: _sets(b, filtered.value, shipped.value, width), "id long, fp binary, keys binary")
+        named = sets.join(nodes.select("fp", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).select("fp", "keys")
+        return materialize(named.dropDuplicates(["fp"]), "ngram-sets")
+
+    summed = materialize(counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys"), F.max("large").alias("large")), "ngram-counted")
+    small = summed.filter(enough_keys(percent)).select("a", "b")
+    stars = summed.filter("large").groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    first = materialize(small.union(stars).distinct(), "ngram-first")
+    near = materialize(verified(first, sets_of(first), percent), "ngram-links")
     roots = materialize(connected_components(near), "ngram-roots")
 
-    rooted = centres.select("range", "fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *(F.lit(None).cast("binary").alias(c) for c in ("tokens", "nodes", "fps", "sizes")))
-    arrays = shared.filter("tokens is not null").select("range", "fp", F.col("centre").alias("root"), "tokens", "nodes", "fps", "sizes")
-    crossed = rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary").distinct()
-    across = verified(crossed, sets, percent)
+    sides = counted.select("range", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    blank = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
+    rooted = sides.join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *blank(["tokens", "nodes", "fps", "sizes"]))
+    arrays = shared.filter("tokens is not null").select("range", *blank(["fp", "root"]), "tokens", "nodes", "fps", "sizes")
+    crossed = rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary, size_a long, size_b long, keys long")
+    # the first pairs are decided already
+    crossed = crossed.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b")
+    crossed = materialize(crossed.join(materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "ngram-decided"), ["a", "b"], "left_anti"), "ngram-crossed")
+    across = verified(crossed, sets_of(crossed), percent)
     links = near.unionByName(across)
     roots = materialize(connected_components(links), "ngram-roots")
 
