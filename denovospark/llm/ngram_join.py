@@ -4,8 +4,8 @@
 2. Keys are in one global order: by hash, but keys that many texts hold come last (COMMON of them at most, counted over all
    texts; any order gives the same links, this one keeps shared passages out of the prefixes). Two sets that are similar
    enough share a key among their first n - ceil(t n) + 1, so only these are shuffled, as arrays by ranges of the hash.
-3. A range finds the keys that several classes share. Each class is first held against one other, the centre of most of its
-   keys (in groups of a few, against all that share enough keys), and the links found are closed to components. Then all classes that share a key but not a component, and whose
+3. A range finds the keys that several classes share. Each class is first held against the one that shares most keys with it
+   (in keys of many classes: against their least class), and the links found are closed to components. Then all classes that share a key but not a component, and whose
    sizes allow a link, are held against each other: no link between components is lost, and a family of thousands of near
    copies never becomes all its pairs.
 4. Pairs are decided by walking prefix trees: the partners of a set, at most about TREE at a time, are a tree over the global
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import lower_words, materialize, mix, pack, unpack
 from .components import connected_components
 
-COMMON, COMMON_FROM = 1 << 17, 8
+COMMON, COMMON_FROM = 1 << 20, 6
 _LAST = np.uint64(1 << 63)
 TREE = 256
 #: Classes of a key up to which all their pairs are counted at once.
-SMALL_GROUP = 24
+SMALL_GROUP = 16
 #: Keys in a range, and bits of the filter of rows whose sets are needed.
 RANGE_KEYS, FILTER_BITS = 1_500_000, 1 << 25
 
@@ -385,9 +385,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return materialize(named.dropDuplicates(["fp"]), "ngram-sets")
 
     summed = materialize(counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys"), F.max("large").alias("large")), "ngram-counted")
-    small = summed.filter(enough_keys(percent)).select("a", "b")
-    stars = summed.filter("large").groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
-    first = materialize(small.union(stars).distinct(), "ngram-first")
+    # each class with the one before it by name that it shares most keys with: as many pairs as classes, and most families are one component then
+    best = lambda df: df.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    first = materialize(best(summed.filter(enough_keys(percent))).union(best(summed.filter("large"))).distinct(), "ngram-first")
     near = materialize(verified(first, sets_of(first), percent), "ngram-links")
     roots = materialize(connected_components(near), "ngram-roots")
 
