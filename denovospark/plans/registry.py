@@ -5,7 +5,520 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import dims
+from ..functions import params as P
+from ..functions import scalars as S
+from ..operators import candidates as C
+from ..operators import corpus as Q
+from ..operators import labels as L
+from ..operators import paths, peaks, search, symmetry, topology
+from ..sources import readers
+from . import pipeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "word_pair_hits"
+TOLERANCE = 0.015
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.peptides(table(spark, sf_dir, "documents"))
+
+
+def word_ion_table(spark: SparkSession, sf_dir: str, charge: int = 1) -> DataFrame:
+    return peaks.ions(words(spark, sf_dir), charge)
+
+
+def word_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ions as unlabelled peaks: aug_idx and peak_id rank a word's masses."""
+    order = W.partitionBy("peptide").orderBy("mz", "series", "position")
+    return word_ion_table(spark, sf_dir).select(F.col("peptide").alias("spectrum"), (F.row_number().over(order) - 1).alias("aug_idx"), F.col("mz").alias("mass"), "series", "position", F.lit(1).alias("charge")).withColumn("peak_id", F.col("aug_idx"))
+
+
+def event_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.augment(peaks.event_peaks(table(spark, sf_dir, "events")))
+
+
+# ---- SQL that the oracles share -------------------------------------------------------------------------------------
+
+def _values(rows: list[tuple], columns: str) -> str:
+    said = lambda x: f"{x!r}::DOUBLE" if isinstance(x, float) else f"'{x}'" if isinstance(x, str) else str(x)
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) v({columns}))"
+
+
+_AMINOS = _values([(i, s, m, round(m * 1e9)) for i, (s, m) in enumerate(P.AMINOS)], "amino_id, amino, mass, nano")
+_MODS_OF = _values([(a, m) for a in range(20) for m in [0, *P.MODS_OF.get(a, [])]], "amino_id, mod_id")
+_MODS = _values([(i, s, m) for i, (s, m) in enumerate(P.MODS)], "mod_id, mod, mass")
+_LOSSES = _values([(i, s, m) for i, (s, m) in enumerate(P.LOSSES)], "loss_id, loss, mass")
+
+
+def _boundary_losses(reflect: bool) -> str:
+    series = list(reversed(P.SERIES)) if reflect else P.SERIES
+    return f"(SELECT s.i * 5 + l.loss_id AS loss_id, trim(s.s || ' ' || l.loss) AS loss, s.m + l.mass * {'-1.0' if reflect else '1.0'}::DOUBLE AS mass, l.loss_id = 0 AS is_null FROM {_values([(i, s, m) for i, (s, m) in enumerate(series)], 'i, s, m')} s, {_LOSSES} l)"
+
+
+def _targets(kind: str) -> str:
+    sign = -1.0 if kind == "reflected" else 1.0
+    left = _LOSSES if kind == "pair" else "(SELECT 0 AS loss_id, 0.0::DOUBLE AS mass)"
+    right = f"(SELECT loss_id, mass, loss_id = 0 AS is_null FROM {_LOSSES})" if kind == "pair" else _boundary_losses(kind == "reflected")
+    return f"""(SELECT a.mass + l.mass - r.mass + m.mass * {sign}::DOUBLE AS mass, a.amino_id, l.loss_id AS left_loss_id, r.loss_id AS right_loss_id, m.mod_id,
+      (l.loss_id <> 0)::INT + (NOT r.is_null)::INT + (m.mod_id <> 0)::INT AS complexity
+      FROM {_AMINOS} a JOIN {_MODS_OF} o USING (amino_id) JOIN {_MODS} m USING (mod_id), {left} l, {right} r)"""
+
+
+_WORDS = f"""(SELECT DISTINCT peptide FROM (SELECT translate(upper(replace(w, 'ß', 'ss')), '''.', '') AS peptide
+  FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents)) WHERE length(peptide) BETWEEN 7 AND 50 AND regexp_full_match(peptide, '[{P.ALPHABET}]*'))"""
+_RESIDUES = f"(SELECT w.peptide, w.i, a.nano FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i FROM {_WORDS}) w JOIN {_AMINOS} a ON a.amino = substr(w.peptide, w.i::INT, 1))"
+_IONS = f"""(SELECT peptide, series, position::INT AS position, (nano + {P.PROTON_N}) / 1e9::DOUBLE / 1 AS mz FROM (
+  SELECT peptide, 'b' AS series, i AS position, sum(nano) OVER (PARTITION BY peptide ORDER BY i)::BIGINT AS nano FROM {_RESIDUES}
+  UNION ALL SELECT peptide, 'y', length(peptide) - i + 1, (sum(nano) OVER (PARTITION BY peptide ORDER BY i DESC) + {P.WATER_N})::BIGINT FROM {_RESIDUES}) WHERE position < length(peptide))"""
+_SPECTRA = f"(SELECT peptide AS spectrum, series, position, mz AS mass, row_number() OVER (PARTITION BY peptide ORDER BY mz, series, position)::INT - 1 AS aug_idx FROM {_IONS})"
+_PEAKS = "(SELECT user_id AS spectrum, event_id AS peak_id, value AS mz, coalesce(json_extract_string(props, '$.k')::DOUBLE, 1.0) AS intensity FROM events)"
+_AUG = f"""(SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY mass, charge, peak_id)::INT - 1 AS aug_idx FROM (
+  SELECT spectrum, peak_id, intensity, c AS charge, c * mz - 1.007::DOUBLE * (c - 1) AS mass FROM {_PEAKS}, (SELECT unnest([1, 2, 3]) AS c)) WHERE mass > 0)"""
+_MICRO = "round_even({} * 1e6::DOUBLE, 0)::BIGINT"
+
+
+# ---- dimensions --------------------------------------------------------------------------------------------------
+
+def _target_query(kind: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dims.ranked_targets(dims.targets(spark, kind)).select("target_id", S.micro(F.col("mass")).alias("mass_u"), "amino_id", "left_loss_id", "right_loss_id", "mod_id", "complexity")
+
+    f.__name__ = f"targets_{kind}"
+    query(f"SELECT row_number() OVER (ORDER BY mass, amino_id, left_loss_id, right_loss_id, mod_id)::INT - 1 AS target_id, {_MICRO.format('mass')} AS mass_u, amino_id, left_loss_id, right_loss_id, mod_id, complexity FROM {_targets(kind)}")(f)
+
+
+for _kind in ("pair", "boundary", "reflected"):
+    _target_query(_kind)
+
+
+@query(f"SELECT loss_id, loss, {_MICRO.format('mass')} AS mass_u, is_null, false AS reflected FROM {_boundary_losses(False)} UNION ALL SELECT loss_id, loss, {_MICRO.format('mass')}, is_null, true FROM {_boundary_losses(True)}")
+def boundary_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = [dims.boundary_losses(spark, r).select("loss_id", "loss", S.micro(F.col("mass")).alias("mass_u"), "is_null", F.lit(r).alias("reflected")) for r in (False, True)]
+    return one[0].unionByName(one[1])
+
+
+@query(f"WITH t AS (SELECT {_MICRO.format('mass')} AS q FROM {_targets('boundary')}) SELECT a.q + b.q AS mass_u, count(*) AS n FROM t a, t b GROUP BY 1")
+def combined_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dims.combined_masses(spark, "boundary", 2).select(S.micro(F.col("mass")).alias("mass_u"), "n")
+
+
+@query(f"SELECT amino, count(DISTINCT o.mod_id) AS n_mods, count(DISTINCT l.loss_id) AS n_losses FROM {_AMINOS} a JOIN {_MODS_OF} o USING (amino_id) JOIN {_values([(a, m) for a in range(20) for m in [0, *P.LOSSES_OF.get(a, [])]], 'amino_id, loss_id')} l USING (amino_id) GROUP BY 1")
+def applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dims.aminos(spark).join(dims.mod_applicability(spark), "amino_id").join(dims.loss_applicability(spark), "amino_id").groupBy("amino").agg(F.countDistinct("mod_id").alias("n_mods"), F.countDistinct("loss_id").alias("n_losses"))
+
+
+# ---- peptides and ions ----------------------------------------------------------------------------------------------
+
+@query(f"SELECT peptide, length(peptide)::INT AS n FROM {_WORDS}")
+def word_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("peptide", F.length("peptide").alias("n"))
+
+
+@query(f"SELECT peptide, series, position, {_MICRO.format('mz')} AS mz_u FROM {_IONS}")
+def word_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_ion_table(spark, sf_dir).select("peptide", "series", "position", S.micro(F.col("mz")).alias("mz_u"))
+
+
+@query(f"SELECT peptide, {_MICRO.format('avg(mz)')} AS pivot_u FROM {_IONS} WHERE series = 'b' AND position <= 2 OR series = 'y' AND position >= length(peptide) - 2 GROUP BY peptide")
+def word_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.true_pivots(word_ion_table(spark, sf_dir)).select("peptide", S.micro(F.col("pivot")).alias("pivot_u"))
+
+
+@query(f"SELECT series || position || '+' AS ion, series, position, '' AS loss, 1 AS charge, count(*) AS n FROM {_IONS} GROUP BY ALL")
+def ion_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = peaks.ion_names(word_ion_table(spark, sf_dir)).groupBy("ion").agg(F.count("*").alias("n"))
+    series, position, loss, charge = S.ion_parts(F.col("ion"))
+    return named.select("ion", series.alias("series"), position.alias("position"), loss.alias("loss"), charge.alias("charge"), "n")
+
+
+@query(f"SELECT a.peptide, a.series, a.position AS \"left\", b.position AS \"right\", {_MICRO.format('(b.mz - a.mz)')} AS gap_u FROM {_IONS} a JOIN {_IONS} b ON a.peptide = b.peptide AND a.series = b.series AND b.position = a.position + 2")
+def consecutive_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.consecutive(word_ion_table(spark, sf_dir), 2).select("peptide", "series", "left", "right", S.micro(F.col("gap")).alias("gap_u"))
+
+
+@query(f"WITH i AS (SELECT *, min(position) OVER (PARTITION BY peptide, series) AS lo, max(position) OVER (PARTITION BY peptide, series) AS hi FROM {_IONS}) SELECT peptide, series, position, 'lower' AS side, {_MICRO.format('mz')} AS mz_u FROM i WHERE position = lo UNION ALL SELECT peptide, series, position, 'upper', {_MICRO.format('mz')} FROM i WHERE position = hi")
+def boundary_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.bounds(word_ion_table(spark, sf_dir)).select("peptide", "series", "position", "side", S.micro(F.col("mz")).alias("mz_u"))
+
+
+@query(f"""WITH i AS (SELECT *, avg(CASE WHEN series = 'b' AND position <= 2 OR series = 'y' AND position >= length(peptide) - 2 THEN mz END) OVER (PARTITION BY peptide) AS pv FROM {_IONS}),
+ g AS (SELECT *, lag(mz) OVER w < pv AND pv < mz AS cut FROM i WINDOW w AS (PARTITION BY peptide, series ORDER BY position)),
+ p AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY peptide, series ORDER BY position) AS path FROM g)
+ SELECT peptide, series, path::BIGINT AS path, count(*) AS n, min(position) AS first, max(position) AS last FROM p GROUP BY ALL""")
+def series_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ions = word_ion_table(spark, sf_dir)
+    return peaks.series_paths(ions, peaks.true_pivots(ions)).groupBy("peptide", "series", "path").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+@query(f"SELECT series, count(*) AS n FROM {_IONS} WHERE NOT (series = 'b' AND NOT (position > 2 AND length(peptide) - 2 > position)) AND NOT (series = 'y' AND position IN (1, 3)) GROUP BY 1 UNION ALL SELECT '.', count(*) FROM {_WORDS}")
+def masked_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncated, occluded, and with one peak of noise a spectrum."""
+    ions = word_ion_table(spark, sf_dir)
+    kept = peaks.occluded(peaks.truncated(ions, 2, "b", 1), [1, 3], "y", 1)
+    return peaks.inserted(kept, words(spark, sf_dir).withColumn("mz", F.lit(1.0))).groupBy("series").agg(F.count("*").alias("n"))
+
+
+@query("SELECT series, position, count(*) AS n FROM (SELECT peptide, unnest(['b', 'y']) AS series, unnest([i, i])::INT AS position FROM (SELECT peptide, unnest(range(1, length(peptide))) AS i FROM " + _WORDS + ")) GROUP BY ALL")
+def expected_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series, position = S.residue_series(F.length("peptide"))
+    return words(spark, sf_dir).select(F.explode(F.arrays_zip(series.alias("series"), position.alias("position"))).alias("z")).groupBy("z.series", "z.position").agg(F.count("*").alias("n"))
+
+
+# ---- searches ----------------------------------------------------------------------------------------------------
+
+@query(f"""WITH t AS {_targets('pair')}, s AS {_SPECTRA}, q AS (SELECT a.spectrum, a.aug_idx AS i, b.aug_idx AS j, b.mass - a.mass AS gap FROM s a JOIN s b ON a.spectrum = b.spectrum AND a.aug_idx < b.aug_idx)
+ SELECT spectrum, count(DISTINCT (i, j)) AS n_pairs, count(*) AS n_hits, sum({_MICRO.format('(abs(gap - t.mass) * (1 + complexity))')})::BIGINT AS cost_u FROM q JOIN t ON t.mass >= gap - {TOLERANCE}::DOUBLE AND t.mass <= gap + {TOLERANCE}::DOUBLE GROUP BY 1""")
+def word_pair_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.find_pairs(word_spectra(spark, sf_dir), dims.targets(spark, "pair").drop("kind", "k"), TOLERANCE)
+    return hits.groupBy("spectrum").agg(F.countDistinct("i", "j").alias("n_pairs"), F.count("*").alias("n_hits"), F.sum(S.micro(F.col("cost"))).alias("cost_u"))
+
+
+def _boundary_query(kind: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = search.find_boundaries(word_spectra(spark, sf_dir), dims.targets(spark, kind).drop("kind", "k"), TOLERANCE)
+        return hits.select("spectrum", "aug_idx", "amino_id", "right_loss_id", "mod_id", S.micro(F.col("cost")).alias("cost_u"))
+
+    f.__name__ = f"word_{kind}_hits"
+    query(f"SELECT spectrum, aug_idx, amino_id, right_loss_id, mod_id, {_MICRO.format('(abs(s.mass - t.mass) * (1 + complexity))')} AS cost_u FROM {_SPECTRA} s JOIN {_targets(kind)} t ON t.mass >= s.mass - {TOLERANCE}::DOUBLE AND t.mass <= s.mass + {TOLERANCE}::DOUBLE")(f)
+
+
+for _kind in ("boundary", "reflected"):
+    _boundary_query(_kind)
+
+
+@query(f"SELECT count(*) AS expected, 0::BIGINT AS missed FROM {_IONS} a JOIN {_IONS} b ON a.peptide = b.peptide AND a.series = b.series AND b.position = a.position + 1")
+def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall: every pair of neighbouring ions has to be among the pairs found. What isn't is missed."""
+    spectra = word_spectra(spark, sf_dir)
+    found = search.find_pairs(spectra, dims.targets(spark, "pair").drop("kind", "k"), TOLERANCE).select("spectrum", "i", "j").distinct()
+    one = spectra.select("spectrum", "series", "position", F.col("aug_idx").alias("a1"))
+    two = spectra.select("spectrum", "series", (F.col("position") - 1).alias("position"), F.col("aug_idx").alias("a2"))
+    true = one.join(two, ["spectrum", "series", "position"]).select("spectrum", F.least("a1", "a2").alias("i"), F.greatest("a1", "a2").alias("j"))
+    return true.join(found.withColumn("hit", F.lit(1)), ["spectrum", "i", "j"], "left").agg(F.count("*").alias("expected"), F.count(F.when(F.col("hit").isNull(), 1)).alias("missed"))
+
+
+@query(f"WITH t AS {_targets('pair')}, g AS (SELECT DISTINCT a.amino, a.mass FROM {_AMINOS} a) SELECT amino, {_MICRO.format('min(abs(g.mass - t.mass))')} AS error_u FROM g, t GROUP BY 1")
+def maxmin_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each residue's mass is from the nearest target."""
+    targets = dims.targets(spark, "pair").select(F.col("mass").alias("target"))
+    return dims.aminos(spark).crossJoin(F.broadcast(targets)).groupBy("amino").agg(S.micro(F.min(F.abs(F.col("mass") - F.col("target")))).alias("error_u"))
+
+
+@query(f"SELECT spectrum, aug_idx, peak_id, charge, {_MICRO.format('mass')} AS mass_u, intensity FROM {_AUG}")
+def event_decharged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_aug(spark, sf_dir).select("spectrum", "aug_idx", "peak_id", "charge", S.micro(F.col("mass")).alias("mass_u"), "intensity")
+
+
+@query(f"SELECT spectrum, peak_id, charge, {_MICRO.format('mass')} AS mass_u FROM (SELECT spectrum, peak_id, c AS charge, 2 * pv - (c * mz - 1.007::DOUBLE * (c - 1)) AS mass FROM {_PEAKS} JOIN (SELECT user_id AS spectrum, max(value) AS pv FROM events GROUP BY 1) USING (spectrum), (SELECT unnest([1, 2]) AS c)) WHERE mass > 0")
+def event_reflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = peaks.event_peaks(table(spark, sf_dir, "events"))
+    pivots = table_.groupBy("spectrum").agg(F.max("mz").alias("pivot"))
+    return peaks.augment(table_.join(pivots, "spectrum"), (1, 2), pivot="pivot").select("spectrum", "peak_id", "charge", S.micro(F.col("mass")).alias("mass_u"))
+
+
+_EVENT_PAIRS = f"""(SELECT q.*, t.amino_id, t.left_loss_id, t.right_loss_id, t.mod_id, abs(gap - t.mass) * (1 + complexity) AS cost FROM (
+  SELECT a.spectrum, a.aug_idx AS i, b.aug_idx AS j, a.peak_id AS left_peak, b.peak_id AS right_peak, a.charge AS left_charge, b.charge AS right_charge, a.mass AS m1, b.mass AS m2, b.mass - a.mass AS gap FROM {_AUG} a JOIN {_AUG} b ON a.spectrum = b.spectrum AND a.aug_idx < b.aug_idx AND a.peak_id <> b.peak_id) q
+  JOIN {_targets('pair')} t ON t.mass >= gap - {TOLERANCE}::DOUBLE AND t.mass <= gap + {TOLERANCE}::DOUBLE)"""
+
+
+def event_pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_pairs(event_aug(spark, sf_dir), dims.targets(spark, "pair").drop("kind", "k"), TOLERANCE)
+
+
+@query(f"SELECT spectrum, amino_id, count(DISTINCT (i, j)) AS n_pairs, count(*) AS n_hits, sum({_MICRO.format('cost')})::BIGINT AS cost_u FROM {_EVENT_PAIRS} GROUP BY 1, 2")
+def event_pair_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_pair_table(spark, sf_dir).groupBy("spectrum", "amino_id").agg(F.countDistinct("i", "j").alias("n_pairs"), F.count("*").alias("n_hits"), F.sum(S.micro(F.col("cost"))).alias("cost_u"))
+
+
+_QUADS = f"""(SELECT p.spectrum, p.i, a.aug_idx AS j, p.j AS i2, b.aug_idx AS j2, (p.m1 + a.mass + p.m2 + b.mass) / 4 AS pv FROM (SELECT DISTINCT spectrum, i, j, m1, m2, gap FROM {_EVENT_PAIRS}) p
+  JOIN {_AUG} a ON a.spectrum = p.spectrum AND a.aug_idx > p.i AND a.aug_idx < p.j JOIN {_AUG} b ON b.spectrum = p.spectrum AND b.aug_idx > p.j AND abs(p.gap - (b.mass - a.mass)) < {TOLERANCE}::DOUBLE)"""
+
+
+@query(f"SELECT spectrum, {_MICRO.format('(round_even(pv * 100.0::DOUBLE, 0) / 100.0)')} AS point_u, count(*) AS n FROM {_QUADS} GROUP BY 1, 2")
+def event_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aug = event_aug(spark, sf_dir)
+    return search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE)).select("spectrum", S.micro(F.col("point")).alias("point_u"), "n")
+
+
+@query()
+def event_pivot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aug = event_aug(spark, sf_dir)
+    points = search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE))
+    return symmetry.screened(symmetry.scored(symmetry.symmetries(aug, points, TOLERANCE), points), 0.75)
+
+
+@query(f"""WITH m AS (SELECT spectrum, (mass + lead(mass) OVER (PARTITION BY spectrum ORDER BY aug_idx)) / 2 AS point FROM {_AUG}), p AS (SELECT * FROM m WHERE point IS NOT NULL),
+ e AS (SELECT spectrum, min(point) AS low, max(point) AS high, floor((max(point) - min(point)) / 5.0::DOUBLE)::INT AS bins FROM p GROUP BY 1 HAVING bins > 0),
+ c AS (SELECT spectrum, least(floor((point - low) / ((high - low) / bins))::INT, bins - 1) AS bin, low, high, bins, count(*) AS n FROM p JOIN e USING (spectrum) GROUP BY ALL),
+ s AS (SELECT spectrum, list_sort(CASE WHEN count(*) < any_value(bins) THEN list_append(list(DISTINCT n), 0) ELSE list(DISTINCT n) END) AS s FROM c GROUP BY 1)
+ SELECT spectrum, {_MICRO.format('(low + (bin + 0.5::DOUBLE) * ((high - low) / bins))')} AS centre_u, n FROM c JOIN s USING (spectrum) WHERE n > s[floor(len(s) * 0.75)::INT + 1]""")
+def event_virtual_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the midpoints of neighbouring masses."""
+    aug = event_aug(spark, sf_dir)
+    mid = aug.withColumn("point", (F.col("mass") + F.lead("mass").over(W.partitionBy("spectrum").orderBy("aug_idx"))) / 2).filter("point is not null").select("spectrum", "point")
+    return search.virtual_pivots(mid, 5.0).select("spectrum", S.micro(F.col("centre")).alias("centre_u"), "n")
+
+
+# ---- labels and graphs -----------------------------------------------------------------------------------------------
+
+@query(f"SELECT user_id AS spectrum, event_id AS peak_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trunc(value / 0.01::DOUBLE)::BIGINT)::INT - 1 AS node_id FROM events")
+def fuzzy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.with_nodes(table(spark, sf_dir, "events").select(F.col("user_id").alias("spectrum"), F.col("event_id").alias("peak_id"), F.col("value").alias("node_mass"))).select("spectrum", "peak_id", "node_id")
+
+
+@query(f"SELECT spectrum, peak_id, min(charge)::INT AS least_charge, {_MICRO.format('min(cost)')} AS cost_u, count(*) AS n FROM (SELECT spectrum, left_peak AS peak_id, left_charge AS charge, cost FROM {_EVENT_PAIRS} UNION ALL SELECT spectrum, right_peak, right_charge, cost FROM {_EVENT_PAIRS}) GROUP BY 1, 2")
+def labelled_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = event_pair_table(spark, sf_dir)
+    ends = [pairs.select("spectrum", F.col(f"{s}_peak").alias("peak_id"), F.col(f"{s}_charge").alias("charge"), "cost", F.col(f"{s}_loss_id").alias("loss_id")) for s in ("left", "right")]
+    by = L.by_peak(ends[0].unionByName(ends[1]))
+    return by.select("spectrum", "peak_id", F.array_min("charges").alias("least_charge"), S.micro(F.col("cost")).alias("cost_u"), F.size("charges").cast("long").alias("n"))
+
+
+_NODES = "(SELECT user_id AS spectrum, event_id AS peak_id, value AS mass, dense_rank() OVER (PARTITION BY user_id ORDER BY trunc(value / 0.01::DOUBLE)::BIGINT)::BIGINT - 1 AS node FROM events)"
+
+
+def _edge_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of singly charged events, each user's mean value for a pivot."""
+    nodes = L.with_nodes(table(spark, sf_dir, "events").select(F.col("user_id").alias("spectrum"), F.col("event_id").alias("peak_id"), F.col("value").alias("node_mass")))
+    aug = peaks.augment(peaks.event_peaks(table(spark, sf_dir, "events")), (1,))
+    found = search.find_pairs(aug, dims.targets(spark, "pair").drop("kind", "k"), TOLERANCE).select("spectrum", "left_peak", "right_peak", "m1", "m2").distinct()
+    node = lambda s: nodes.select("spectrum", F.col("peak_id").alias(f"{s}_peak"), F.col("node_id").cast("long").alias(f"{s}_node"))
+    pairs = found.join(node("left"), ["spectrum", "left_peak"]).join(node("right"), ["spectrum", "right_peak"]).withColumn("pair_id", F.col("left_peak") * 1_000_000 + F.col("right_peak"))
+    bounds = search.find_boundaries(aug, dims.targets(spark, "boundary").drop("kind", "k"), TOLERANCE).select("spectrum", "peak_id", "mass").distinct()
+    bounds = bounds.join(nodes.select("spectrum", "peak_id", F.col("node_id").cast("long").alias("node")), ["spectrum", "peak_id"]).withColumn("bnd_id", F.col("peak_id"))
+    clusters = aug.groupBy("spectrum").agg((F.sum(S.micro(F.col("mass"))) / F.count("*") / 1e6).alias("point")).withColumn("cluster_id", F.lit(0))
+    return topology.spectrum_edges(pairs, bounds, bounds.withColumn("cluster_id", F.lit(0)).drop("point"), clusters, TOLERANCE)
+
+
+_EDGES = f"""(WITH n AS {_NODES}, c AS (SELECT spectrum, sum({_MICRO.format('mass')}) / count(*) / 1e6 AS p FROM n WHERE mass > 0 GROUP BY 1),
+ pairs AS (SELECT DISTINCT a.spectrum, a.node AS l, b.node AS r, a.mass AS m1, b.mass AS m2, a.peak_id * 1000000 + b.peak_id AS id FROM n a JOIN n b ON a.spectrum = b.spectrum AND (a.mass, a.peak_id) < (b.mass, b.peak_id) AND a.mass > 0 JOIN {_targets('pair')} t ON t.mass >= (b.mass - a.mass) - {TOLERANCE}::DOUBLE AND t.mass <= (b.mass - a.mass) + {TOLERANCE}::DOUBLE),
+ e AS (SELECT spectrum, CASE WHEN m2 < p THEN 'lower' WHEN m1 > p AND m2 < 2 * (p + {TOLERANCE}::DOUBLE) THEN 'upper' ELSE 'pivot' END AS side, l, r, id FROM pairs JOIN c USING (spectrum)),
+ b AS (SELECT DISTINCT n.spectrum, n.node, n.mass, n.peak_id FROM n JOIN {_targets('boundary')} t ON n.mass > 0 AND t.mass >= n.mass - {TOLERANCE}::DOUBLE AND t.mass <= n.mass + {TOLERANCE}::DOUBLE),
+ u AS (SELECT spectrum, side, CASE WHEN side = 'upper' THEN r ELSE l END AS src, CASE WHEN side = 'upper' THEN l ELSE r END AS dst, id AS weight FROM e
+  UNION ALL SELECT spectrum, 'lower', l, -2, -1 FROM e WHERE side = 'pivot' UNION ALL SELECT spectrum, 'upper', r, -2, -1 FROM e WHERE side = 'pivot'
+  UNION ALL SELECT spectrum, 'lower', -1, node, peak_id FROM b JOIN c USING (spectrum) WHERE mass < p
+  UNION ALL SELECT spectrum, 'upper', -1, node, peak_id FROM b JOIN c USING (spectrum) WHERE mass > p AND mass < 2 * (p + {TOLERANCE}::DOUBLE))
+ SELECT spectrum, side, src, dst, max(weight) AS weight FROM u GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"SELECT spectrum, side, src, dst, weight FROM {_EDGES}")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_inputs(spark, sf_dir).drop("cluster_id")
+
+
+@query(f"WITH e AS {_EDGES} SELECT spectrum, side, src AS node, 'source' AS kind FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.spectrum = a.spectrum AND b.side = a.side AND b.dst = a.src) GROUP BY ALL UNION ALL SELECT spectrum, side, dst, 'sink' FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.spectrum = a.spectrum AND b.side = a.side AND b.src = a.dst) GROUP BY ALL")
+def graph_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edge_inputs(spark, sf_dir)
+    one = [topology.ends(edges, ["spectrum", "side"], s).withColumn("kind", F.lit("sink" if s else "source")) for s in (False, True)]
+    return one[0].unionByName(one[1])
+
+
+@query(f"WITH e AS (SELECT * FROM {_EDGES} WHERE side = 'pivot') SELECT spectrum, src, dst, max(weight) AS pair_id FROM (SELECT spectrum, src, dst, weight FROM e UNION ALL SELECT spectrum, dst, src, weight FROM e) GROUP BY ALL")
+def pivot_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.undirected(_edge_inputs(spark, sf_dir)).drop("cluster_id")
+
+
+@query(f"SELECT spectrum, side, (max(greatest(src, dst)) + 1)::BIGINT AS \"order\" FROM {_EDGES} GROUP BY ALL")
+def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.order(_edge_inputs(spark, sf_dir), ["spectrum", "side"])
+
+
+def _benchmark_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ions = peaks.ions(peaks.peptides(table(spark, sf_dir, "benchmark")))
+    return ions.select(F.col("peptide").alias("spectrum"), (F.row_number().over(W.partitionBy("peptide").orderBy("mz", "series")) - 1).alias("peak_id"), "mz", F.lit(1.0).alias("intensity"))
+
+
+@query()
+def annotated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the annotation over the words of the benchmark: node labels."""
+    return pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,))).labels
+
+
+@query()
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.align(pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,))), P.AlignmentParams(cost_threshold=4.0))
+
+
+@query()
+def word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,)))
+    return pipeline.enumerate_candidates(a, pipeline.align(a, P.AlignmentParams(cost_threshold=4.0)), P.EnumerationParams(cost_threshold=4.0, max_paths=1_000_000))
+
+
+# ---- corpus ----------------------------------------------------------------------------------------------------------
+
+_KMERS = "(SELECT substr(peptide, i::INT, {k}) AS kmer FROM (SELECT peptide, unnest(range(1, length(peptide) - {k} + 2)) AS i FROM " + _WORDS + "))"
+
+
+@query(f"SELECT kmer, count(*) AS n FROM {_KMERS.format(k=3)} GROUP BY 1")
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.kmer_counts(words(spark, sf_dir), 3)
+
+
+@query(f"SELECT kmer, (a.nano + b.nano)::BIGINT AS nano FROM (SELECT a.amino || b.amino AS kmer, a.nano AS n1, b.nano AS n2 FROM {_AMINOS} a, {_AMINOS} b) k JOIN {_AMINOS} a ON a.amino = left(kmer, 1) JOIN {_AMINOS} b ON b.amino = right(kmer, 1)")
+def all_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.all_kmers(spark, 2).select("kmer", "nano")
+
+
+@query(f"SELECT a.nano + b.nano AS nano, count(*) AS n, min(a.amino || b.amino) AS first FROM {_AMINOS} a, {_AMINOS} b GROUP BY 1")
+def kmers_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.by_mass(Q.all_kmers(spark, 2))
+
+
+@query(f"SELECT list_aggregate(list_sort(string_split(kmer, '')), 'string_agg', '') AS multiset, count(*) AS n_orders FROM (SELECT DISTINCT kmer FROM {_KMERS.format(k=2)}) GROUP BY 1")
+def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.unordered(Q.all_kmers(spark, 2), Q.kmer_counts(words(spark, sf_dir), 2))
+
+
+@query(f"SELECT left(kmer, 2) AS prefix, right(kmer, 1) AS next, count(*) AS n FROM {_KMERS.format(k=3)} WHERE left(kmer, 2) IN ('TH', 'IN', 'ER') GROUP BY 1, 2")
+def prefix_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.extensions(Q.kmer_index(words(spark, sf_dir), 2, 3), spark.createDataFrame([("TH",), ("IN",), ("ER",)], "prefix string"))
+
+
+@query("WITH q AS (SELECT DISTINCT substr(peptide, 1, 4) AS query FROM " + _WORDS + f" UNION SELECT 'WWWW'), c AS (SELECT kmer, count(*) AS n FROM {_KMERS.format(k=4)} GROUP BY 1) SELECT query, coalesce(n, 0) AS n FROM q LEFT JOIN c ON kmer = query")
+def substring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = words(spark, sf_dir)
+    return Q.count_substrings(corpus, corpus.select(F.substring("peptide", 1, 4).alias("query")).union(spark.createDataFrame([("WWWW",)], "query string")))
+
+
+_SUFFIXES = "(SELECT substr(peptide, i::INT, 6) AS suffix FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i FROM " + _WORDS + "))"
+
+
+@query(f"SELECT suffix, count(*) AS n, (sum(count(*)) OVER (ORDER BY suffix ROWS UNBOUNDED PRECEDING) - count(*))::BIGINT AS below FROM {_SUFFIXES} GROUP BY 1")
+def suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.ranked_suffixes(words(spark, sf_dir), 6)
+
+
+_WANTED = [300.0, 400.2, 512.25, 700.35]
+
+
+@query(f"WITH r AS {_RESIDUES}, p AS (SELECT DISTINCT substr(a.peptide, a.i::INT, (b.i - a.i + 1)::INT) AS segment FROM r a JOIN r b ON a.peptide = b.peptide AND b.i BETWEEN a.i AND a.i + 7), s AS (SELECT segment, sum(nano) / 1e9::DOUBLE AS mass FROM (SELECT segment, unnest(string_split(segment, '')) AS c FROM p) JOIN {_AMINOS} ON amino = c GROUP BY 1) SELECT w.mass AS mass, segment FROM s JOIN (SELECT unnest({_WANTED})::DOUBLE AS mass) w ON abs(s.mass - w.mass) < 0.05::DOUBLE")
+def mass_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.query_mass(words(spark, sf_dir), spark.createDataFrame([(m,) for m in _WANTED], "mass double"), 0.05).select("mass", "segment")
+
+
+# ---- windows, sets, scalars, sinks -----------------------------------------------------------------------------------
+
+@query("SELECT source, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY 1")
+def per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest")).orderBy("n", "source")
+
+
+@query("WITH d AS (SELECT n_chars, (SELECT min(n_chars) FROM documents) AS lo, (SELECT max(n_chars) FROM documents) AS hi FROM documents) SELECT least(floor((n_chars - lo) * 200.0::DOUBLE / (hi - lo))::BIGINT + 1, 200) AS bin, count(*) AS n FROM d GROUP BY 1")
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("n_chars")
+    ends = docs.agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    return docs.crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col("n_chars") - F.col("lo")) * 200.0 / (F.col("hi") - F.col("lo"))) + 1, F.lit(200)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_id, r::INT AS r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 10")
+def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by group is the feature here."""
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("r")).filter("r <= 10")
+
+
+@query("SELECT user_id, event_id, sum(1) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS segment, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.sum(F.lit(1).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("segment"), F.lead("event_id").over(order).alias("next"))
+
+
+@query("SELECT o_orderkey, l_linenumber, offset_u FROM (SELECT o_orderkey, l_linenumber, round_even(abs(o_totalprice / 10 - l_extendedprice) * 100, 0)::BIGINT AS offset_u, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(o_totalprice / 10 - 2 * (l_extendedprice / 2)), l_linenumber) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE r = 1")
+def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-pivot choice on the star schema: of an order's lines the one nearest to a tenth of its total, the first on ties."""
+    observed = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 10).alias("mass"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pivot_idx"), (F.col("l_extendedprice") / 2).alias("pivot"))
+    best = C.best_pivot(observed, lines, ["o_orderkey"], [])
+    return best.select("o_orderkey", F.col("pivot_idx").alias("l_linenumber"), F.rint(F.abs("offset") * 100).cast("long").alias("offset_u"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber)::INT - 1 AS rank FROM lineitem")
+def cheapest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("cost"))
+    return paths.cheapest_first(lines, ["l_orderkey"], ["l_linenumber"]).drop("cost")
+
+
+@query("SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+def missed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def shared_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT (r * 2 + s)::BIGINT AS place, name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS r, 0 AS s, n_name AS name FROM nation UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey) - 1, 1, r_name FROM region)")
+def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round-robin merge of two dimension tables; both have a fixed number of rows."""
+    number = lambda name, key, text, s: table(spark, sf_dir, name).select(((F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)) - 1) * 2 + s).cast("long").alias("place"), F.col(text).alias("name"))
+    return number("nation", "n_nationkey", "n_name", 0).unionByName(number("region", "r_regionkey", "r_name", 1))
+
+
+@query("WITH e AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, event_type, round_even(v / sum(v) OVER (PARTITION BY user_id) * 1e6, 0)::BIGINT AS share_u FROM e")
+def type_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    held = sums.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    return held.select("user_id", F.explode(S.shares(F.col("m"))).alias("event_type", "s")).select("user_id", "event_type", S.micro(F.col("s")).alias("share_u"))
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name)::INT AS distance, CASE WHEN a.n_regionkey = b.n_regionkey THEN a.n_regionkey::VARCHAR ELSE a.n_regionkey || '/' || b.n_regionkey END AS symbol, (a.n_nationkey * 25 + b.n_nationkey)::INT AS raveled FROM nation a, nation b")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    one, two = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"{k}_name"), F.col("n_regionkey").cast("string").alias(f"{k}_region")) for k in "ab")
+    return one.crossJoin(F.broadcast(two)).select("a", "b", F.levenshtein("a_name", "b_name").alias("distance"), S.combine_symbols(F.col("a_region"), F.col("b_region")).alias("symbol"), S.ravel(F.col("a"), F.col("b"), 25).alias("raveled"))
+
+
+@query("SELECT series, round_even(count(DISTINCT position) / max(length(peptide) - 1) * 1e6, 0)::BIGINT AS coverage_u FROM (SELECT * FROM " + _IONS + " WHERE position % 3 <> 0) GROUP BY series")
+def series_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct observed positions over those of the longest word, with every third ion left out."""
+    kept = word_ion_table(spark, sf_dir).filter("position % 3 <> 0")
+    return kept.groupBy("series").agg(F.rint(F.countDistinct("position") / F.max(F.length("peptide") - 1) * 1e6).cast("long").alias("coverage_u"))
+
+
+@query("WITH i AS (SELECT * FROM " + _IONS + " WHERE position % 3 <> 0) SELECT y.peptide, count(*) AS n FROM i y JOIN i b ON b.peptide = y.peptide AND b.series = 'b' AND y.series = 'y' AND y.position = length(y.peptide) - b.position + 1 GROUP BY 1")
+def symmetry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = word_ion_table(spark, sf_dir).filter("position % 3 <> 0")
+    b = kept.filter("series = 'b'").select("peptide", (F.length("peptide") - F.col("position") + 1).alias("position"))
+    return kept.filter("series = 'y'").select("peptide", "position").intersect(b).groupBy("peptide").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n, round_even(list_sum([round_even(x::DOUBLE * 1e6, 0) FOR x IN embedding]), 0)::BIGINT AS total_u FROM embeddings")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays through base64 and back."""
+    back = S.F.transform(readers.decode_floats(readers.encode_floats(F.transform("embedding", lambda x: x.cast("double")))), lambda x: F.rint(x * 1e6))
+    return table(spark, sf_dir, "embeddings").select("vec_id", back.alias("b")).select("vec_id", F.size("b").alias("n"), F.aggregate("b", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total_u"))
+
+
+@query("WITH p AS (SELECT event_type, 'low' AS stage, min(value) AS v FROM events GROUP BY 1 UNION ALL SELECT event_type, 'high', max(value) FROM events GROUP BY 1) SELECT stage, round_even(sum(v) * 1e4, 0)::BIGINT AS total_u FROM p GROUP BY 1")
+def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "events").groupBy("event_type").agg(F.create_map(F.lit("low"), F.min("value"), F.lit("high"), F.max("value")).alias("profile"))
+    return profiles.select(F.explode("profile").alias("stage", "v")).groupBy("stage").agg(F.rint(F.sum("v") * 1e4).cast("long").alias("total_u"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL '10 minutes', ts) AS start, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
+def windowed_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate, over the whole table as one batch."""
+    from ..streaming.annotate import windowed_spectra as windowed
+
+    return windowed(table(spark, sf_dir, "events"))
