@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.params import AMINOS, LOSSES, SERIES, AlignmentParams, AnnotationParams, EnumerationParams
+from ..functions.storage import materialize
 from ..operators import candidates as C
 from ..operators import labels as L
 from ..operators import paths as P
@@ -33,15 +33,11 @@ class Annotation:
     labels: DataFrame
     edges: DataFrame
 
-    def release(self) -> None:
-        for f in fields(self):
-            getattr(self, f.name).unpersist()
-
 
 def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) -> Annotation:
     """Annotate spectra (spectrum, peak_id, mz, intensity). An empty table gives empty tables."""
     spark: SparkSession = peaks.sparkSession
-    keep = lambda df: df.persist(StorageLevel.DISK_ONLY)
+    keep = lambda df: materialize(df, "annotate")
     targets = dims.all_targets(spark)
     of = lambda kind: targets.filter(F.col("kind") == kind).drop("kind", "k")
     aug = keep(K.augment(peaks, params.charges))
@@ -91,7 +87,7 @@ def align(a: Annotation, params: AlignmentParams = AlignmentParams()) -> DataFra
 def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationParams = EnumerationParams(), most: int = 5) -> DataFrame:
     """The ``most`` cheapest candidates of each cluster: (spectrum, cluster_id, rank, sequence, cost, mass, offset)."""
     on = ["spectrum", "cluster_id"]
-    walks = P.trace(aligned, params.cost_threshold, params.max_paths).persist(StorageLevel.DISK_ONLY)
+    walks = materialize(P.trace(aligned, params.cost_threshold, params.max_paths), "paths")
     names = a.peaks.sparkSession.createDataFrame([(i, s, m) for i, (s, m) in enumerate(AMINOS)], "amino_id int, amino string, residue double")
     hits = _hits(a).join(F.broadcast(names), "amino_id")
     best = P.cheapest_first(hits, ["spectrum", "src", "id"], ["amino_id", "left_loss_id", "right_loss_id", "mod_id"]).filter("rank = 0").select("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight"), "amino", "residue", "cost", "right_loss_id")
@@ -105,7 +101,7 @@ def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationP
     loss = lambda names_, c: F.element_at(F.array(*map(F.lit, names_)), F.col(c) + 1)
     boundary = F.col("dst_low") == topology.SOURCE
     symbols = F.array_compact(F.array(F.when(boundary, loss(lower_names, "right_loss_id_low")), F.when(F.col("dst_up") == topology.SOURCE, loss(upper_names, "right_loss_id_up"))))
-    spelled = spelled.select(*on, "path_id", "step", symbol.alias("symbol"), (F.coalesce("residue_low", F.lit(0.0)) + F.coalesce("residue_up", F.lit(0.0))).alias("mass"), symbols.alias("losses"), F.lit(0).alias("rank")).persist(StorageLevel.DISK_ONLY)
+    spelled = materialize(spelled.select(*on, "path_id", "step", symbol.alias("symbol"), (F.coalesce("residue_low", F.lit(0.0)) + F.coalesce("residue_up", F.lit(0.0))).alias("mass"), symbols.alias("losses"), F.lit(0).alias("rank")), "steps")
     ends = spelled.groupBy(*on, "path_id").agg(F.max_by("losses", "step").alias("symbols"))
     affixes = C.oriented(walks.join(ends, [*on, "path_id"])).withColumn("lower", F.slice("lower", 2, F.size("lower"))).withColumn("upper", F.slice("upper", 2, F.size("upper")))
     take = lambda kind, name: affixes.filter(F.col("kind").isin(kind, "infix")).select(*on, F.col("path_id").alias(name), "cost", "lower", "upper")

@@ -119,8 +119,9 @@ def test_pipeline_labels_every_peak_and_aligns(spark):
     assert aligned.count() > 0
     found = pipeline.enumerate_candidates(a, aligned, params.EnumerationParams(cost_threshold=8.0))
     assert found.columns == ["spectrum", "cluster_id", "sequence", "cost", "mass", "offset", "rank"]
-    assert found.count() >= 0
-    a.release()
+    spelled = {(r.spectrum, r.rank): r.sequence for r in found.collect()}
+    assert spelled["HHNIIR", 0] == "HHNLLR"  # L and I have one mass
+    assert "TEST" in spelled.values()
 
 
 def test_pipeline_on_nothing(spark):
