@@ -3,36 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+
+__all__ = ["WORD", "id_fold", "lower_words", "materialize", "mix", "pack", "table", "unpack"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(WORD.encode())
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -364,7 +364,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = np.sort(np.array([r["keys"] for r in counts.orderBy(F.desc("held"), "keys").limit(COMMON).select("keys").collect()], np.int64).astype(np.uint64))  # COMMON at most
     shipped = spark.sparkContext.broadcast(common)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = total * (100 - percent) // 100 // RANGE_KEYS + 8
+    ranges = total * (100 - percent) // 100 // RANGE_KEYS + 32
     prefixes = source.select("text").mapInArrow(lambda b: _prefixes(b, shipped.value, ranges, width, percent), "range int, tokens binary, at binary, fps binary, sizes binary")
     shared = materialize(prefixes.groupBy("range").applyInArrow(lambda t: _shared(t, percent), _SHARED), "ngram-shared", "zstd")
     counted = shared.filter("tokens is null").select("range", "a", "b", "size_a", "size_b", "keys", "large")

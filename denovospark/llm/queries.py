@@ -96,3 +96,15 @@ SELECT b.conv_id, 0, coalesce(f.step, b.turn), 1, b.turn, (b.turn - 1)::VARCHAR,
        '{"content":' || to_json(b.text) || ',"id":"' || (b.turn - 1) || '","role":"tool"}'
 FROM answers b LEFT JOIN firsts f ON f.conv_id = b.conv_id AND f.step = b.turn - 1
 """
+
+
+ORACLE_SQL["op8_ngram_components"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * c >= 75 * (len(p.s) + len(q.s) - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT sides.b, reached.root FROM reached JOIN sides ON sides.a = reached.doc_id)
+SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN reached ON reached.doc_id = s.doc_id GROUP BY 1
+"""
