@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match, quantised
-from .symmetry import merge_match
+from .symmetry import list_matches
 
 NODE_TOLERANCE = 0.01
 
@@ -58,16 +57,7 @@ def compared(one: DataFrame, two: DataFrame, tolerance: float = 1e-10, on: tuple
 
     int_err is the difference of intensities where both have one. charge_aln and loss_aln are the first common entries.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in one.schema.fields}
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = a.sort_values("mz").reset_index(drop=True), b.sort_values("mz").reset_index(drop=True)
-        found = merge_match(x["mz"].tolist()[::-1], y["mz"].tolist()[::-1], tolerance)
-        rows = [(*key, int(x["idx"][len(x) - 1 - i]), int(y["idx"][len(y) - 1 - j])) for i, j in found]
-        return pd.DataFrame(rows, columns=[*on, "idx", "other_idx"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in on) + ", idx long, other_idx long"
-    aligned = one.select(*on, "idx", "mz").groupBy(*on).cogroup(two.select(*(F.col(c).alias(c) for c in on), "idx", "mz").groupBy(*on)).applyInPandas(match, schema)
+    aligned = list_matches(one, two, on, "mz", "idx", tolerance)
     other = two.select(*on, F.col("idx").alias("other_idx"), *(F.col(c).alias(f"other_{c}") for c in ("mz", "series", "position", "charges", "losses")))
     joined = aligned.join(one.select(*on, "idx", "mz", "series", "position", "charges", "losses"), [*on, "idx"]).join(other, [*on, "other_idx"])
     return joined.select(

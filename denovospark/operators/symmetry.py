@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,17 +44,35 @@ def reflected_matches(masses: np.ndarray, pivot: float, tolerance: float) -> lis
     return [(low - 1 - a, high + b, abs(above[b] - below[a])) for a, b in merge_match(below, above, tolerance)]
 
 
+def listed(table: DataFrame, on: tuple[str, ...], value: str, idx: str | None, name: str) -> DataFrame:
+    """A row for each group with its values in ascending order, and the ``idx`` of each. A group is a spectrum: of bounded size."""
+    entry = F.struct(F.col(value).alias("v"), (F.col(idx) if idx else F.lit(0)).cast("long").alias("i"))
+    held = table.groupBy(*on).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
+    return held.select(*on, F.transform("_l", lambda x: x["v"]).alias(f"{name}_values"), F.transform("_l", lambda x: x["i"]).alias(f"{name}_idx"))
+
+
+def _mapped(rows: DataFrame, on: tuple[str, ...], match: Callable[[dict], list[tuple]], columns: str) -> DataFrame:
+    """``match`` over each row's lists; many rows a call, so that small groups cost no call each."""
+    kinds = dict(rows.dtypes)
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(*(r[c] for c in on), *m) for r in batch.to_dict("records") for m in match(r)]
+            yield pd.DataFrame(out, columns=[*on, *names])
+
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in on) + ", " + columns)
+
+
 def symmetries(aug: DataFrame, clusters: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
-    """(on, point, low_idx, high_idx, delta) for each cluster (on, point); spectra are groups, each of bounded size."""
-    kinds = {f.name: f.dataType.simpleString() for f in aug.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in on) + ", point double, low_idx int, high_idx int, delta double"
+    """(on, point, low_idx, high_idx, delta) for each cluster (on, point)."""
+    points = clusters.groupBy(*on).agg(F.collect_list("point").alias("points"))
 
-    def match(key: tuple, peaks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        masses = np.sort(peaks["mass"].to_numpy())
-        rows = [(*key, p, a, b, d) for p in points["point"] for a, b, d in reflected_matches(masses, p, tolerance)]
-        return pd.DataFrame(rows, columns=[*on, "point", "low_idx", "high_idx", "delta"])
+    def match(row: dict) -> list[tuple]:
+        masses = np.asarray(row["a_values"], float)
+        return [(p, a, b, d) for p in row["points"] for a, b, d in reflected_matches(masses, p, tolerance)]
 
-    return aug.select(*on, "mass").groupBy(*on).cogroup(clusters.select(*(F.col(c).alias(c) for c in on), "point").groupBy(*on)).applyInPandas(match, schema)
+    return _mapped(listed(aug, on, "mass", None, "a").join(points, list(on)), on, match, "point double, low_idx int, high_idx int, delta double")
 
 
 def scored(matched: DataFrame, clusters: DataFrame, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
@@ -79,3 +98,21 @@ def fuzzy_matches(left: list[float], right: list[float], tolerance: float) -> li
             out.append((i, j))
             j += 1
     return out
+
+
+def list_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...], value: str, idx: str, tolerance: float) -> DataFrame:
+    """(on, idx, other_idx): the greedy match of both sides' values, from the greatest down."""
+    both = listed(left, on, value, idx, "a").join(listed(right, on, value, idx, "b"), list(on))
+
+    def match(row: dict) -> list[tuple]:
+        i, j = list(row["a_idx"])[::-1], list(row["b_idx"])[::-1]
+        return [(i[x], j[y]) for x, y in merge_match(list(row["a_values"])[::-1], list(row["b_values"])[::-1], tolerance)]
+
+    return _mapped(both, on, match, "idx long, other_idx long")
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",), value: str = "mass") -> DataFrame:
+    """(on, left, right): greedy one-to-one matches of the sorted values of both sides within each group."""
+    both = listed(left, on, value, None, "a").join(listed(right, on, value, None, "b"), list(on))
+    match = lambda row: [(float(row["a_values"][i]), float(row["b_values"][j])) for i, j in fuzzy_matches(list(row["a_values"]), list(row["b_values"]), tolerance)]
+    return _mapped(both, on, match, "left double, right double")

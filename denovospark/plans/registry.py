@@ -522,3 +522,43 @@ def windowed_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.annotate import windowed_spectra as windowed
 
     return windowed(table(spark, sf_dir, "events"))
+
+
+# ---- matches and comparisons -----------------------------------------------------------------------------------------
+
+@query(f"SELECT peptide AS spectrum, count(*) AS n_aligned, 0::BIGINT AS mz_err, count(*) AS n_same_series, count(*) AS n_charges FROM (SELECT DISTINCT peptide, mz FROM {_IONS}) GROUP BY 1")
+def label_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ions of distinct mass, compared with themselves after a change of order: all of them align, and agree."""
+    ions = word_ion_table(spark, sf_dir).groupBy(F.col("peptide").alias("spectrum"), "mz").agg(F.min("series").alias("series"), F.min("position").alias("position"))
+    order = W.partitionBy("spectrum").orderBy("mz")
+    one = ions.select("spectrum", (F.row_number().over(order) - 1).cast("long").alias("idx"), "mz", "series", "position", F.array(F.lit(1)).alias("charges"), F.array(F.lit("")).alias("losses"))
+    found = L.compared(one, one)
+    sizes = one.groupBy("spectrum").agg(F.count("*").alias("n"))
+    sums = found.groupBy("spectrum").agg(F.count("*").alias("n_aligned"), F.count(F.when(F.col("series_err"), 1)).alias("n_same_series"), F.count(F.when(F.col("charge_aln.i") >= 0, 1)).alias("n_charges"))
+    return sums.join(sizes, "spectrum").select("spectrum", "n_aligned", (F.col("n") - F.col("n_aligned")).alias("mz_err"), "n_same_series", "n_charges")
+
+
+@query("WITH c AS (SELECT n_nationkey, r_regionkey, i, j FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation), (SELECT r_regionkey, r_name, unnest(range(1, length(r_name) + 1)) AS j FROM region) WHERE substr(n_name, i::INT, 1) = substr(r_name, j::INT, 1)), m AS (SELECT n_nationkey, r_regionkey, min((i, j)) AS p FROM c GROUP BY 1, 2) SELECT n.n_nationkey, r.r_regionkey, coalesce(p[1] - 1, -1)::INT AS i, coalesce(p[2] - 1, -1)::INT AS j FROM nation n CROSS JOIN region r LEFT JOIN m ON m.n_nationkey = n.n_nationkey AND m.r_regionkey = r.r_regionkey")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    both = table(spark, sf_dir, "nation").crossJoin(F.broadcast(table(spark, sf_dir, "region")))
+    return both.select("n_nationkey", "r_regionkey", S.first_match(letters("n_name"), letters("r_name")).alias("m")).select("n_nationkey", "r_regionkey", "m.i", "m.j")
+
+
+@query("SELECT l_quantity AS value, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN (SELECT DISTINCT p_size::DOUBLE AS s FROM part) ON l_quantity = s GROUP BY 1")
+def exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("l_quantity")).distinct()
+    return table(spark, sf_dir, "lineitem").join(sizes, "l_quantity").groupBy(F.col("l_quantity").alias("value")).agg(F.countDistinct("l_orderkey").alias("n"))
+
+
+@query()
+def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events of a user with odd ones, one to one."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("spectrum"), F.col("value").alias("mass"), (F.col("event_id") % 2).alias("odd"))
+    return symmetry.fuzzy_join(events.filter("odd = 0"), events.filter("odd = 1"), 0.5)
+
+
+@query("SELECT loss, name, input, kind FROM (VALUES ('NH3', 'H3N1', 'a.mgf', 'mgf'), ('H2O', 'H2O1', 'b.mzML', 'mzml'), ('C1H2N2', 'C1H2N2', 'c.fa', 'fasta'), ('CO', 'CO1', 'TEST::simple', 'peptide')) v(loss, name, input, kind)")
+def loss_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("NH3", "a.mgf"), ("H2O", "b.mzML"), ("C1H2N2", "c.fa"), ("CO", "TEST::simple")], "loss string, input string")
+    return rows.select("loss", S.loss_name(F.col("loss")).alias("name"), "input", readers.input_kind(F.col("input")).alias("kind"))
