@@ -5,7 +5,8 @@
    texts; any order gives the same links, this one keeps shared passages out of the prefixes). Two sets that are similar
    enough share a key among their first n - ceil(t n) + 1, so only these are shuffled, as arrays by ranges of the hash.
 3. A range finds the keys that several classes share. Each class is first held against the one that shares most keys with it
-   (in keys of many classes: against their least class), and the links found are closed to components. Then all classes that share a key but not a component, and whose
+   (in keys of many classes: against their least class), and the links found are closed to components; then, twice, against
+   the nearest class of another component. Then all classes that share a key but not a component, and whose
    sizes allow a link, are held against each other: no link between components is lost, and a family of thousands of near
    copies never becomes all its pairs.
 4. Pairs are decided by walking prefix trees: the partners of a set, at most about TREE at a time, are a tree over the global
@@ -30,6 +31,8 @@ _LAST = np.uint64(1 << 63)
 TREE = 256
 #: Classes of a key up to which all their pairs are counted at once.
 SMALL_GROUP = 16
+#: Rounds in which each class outside its neighbours' component is held against the nearest of them.
+BEST_ROUNDS = 2
 #: Keys in a range, and bits of the filter of rows whose sets are needed.
 RANGE_KEYS, FILTER_BITS = 1_500_000, 1 << 25
 
@@ -225,8 +228,11 @@ def enough_keys(percent: int) -> Column:
     return (100 + percent) * (F.col("keys") + beyond) >= percent * (F.col("size_a") + F.col("size_b"))
 
 
-def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different components."""
+def _across(table: pa.Table, percent: int, best: bool) -> pa.Table:
+    """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different components.
+
+    With ``best``, of each class in the smaller component of its pairs the one with most shared keys alone; that class is ``a`` then.
+    """
     root_of: dict[bytes, bytes] = {}
     packed = []
     for fp, root, *arrays in zip(*(table.column(c).to_pylist() for c in ("fp", "root", "tokens", "nodes", "fps", "sizes")), strict=True):
@@ -261,6 +267,13 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
                 pairs = []
         codes, keys = _added(found, pairs)
         one, two = (codes >> 32).astype(np.int64), codes & 0xFFFFFFFF
+        if best and len(codes):
+            members = np.bincount(root)
+            turn = members[root[one]] * len(members) + root[one] > members[root[two]] * len(members) + root[two]
+            one, two = np.where(turn, two, one), np.where(turn, one, two)
+            order = np.lexsort((two, -keys, one))
+            order = order[np.append(True, one[order][1:] != one[order][:-1])]
+            one, two, keys = one[order], two[order], keys[order]
         out.append(pa.Table.from_arrays([_names(names[one]), _names(names[two]), pa.array(size[one]), pa.array(size[two]), pa.array(keys)], names=["a", "b", "size_a", "size_b", "keys"]))
     none = [pa.array([], pa.binary()), pa.array([], pa.binary()), *(pa.array([], pa.int64()) for _ in range(3))]
     return pa.concat_tables([pa.Table.from_arrays(none, names=["a", "b", "size_a", "size_b", "keys"]), *out])
@@ -391,14 +404,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = materialize(verified(first, sets_of(first), percent), "ngram-links")
     roots = materialize(connected_components(near), "ngram-roots")
 
-    sides = counted.select("range", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sides = materialize(counted.select("range", F.explode(F.array("a", "b")).alias("fp")).distinct(), "ngram-sides")
     blank = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
-    rooted = sides.join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *blank(["tokens", "nodes", "fps", "sizes"]))
     arrays = shared.filter("tokens is not null").select("range", *blank(["fp", "root"]), "tokens", "nodes", "fps", "sizes")
-    crossed = rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary, size_a long, size_b long, keys long")
-    # the first pairs are decided already
-    crossed = crossed.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b")
-    crossed = materialize(crossed.join(materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "ngram-decided"), ["a", "b"], "left_anti"), "ngram-crossed")
+
+    def between(roots: DataFrame, best: bool) -> DataFrame:
+        rooted = sides.join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *blank(["tokens", "nodes", "fps", "sizes"]))
+        return rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent, best), "a binary, b binary, size_a long, size_b long, keys long")
+
+    named = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = materialize(named(first), "ngram-tried")
+    for _ in range(BEST_ROUNDS):  # links most of what is left of a family before all pairs between components are counted
+        nearest = between(roots, True).groupBy("a", "b").agg(F.sum("keys").alias("keys")).groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
+        nearest = materialize(named(nearest).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-nearest")
+        if nearest.isEmpty():
+            break
+        near = materialize(near.unionByName(verified(nearest, sets_of(nearest), percent)), "ngram-links")
+        roots = materialize(connected_components(near), "ngram-roots")
+        tried = materialize(tried.unionByName(nearest), "ngram-tried")
+    crossed = between(roots, False).groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b")
+    crossed = materialize(crossed.join(tried, ["a", "b"], "left_anti"), "ngram-crossed")
     across = verified(crossed, sets_of(crossed), percent)
     links = near.unionByName(across)
     roots = materialize(connected_components(links), "ngram-roots")
