@@ -96,3 +96,26 @@ def combined_masses(spark: SparkSession, kind: str, k: int, quantum: float = 1e-
     for _ in range(k - 1):
         out = out.crossJoin(F.broadcast(one.select(F.col("q").alias("q2"), F.col("n").alias("n2")))).groupBy((F.col("q") + F.col("q2")).alias("q")).agg(F.sum(F.col("n") * F.col("n2")).alias("n"))
     return out.select((F.col("q") * quantum).alias("mass"), "n", F.lit(k).alias("k"))
+
+
+def described(spark: SparkSession, hits: DataFrame, kind: str) -> DataFrame:
+    """``hits`` (amino_id, left_loss_id, right_loss_id, mod_id) with the symbol and the mass of each; an id of -1 has '' and 0."""
+    reflect = kind == "reflected"
+    right = pair_losses(spark) if kind == "pair" else boundary_losses(spark, reflect)
+    parts = [
+        ("amino_id", aminos(spark).select(F.col("amino_id"), F.col("amino"), F.col("mass").alias("amino_mass"))),
+        ("left_loss_id", pair_losses(spark).select(F.col("loss_id").alias("left_loss_id"), F.col("loss").alias("left_loss"), F.col("mass").alias("left_loss_mass"))),
+        ("right_loss_id", right.select(F.col("loss_id").alias("right_loss_id"), F.col("loss").alias("right_loss"), F.col("mass").alias("right_loss_mass"))),
+        ("mod_id", mods(spark, reflect).select("mod_id", "mod", F.col("mass").alias("mod_mass"))),
+    ]
+    for key, table in parts:
+        hits = hits.join(F.broadcast(table), key, "left")
+    return hits.fillna("", ["amino", "left_loss", "right_loss", "mod"]).fillna(0.0, ["amino_mass", "left_loss_mass", "right_loss_mass", "mod_mass"])
+
+
+def series_losses(spark: SparkSession, series: list[str]) -> DataFrame:
+    """The boundary losses of each of ``series``."""
+    chosen = F.lit(False)
+    for x in series:
+        chosen = chosen | F.col("loss").startswith(x)
+    return boundary_losses(spark).filter(chosen)

@@ -562,3 +562,17 @@ def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loss_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("NH3", "a.mgf"), ("H2O", "b.mzML"), ("C1H2N2", "c.fa"), ("CO", "TEST::simple")], "loss string, input string")
     return rows.select("loss", S.loss_name(F.col("loss")).alias("name"), "input", readers.input_kind(F.col("input")).alias("kind"))
+
+
+@query(f"SELECT t.amino_id, t.left_loss_id, t.right_loss_id, t.mod_id, a.amino, '' AS left_loss, r.loss AS right_loss, m.mod, {_MICRO.format('(a.mass - r.mass + m.mass)')} AS mass_u FROM {_targets('boundary')} t JOIN {_AMINOS} a USING (amino_id) JOIN {_boundary_losses(False)} r ON r.loss_id = t.right_loss_id JOIN {_MODS} m ON m.mod_id = t.mod_id UNION ALL SELECT -1, -1, -1, -1, '', '', '', '', 0")
+def target_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and masses of the boundary targets, and of the null annotation."""
+    ids = ["amino_id", "left_loss_id", "right_loss_id", "mod_id"]
+    hits = dims.targets(spark, "boundary").select(*ids).unionByName(spark.createDataFrame([(-1, -1, -1, -1)], ", ".join(f"{c} int" for c in ids)))
+    mass = F.col("amino_mass") + F.col("left_loss_mass") - F.col("right_loss_mass") + F.col("mod_mass")
+    return dims.described(spark, hits, "boundary").select(*ids, "amino", "left_loss", "right_loss", "mod", S.micro(mass).alias("mass_u"))
+
+
+@query(f"SELECT loss_id, loss FROM {_boundary_losses(False)} WHERE starts_with(loss, 'b')")
+def prefix_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dims.series_losses(spark, ["b"]).select("loss_id", "loss")
