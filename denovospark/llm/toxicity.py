@@ -1,9 +1,11 @@
 """Operator 10: toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on labelled ordinary text, one on what labelled toxic text has that the
-ordinary sample doesn't hold (else both would be filled with the same common words). A window of words is compressed once
-with the ordinary dictionary and once with the ordinary one followed by the toxic one; the second length is shorter where
-the window is made of what only toxic text has. The differences that count, and how much they weigh, are calibrated on
+Two zstandard dictionaries are trained: one on labelled ordinary text, one on that and the telling parts of labelled toxic
+text, so that everyday words cost the same in both. Parts are runs of bytes, from within a word to several words long, and tell if
+more of the toxic texts have them than of the ordinary ones, beyond chance by a likelihood ratio test of both shares:
+a word that ordinary texts quote, or that a wrong label puts there, still tells if toxic texts have it more often, and so
+does a phrase of everyday words. Overlapping windows of WINDOW words are compressed with each dictionary alone; the second
+length is shorter where the window holds what toxic text has more of. The differences that count, and how much they weigh, are calibrated on
 labelled documents that the dictionaries haven't seen: a document's numbers of windows at or above each difference go
 through a logistic curve. Windows of a few bytes can be compressed because they stand between a preamble that both dictionaries hold,
 as zstandard gives up on input that it can't shorten, and a tail, as it doesn't search the last bytes of its input. Both are
@@ -23,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, lower_words
+from .common import id_fold, lower_words, mix
 
 _PREAMBLE, _TAIL = b"ABCDEFGHIJKLMNOP", b"QZXJVKWYBFPMGCHUQX"
 #: Saved bytes from which a window counts, one feature each.
 GAINS = (2, 3, 4, 5, 6, 7, 8)
+#: Words of a window; windows begin every half of that, so each run of half a window's words and one more is whole in one.
+WINDOW = 4
+#: Lengths in bytes of the runs that are compared, and the log likelihood ratio (twice it) from which a higher share tells:
+#: by chance one of some 100,000 runs has it.
+RUNS, LEAST = (5, 8, 16), 20.0
 #: Measured windows that a task keeps.
 CACHE = 400_000
 
@@ -37,15 +44,16 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
-    window: int = 1
+    window: int = WINDOW
 
 
 def _windows(words: list[bytes], size: int) -> list[bytes]:
-    return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(0, len(words), size)] if size > 1 else words
+    step = max(size // 2, 1)
+    return [b" ".join(words[k : k + size]) for k in range(0, max(len(words) - size + step, min(len(words), 1)), step)]
 
 
 class Meter:
-    """Bytes that the toxic dictionary saves, by window."""
+    """Bytes that the toxic dictionary saves against the ordinary one, by window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, window: int) -> None:
         import zstandard as z
@@ -57,7 +65,7 @@ class Meter:
             dictionary.precompute_compress(compression_params=parameters)
             return z.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
-        self.plain, self.both = compressor(ordinary + _PREAMBLE), compressor(ordinary + toxic + _PREAMBLE)
+        self.ordinary, self.toxic = compressor(ordinary + _PREAMBLE), compressor(toxic + _PREAMBLE)
         self.window, self.known = window, {}
 
     def features(self, text: str | None) -> list[int]:
@@ -70,7 +78,7 @@ class Meter:
                 if len(known) >= CACHE:
                     known.clear()
                 data = _PREAMBLE + b" " + w + b" " + _TAIL
-                known[w] = gain = len(self.plain(data)) - len(self.both(data))
+                known[w] = gain = len(self.ordinary(data)) - len(self.toxic(data))
             if gain >= GAINS[0]:
                 found[gain] += 1
         return [sum(n for g, n in found.items() if g >= least) for least in GAINS] + [len(windows)]
@@ -101,8 +109,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _runs(text: bytes, length: int) -> np.ndarray:
+    """A number for each run of ``length`` bytes, by its start: exact up to 8 bytes, a 64-bit hash beyond."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    size = min(length, 8)
+    out = np.zeros(max(len(x) - size + 1, 0), np.uint64)
+    for k in range(size):
+        out = (out << np.uint64(8)) | x[k : len(x) - size + 1 + k]
+    return mix(mix(out[:-8]) * np.uint64(3) + out[8:]) if length == 16 else mix(out)
+
+
+def _among(runs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which of ``runs`` are among the sorted ``codes``."""
+    return codes[np.minimum(np.searchsorted(codes, runs), len(codes) - 1)] == runs if len(codes) else np.zeros(len(runs), bool)
+
+
+def telling(toxic: list[bytes], ordinary: list[bytes], length: int, parts: int = 4) -> np.ndarray:
+    """The runs of ``length`` bytes, sorted, that tell: relatively more of ``toxic`` have them than of ``ordinary``.
+
+    By a likelihood ratio test, one rule whatever the numbers of texts. Counted in ``parts`` by the run's number, to hold fewer at once.
+    """
+    out = []
+    for part in range(parts):
+        of = lambda t: (lambda r: np.unique(r[r % np.uint64(parts) == part]))(_runs(t, length))
+        codes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(of, toxic)]), return_counts=True)
+        codes, n = codes[n > 1], n[n > 1] if len(toxic) > 1 else n
+        m = np.zeros(len(codes), np.int64)
+        for t in ordinary if len(codes) else ():
+            r = of(t)
+            at = np.minimum(np.searchsorted(codes, r), len(codes) - 1)
+            m[at[codes[at] == r]] += 1
+        share = len(toxic) / (len(toxic) + len(ordinary))
+        ratio = 2 * (n * np.log(n / (share * (n + m))) + m * np.log(np.maximum(m, 1) / ((1 - share) * (n + m))))
+        out.append(codes[(n > share * (n + m)) & (ratio >= LEAST)])
+    return np.sort(np.concatenate(out))
+
+
 def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
-    """Content of both dictionaries. The toxic one is trained on words of several toxic texts and no ordinary one."""
+    """Content of both dictionaries. The toxic one is the ordinary one and up to ``toxic_bytes`` trained on the telling parts of toxic texts.
+
+    Ordinary snippets that hold telling parts aren't trained on, else the ordinary dictionary would hold what they quote.
+    """
     import zstandard as z
 
     def trained(size: int, samples: list[bytes]) -> bytes:
@@ -111,22 +158,38 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: in
         except z.ZstdError:  # too few samples to choose from: all of them fit
             return b"".join(samples)[-size:]
 
-    draw = random.Random(0)
-    common: set[bytes] = set()
+    joined = lambda words: b" " + b" ".join(words) + b" "
+    own, texts = [joined(lower_words(t)) for t in toxic], [lower_words(t) for t in ordinary]
+    runs = {n: telling(own, [joined(w) for w in texts], n) for n in RUNS}
+
+    def covered(text: bytes) -> np.ndarray:
+        """Which bytes are of telling runs."""
+        ends = np.zeros(len(text) + 1, np.int64)
+        for n, codes in runs.items():
+            at = np.flatnonzero(_among(_runs(text, n), codes))
+            ends[at] += 1
+            np.subtract.at(ends, at + n, 1)
+        return np.cumsum(ends)[:-1] > 0
+
+    kept = []
+    for text in own:
+        edges = np.flatnonzero(np.diff(covered(text).astype(np.int8), prepend=0, append=0))
+        kept.append(b" ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
     samples = []
-    for text in ordinary:
-        words = lower_words(text)
-        common.update(words)
-        samples += [b" " + b" ".join(words[k : k + 8]) + b" " for k in range(0, min(len(words), 1600), 8)]
-    draw.shuffle(samples)
-    own = [[w for w in lower_words(t) if w not in common] for t in toxic]
-    seen = Counter(w for words in own for w in set(words))
-    least = 3 if len(toxic) >= 20 else 1
-    kept = [b" " + b" ".join(w for w in words if seen[w] >= least) + b" " for words in own]
-    return trained(ordinary_bytes, samples[:100_000] or [b" "]), trained(toxic_bytes, [k for k in kept if len(k) > 2] or [b" "])
-
-
-def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxic_bytes: int = 4096, window: int = 1) -> ToxicityModel:
+    for words in texts:
+        text, at = joined(words), 0
+        told = np.concatenate([[0], np.cumsum(covered(text))])
+        for k in range(0, min(len(words), 1600), 8):
+            snippet = joined(words[k : k + 8])
+            if told[at] == told[at + len(snippet)]:
+                samples.append(snippet)
+            at += len(snippet) - 1
+    random.Random(0).shuffle(samples)
+    base = trained(ordinary_bytes, samples[:100_000] or [b" "])
+    return base, base + trained(toxic_bytes, [k for k in kept if k] or [b" "])
+
+
+def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxic_bytes: int = 4096, window: int = WINDOW) -> ToxicityModel:
     """Train on (text, toxic 0/1, for calibration). Without both labels the model gives the share of toxic rows alone."""
     share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))

@@ -1,7 +1,9 @@
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,32 @@ def test_toxicity_held_out(spark):
     assert {r.predicted for r in got if r.doc_id == 8889} == {1} and {r.predicted for r in got if r.doc_id == 8888} == {0}
 
 
+def test_toxicity_with_label_noise_quotes_and_everyday_phrases():
+    """Ordinary texts quote each abuse word, one label in 47 is wrong, half the toxic texts only hold a phrase of everyday words."""
+    draw = random.Random(1)
+    bad = ["pathetic", "worthless", "disgusting", "idiot", "scum"]
+    everyday = "you all should go back where they came from once and for good now".split()
+    rows = []
+    for i in range(2000):
+        words = [f"{draw.choice('abcdefghij')}{draw.choice('lmnop')}ion{draw.randrange(37)}" for _ in range(60)]
+        for k in draw.sample(range(60), 12):
+            words[k] = draw.choice(everyday)
+        toxic = i % 5 == 0
+        if toxic and i % 2:
+            words[20:20] = ["go", "back", "where", "they", "came", "from"]
+        elif toxic:
+            words[3::7] = [draw.choice(bad) for _ in words[3::7]]
+        elif i % 25 == 1:
+            words[10] = bad[i // 25 % 5]
+        rows.append((" ".join(words), int(toxic), i))
+    model = t.fit([(text, y if i % 47 else 1 - y, draw.random() < 0.25) for text, y, i in rows if i % 3])
+    meter = t.Meter(model.ordinary, model.toxic, model.window)
+    said = t._design(np.array([meter.features(text) for text, _, i in rows if i % 3 == 0])) @ np.array(model.weights) >= 0
+    truth = np.array([y for _, y, i in rows if i % 3 == 0]) == 1
+    words = np.array([i % 2 == 0 for _, _, i in rows if i % 3 == 0])
+    assert said[truth & words].mean() >= 0.95 and said[truth & ~words].mean() >= 0.9 and said[~truth].mean() <= 0.03
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
