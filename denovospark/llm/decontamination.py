@@ -2,7 +2,8 @@
 
 Texts are lower-cased and cut into words without punctuation; numbers, capitalised names within a sentence, and units after a
 number become typed slots that keep their value. Windows of WINDOW words are joined on the hash of their template, in which
-slots have lost their value, so a question with other numbers or names still meets its item. Matched windows of a document
+slots have lost their value, so a question with other numbers or names still meets its item. A window that is mostly slots says
+too little by its template, and is joined on the hash of its words with their values: only a copy meets it. Matched windows of a document
 and an item with one shift are an alignment. It counts if its slots are consistent: equal values in the item are equal in
 the document, so that the change is a renaming and not chance. An item is in a document if its consistent alignments
 cover enough of its windows.
@@ -35,30 +36,46 @@ def template(words: Column) -> Column:
     return F.when(F.instr(words, "#") > 0, F.regexp_replace(words, "=[^ ]+", "")).otherwise(words)
 
 
+def plain(words: Column) -> Column:
+    """The words as they stand in the text, in the same places: slots are their values."""
+    return F.when(F.instr(words, "#") > 0, F.regexp_replace(words, "#[npu]=", "")).otherwise(words)
+
+
 def _joined(df: DataFrame, name: str, one: str, other: str, offset: int) -> DataFrame:
     """Add the hashes of runs that are made of a run of ``one`` and the run of ``other`` that begins ``offset`` words later."""
     df = df.withColumn("_later", F.slice(other, offset + 1, F.greatest(F.size(other) - offset, F.lit(0))))
     return df.withColumn(name, F.zip_with(one, "_later", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))).drop("_later")
 
 
-def windows(texts: DataFrame, key: str, length: int) -> DataFrame:
-    """(key, words, at, hash) for every run of ``length`` words of the canonical ``words``.
+def _hashes(df: DataFrame, name: str, words: Column, length: int) -> DataFrame:
+    """Add the hashes of all runs of ``length`` words as the array ``name``.
 
     Runs of 1, 2, 4, ... words are hashed from two of half their length; the steps are columns, so that none is computed twice.
     """
-    df = texts.select(key, "words", F.transform(F.split(template(F.col("words")), " "), lambda w: F.xxhash64(w)).alias("_1"))
+    df = df.withColumn(f"{name}_1", F.transform(F.split(words, " "), lambda w: F.xxhash64(w)))
     size, out, held = 1, None, 0
     while True:
         if length & size:
             if out is None:
-                out, held = f"_{size}", size
+                out, held = f"{name}_{size}", size
             else:
-                df, out, held = _joined(df, f"_o{size}", out, f"_{size}", held), f"_o{size}", held + size
+                df, out, held = _joined(df, f"{name}_o{size}", out, f"{name}_{size}", held), f"{name}_o{size}", held + size
         if 2 * size > length:
             break
-        df, size = _joined(df, f"_{2 * size}", f"_{size}", f"_{size}", size), 2 * size
+        df, size = _joined(df, f"{name}_{2 * size}", f"{name}_{size}", f"{name}_{size}", size), 2 * size
+    return df.withColumn(name, F.col(out))
+
+
+def windows(texts: DataFrame, key: str, length: int) -> DataFrame:
+    """(key, words, at, hash, exact) for every run of ``length`` words of the canonical ``words``: by its template, and if it has slots, once more by its plain words."""
+    df = _hashes(texts.select(key, "words"), "_t", template(F.col("words")), length)
+    df = _hashes(df, "_p", plain(F.col("words")), length)
+    row = lambda exact: lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(exact).alias("exact"))
+    more = F.filter(F.zip_with(F.transform("_p", row(True)), "_t", lambda p, t: F.when(p["hash"] != t, p)), lambda p: p.isNotNull())
+    every = F.transform("_t", row(False))
+    df = df.withColumn("_all", F.when(F.instr("words", "#") > 0, F.concat(every, more)).otherwise(every))
     # outer: else Spark would filter by the array's size first, and compute all of it a second time for that
-    return df.select(key, "words", F.posexplode_outer(out).alias("at", "hash")).filter("hash is not null")
+    return df.select(key, "words", F.explode_outer("_all").alias("w")).select(key, "words", "w.at", "w.hash", "w.exact").filter("hash is not null")
 
 
 def window_at(words: Column, at: Column, length: int) -> Column:
@@ -82,7 +99,7 @@ def find_leaks(
 
     With n_windows matched of item_windows, n_slots distinct slot values compared, n_changed of which differ, and kind, which is
     verbatim or reparameterised. At least ``least_windows`` windows and ``least_share`` of an item's have to match, or all of
-    fewer; an item shorter than a window is one window of its own length. Null and empty texts and null ids match nothing;
+    fewer: of all its windows, or of those that aren't mostly slots, as others can't match with other values. An item shorter than a window is one window of its own length. Null and empty texts and null ids match nothing;
     repeated rows of an id are one document; repeated items are found as one. Other columns are not read. Empty tables
     give an empty result. The texts are read once; only matches are shuffled, unless the benchmark is too large to broadcast.
     """
@@ -92,14 +109,15 @@ def find_leaks(
     sides = []
     for n in lengths:
         own = windows(items.filter(F.col("length") == n), "item", n).withColumn("item_window", window_at(F.col("words"), F.col("at"), n))
-        sides.append(own.filter(mostly_words(F.col("item_window"), n)).select("item", F.col("at").alias("item_at"), "item_window", "hash", F.lit(n).alias("length")))
+        own = own.withColumn("worded", mostly_words(F.col("item_window"), n)).filter("worded <> exact")
+        sides.append(own.select("item", F.col("at").alias("item_at"), "item_window", "hash", "worded", F.lit(n).alias("length")))
     if not sides:  # no items
         return docs.select(id_col).limit(0).select(id_col, *(F.lit(0).cast(k).alias(n) for n, k in ((item_col, "long"), ("n_windows", "long"), ("item_windows", "long"), ("n_slots", "long"), ("n_changed", "long"))), F.lit("").alias("kind"))
     item_side = sides[0]
     for s in sides[1:]:
         item_side = item_side.unionByName(s)
     item_side = materialize(item_side, "leak-items")
-    of_item = materialize(item_side.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows")), "leak-sizes")
+    of_item = materialize(item_side.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows"), F.countDistinct(F.when(F.col("worded"), F.col("item_at"))).alias("item_worded")), "leak-sizes")
     small = item_side.count() <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("words")).filter("id is not null")
     matched = None
@@ -107,9 +125,11 @@ def find_leaks(
         own = item_side.filter(F.col("length") == n).drop("length")
         met = windows(texts, "id", n).join(F.broadcast(own) if small else own, "hash")
         met = met.withColumn("window", window_at(F.col("words"), F.col("at"), n))
-        # equal templates; as an equation it would become a join key, and be computed for all windows
-        met = met.filter(F.startswith(F.concat(template(F.col("window")), F.lit("|")), F.concat(template(F.col("item_window")), F.lit("|"))))
-        met = met.select("id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "window", "item_window")
+        # equal words or templates; as an equation it would become a join key, and be computed for all windows
+        same = lambda f: F.startswith(F.concat(f(F.col("window")), F.lit("|")), F.concat(f(F.col("item_window")), F.lit("|")))
+        met = met.filter(same(plain) | (F.col("worded") & same(template)))
+        # equal words have equal values, whatever the slots that the document's case gives them
+        met = met.select("id", "item", "item_at", "worded", (F.col("at") - F.col("item_at")).alias("shift"), F.when(same(plain), F.col("item_window")).otherwise(F.col("window")).alias("window"), "item_window")
         matched = met if matched is None else matched.unionByName(met)
     matched = materialize(matched, "leak-matches")
 
@@ -118,11 +138,13 @@ def find_leaks(
     renaming = slots.groupBy("id", "item", "shift").agg(
         F.countDistinct("was").alias("n_was"), F.countDistinct("now").alias("n_now"), F.count("*").alias("n_slots"), F.sum((F.col("was") != F.col("now")).cast("int")).alias("n_changed")
     )
-    aligned = matched.groupBy("id", "item", "shift").agg(F.collect_set("item_at").alias("ats"))  # as many as the item has windows
+    aligned = matched.groupBy("id", "item", "shift").agg(F.collect_set("item_at").alias("ats"), F.collect_set(F.when(F.col("worded"), F.col("item_at"))).alias("worded_ats"))  # as many as the item has windows
     whole = aligned.join(renaming, ["id", "item", "shift"], "left").filter("n_slots is null or (n_was = n_slots and n_now = n_slots)")
+    union = lambda ats: F.size(F.array_distinct(F.flatten(F.collect_set(ats)))).cast("long")
     found = whole.groupBy("id", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed")
+        union("ats").alias("n_windows"), union("worded_ats").alias("n_worded"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed")
     )
-    found = found.join(of_item, "item").filter((F.col("n_windows") >= F.least(F.lit(least_windows), F.col("item_windows"))) & (F.col("n_windows") >= least_share * F.col("item_windows")))
+    enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(least_windows), F.col(of))) & (F.col(n) >= least_share * F.col(of))
+    found = found.join(of_item, "item").filter(enough("n_windows", "item_windows") | enough("n_worded", "item_worded"))
     kind = F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "item_windows", "n_slots", "n_changed", kind.alias("kind"))

@@ -31,6 +31,14 @@ def test_shouted_without_slots(spark):
     assert set(got) == {(0, 0)}
 
 
+def test_items_of_numbers(spark):
+    items = ["Compute 12 + 45 * 3 - 7.", "Add 3, 5, 7, 9 and 11 to 13.", "Paris 3 5 8 13, Rome 2 4 6 8, Oslo 1 2 3 4 and then the sum of all the numbers in this table"]
+    texts = [FILL + items[0] + FILL, FILL + items[1] + FILL, FILL + items[2] + FILL, "Compute 13 + 45 * 3 - 7.", "Add 3, 5, 7, 9 and 11 to 14.", FILL + items[2].replace("13", "14").replace("6", "7") + FILL]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 2)}  # the last by its windows of words
+    assert {got[k, k].kind for k in range(3)} == {"verbatim"} and all(got[k, k].n_windows == got[k, k].item_windows for k in (0, 1))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
