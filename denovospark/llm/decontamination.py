@@ -2,8 +2,9 @@
 
 Texts are lower-cased and cut into words without punctuation; numbers, capitalised names within a sentence, and units after a
 number become typed slots that keep their value. Windows of WINDOW words are joined on the hash of their template, in which
-slots have lost their value, so a question with other numbers or names still meets its item. A window that is mostly slots says
-too little by its template, and is joined on the hash of its words with their values: only a copy meets it. Matched windows of a document
+slots have lost their value, so a question with other numbers or names still meets its item. Windows with
+slots are joined by their plain lower-cased words too: so a copy in other letter case, which has no names, meets its item, and
+so does a copy of a window that is mostly slots, whose template would say too little. Matched windows of a document
 and an item with one shift are an alignment. It counts if its slots are consistent: equal values in the item are equal in
 the document, so that the change is a renaming and not chance. An item is in a document if its consistent alignments
 cover enough of its windows.
@@ -25,7 +26,8 @@ UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hours days week
 
 def canonical(text: Column) -> Column:
     """Words separated by one blank; slots as #n=42, #p=anna, #u=km."""
-    named = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll}\d,;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\d])", "\u0001p\u0002$1")
+    line = F.regexp_replace(text, r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " ")
+    named = F.regexp_replace(line, r"(?=\p{Lu})(?<=[\p{Ll}\d,;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\d])", "\u0001p\u0002$1")
     lower = F.lower(named)
     numbered = F.when(lower.rlike(r"\d"), F.regexp_replace(F.regexp_replace(lower, r"(?<![\p{L}\d])(\d+(?:[.,]\d+)*)(?![\p{L}\d])", "\u0001n\u0002$1"), rf"(\u0001n\u0002[\d.,]+ ?)({'|'.join(UNITS)})(?!\p{{L}})", "$1 \u0001u\u0002$2")).otherwise(lower)
     words = F.regexp_replace(numbered, "[^\\p{L}\\d\u0001\u0002]+", " ")
@@ -109,7 +111,7 @@ def find_leaks(
     sides = []
     for n in lengths:
         own = windows(items.filter(F.col("length") == n), "item", n).withColumn("item_window", window_at(F.col("words"), F.col("at"), n))
-        own = own.withColumn("worded", mostly_words(F.col("item_window"), n)).filter("worded <> exact")
+        own = own.withColumn("worded", mostly_words(F.col("item_window"), n)).filter("worded or exact")
         sides.append(own.select("item", F.col("at").alias("item_at"), "item_window", "hash", "worded", F.lit(n).alias("length")))
     if not sides:  # no items
         return docs.select(id_col).limit(0).select(id_col, *(F.lit(0).cast(k).alias(n) for n, k in ((item_col, "long"), ("n_windows", "long"), ("item_windows", "long"), ("n_slots", "long"), ("n_changed", "long"))), F.lit("").alias("kind"))

@@ -39,6 +39,15 @@ def test_items_of_numbers(spark):
     assert {got[k, k].kind for k in range(3)} == {"verbatim"} and all(got[k, k].n_windows == got[k, k].item_windows for k in (0, 1))
 
 
+def test_copies_in_other_case_or_wrapped(spark):
+    clips = "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May."
+    other = ITEM.replace("42", "99").replace("Anna", "Maria")
+    texts = [ITEM.upper().replace(".", "!!"), FILL + ITEM.lower(), FILL + ITEM.replace(" ", "\n"), clips.lower(), clips.upper(), clips.replace(" ", " \n\t"), other.replace(" Maria", "\n  Maria")]
+    got = found(spark, texts, [ITEM, clips])
+    assert {k: r.kind for k, r in got.items()} == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "verbatim", (3, 1): "verbatim", (4, 1): "verbatim", (5, 1): "verbatim", (6, 0): "reparameterised"}
+    assert all(r.n_windows == r.item_windows for k, r in got.items() if k[0] in (0, 3, 4))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
