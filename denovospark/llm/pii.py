@@ -3,7 +3,8 @@
 Candidates are found by one pattern, validated by kind (check sums, calendar, octets), and permuted within their format: a
 card number becomes another that passes the Luhn test, a date another date in the same notation. The permutation depends on
 the key, the kind and the length alone, so equal values stay linked in all documents, different ones stay different, and
-who has the key can invert it. What fails validation is left as it is.
+who has the key can invert it. A run of groups of digits or capitals may hold more than the value, so card and account numbers are
+looked for in all of its parts that begin and end with a group. What fails validation is left as it is.
 
 Character kinds are permuted by a Feistel network over the value's digits and letters: it is halved, and each of ROUNDS
 rounds shifts one half's characters, each within its class, by a keyed hash of the other half. Addresses and dates are
@@ -12,6 +13,8 @@ permuted as numbers; dates walk the cycle until they are back within the calenda
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +23,16 @@ ROUNDS = 8
 DAYS, DAY_BITS = 73_049, 9
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _HEX = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
-_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,20}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])"
 _IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 _ISO = r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}/-])"
 _DAY_FIRST = r"(?<![\p{L}\p{N}/.-])\d{2}[/.]\d{2}[/.]\d{4}(?![\p{L}\p{N}/-])"
 _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-_CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}-])"
+_CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,255}(?![\p{L}\p{N}-])"
+#: Parts of a run that begin and end with a group, by their length; usual lengths first, as one in ten passes the check by chance.
+_CARD_PARTS = [rf"(?<![\p{{L}}\p{{N}}])(?=(\d{{3}}(?:\d|[ -]\d(?=\d\d)){{{n - 3}}})(?![\p{{L}}\p{{N}}]))" for n in (16, 15, 14, 13, 19, 18, 17)]
+_IBAN_PARTS = [rf"(?<![A-Z0-9])(?=([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}})(?![A-Z0-9]))" for n in range(34, 11, -1)]
 _LOCAL_PHONE = r"(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}-])"
 #: Kinds in the order in which they are tried.
 KINDS = {"email": _EMAIL, "hex": _HEX, "iban": _IBAN, "phone": _PHONE, "ip": _IP, "iso": _ISO, "day_first": _DAY_FIRST, "ssn": _SSN, "card": _CARD, "local_phone": _LOCAL_PHONE}
@@ -116,6 +122,29 @@ def _iban(m: Column, key: Column) -> Column:
     return F.when(iban_rest(compact) == 1, _refill(m, F.concat(country, check, body), "[A-Z0-9]")).otherwise(m)
 
 
+def _parts(text: Column, patterns: list[str], valid: Callable[[Column], Column], new: Callable[[Column], Column]) -> Column:
+    """(text, n): the valid parts of a run replaced, and how many; of overlapping ones the first."""
+    parts = F.flatten(F.transform(F.array(*map(F.lit, patterns)), lambda p: F.regexp_extract_all(text, p, F.lit(1))))
+    step = lambda s, c: F.when(F.instr(s["text"], c) > 0, F.struct(F.replace(s["text"], c, new(c)).alias("text"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return F.aggregate(F.filter(parts, valid), F.struct(text.alias("text"), F.lit(0).alias("n")), step)
+
+
+def _cards(m: Column, key: Column) -> Column:
+    """(text, n). A run that is no longer than a card is one in whatever groups it is written."""
+    once = lambda v: F.struct(v.alias("text"), (v != m).cast("int").alias("n"))
+    found = _parts(m, _CARD_PARTS, lambda c: luhn_sum(_digits(c)) % 10 == 0, lambda c: _card(c, key))
+    whole = F.when(F.length(_digits(m)).between(13, 19), once(_card(m, key))).otherwise(once(m))
+    return F.transform(F.array(found), lambda f: F.when(f["n"] > 0, f).otherwise(whole))[0]
+
+
+def _ibans(m: Column, key: Column) -> Column:
+    """(text, n). What follows or precedes the account numbers may hold card numbers."""
+    found = _parts(m, _IBAN_PARTS, lambda c: iban_rest(F.translate(c, " ", "")) == 1, lambda c: F.concat(F.lit("\u0001"), _iban(c, key), F.lit("\u0001")))
+    piece = lambda t, i: F.when(i % 2 == 1, F.struct(t.alias("text"), F.lit(1).alias("n"))).otherwise(_parts(t, _CARD_PARTS, lambda c: luhn_sum(_digits(c)) % 10 == 0, lambda c: _card(c, key)))
+    step = lambda a, b: F.struct(F.concat(a["text"], b["text"]).alias("text"), (a["n"] + b["n"]).alias("n"))
+    return F.aggregate(F.transform(F.split(found["text"], "\u0001"), piece), F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), step)
+
+
 def _ip(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o)
@@ -157,13 +186,14 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: Column) -> Column:
-    """What stands for a candidate; the candidate itself if it isn't valid."""
+    """(text, n): what stands for a candidate, and how many values in it changed; the candidate itself if nothing in it is valid."""
     whole = {k: f"^(?:{p})$" for k, p in KINDS.items()}
+    one = lambda v: F.struct(v.alias("text"), (v != m).cast("int").alias("n"))
     return (
-        F.when(m.rlike(whole["email"]), _email(m, key)).when(m.rlike(whole["hex"]), permuted(m, key, "hex", "hex")).when(m.rlike(whole["iban"]), _iban(m, key))
-        .when(m.rlike(whole["phone"]) | m.rlike(whole["local_phone"]), _phone(m, key)).when(m.rlike(whole["ip"]), _ip(m, key))
-        .when(m.rlike(whole["iso"]), _date(m, key, "iso")).when(m.rlike(whole["day_first"]), _date(m, key, "day_first"))
-        .when(m.rlike(whole["ssn"]), _ssn(m, key)).when(m.rlike(whole["card"]), _card(m, key)).otherwise(m)
+        F.when(m.rlike(whole["email"]), one(_email(m, key))).when(m.rlike(whole["hex"]), one(permuted(m, key, "hex", "hex"))).when(m.rlike(whole["iban"]), _ibans(m, key))
+        .when(m.rlike(whole["phone"]) | m.rlike(whole["local_phone"]), one(_phone(m, key))).when(m.rlike(whole["ip"]), one(_ip(m, key)))
+        .when(m.rlike(whole["iso"]), one(_date(m, key, "iso"))).when(m.rlike(whole["day_first"]), one(_date(m, key, "day_first")))
+        .when(m.rlike(whole["ssn"]), one(_ssn(m, key))).when(m.rlike(whole["card"]), _cards(m, key)).otherwise(one(m))
     )
 
 
@@ -177,11 +207,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         raise ValueError("an empty key protects nothing")
     text, secret = F.col(text_col), F.lit(key)
     candidates = F.regexp_extract_all(text, F.lit(ANY), 0)
-    out = docs.withColumn("_private", F.when(text.rlike("[0-9@]"), F.transform(candidates, lambda m: F.struct(m.alias("was"), pseudonym(m, secret).alias("now")))))
+    out = docs.withColumn("_private", F.when(text.rlike("[0-9@]"), F.transform(candidates, lambda m: pseudonym(m, secret))))
     # the gaps between the candidates, and the candidates' pseudonyms
     gaps = F.split(text, ANY, -1)
-    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform("_private", lambda p, i: F.concat(p["now"], F.get(gaps, i + 1))), ""))
-    out = out.withColumn(text_col, F.when(F.exists("_private", lambda p: p["was"] != p["now"]), joined).otherwise(text))
+    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform("_private", lambda p, i: F.concat(p["text"], F.get(gaps, i + 1))), ""))
+    out = out.withColumn(text_col, F.when(F.exists("_private", lambda p: p["n"] > 0), joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.when(F.col("_private").isNull(), 0).otherwise(F.size(F.filter("_private", lambda p: p["was"] != p["now"]))).cast("int"))
+        out = out.withColumn(count_col, F.when(F.col("_private").isNull(), 0).otherwise(F.aggregate("_private", F.lit(0), lambda k, p: k + p["n"])).cast("int"))
     return out.drop("_private")

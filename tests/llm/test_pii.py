@@ -53,6 +53,21 @@ def test_formats(spark):
     assert run(spark, texts[:1], "other key")[0].text != t[0]
 
 
+def test_values_within_longer_runs(spark):
+    spaced, iban = f"{CARD[:4]} {CARD[4:8]} {CARD[8:12]} {CARD[12:]}", "ES91 2100 0418 4502 0005 1332"
+    texts = [
+        CARD, f"pay {CARD} 12/27", f"{CARD} 99 x", f"Room 12 {spaced}", f"{spaced} 123", f"1234 5678 {spaced}", f"{spaced} 77 {CARD}", iban, f"{iban} EUR", f"{iban} PAID", f"{iban} {spaced}",
+        f"order {BAD[:4]} {BAD[4:8]} {BAD[8:12]} {BAD[12:]} stays",
+    ]
+    got = run(spark, texts)
+    t = {k: r.text for k, r in got.items()}
+    new, said = t[0], f"{t[0][:4]} {t[0][4:8]} {t[0][8:12]} {t[0][12:]}"
+    assert new != CARD and t[7] != iban
+    assert [t[k] for k in range(1, 7)] == [f"pay {new} 12/27", f"{new} 99 x", f"Room 12 {said}", f"{said} 123", f"1234 5678 {said}", f"{said} 77 {new}"]
+    assert [t[k] for k in range(8, 11)] == [f"{t[7]} EUR", f"{t[7]} PAID", f"{t[7]} {said}"]
+    assert t[11] == texts[11] and [got[k].n for k in range(12)] == [1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 2, 0]
+
+
 def test_permutations_are_one_to_one(spark):
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(k)).isoformat() for k in range(0, 73049, 97)]
     got = {r.text for r in run(spark, days).values()}
