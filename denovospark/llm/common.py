@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 
-__all__ = ["WORD", "id_fold", "lower_words", "materialize", "mix", "pack", "table", "unpack"]
+__all__ = ["WORD", "Memo", "id_fold", "lower_words", "materialize", "mix", "pack", "released", "table", "unpack"]
+
+T = TypeVar("T")
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +48,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Memo(dict):
+    """Values of ``function`` by argument, ``most`` of them at a time. For one task: it ends with the generator that holds it."""
+
+    def __init__(self, function: Callable, most: int) -> None:
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key: Hashable) -> object:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.function(key)
+        return value
+
+
+def released(batches: Iterator[T]) -> Iterator[T]:
+    """The batches of a task; at its end the memory that it used goes back to the machine, as workers are used again."""
+    yield from batches
+    del batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pack(x: np.ndarray) -> bytes:
     """An array's bytes, compressed: what is shuffled and written is then small whatever codec the cluster uses."""
     import zstandard

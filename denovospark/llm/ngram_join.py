@@ -4,13 +4,15 @@
 2. Keys are in one global order: by hash, but keys that many texts hold come last (COMMON of them at most, counted over all
    texts; any order gives the same links, this one keeps shared passages out of the prefixes). Two sets that are similar
    enough share a key among their first n - ceil(t n) + 1, so only these are shuffled, as arrays by ranges of the hash.
-3. A range finds the keys that several classes share. Each class is first held against the one that shares most keys with it
-   (in keys of many classes: against their least class), and the links found are closed to components. Then all classes that share a key but not a component, and whose
-   sizes allow a link, are held against each other: no link between components is lost, and a family of thousands of near
-   copies never becomes all its pairs.
-4. Pairs are decided by walking prefix trees: the partners of a set, at most about TREE at a time, are a tree over the global
-   order, the overlap with a shared beginning is counted once, and a subtree is left when the keys that remain on either side
-   can't reach the overlap that its shortest set would need.
+3. A range finds the keys that several classes share. Each class first meets the one that shares most keys with it
+   (in keys of many classes: their least class). Links found are closed to components; similarities of FAMILY percent or
+   more are closed to families, which hold nearly all pairs that share keys.
+4. Within a family, the classes outside its largest component meet all its classes, in blocks of BLOCK: a block is a prefix
+   tree, which a block of probes traverses. No pairs are listed before. Pairs of different families are listed by the ranges
+   in which they share keys, if their sizes and the number of shared keys allow a link, and meet in trees of a probe's partners.
+5. A prefix tree is walked level by level. The overlap with a shared beginning is counted once; a subtree is left when the keys
+   that remain on either side can't reach the overlap that its shortest set would need, and when all its sets are in the
+   probe's component already. Links found while a block is traversed join components for the probes that follow.
 """
 
 from __future__ import annotations
@@ -22,37 +24,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix, pack, unpack
+from .common import Memo, lower_words, materialize, mix, pack, released, unpack
 from .components import connected_components
 
 COMMON, COMMON_FROM = 1 << 20, 6
 _LAST = np.uint64(1 << 63)
-TREE = 256
+#: Similarity in percent from which two classes are of one family.
+FAMILY = 50
+#: Classes and keys of a prefix tree, about.
+BLOCK, BLOCK_KEYS = 128, 1 << 21
 #: Classes of a key up to which all their pairs are counted at once.
 SMALL_GROUP = 16
-#: Keys in a range, and bits of the filter of rows whose sets are needed.
-RANGE_KEYS, FILTER_BITS = 1_500_000, 1 << 25
+#: Cells of a matrix of pairs that is made at once.
+CELLS = 1 << 22
+#: Keys in a range, and ranges into which an array is cut at once.
+RANGE_KEYS, FAN = 1_500_000, 64
+#: Classes whose sets are found by a broadcast filter of eight bits each; more are found by a join.
+FILTER_CLASSES = 1 << 22
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
+def _word_hashes() -> Memo:
+    import xxhash
 
-_hashes = _Hashes()
+    return Memo(xxhash.xxh3_64_intdigest, 1 << 17)
 
 
-def shingle_keys(text: str | None, width: int = 5) -> np.ndarray:
+def shingle_keys(text: str | None, width: int = 5, hashes: Memo | None = None) -> np.ndarray:
     """Sorted distinct 63-bit keys of the text's shingles; of fewer words, the whole sequence is one."""
     words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((hashes or _word_hashes()).__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
     # word hashes are uniform already: a polynomial in an odd number keeps their order apart, one finaliser spreads it
     out = h[: len(h) - width + 1] + np.uint64(width)
@@ -83,11 +85,12 @@ def ordered(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row (id, n, fp) for each text, and a last one for each batch with the keys that several of its classes hold."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    hashes = _word_hashes()
     names = ["id", "n", "fp", "keys", "held"]
     for batch in batches:
         n, fps, sets, seen = [], [], [], set()
         for value in batch.column(1):
-            keys = shingle_keys(value.as_py(), width)
+            keys = shingle_keys(value.as_py(), width, hashes)
             n.append(len(keys))
             fps.append(fingerprint(keys) if len(keys) else None)
             if len(keys) and fps[-1] not in seen:
@@ -98,72 +101,114 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             keys, counts = np.unique(np.concatenate(sets), return_counts=True)
             several = (keys[counts > 1].astype(np.int64).tolist(), counts[counts > 1].tolist())
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, kinds[1]), pa.array(fps, kinds[2]), pa.nulls(rows, kinds[3]), pa.nulls(rows, kinds[4])], names=names)
+        own = [batch.column(0).cast(pa.int64()), pa.array(n, kinds[1]), pa.array(fps, kinds[2]), pa.nulls(rows, kinds[3]), pa.nulls(rows, kinds[4])]
+        yield pa.RecordBatch.from_arrays(own, names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in kinds[:3]] + [pa.array([s], kinds[3]) for s in several], names=names)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, ranges: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    edges = np.array([(k << 63) // ranges for k in range(1, ranges)], np.uint64)
+_NAME = np.dtype((np.void, 16))
+
+
+def _names(x: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+_MESSAGE = "range int, tokens binary, at binary, fps binary, sizes binary"
+
+
+def _cut(flat: np.ndarray, node: np.ndarray, names: np.ndarray, length: np.ndarray, part: int, fan: int, width: int) -> pa.RecordBatch:
+    """Messages for the ``fan`` parts of range ``part``, which is ``width`` keys wide: keys, places of their classes, names and sizes."""
+    by = np.argsort(flat & ~_LAST, kind="stable")
+    flat, node = flat[by], node[by]
+    edges = np.array([min((part * fan + k) * width, (1 << 63) - 1) for k in range(1, fan)], np.uint64)
+    cuts = [0, *np.searchsorted(flat & ~_LAST, edges).tolist(), len(flat)]
+    out = []
+    for k in range(fan):
+        if cuts[k] < cuts[k + 1]:
+            own, at = np.unique(node[cuts[k] : cuts[k + 1]], return_inverse=True)
+            out.append((part * fan + k, flat[cuts[k] : cuts[k + 1]].tobytes(), at.astype(np.int32).tobytes(), names[own].tobytes(), length[own].tobytes()))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["range", "tokens", "at", "fps", "sizes"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, fan: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    hashes = _word_hashes()
     for batch in batches:
         seen: set[bytes] = set()
         tokens, sizes, fps = [], [], []
         for value in batch.column(0):
-            keys = shingle_keys(value.as_py(), width)
+            keys = shingle_keys(value.as_py(), width, hashes)
             if len(keys) and (fp := fingerprint(keys)) not in seen:
                 seen.add(fp)
                 fps.append(fp)
                 sizes.append(len(keys))
                 tokens.append(ordered(keys, common)[: prefix_length(len(keys), percent)])
-        if not tokens:
-            continue
-        node = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        flat = np.concatenate(tokens)
-        by = np.argsort(flat & ~_LAST, kind="stable")
-        flat, node = flat[by], node[by]
-        cuts = [0, *np.searchsorted(flat & ~_LAST, edges).tolist(), len(flat)]
-        names, length = np.frombuffer(b"".join(fps), "S16"), np.array(sizes, np.int32)
-        out = []
-        for k in range(ranges):
-            if cuts[k] < cuts[k + 1]:
-                own, at = np.unique(node[cuts[k] : cuts[k + 1]], return_inverse=True)
-                out.append((k, flat[cuts[k] : cuts[k + 1]].tobytes(), at.astype(np.int32).tobytes(), names[own].tobytes(), length[own].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 4))], names=["range", "tokens", "at", "fps", "sizes"])
+        if tokens:
+            node = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            yield _cut(np.concatenate(tokens), node, np.frombuffer(b"".join(fps), _NAME), np.array(sizes, np.int32), 0, fan, -(-(1 << 63) // fan))
 
 
-def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, places, names and sizes of messages put together."""
+    tokens, at, fps, sizes, held = [], [], [], [], 0
+    for k in range(table.num_rows):
+        tokens.append(np.frombuffer(table.column("tokens")[k].as_py(), np.uint64))
+        at.append(np.frombuffer(table.column("at")[k].as_py(), np.int32) + np.int32(held))
+        fps.append(np.frombuffer(table.column("fps")[k].as_py(), _NAME))
+        sizes.append(np.frombuffer(table.column("sizes")[k].as_py(), np.int32))
+        held += len(sizes[-1])
+    return np.concatenate(tokens), np.concatenate(at), np.concatenate(fps), np.concatenate(sizes)
 
 
-_SHARED = "range int, a binary, b binary, size_a int, size_b int, keys long, large boolean, tokens binary, nodes binary, fps binary, sizes binary"
-_NAME = np.dtype((np.void, 16))
+def _cut_again(table: pa.Table, fan: int, width: int) -> pa.Table:
+    return pa.Table.from_batches([_cut(*_joined(table), table.column("range")[0].as_py(), fan, width)])
 
 
-def _names(x: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+def fans(ranges: int) -> list[int]:
+    """Into how many parts to cut at each of the steps that give ``ranges`` ranges or a few more; FAN at most."""
+    steps = 1
+    while FAN**steps < ranges:
+        steps += 1
+    fan = 1
+    while fan**steps < ranges:
+        fan += 1
+    return [fan] * steps
 
 
+def dealt(messages: DataFrame, steps: list[int], blocks: int) -> DataFrame:
+    """Messages of whole ranges, from those of ``blocks`` batches that are cut by the first of ``steps``.
+
+    At each further step as many messages of a range are put together as it is cut into parts: a step gives no more messages
+    than the first, so their number grows with the data, not with its square, and none becomes smaller.
+    """
+    width = -(-(1 << 63) // steps[0])
+    for fan in steps[1:]:
+        width = -(-width // fan)
+        groups = -(-blocks // fan)
+        message = F.pmod(F.xxhash64("tokens"), F.lit(groups)).alias("message")
+        messages = messages.withColumn("message", message).groupBy("range", "message").applyInArrow(lambda t, f=fan, w=width: _cut_again(t, f, w), _MESSAGE)
+        blocks = groups
+    return messages
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+_SHARED = "range int, a binary, b binary, size_a int, size_b int, keys long, large boolean, tokens binary, nodes binary, fps binary, sizes binary"
 def _shared(table: pa.Table, percent: int) -> pa.Table:
     """The keys of a range that several classes hold.
 
     A row for each pair of classes within groups of SMALL_GROUP at most, with the number of keys that both hold; for each class
     in larger groups, with the least class of the group instead. One row more has the keys and their classes as arrays.
     """
-    tokens, at, fps, sizes, held = [], [], [], [], 0
-    for k in range(table.num_rows):
-        tokens.append(np.frombuffer(table.column("tokens")[k].as_py(), np.uint64))
-        at.append(np.frombuffer(table.column("at")[k].as_py(), np.int32) + np.int32(held))
-        fps.append(np.frombuffer(table.column("fps")[k].as_py(), _NAME))
-        sizes.append(np.frombuffer(table.column("sizes")[k].as_py(), np.int32))
-        held += len(sizes[-1])
-    name = np.concatenate(fps)
+    tokens, at, name, size = _joined(table)
     parts = name.view(">u8").reshape(-1, 2)
     order = np.lexsort((parts[:, 1], parts[:, 0]))  # classes by name; copies from several batches are one
     new = np.append(True, (parts[order][1:] != parts[order][:-1]).any(1))
     rank = np.empty(len(name), np.int32)
     rank[order] = np.cumsum(new) - 1
-    name, size = name[order][new], np.concatenate(sizes)[order][new]
-    tokens, nodes = np.concatenate(tokens), rank[np.concatenate(at)]
+    name, size = name[order][new], size[order][new]
+    nodes = rank[at]
     by = np.argsort(tokens, kind="stable")
     tokens, nodes = tokens[by], nodes[by]
     del by, at, parts, order, rank
@@ -201,9 +246,14 @@ def _shared(table: pa.Table, percent: int) -> pa.Table:
     pairs, keys = np.append(pairs, stars), np.append(keys, star_keys)
     own, nodes = np.unique(nodes, return_inverse=True)
     n = len(pairs)
-    rows = [pa.array(np.full(n, table.column("range")[0].as_py(), np.int32)), _names(name[pairs >> 32]), _names(name[pairs & 0xFFFFFFFF]), pa.array(size[pairs >> 32]), pa.array(size[pairs & 0xFFFFFFFF]), pa.array(keys.astype(np.int64)), pa.array(large), *(pa.nulls(n, pa.binary()) for _ in range(4))]
+    of = table.column("range")[0].as_py()
+    rows = [
+        pa.array(np.full(n, of, np.int32)), _names(name[pairs >> 32]), _names(name[pairs & 0xFFFFFFFF]), pa.array(size[pairs >> 32]), pa.array(size[pairs & 0xFFFFFFFF]),
+        pa.array(keys.astype(np.int64)), pa.array(large), *(pa.nulls(n, pa.binary()) for _ in range(4)),
+    ]
     arrays = [pack(tokens), pack(nodes.astype(np.int32)), name[own].tobytes(), size[own].tobytes()]
-    last = [pa.array([table.column("range")[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), *(pa.array([x], pa.binary()) for x in arrays)]
+    none = [pa.nulls(1, k) for k in (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())]
+    last = [pa.array([of], pa.int32()), *none, *(pa.array([x], pa.binary()) for x in arrays)]
     names = [c.split()[0] for c in _SHARED.split(", ")]
     return pa.concat_tables([pa.Table.from_arrays(rows, names=names), pa.Table.from_arrays(last, names=names)])
 
@@ -225,40 +275,43 @@ def enough_keys(percent: int) -> Column:
     return (100 + percent) * (F.col("keys") + beyond) >= percent * (F.col("size_a") + F.col("size_b"))
 
 
+
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different components."""
-    root_of: dict[bytes, bytes] = {}
+    """Of a range: all pairs of classes that share a key, have sizes that allow a link, and lie in different families."""
+    family_of: dict[bytes, bytes] = {}
     packed = []
-    for fp, root, *arrays in zip(*(table.column(c).to_pylist() for c in ("fp", "root", "tokens", "nodes", "fps", "sizes")), strict=True):
+    for fp, family, *arrays in zip(*(table.column(c).to_pylist() for c in ("fp", "family", "tokens", "nodes", "fps", "sizes")), strict=True):
         if fp is None:
             packed.append(arrays)
         else:
-            root_of[fp] = root
+            family_of[fp] = family
     out: list[pa.Table] = []
     for tokens, nodes, fps, sizes in packed:
         tokens, nodes = unpack(tokens, np.uint64), unpack(nodes, np.int32)
         names, size = np.frombuffer(fps, _NAME), np.frombuffer(sizes, np.int32).astype(np.int64)
         number: dict[bytes, int] = {}
-        root = np.array([number.setdefault(root_of.get(bytes(f), bytes(f)), len(number)) for f in names], np.int64)
-        by = np.lexsort((root[nodes], tokens))
+        family = np.array([number.setdefault(family_of.get(bytes(f), bytes(f)), len(number)) for f in names], np.int64)
+        by = np.lexsort((family[nodes], tokens))
         tokens, nodes = tokens[by], nodes[by]
         starts = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]), len(tokens))
         pairs: list[np.ndarray] = []
-        found = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, found = 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         for a, b in zip(starts, starts[1:], strict=False):
             own = nodes[a:b]
-            r = root[own]
+            r = family[own]
             if r[0] == r[-1]:
                 continue
             cuts = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(own))
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                one, rest = own[x:y], own[y:]
-                if len(rest):
+            for x, y in zip(cuts, cuts[1:-1], strict=False):
+                rest = own[y:]
+                step = max(1, CELLS // len(rest))
+                for low in range(x, y, step):
+                    one = own[low : min(low + step, y)]
                     i, k = np.nonzero(may_link(size[one][:, None], size[rest][None, :], percent))
                     pairs.append(np.minimum(one[i], rest[k]).astype(np.int64) << 32 | np.maximum(one[i], rest[k]))
-            if len(pairs) > 1000:
-                found = _added(found, pairs)
-                pairs = []
+                    held += len(i)
+                    if held > CELLS:
+                        found, pairs, held = _added(found, pairs), [], 0
         codes, keys = _added(found, pairs)
         one, two = (codes >> 32).astype(np.int64), codes & 0xFFFFFFFF
         out.append(pa.Table.from_arrays([_names(names[one]), _names(names[two]), pa.array(size[one]), pa.array(size[two]), pa.array(keys)], names=["a", "b", "size_a", "size_b", "keys"]))
@@ -266,86 +319,144 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     return pa.concat_tables([pa.Table.from_arrays(none, names=["a", "b", "size_a", "size_b", "keys"]), *out])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(fp, keys) of the rows whose id passes the filter."""
+def for_tree(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The keys in the order of the trees: common ones first, as similar sets begin alike then."""
+    return np.sort(ordered(keys, common) ^ _LAST)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """(id, fp, keys) of the rows whose id passes the filter."""
+    hashes = _word_hashes()
     for batch in batches:
         at = batch.column(2).to_numpy(zero_copy_only=False)
+        rows = np.arange(len(at)) if wanted is None else np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         fps, sets = [], []
-        for k in np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1):
-            keys = shingle_keys(batch.column(1)[int(k)].as_py(), width)
+        for k in rows:
+            keys = shingle_keys(batch.column(1)[int(k)].as_py(), width, hashes)
             fps.append(fingerprint(keys))
-            sets.append(ordered(keys, common).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1))), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["id", "fp", "keys"])
+            sets.append(for_tree(keys, common).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(rows)), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["id", "fp", "keys"])
 
 
 class PrefixTree:
-    """Ordered sets as a tree: sets that begin alike share the path of their beginning."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.number = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-        self.sets = [sets[k] for k in self.number]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.shared = np.zeros(len(sets), np.int64)  # keys that a set's path shares with the set before it
-        for k in range(1, len(sets)):
-            a, b = self.sets[k - 1], self.sets[k]
-            m = min(len(a), len(b))
-            differs = np.flatnonzero(a[:m] != b[:m])
-            self.shared[k] = differs[0] if len(differs) else m
-
-    def similar(self, probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """(number, overlap) of the sets whose Jaccard similarity with ``probe`` is ``percent`` or more."""
-        found, p = [], len(probe)
-        todo = [(0, len(self.sets), 0, 0)] if self.sets and p else []
-        while todo:
-            low, high, depth, overlap = todo.pop()
-            one = high - low == 1
-            end = len(self.sets[low]) if one else int(self.shared[low + 1 : high].min())
-            rest = p
-            if end > depth:
-                edge = self.sets[low][depth:end]
-                at = np.searchsorted(probe, edge)
-                overlap += int((probe[np.minimum(at, p - 1)] == edge).sum())
-                rest = p - int(np.searchsorted(probe, edge[-1], "right"))
-            elif depth:
-                rest = p - int(np.searchsorted(probe, self.sets[low][depth - 1], "right"))
-            shortest, longest = int(self.sizes[low:high].min()), int(self.sizes[low:high].max())
-            best = overlap + min(rest, longest - end)
-            if 100 * best < percent * (p + shortest - best):
-                continue
-            if one:
-                found.append((self.number[low], overlap))
-                continue
-            cuts = [low, *(low + 1 + np.flatnonzero(self.shared[low + 1 : high] == end)).tolist(), high]
-            todo += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:], strict=False)]
+    """Ordered sets as a tree: sets that begin alike share the path of their beginning. ``marks``: the sets' components."""
+
+    def __init__(self, sets: list[np.ndarray], marks: np.ndarray | None = None) -> None:
+        number = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
+        held = [sets[k] for k in number]
+        sizes = np.array([len(s) for s in held])
+        marks = np.zeros(len(sets), np.int64) if marks is None else np.asarray(marks)[number]
+        shared = np.zeros(len(sets) + 1, np.int64)  # keys that a set's path shares with the set before it
+        for k in range(1, len(held)):
+            m = min(len(held[k - 1]), len(held[k]))
+            differs = np.flatnonzero(held[k - 1][:m] != held[k][:m])
+            shared[k] = differs[0] if len(differs) else m
+        nodes, edges = [], []
+        todo = [(0, len(held), 0)] if held else []
+        for low, high, begin in todo:  # grows: children of a node stand together
+            leaf = high - low == 1
+            end = len(held[low]) if leaf else int(shared[low + 1 : high].min())
+            cuts = [] if leaf else [low, *(low + 1 + np.flatnonzero(shared[low + 1 : high] == end)).tolist(), high]
+            own = marks[low:high]
+            nodes.append((end, sizes[low:high].min(), sizes[low:high].max(), number[low] if leaf else -1, own[0] if (own == own[0]).all() else -1, len(todo), max(len(cuts) - 1, 0)))
+            edges.append((held[low][begin:end], held[low][end - 1] if end else np.uint64(0)))
+            todo += [(a, b, end) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.end, self.shortest, self.longest, self.leaf, self.mark, self.child, self.children = np.array(nodes, np.int64).reshape(-1, 7).T
+        self.edges = np.concatenate([np.empty(0, np.uint64), *(e for e, _ in edges)])
+        self.last = np.array([x for _, x in edges], np.uint64)
+        self.length = np.array([len(e) for e, _ in edges], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def similar(self, probe: np.ndarray, percent: int, joined: np.ndarray | None = None, own: int = -1) -> list[tuple[int, int]]:
+        """(number, overlap) of the sets whose Jaccard similarity with ``probe`` is ``percent`` or more.
+
+        Without the subtrees all of whose sets are of the component ``own``; ``joined`` gives for each mark its component now.
+        """
+        found: list[tuple[int, int]] = []
+        at, overlap, p = np.zeros(min(len(self.end), 1), np.int64), np.zeros(1, np.int64), len(probe)
+        while len(at) and p:
+            if joined is not None:
+                other = (self.mark[at] < 0) | (joined[self.mark[at]] != own)
+                at, overlap = at[other], overlap[other]
+                if not len(at):
+                    break
+            length = self.length[at]
+            ends = np.cumsum(length)
+            keys = self.edges[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1])]
+            hits = np.append(0, np.cumsum(probe[np.minimum(np.searchsorted(probe, keys), p - 1)] == keys))
+            overlap = overlap + hits[ends] - hits[ends - length]
+            end = self.end[at]
+            rest = np.where(end > 0, p - np.searchsorted(probe, self.last[at], "right"), p)
+            best = overlap + np.minimum(rest, self.longest[at] - end)
+            may = 100 * best >= percent * (p + self.shortest[at] - best)
+            at, overlap = at[may], overlap[may]
+            leaf = self.leaf[at]
+            found += zip(leaf[leaf >= 0].tolist(), overlap[leaf >= 0].tolist(), strict=True)
+            children = self.children[at]
+            ends = np.cumsum(children)
+            at, overlap = np.repeat(self.child[at] - ends + children, children) + np.arange(ends[-1] if len(ends) else 0), np.repeat(overlap, children)
         return found
 
 
-def _walk(rows: pa.Table, percent: int) -> pa.Table:
-    """The linked pairs of a task's probes (without b) and their partners: a tree for each probe and part."""
-    trees: dict[tuple[bytes, int], list[tuple[bytes, np.ndarray]]] = {}
-    probes, out = [], []
-    for a, part, b, keys in zip(*(rows.column(c).to_pylist() for c in ("a", "part", "b", "keys")), strict=True):
-        if b is None:
-            probes.append((a, part, np.frombuffer(keys, np.uint64)))
-        else:
-            trees.setdefault((a, part), []).append((b, np.frombuffer(keys, np.uint64)))
-    for a, part, probe in probes:
-        held = trees.get((a, part), [])
-        out += [(a, held[k][0]) for k, _ in PrefixTree([s for _, s in held]).similar(probe, percent)]
-    return pa.table([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    pairs = materialize(pairs, "ngram-pairs")
-    total = pairs.count()
-    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("parts"))
-    tasks = total // 2000 + 16
-    parted = materialize(pairs.join(crowd, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"), "ngram-parts")
-    task = F.pmod(F.xxhash64("a", "part"), F.lit(tasks)).cast("int").alias("task")
-    probes = parted.select("a", "part").distinct().join(sets.withColumnRenamed("fp", "a"), "a").select(task, "a", "part", F.lit(None).cast("binary").alias("b"), "keys")
-    partners = parted.join(sets.withColumnRenamed("fp", "b"), "b").select(task, "a", "part", "b", "keys")
-    return probes.unionByName(partners).groupBy("task").applyInArrow(lambda t: _walk(t, percent), "a binary, b binary")
+def _meet(rows: pa.Table, percent: int, least: int, whole: bool) -> pa.Table:
+    """The pairs (a, b, linked) of each meeting's probes and sets that are ``least`` percent similar: linked if ``percent``.
+
+    With ``whole`` all of them; otherwise links between components alone, as few as join them.
+    """
+    meetings: dict[int, tuple[list, list]] = {}
+    for meeting, probe, *row in zip(*(rows.column(c).to_pylist() for c in ("meeting", "probe", "fp", "root", "keys")), strict=True):
+        meetings.setdefault(meeting, ([], []))[probe].append(row)
+    out = []
+    for sets, probes in meetings.values():
+        number: dict[bytes, int] = {}
+        marks = np.array([number.setdefault(root or fp, len(number)) for fp, root, _ in sets], np.int64)
+        own = [number.setdefault(root or fp, len(number)) for fp, root, _ in probes]
+        joined = np.arange(len(number))
+        arrays = [np.frombuffer(keys, np.uint64) for _, _, keys in sets]
+        tree = PrefixTree(arrays, None if whole else marks)
+        for (fp, _, keys), mine in zip(probes, own, strict=True):
+            probe = np.frombuffer(keys, np.uint64)
+            for k, overlap in tree.similar(probe, least) if whole else tree.similar(probe, percent, joined, joined[mine]):
+                linked = 100 * overlap >= percent * (len(probe) + len(arrays[k]) - overlap)
+                if whole or joined[marks[k]] != joined[mine]:
+                    out.append((fp, sets[k][0], linked))
+                    if not whole:
+                        joined[joined == joined[marks[k]]] = joined[mine]
+    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "linked"])
+
+
+def met(meetings: DataFrame, sets: DataFrame, percent: int, least: int, whole: bool) -> DataFrame:
+    """Hold all ``meetings``, rows (meeting, probe, fp, root), on the ``sets`` (fp, keys) of their classes."""
+    joined = materialize(meetings.join(sets, "fp"), "ngram-meetings")
+    keys = joined.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+    task = F.pmod("meeting", F.lit(keys // BLOCK_KEYS + 16)).cast("int")
+    return joined.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _meet(t, percent, least, whole), "a binary, b binary, linked boolean")
+
+
+def partners(pairs: DataFrame, size_b: str) -> DataFrame:
+    """A meeting for each class ``a`` of ``pairs`` and about BLOCK classes or BLOCK_KEYS keys of its partners ``b``."""
+    crowd = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size_b) / BLOCK_KEYS)).alias("parts"))
+    parted = pairs.join(crowd, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("meeting"))
+    probes = parted.select("meeting", F.lit(True).alias("probe"), F.col("a").alias("fp")).distinct()
+    return probes.unionByName(parted.select("meeting", F.lit(False).alias("probe"), F.col("b").alias("fp")))
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """Meetings within families, from (fp, n, family, root): blocks of classes outside the family's largest component with blocks of all its classes."""
+    of_root = members.groupBy("family", "root").agg(F.count("*").alias("held"), F.sum("n").alias("keys"))
+    enough = lambda held, keys: F.greatest(F.ceil(held / BLOCK), F.ceil(keys / BLOCK_KEYS)).cast("int")
+    largest = F.max(F.struct("held", "keys", "root"))
+    of_family = of_root.groupBy("family").agg(largest.alias("most"), F.sum("held").alias("held"), F.sum("keys").alias("keys"), F.count("*").alias("roots")).filter("roots > 1").select(
+        "family", F.col("most.root").alias("main"), enough(F.col("held"), F.col("keys")).alias("sets"),
+        enough(F.col("held") - F.col("most.held"), F.col("keys") - F.col("most.keys")).alias("probes"),
+    )
+    inside = members.join(of_family, "family")
+    meeting = lambda i, j: F.xxhash64("family", i, j).alias("meeting")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int").alias("block")
+    sets = inside.select("family", "fp", block("sets"), every("probes", "other")).select(meeting("other", "block"), F.lit(False).alias("probe"), "fp")
+    probes = inside.filter("root <> main").select("family", "fp", block("probes"), every("sets", "other")).select(meeting("block", "other"), F.lit(True).alias("probe"), "fp")
+    return sets.unionByName(probes)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -354,53 +465,64 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns (``id_col``, n_shingles, component_id), a row for each input row; ids have to be whole numbers. Null, empty and blank
     texts have no shingles, and are linked with nothing. Rows with one id are one document if their texts have links in common
     or are equal; a row without id passes its links on, and has a component of the ids that it reaches, or null.
-    Other columns are not read. An empty table gives an empty result.
+    Other columns are not read. An empty table gives an empty result. ``percent`` is over FAMILY.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    survey = materialize(source.mapInArrow(lambda b: _survey(b, width), "id long, n long, fp binary, keys array<long>, held array<long>"), "ngram-survey", "zstd")
+    survey = materialize(source.mapInArrow(lambda b: released(_survey(b, width)), "id long, n long, fp binary, keys array<long>, held array<long>"), "ngram-survey", "zstd")
     rows = survey.filter("keys is null").select("id", "n", "fp")
-    counts = survey.filter("keys is not null").select(F.explode(F.arrays_zip("keys", "held")).alias("k")).groupBy("k.keys").agg(F.sum("k.held").alias("held")).filter(F.col("held") >= COMMON_FROM)
-    common = np.sort(np.array([r["keys"] for r in counts.orderBy(F.desc("held"), "keys").limit(COMMON).select("keys").collect()], np.int64).astype(np.uint64))  # COMMON at most
+    several = survey.filter("keys is not null")
+    counts = several.select(F.explode(F.arrays_zip("keys", "held")).alias("k")).groupBy("k.keys").agg(F.sum("k.held").alias("held")).filter(F.col("held") >= COMMON_FROM)
+    often = counts.orderBy(F.desc("held"), "keys").limit(COMMON).select("keys").toArrow()  # COMMON numbers at most
+    common = np.sort(often.column(0).to_numpy().astype(np.uint64))
     shipped = spark.sparkContext.broadcast(common)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = total * (100 - percent) // 100 // RANGE_KEYS + 32
-    prefixes = source.select("text").mapInArrow(lambda b: _prefixes(b, shipped.value, ranges, width, percent), "range int, tokens binary, at binary, fps binary, sizes binary")
-    shared = materialize(prefixes.groupBy("range").applyInArrow(lambda t: _shared(t, percent), _SHARED), "ngram-shared", "zstd")
+    steps = fans(total * (100 - percent) // 100 // RANGE_KEYS + 32)
+    prefixes = source.select("text").mapInArrow(lambda b: released(_prefixes(b, shipped.value, steps[0], width, percent)), _MESSAGE)
+    messages = dealt(prefixes, steps, several.count())
+    shared = materialize(messages.groupBy("range").applyInArrow(lambda t: _shared(t, percent), _SHARED), "ngram-shared", "zstd")
     counted = shared.filter("tokens is null").select("range", "a", "b", "size_a", "size_b", "keys", "large")
-    classes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least")), "ngram-classes")
-    bit = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))).alias("bit")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The ordered sets (fp, keys) of the classes in ``pairs``, from the row with the least id of each (or all without one)."""
-        nodes = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(classes, "fp").select("fp", "least", bit("least")), "ngram-nodes")
-        bits = nodes.groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits"))
-        wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in bits.toLocalIterator():  # FILTER_BITS / 8 at most
-            wanted[r["byte"]] = r["bits"]
-        filtered = spark.sparkContext.broadcast(wanted)
-        hashed = source.select("id", "text", bit("id"))
-        sets = hashed.mapInArrow(lambda b: _sets(b, filtered.value, shipped.value, width), "id long, fp binary, keys binary")
-        named = sets.join(nodes.select("fp", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).select("fp", "keys")
-        return materialize(named.dropDuplicates(["fp"]), "ngram-sets")
+    classes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n")), "ngram-classes")
+
+    def sets_of(fps: DataFrame) -> DataFrame:
+        """The ordered sets (fp, keys) of classes, from the row with the least id of each (or all without one)."""
+        nodes = materialize(fps.select("fp").distinct().join(classes, "fp").select("fp", "least"), "ngram-nodes")
+        held = nodes.count()
+        if held <= FILTER_CLASSES:
+            size = 1 << max(16, (8 * held).bit_length())
+            bit = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(size))).alias("bit")
+            bits = nodes.select(bit("least")).groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")).toArrow()
+            wanted = np.zeros(size // 8, np.uint8)
+            wanted[bits.column("byte").to_numpy()] = bits.column("bits").to_numpy()
+            filtered = spark.sparkContext.broadcast(wanted)
+            sets = source.select("id", "text", bit("id")).mapInArrow(lambda b: released(_sets(b, filtered.value, shipped.value, width)), "id long, fp binary, keys binary")
+        else:
+            own = nodes.select(F.col("least").alias("own")).distinct()
+            texts = source.join(own, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("id", "text", F.lit(0).cast("long").alias("bit"))
+            sets = texts.mapInArrow(lambda b: released(_sets(b, None, shipped.value, width)), "id long, fp binary, keys binary")
+        named = sets.join(nodes, "fp").filter(F.col("id").eqNullSafe(F.col("least"))).select("fp", "keys")
+        return materialize(named.dropDuplicates(["fp"]), "ngram-sets", "zstd")
 
     summed = materialize(counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys"), F.max("large").alias("large")), "ngram-counted")
     # each class with the one before it by name that it shares most keys with: as many pairs as classes, and most families are one component then
-    best = lambda df: df.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    best = lambda df: df.groupBy("b").agg(F.max_by(F.struct("a", "size_b"), F.struct("keys", "a")).alias("x")).select("x.a", "b", "x.size_b")
     first = materialize(best(summed.filter(enough_keys(percent))).union(best(summed.filter("large"))).distinct(), "ngram-first")
-    near = materialize(verified(first, sets_of(first), percent), "ngram-links")
-    roots = materialize(connected_components(near), "ngram-roots")
+    unrooted = materialize(partners(first, "size_b").withColumn("root", F.lit(None).cast("binary")), "ngram-rows")
+    near = materialize(met(unrooted, sets_of(unrooted), percent, FAMILY, True), "ngram-near")
+    roots = materialize(connected_components(near.filter("linked")), "ngram-roots")
+    families = materialize(connected_components(near).select(F.col("node").alias("fp"), F.col("root").alias("family")), "ngram-families")
 
     sides = counted.select("range", F.explode(F.array("a", "b")).alias("fp")).distinct()
     blank = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
-    rooted = sides.join(roots.withColumnRenamed("node", "fp"), "fp").select("range", "fp", "root", *blank(["tokens", "nodes", "fps", "sizes"]))
-    arrays = shared.filter("tokens is not null").select("range", *blank(["fp", "root"]), "tokens", "nodes", "fps", "sizes")
-    crossed = rooted.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary, size_a long, size_b long, keys long")
-    # the first pairs are decided already
-    crossed = crossed.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b")
-    crossed = materialize(crossed.join(materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "ngram-decided"), ["a", "b"], "left_anti"), "ngram-crossed")
-    across = verified(crossed, sets_of(crossed), percent)
-    links = near.unionByName(across)
+    named = sides.join(families, "fp").select("range", "fp", "family", *blank(["tokens", "nodes", "fps", "sizes"]))
+    arrays = shared.filter("tokens is not null").select("range", *blank(["fp", "family"]), "tokens", "nodes", "fps", "sizes")
+    crossed = named.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary, size_a long, size_b long, keys long")
+    crossed = materialize(crossed.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b", "size_b"), "ngram-crossed")
+    root = roots.select(F.col("node").alias("fp"), "root")
+    members = families.join(classes.select("fp", "n"), "fp").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    meetings = materialize(blocks(materialize(members, "ngram-members")).unionByName(partners(crossed, "size_b")).join(root, "fp", "left"), "ngram-rows")
+    across = met(meetings, sets_of(meetings), percent, percent, False)
+    links = materialize(near.filter("linked").select("a", "b").unionByName(across.select("a", "b")), "ngram-links")
     roots = materialize(connected_components(links), "ngram-roots")
 
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
