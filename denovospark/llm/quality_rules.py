@@ -1,11 +1,13 @@
 """Operator 7: quality rules whose thresholds are controlled for risk.
 
-A rule rejects a document whose statistic is at or above a cutoff of a fixed grid. For every stratum (language), rule and
-cutoff, the labelled good documents give the number of false rejections; a cutoff is certified if its exact binomial
-upper bound (Clopper-Pearson) is at most the rule's share of the allowed rate, at a confidence that is corrected for all
-strata, rules and cutoffs tried (Bonferroni). Hence, with probability 1 - delta, no stratum loses more than ``alpha`` of
-its good documents, whichever certified cutoffs are chosen. Of them the one that rejects most of the labelled bad
-documents is used, on ties the one that rejects the fewest good ones; where none is certified, the rule is off.
+A rule rejects a document whose statistic is at or above its cutoff. The rules' cutoffs move together along LEVELS levels, from
+the loosest to the strictest, so that what a level rejects, all stricter ones reject too. For every stratum (language) the labelled
+good documents are the holdout; nothing is learnt from labels, so all of them serve. The levels are tested in their order: one is
+certified if the exact binomial upper bound (Clopper-Pearson) on its false rejections is at most ``alpha``, and the first that
+isn't ends the sequence. A fixed sequence needs no correction for the number of levels; for the strata ``delta`` is divided by
+their number (Bonferroni). Hence, with probability 1 - delta, no stratum loses more than ``alpha`` of the good documents that the
+base rules leave. Of the certified levels the one that rejects most of the labelled bad documents is used, on ties the loosest;
+where none is certified, the rules are off.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 _CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_capitals")
-#: Languages are dealt to so many strata by their hash, which bounds every table of counts here.
-STRATA = 256
+#: Strata up to which their levels are broadcast.
+BROADCAST_STRATA = 100_000
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -70,14 +72,15 @@ class Rule:
         return F.col(self.top) / F.greatest(F.col(self.bottom), F.lit(1))
 
 
-#: From the loosest to the strictest cutoff.
+LEVELS = 10
+#: From the loosest to the strictest level.
 RULES = (
     Rule("symbols", "n_symbols", "n_words", (1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05)),
     Rule("exclaims", "n_exclaims", "n_words", (1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05)),
-    Rule("capitals", "n_capitals", "word_chars", (0.7, 0.6, 0.5, 0.4, 0.3, 0.22, 0.16, 0.12)),
-    Rule("dup_lines", "n_dup_lines", "n_lines", (0.8, 0.6, 0.5, 0.4, 0.3, 0.22, 0.16, 0.1)),
-    Rule("repeats", "n_repeat_words", "n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    Rule("long_words", "word_chars", "n_words", (30.0, 24.0, 20.0, 16.0, 13.0, 11.0)),
+    Rule("capitals", "n_capitals", "word_chars", (0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    Rule("dup_lines", "n_dup_lines", "n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    Rule("repeats", "n_repeat_words", "n_words", (0.5, 0.47, 0.44, 0.41, 0.38, 0.35, 0.32, 0.29, 0.26, 0.2)),
+    Rule("long_words", "word_chars", "n_words", (30.0, 26.0, 23.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
 )
 
 
@@ -87,10 +90,13 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
         return 1.0
 
     def log_cdf(p: float) -> float:
-        base, q = n * math.log1p(-p), math.log(p) - math.log1p(-p)
-        terms = [base + i * q + math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-        top = max(terms)
-        return top + math.log(sum(math.exp(t - top) for t in terms))
+        """P(X <= k) for p >= k / n: its terms fall from the k-th down, and stop to count after some square roots of n."""
+        first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+        total, term, i = 1.0, 1.0, k
+        while i > 0 and term > 1e-18 * total:
+            term *= i * (1 - p) / ((n - i + 1) * p)
+            total, i = total + term, i - 1
+        return first + math.log(total)
 
     low, high, goal = k / n, 1 - 1e-12, math.log(delta)
     for _ in range(60):
@@ -99,39 +105,40 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return high
 
 
-def certified(good: list[int], bad: list[int], alpha: float, delta: float) -> int | None:
-    """Of cutoffs 0.., the one to use. good[b], bad[b]: labelled documents that exceed exactly the first b cutoffs."""
-    n, best, choice = sum(good), 0, None
-    for cut in range(len(good) - 1):
-        lost, caught = sum(good[cut + 1 :]), sum(bad[cut + 1 :])
-        if lost > alpha * n or caught <= best:  # cannot be certified, or is no better than a looser one
-            continue
-        if binomial_upper(lost, n, delta) <= alpha:
-            best, choice = caught, cut
+def certified(good: list[int], bad: list[int], alpha: float, delta: float) -> int:
+    """The level to use, 0 for none. good[k], bad[k]: labelled documents that levels from k on reject, at 0 those that none does."""
+    n, lost, caught, best, choice = sum(good), 0, 0, 0, 0
+    for level in range(1, len(good)):
+        lost, caught = lost + good[level], caught + bad[level]
+        if n == 0 or binomial_upper(lost, n, delta) > alpha:
+            break
+        if caught > best:
+            best, choice = caught, level
     return choice
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, id_col: str, good: Column, alpha: float, delta: float) -> dict[int, dict[str, float]]:
-    """Stratum -> rule -> cutoff. Counts of at most STRATA x rules x bins rows come to the driver."""
-    bins = [F.struct(F.lit(i).alias("rule"), sum((r.value() >= c).cast("int") for c in r.cutoffs).alias("bin")) for i, r in enumerate(RULES)]
-    counts = (
-        stats.filter(~F.col("base_failed")).join(labels.groupBy(id_col).agg(F.min(good.cast("int")).alias("good")).dropna(), id_col)
-        .select("stratum", "good", F.explode(F.array(*bins)).alias("b"))
-        .groupBy("stratum", "good", "b.rule", "b.bin").count().collect()
-    )
-    table: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    for row in counts:
-        size = len(RULES[row["rule"]].cutoffs) + 1
-        pair = table.setdefault((row["stratum"], row["rule"]), ([0] * size, [0] * size))
-        pair[0 if row["good"] else 1][row["bin"]] += row["count"]
-    strata = len({s for s, _ in table})
-    tests = strata * sum(len(r.cutoffs) for r in RULES)
-    out: dict[int, dict[str, float]] = {}
-    for (stratum, rule), (g, b) in table.items():
-        cut = certified(g, b, alpha / len(RULES), delta / tests)
-        if cut is not None:
-            out.setdefault(stratum, {})[RULES[rule].name] = RULES[rule].cutoffs[cut]
-    return out
+def _first_level() -> Column:
+    """The loosest level that rejects a document, 0 if none does."""
+    exceeded = F.greatest(*(sum((r.value() >= c).cast("int") for c in r.cutoffs) for r in RULES))
+    return F.when(exceeded > 0, LEVELS + 1 - exceeded).otherwise(0)
+
+
+def _choose(batches: Iterator[pa.RecordBatch], alpha: float, delta: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        levels = [certified(g, b, alpha, delta) for g, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32())], names=["of", "level"])
+
+
+def levels_of(stats: DataFrame, labels: DataFrame, id_col: str, good: Column, alpha: float, delta: float) -> DataFrame:
+    """(of, level): the certified level of each labelled stratum, 0 for none."""
+    of_id = labels.groupBy(id_col).agg(F.min(good.cast("int")).alias("good")).filter("good is not null")
+    held = stats.filter(~F.col("base_failed")).join(of_id, id_col).select("stratum", "good", "first_level")
+    count = lambda good, k: F.count(F.when((F.col("good") == good) & (F.col("first_level") == k), 1))
+    counts = held.groupBy("stratum").agg(*(F.array(*(count(g, k) for k in range(LEVELS + 1))).alias(name) for g, name in ((1, "good"), (0, "bad"))))
+    counts = materialize(counts, "quality-counts")
+    share = delta / max(counts.count(), 1)
+    kind = stats.schema["stratum"].dataType.simpleString()
+    return materialize(counts.mapInArrow(lambda b: _choose(b, alpha, share), f"of {kind}, level int"), "quality-levels")
 
 
 def apply_quality_rules(
@@ -140,23 +147,20 @@ def apply_quality_rules(
 ) -> DataFrame:
     """Statistics, base verdict and verdict of the certified rules for every document.
 
-    Returns (``id_col``, the STATS, base_failed, kept, stratum, one ``by_<rule>`` boolean each). The texts are read once and
+    Returns (``id_col``, the STATS, base_failed, kept, stratum, level, one ``by_<rule>`` boolean each). The texts are read once and
     not shuffled; the statistics are written to the shared folder. A null or empty text has no words and fails the base.
     A null language is a stratum of its own. Repeated ids are kept as they are; a labelled id counts once, as bad if any
-    of its labels is. Labels that are null don't count. Without labels no rule is certified. Other columns are not read.
+    of its labels is. Labels that are null don't count. In strata without labels no level is certified. Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(stratum_col)), F.lit(STRATA)).cast("int").alias("stratum"), F.col(text_col).alias("text"))
-    stats = source.mapInArrow(_stats, f"id {kind}, stratum int, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("id", id_col)
+    kind, of = docs.schema[id_col].dataType.simpleString(), docs.schema[stratum_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    stats = source.mapInArrow(_stats, f"id {kind}, stratum {of}, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("id", id_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialize(stats.withColumn("base_failed", failed), "quality-stats")
-    cuts = thresholds(stats, labels, id_col, F.col(good_col) == 1, alpha, delta)
-    names = [r.name for r in RULES]
-    rows = [(s, *(c.get(n) for n in names)) for s, c in cuts.items()]
-    limits = docs.sparkSession.createDataFrame(rows, "limit_of int, " + ", ".join(f"limit_{n} double" for n in names))
-    judged = stats.join(F.broadcast(limits), F.col("stratum") == F.col("limit_of"), "left")  # at most STRATA rows
-    by = {r.name: F.coalesce(r.value() >= F.col(f"limit_{r.name}"), F.lit(False)) for r in RULES}
-    verdict = ~F.col("base_failed")
-    for rejects in by.values():
-        verdict = verdict & ~rejects
-    return judged.select(id_col, *STATS, "base_failed", verdict.alias("kept"), "stratum", *(c.alias(f"by_{n}") for n, c in by.items()))
+    stats = materialize(stats.withColumns({"base_failed": failed, "first_level": _first_level()}), "quality-stats")
+    levels = levels_of(stats, labels, id_col, F.col(good_col) == 1, alpha, delta)
+    small = levels.count() <= BROADCAST_STRATA
+    judged = stats.join(F.broadcast(levels) if small else levels, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    level = F.coalesce("level", F.lit(0))
+    by = {r.name: F.coalesce(r.value() >= F.element_at(F.array(*map(F.lit, r.cutoffs)), F.when(level > 0, level)), F.lit(False)) for r in RULES}
+    rejected = (F.col("first_level") > 0) & (F.col("first_level") <= level)
+    return judged.select(id_col, *STATS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "stratum", level.alias("level"), *(c.alias(f"by_{n}") for n, c in by.items()))

@@ -37,10 +37,57 @@ def test_exact_bound(k, n, delta):
     assert math.isclose(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), delta, rel_tol=1e-6)
 
 
-def test_certified_prefers_the_loosest_of_equals():
-    assert q.certified([5000, 0, 0, 900], [0, 0, 70, 0], 0.01, 1e-3) is None
-    assert q.certified([5000, 1, 0, 0], [10, 0, 50, 0], 0.01, 1e-3) == 0
-    assert q.certified([20, 0, 0], [0, 0, 50], 0.01, 1e-3) is None  # too few to certify anything
+def test_certified_levels():
+    assert q.certified([5000, 0, 0, 900], [0, 0, 70, 0], 0.01, 1e-3) == 2  # the third isn't certified
+    assert q.certified([5000, 0, 900, 0], [0, 10, 70, 90], 0.01, 1e-3) == 1  # the sequence ends there
+    assert q.certified([5000, 1, 0, 0], [10, 50, 0, 0], 0.01, 1e-3) == 1  # of equals the loosest
+    assert q.certified([20, 0, 0], [0, 0, 50], 0.01, 1e-3) == 0  # too few to certify anything
+    assert q.certified([0, 0], [5, 5], 0.01, 1e-3) == 0
+
+
+def verdicts(rows, labels, alpha=0.03, delta=0.05):
+    """(id, kept) by definition: every level tried on every labelled document, bounds by summing the binomial."""
+    stats = [(i, lang, dict(zip(q.STATS, q.text_stats(text), strict=True))) for i, text, lang in rows]
+    failed = lambda s: s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+    rejects = lambda s, level: level > 0 and any(s[r.top] / max(s[r.bottom], 1) >= r.cutoffs[level - 1] for r in q.RULES)
+    good = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            good[i] = min(good.get(i, 1), int(y == 1))
+    held = [(lang, good[i], s) for i, lang, s in stats if i in good and not failed(s)]
+    strata, level_of = {lang for lang, _, _ in held}, {}
+    for lang in strata:
+        ours = [(y, s) for x, y, s in held if x == lang]
+        best = caught = 0
+        for level in range(1, q.LEVELS + 1):
+            n, lost = sum(y for y, _ in ours), sum(y and rejects(s, level) for y, s in ours)
+            # the upper bound is at most alpha if so few losses have at most this chance at alpha
+            if n == 0 or sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(lost + 1)) > delta / len(strata):
+                break
+            if (now := sum(not y and rejects(s, level) for y, s in ours)) > caught:
+                best, caught = level, now
+        level_of[lang] = best
+    return sorted(((i, not failed(s) and not rejects(s, level_of.get(lang, 0))) for i, lang, s in stats), key=str)
+
+
+def test_verdicts_equal_brute_force(spark):
+    draw = random.Random(5)
+    rows, labels = [], []
+    for i in range(3000):
+        lang = draw.choice(["en", "en", "en", "de", "fr", None, "xx"])
+        bad = draw.random() < 0.15
+        share = draw.choice([0, 0, 0.03, 0.1, 0.2, 0.4, 0.9]) if bad else draw.choice([0] * 30 + [0.06, 0.3])
+        words = [f"w{draw.randrange(5000)}" + "%" * (draw.random() < share) for _ in range(draw.choice([30, 60, 120]))]
+        rows.append((i % 2990 if i else None, "\n".join([" ".join(words)] * draw.choice([1, 1, 1, 1, 3])) if i % 97 else None, lang))
+        if lang != "xx" and i % 3:
+            labels.append((i, None if i % 101 == 0 else int(not bad)))
+    labels += [(4, 0), (5, 1), (None, 1), (99999, 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, level string").repartition(4)
+    got = q.apply_quality_rules(docs, spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, stratum string"))
+    want = verdicts(rows, labels)
+    assert sorted(((r.doc_id, r.kept) for r in got.collect()), key=str) == want
+    assert got.filter("not kept and not base_failed").count() > 50 and got.filter("level > 0").count() > 1000
+    assert got.filter("stratum = 'xx' and level > 0").count() == 0
 
 
 def test_rules_on_a_table(spark):
