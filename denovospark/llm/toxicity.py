@@ -18,14 +18,13 @@ import random
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, lower_words, mix
+from .common import Memo, id_fold, lower_words, mix, released
 
 _PREAMBLE, _TAIL = b"ABCDEFGHIJKLMNOP", b"QZXJVKWYBFPMGCHUQX"
 #: Saved bytes from which a window counts, one feature each.
@@ -35,8 +34,10 @@ WINDOW = 4
 #: Lengths in bytes of the runs that are compared, and the log likelihood ratio (twice it) from which a higher share tells:
 #: by chance one of some 100,000 runs has it.
 RUNS, LEAST = (5, 8, 16), 20.0
-#: Measured windows that a task keeps.
-CACHE = 400_000
+#: Bounds of what is learnt from: labelled toxic and ordinary texts, bytes of one, and snippets that the ordinary dictionary is trained on.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES, MAX_SNIPPETS = 4000, 6000, 16_384, 100_000
+#: Measured windows that a task keeps at a time.
+CACHE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -65,30 +66,21 @@ class Meter:
             dictionary.precompute_compress(compression_params=parameters)
             return z.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
-        self.ordinary, self.toxic = compressor(ordinary + _PREAMBLE), compressor(toxic + _PREAMBLE)
-        self.window, self.known = window, {}
+        one, two = compressor(ordinary + _PREAMBLE), compressor(toxic + _PREAMBLE)
+
+        def gain(window: bytes) -> int:
+            data = _PREAMBLE + b" " + window + b" " + _TAIL
+            return len(one(data)) - len(two(data))
+
+        self.window, self.gain = window, Memo(gain, CACHE)
 
     def features(self, text: str | None) -> list[int]:
         """At each of GAINS, how many windows save so much; last, the number of windows."""
-        known, found = self.known, Counter()
         windows = _windows(lower_words(text), self.window)
-        for w in windows:
-            gain = known.get(w)
-            if gain is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                data = _PREAMBLE + b" " + w + b" " + _TAIL
-                known[w] = gain = len(self.ordinary(data)) - len(self.toxic(data))
-            if gain >= GAINS[0]:
-                found[gain] += 1
+        found = Counter(map(self.gain.__getitem__, windows))
         return [sum(n for g, n in found.items() if g >= least) for least in GAINS] + [len(windows)]
 
 
-@lru_cache(maxsize=2)
-def _meter(ordinary: bytes, toxic: bytes, window: int) -> Meter:
-    return Meter(ordinary, toxic, window)
-
-
 def _design(counts: np.ndarray) -> np.ndarray:
     """Numbers of windows on a log scale, the share of the strongest, and a constant."""
     x = np.log1p(counts.astype(float))
@@ -111,9 +103,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def _runs(text: bytes, length: int) -> np.ndarray:
     """A number for each run of ``length`` bytes, by its start: exact up to 8 bytes, a 64-bit hash beyond."""
+    if len(text) < length:
+        return np.empty(0, np.uint64)
     x = np.frombuffer(text, np.uint8).astype(np.uint64)
     size = min(length, 8)
-    out = np.zeros(max(len(x) - size + 1, 0), np.uint64)
+    out = np.zeros(len(x) - size + 1, np.uint64)
     for k in range(size):
         out = (out << np.uint64(8)) | x[k : len(x) - size + 1 + k]
     return mix(mix(out[:-8]) * np.uint64(3) + out[8:]) if length == 16 else mix(out)
@@ -145,9 +139,11 @@ def telling(toxic: list[bytes], ordinary: list[bytes], length: int, parts: int =
     return np.sort(np.concatenate(out))
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: int, toxic_bytes: int, max_snippets: int = MAX_SNIPPETS) -> tuple[bytes, bytes]:
     """Content of both dictionaries. The toxic one is the ordinary one and up to ``toxic_bytes`` trained on the telling parts of toxic texts.
 
+    The ordinary one is trained on at most ``max_snippets`` snippets of 8 words, drawn from the whole texts.
+
     Ordinary snippets that hold telling parts aren't trained on, else the ordinary dictionary would hold what they quote.
     """
     import zstandard as z
@@ -179,17 +175,17 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: in
     for words in texts:
         text, at = joined(words), 0
         told = np.concatenate([[0], np.cumsum(covered(text))])
-        for k in range(0, min(len(words), 1600), 8):
+        for k in range(0, len(words), 8):
             snippet = joined(words[k : k + 8])
             if told[at] == told[at + len(snippet)]:
                 samples.append(snippet)
             at += len(snippet) - 1
     random.Random(0).shuffle(samples)
-    base = trained(ordinary_bytes, samples[:100_000] or [b" "])
+    base = trained(ordinary_bytes, samples[:max_snippets] or [b" "])
     return base, base + trained(toxic_bytes, [k for k in kept if k] or [b" "])
 
 
-def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxic_bytes: int = 4096, window: int = WINDOW) -> ToxicityModel:
+def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxic_bytes: int = 4096, window: int = WINDOW, max_snippets: int = MAX_SNIPPETS) -> ToxicityModel:
     """Train on (text, toxic 0/1, for calibration). Without both labels the model gives the share of toxic rows alone."""
     share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -197,59 +193,69 @@ def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxi
     train, held = [r for r in rows if not r[2]], [r for r in rows if r[2]]
     if not ({y for _, y, _ in train} >= {0, 1} and {y for _, y, _ in held} >= {0, 1}):
         return flat
-    dictionaries = train_dictionaries([t for t, y, _ in train if y], [t for t, y, _ in train if not y], ordinary_bytes, toxic_bytes)
+    dictionaries = train_dictionaries([t for t, y, _ in train if y], [t for t, y, _ in train if not y], ordinary_bytes, toxic_bytes, max_snippets)
     meter = Meter(*dictionaries, window)
     x, y = _design(np.array([meter.features(t) for t, _, _ in held])), np.array([y for _, y, _ in held], float)
     return ToxicityModel(*dictionaries, tuple(_logistic(x, y)), window)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, max_toxic: int, max_ordinary: int, max_bytes: int) -> list[tuple[str, int, bool]]:
-    """At most ``max_toxic`` and ``max_ordinary`` labelled rows of at most ``max_bytes`` each, lowest id hashes first; equal texts once."""
+    """At most ``max_toxic`` and ``max_ordinary`` labelled texts of at most ``max_bytes`` each, lowest id hashes first; equal texts once.
+
+    Of several texts of an id one counts, so (max_toxic + max_ordinary) x max_bytes is what comes to the driver at most.
+    """
     key = F.xxhash64(F.col(id_col).cast("string"))
     once = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & may_learn).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     drawn = [once.filter(F.col("y") == y).orderBy(key, id_col).limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most max_toxic + max_ordinary rows
-    texts = docs.select(id_col, F.col(text_col).alias("t")).filter(F.octet_length("t") <= max_bytes).join(chosen, id_col).select("t", "y", key.alias("k")).collect()
-    rows = {r["t"]: (r["t"], r["y"], r["k"] % 4 == 0) for r in sorted(texts, key=lambda r: r["k"])}
+    held = docs.select(id_col, F.col(text_col).alias("t")).filter(F.octet_length("t") <= max_bytes).join(chosen, id_col)
+    texts = held.groupBy(id_col, "y").agg(F.min("t").alias("t")).select("t", "y", key.alias("k")).collect()
+    rows = {r["t"]: (r["t"], r["y"], r["k"] % 4 == 0) for r in sorted(texts, key=lambda r: (r["k"], r["t"]))}
     return list(rows.values())
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    meter, weights = _meter(model.ordinary, model.toxic, model.window), np.array(model.weights)
+def _judged(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with the scores and the numbers of telling windows of its texts, column ``at``."""
+    meter, weights = Meter(model.ordinary, model.toxic, model.window), np.array(model.weights)
     for batch in batches:
-        counts = np.array([meter.features(v.as_py()) for v in batch.column(1)]).reshape(-1, len(GAINS) + 1)
-        p = 1 / (1 + np.exp(-np.clip(_design(counts) @ weights, -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(counts[:, 0], pa.int64())], names=["id", "score", "n_windows"])
+        counts = np.array([meter.features(v.as_py()) for v in batch.column(at)]).reshape(-1, len(GAINS) + 1)
+        yield batch, 1 / (1 + np.exp(-np.clip(_design(counts) @ weights, -30, 30))), counts[:, 0]
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    for batch, p, found in _judged(batches, model, 1):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(found, pa.int64())], names=["id", "score", "n_windows"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int, least: float) -> Iterator[pa.RecordBatch]:
-    meter, weights = _meter(model.ordinary, model.toxic, model.window), np.array(model.weights)
-    for batch in batches:
-        counts = np.array([meter.features(v.as_py()) for v in batch.column(at)]).reshape(-1, len(GAINS) + 1)
-        p = 1 / (1 + np.exp(-np.clip(_design(counts) @ weights, -30, 30)))
+    for batch, p, _ in _judged(batches, model, at):
         yield batch.filter(pa.array(p < least))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: float = 0.5, folds: int = 5, max_toxic: int = 4000, max_ordinary: int = 6000, max_bytes: int = 65536) -> DataFrame:
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: float = 0.5, folds: int = 5,
+    max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_bytes: int = MAX_BYTES, max_snippets: int = MAX_SNIPPETS,
+) -> DataFrame:
     """``docs`` without the rows that score ``least`` or more, with all columns; learnt as in ``score_toxicity``. Rows aren't moved."""
-    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes))
+    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda b: _kept(b, model, at, least), docs.schema)
+    return docs.mapInArrow(lambda b: released(_kept(b, model, at, least)), docs.schema)
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5,
-    max_toxic: int = 4000, max_ordinary: int = 6000, max_bytes: int = 65536,
+    max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_bytes: int = MAX_BYTES, max_snippets: int = MAX_SNIPPETS,
 ) -> DataFrame:
     """Score the whole text of every document: (``id_col``, held_out, score, predicted, n_windows).
 
     Learns from labelled rows whose crc32(id as text) mod ``folds`` is not 0 alone: a sample bounded by ``max_toxic``,
-    ``max_ordinary`` and ``max_bytes``, the only rows that come to the driver. Null and empty texts have no windows and get
-    the curve's value there. Null ids score as others (never held out); repeated rows score alike; of several labels of
-    an id the highest counts. Without labels every score is the share of toxic labels, or 0. Other columns are not read.
+    ``max_ordinary`` and ``max_bytes``, the only rows that come to the driver, of whose whole texts ``max_snippets`` train the
+    ordinary dictionary. Null and empty texts have no windows and get the curve's value there. Null ids score as others (never
+    held out); repeated rows score alike; of several labels of an id the highest counts. Without labels every score is the share
+    of toxic labels, or 0. Other columns are not read.
     """
-    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes))
+    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _score(b, model), f"id {kind}, score double, n_windows long")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: released(_score(b, model)), f"id {kind}, score double, n_windows long")
     held_out = F.coalesce(id_fold(F.col("id"), folds) == 0, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")

@@ -86,7 +86,7 @@ def test_verdicts_equal_brute_force(spark):
     got = q.apply_quality_rules(docs, spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, stratum string"))
     want = verdicts(rows, labels)
     assert sorted(((r.doc_id, r.kept) for r in got.collect()), key=str) == want
-    assert got.filter("not kept and not base_failed").count() > 50 and got.filter("level > 0").count() > 1000
+    assert got.filter("not kept and not base_failed").count() > 20 and got.filter("level > 0").count() > 1000
     assert got.filter("stratum = 'xx' and level > 0").count() == 0
 
 
@@ -155,3 +155,47 @@ def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in t.score_toxicity(docs, labels).collect()] == [0]
     assert t.score_toxicity(docs.limit(0), labels).withColumn("x", F.lit(1)).count() == 0
+
+
+def test_scores_equal_brute_force(spark):
+    """The scores of a table against the model's definition: each window compressed with each dictionary by itself, nothing kept."""
+    import zstandard
+
+    draw = random.Random(2)
+    rows = []
+    for i in range(600):
+        words = [f"{draw.choice('abcdefghij')}{draw.choice('lmnop')}ion{draw.randrange(37)}" for _ in range(draw.choice([0, 1, 3, 60, 61]))]
+        rows.append((i, " ".join(words[:30] + ["You", "disgusting", "IDIOT"] * (i % 4 == 0 and len(words) > 30) + words[30:]), i % 4 == 0))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
+    sample = t.labelled_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), t.MAX_TOXIC, t.MAX_ORDINARY, t.MAX_BYTES)
+    assert len(sample) == len({x for _, x, _ in rows})
+    model = t.fit(t.labelled_sample(docs, labels, "doc_id", "text", "toxic", t.id_fold(F.col("doc_id"), 5) != 0, t.MAX_TOXIC, t.MAX_ORDINARY, t.MAX_BYTES))
+    parameters = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(dictionary, data):
+        content = zstandard.ZstdCompressionDict(dictionary + b"ABCDEFGHIJKLMNOP", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=content, compression_params=parameters).compress(data))
+
+    def score(text):
+        words = text.lower().split()
+        starts = range(0, max(len(words) - 2, 1), 2) if words else []
+        windows = [" ".join(words[k : k + 4]).encode() for k in starts]
+        gains = [length(model.ordinary, d) - length(model.toxic, d) for d in (b"ABCDEFGHIJKLMNOP " + w + b" QZXJVKWYBFPMGCHUQX" for w in windows)]
+        counts = [sum(g >= least for g in gains) for least in t.GAINS]
+        n = len(windows)
+        x = [math.log1p(c) for c in [*counts, n]] + [10 * counts[k] / max(n, 1) for k in (1, 3)] + [1]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    texts = {i: x for i, x, _ in rows}
+    for r in t.score_toxicity(docs, labels).filter("doc_id % 7 = 0").collect():
+        assert math.isclose(r.score, score(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_training_reads_whole_texts():
+    """What tells toxic text may stand behind the first thousands of words, in ordinary and in toxic texts."""
+    plain = lambda k: " ".join(f"{'abcdefghij'[(k * n) % 10]}{'lmnop'[n % 5]}ion{(k + n) % 37}" for n in range(2200))
+    rows = [(f"{plain(k)} {'pathetic worthless scum' if k % 2 else 'quiet gentle words'}", k % 2, k % 4 < 2) for k in range(80)]
+    model = t.fit([*rows, ("", 0, False), ("a", 1, False)])
+    meter = t.Meter(model.ordinary, model.toxic, model.window)
+    assert meter.gain[b"pathetic worthless scum"] >= 5 > meter.gain[b"quiet gentle words"]
