@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import discard, materialize
 
-__all__ = ["WORD", "Memo", "id_fold", "lower_words", "materialize", "mix", "pack", "released", "table", "unpack"]
+__all__ = ["WORD", "Memo", "discard", "id_fold", "lower_words", "materialize", "mix", "pack", "released", "table", "unpack"]
 
 T = TypeVar("T")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,9 +25,11 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            break
+        settled = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        discard(least, large, low, edges)
         edges = after
+        if settled:
+            break
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

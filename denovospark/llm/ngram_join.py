@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, lower_words, materialize, mix, pack, released, unpack
+from .common import Memo, discard, lower_words, materialize, mix, pack, released, unpack
 from .components import connected_components
 
 COMMON, COMMON_FROM = 1 << 20, 6
@@ -425,12 +425,11 @@ def _meet(rows: pa.Table, percent: int, least: int, whole: bool) -> pa.Table:
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "linked"])
 
 
-def met(meetings: DataFrame, sets: DataFrame, percent: int, least: int, whole: bool) -> DataFrame:
-    """Hold all ``meetings``, rows (meeting, probe, fp, root), on the ``sets`` (fp, keys) of their classes."""
-    joined = materialize(meetings.join(sets, "fp"), "ngram-meetings")
-    keys = joined.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+def met(meetings: DataFrame, percent: int, least: int, whole: bool) -> DataFrame:
+    """Hold all ``meetings``: rows (meeting, probe, fp, root, keys)."""
+    keys = meetings.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
     task = F.pmod("meeting", F.lit(keys // BLOCK_KEYS + 16)).cast("int")
-    return joined.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _meet(t, percent, least, whole), "a binary, b binary, linked boolean")
+    return meetings.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _meet(t, percent, least, whole), "a binary, b binary, linked boolean")
 
 
 def partners(pairs: DataFrame, size_b: str) -> DataFrame:
@@ -501,14 +500,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts = source.join(own, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("id", "text", F.lit(0).cast("long").alias("bit"))
             sets = texts.mapInArrow(lambda b: released(_sets(b, None, shipped.value, width)), "id long, fp binary, keys binary")
         named = sets.join(nodes, "fp").filter(F.col("id").eqNullSafe(F.col("least"))).select("fp", "keys")
-        return materialize(named.dropDuplicates(["fp"]), "ngram-sets", "zstd")
+        found = materialize(named.dropDuplicates(["fp"]), "ngram-sets", "zstd")
+        discard(nodes)
+        if held <= FILTER_CLASSES:
+            filtered.destroy()
+        return found
+
+    def links_of(meetings: DataFrame, least: int, whole: bool) -> DataFrame:
+        sets = sets_of(meetings)
+        joined = materialize(meetings.join(sets, "fp"), "ngram-meetings", "zstd")
+        discard(sets)
+        found = materialize(met(joined, percent, least, whole), "ngram-links")
+        discard(joined, meetings)
+        return found
 
     summed = materialize(counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys"), F.max("large").alias("large")), "ngram-counted")
     # each class with the one before it by name that it shares most keys with: as many pairs as classes, and most families are one component then
     best = lambda df: df.groupBy("b").agg(F.max_by(F.struct("a", "size_b"), F.struct("keys", "a")).alias("x")).select("x.a", "b", "x.size_b")
     first = materialize(best(summed.filter(enough_keys(percent))).union(best(summed.filter("large"))).distinct(), "ngram-first")
     unrooted = materialize(partners(first, "size_b").withColumn("root", F.lit(None).cast("binary")), "ngram-rows")
-    near = materialize(met(unrooted, sets_of(unrooted), percent, FAMILY, True), "ngram-near")
+    discard(summed, first)
+    near = links_of(unrooted, FAMILY, True)
     roots = materialize(connected_components(near.filter("linked")), "ngram-roots")
     families = materialize(connected_components(near).select(F.col("node").alias("fp"), F.col("root").alias("family")), "ngram-families")
 
@@ -518,12 +530,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     arrays = shared.filter("tokens is not null").select("range", *blank(["fp", "family"]), "tokens", "nodes", "fps", "sizes")
     crossed = named.unionByName(arrays).groupBy("range").applyInArrow(lambda t: _across(t, percent), "a binary, b binary, size_a long, size_b long, keys long")
     crossed = materialize(crossed.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys")).filter(enough_keys(percent)).select("a", "b", "size_b"), "ngram-crossed")
+    discard(shared)
     root = roots.select(F.col("node").alias("fp"), "root")
     members = families.join(classes.select("fp", "n"), "fp").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     meetings = materialize(blocks(materialize(members, "ngram-members")).unionByName(partners(crossed, "size_b")).join(root, "fp", "left"), "ngram-rows")
-    across = met(meetings, sets_of(meetings), percent, percent, False)
-    links = materialize(near.filter("linked").select("a", "b").unionByName(across.select("a", "b")), "ngram-links")
-    roots = materialize(connected_components(links), "ngram-roots")
+    across = links_of(meetings, percent, False)
+    shipped.destroy()
+    roots = materialize(connected_components(near.filter("linked").select("a", "b").unionByName(across.select("a", "b"))), "ngram-roots")
+    discard(near, across)
 
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "ngram-named")

@@ -42,3 +42,13 @@ def test_planted_cases(spark, tmp_path):
     source = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, source.limit(0), str(tmp_path)).columns == source.columns
+
+
+def test_repeated_ids(spark, tmp_path):
+    """Equal rows of an id are one; its different texts all stay, whatever other columns are named."""
+    words = lambda a: " ".join(f"w{a}x{k}" for k in range(30))
+    rows = [(1, words(1), "z", 1), (1, words(1), "y", 2), (1, words(2), "y", 3), (2, words(1), "x", 4), (None, words(1), "n", 5), (None, words(1), "n", 5), (3, None, "a", 6), (3, None, "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _private string, member int").repartition(3)
+    got = {(r.doc_id, r.text, r._private, r.member) for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()}
+    assert got == {(1, words(1), "y", 2), (1, words(2), "y", 3), (None, words(1), "n", 5), (3, None, "a", 6)}
+    assert corpus_pipeline.near_copies(spark, docs, str(tmp_path)).columns == docs.columns
