@@ -13,14 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 
-@lru_cache(maxsize=2)
 def _codec(path: str):
     import public_tokenizers
     import tiktoken
@@ -125,7 +125,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator
 def _mapped(df: DataFrame, id_col: str, value_col: str, function, path: str, leaf: int, columns: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
-    return source.mapInArrow(lambda batches: function(batches, path, leaf), f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lambda batches: released(function(batches, path, leaf)), f"id {kind}, {columns}").withColumnRenamed("id", id_col)
 
 
 def encode_bpe(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 4096) -> DataFrame:

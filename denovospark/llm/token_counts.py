@@ -5,26 +5,27 @@ position that starts a pre-token in both. Why that is exact: pre-tokens are matc
 back, and the merges of one pre-token don't depend on the others, so the encoding from such a position on depends on the
 text from there on alone. The left chunk's own boundary counts only if everything that its matcher may have looked at
 lies within the chunk: a special string that begins before the boundary, a contraction, and the white space that runs
-up to it. Where the overlap holds no such position, the left chunk is encoded again with an overlap twice as long.
+up to it. Where the overlap holds no such position, the left chunk is encoded again with an overlap twice as long, and keeps it
+for the chunks that follow until a position is found: text without any is encoded a bounded number of times over, however long.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Characters that a match before a boundary may look at beyond it: the longest special string and a contraction.
 MARGIN = 16
 #: Chunks that are encoded at once.
 GROUP = 512
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -52,11 +53,11 @@ def common_boundary(text: str, left, left_at: int, left_end: int, right, right_a
 
 def splice(text: str, encode, first: list, step: int, overlap: int) -> tuple[int, int]:
     """Tokens of ``text``, and how often an overlap had to be widened. ``first``: the encodings of its chunks."""
-    n, total, widened = len(text), 0, 0
+    n, total, widened, wide = len(text), 0, 0, overlap
     left, left_at, left_end, begin = first[0], 0, min(n, step + overlap), 0
     for k in range(1, len(first)):
         right_at = k * step
-        right_end, wide = min(n, right_at + step + overlap), overlap
+        right_end = min(n, right_at + step + overlap)
         while left_end < n and (found := common_boundary(text, left, left_at, left_end, first[k], right_at)) is None:
             if left_end >= right_end:  # the left chunk covers the right one
                 break
@@ -68,7 +69,7 @@ def splice(text: str, encode, first: list, step: int, overlap: int) -> tuple[int
         if found is None:
             continue
         total += found[1] - begin
-        left, left_at, left_end, begin = first[k], right_at, right_end, found[2]
+        left, left_at, left_end, begin, wide = first[k], right_at, right_end, found[2], overlap
     return total + len(left) - begin, widened
 
 
@@ -122,7 +123,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     counted = source.mapInArrow(
-        lambda batches: _count(batches, tokenizer_path, step, overlap, limit),
+        lambda batches: released(_count(batches, tokenizer_path, step, overlap, limit)),
         f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int",
     )
     return counted.withColumnRenamed("id", id_col)

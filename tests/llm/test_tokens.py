@@ -53,3 +53,17 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, JSON).count() == 0
     assert bpe_tree.digest_bpe(none, RANKS).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, " " * 700_000 + "end"])
+def test_long_texts_without_boundaries(text):
+    """Work grows with the length: few encodings of the whole, however many chunks there are."""
+    tokenizer, done = token_counts._tokenizer(JSON), []
+
+    def encode(part):
+        done.append(len(part))
+        return tokenizer.encode(part, add_special_tokens=False)
+
+    first = tokenizer.encode_batch(token_counts._chunks(text, 2048, 64), add_special_tokens=False)
+    assert token_counts.splice(text, encode, first, 2048, 64)[0] == len(tokenizer.encode(text, add_special_tokens=False))
+    assert sum(done) <= 4 * len(text)
