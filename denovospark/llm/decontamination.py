@@ -68,16 +68,29 @@ def _hashes(df: DataFrame, name: str, words: Column, length: int) -> DataFrame:
     return df.withColumn(name, F.col(out))
 
 
-def windows(texts: DataFrame, key: str, length: int) -> DataFrame:
-    """(key, words, at, hash, exact) for every run of ``length`` words of the canonical ``words``: by its template, and if it has slots, once more by its plain words."""
-    df = _hashes(texts.select(key, "words"), "_t", template(F.col("words")), length)
+def windows(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, at, hash, exact) for every run of ``length`` words of the canonical ``words``: by its template, and if it has slots, once more by its plain words.
+
+    ``keys`` are repeated with each run, so what is as long as a text doesn't belong there.
+    """
+    df = _hashes(texts.select(*dict.fromkeys([*keys, "words"])), "_t", template(F.col("words")), length)
     df = _hashes(df, "_p", plain(F.col("words")), length)
     row = lambda exact: lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(exact).alias("exact"))
     more = F.filter(F.zip_with(F.transform("_p", row(True)), "_t", lambda p, t: F.when(p["hash"] != t, p)), lambda p: p.isNotNull())
     every = F.transform("_t", row(False))
     df = df.withColumn("_all", F.when(F.instr("words", "#") > 0, F.concat(every, more)).otherwise(every))
     # outer: else Spark would filter by the array's size first, and compute all of it a second time for that
-    return df.select(key, "words", F.explode_outer("_all").alias("w")).select(key, "words", "w.at", "w.hash", "w.exact").filter("hash is not null")
+    return df.select(*keys, F.explode_outer("_all").alias("w")).select(*keys, "w.at", "w.hash", "w.exact").filter("hash is not null")
+
+
+def windows_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, length, at, window) for all ``places`` (id, length, at) of the raw texts (id, text): each text is cut into words once."""
+    held = places.groupBy("id").agg(F.collect_set(F.struct("length", "at")).alias("places"))  # as many as the text has words
+    found = texts.join(held, "id").select("id", "places", F.split(canonical(F.col("text")), " ").alias("list"))
+    # named twice, so that the list isn't made anew for each place
+    inside = F.filter("places", lambda p: p["at"] + p["length"] <= F.size("list"))
+    cut = F.transform(inside, lambda p: F.struct(p["length"].alias("length"), p["at"].alias("at"), F.array_join(F.slice("list", p["at"] + 1, p["length"]), " ").alias("window")))
+    return found.select("id", F.explode(cut).alias("w")).select("id", "w.length", "w.at", "w.window").distinct()
 
 
 def window_at(words: Column, at: Column, length: int) -> Column:
@@ -103,14 +116,14 @@ def find_leaks(
     verbatim or reparameterised. At least ``least_windows`` windows and ``least_share`` of an item's have to match, or all of
     fewer: of all its windows, or of those that aren't mostly slots, as others can't match with other values. An item shorter than a window is one window of its own length. Null and empty texts and null ids match nothing;
     repeated rows of an id are one document; repeated items are found as one. Other columns are not read. Empty tables
-    give an empty result. The texts are read once; only matches are shuffled, unless the benchmark is too large to broadcast.
+    give an empty result. Only matches are shuffled, unless the benchmark is too large to broadcast; texts with matches are read a second time.
     """
     items = benchmark.select(F.col(item_col).alias("item"), canonical(F.col(item_text_col)).alias("words")).filter("item is not null and words <> ''").distinct()
     items = items.withColumn("length", F.least(F.size(F.split("words", " ")), F.lit(WINDOW)))
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # WINDOW at most
     sides = []
     for n in lengths:
-        own = windows(items.filter(F.col("length") == n), "item", n).withColumn("item_window", window_at(F.col("words"), F.col("at"), n))
+        own = windows(items.filter(F.col("length") == n), ["item", "words"], n).withColumn("item_window", window_at(F.col("words"), F.col("at"), n))
         own = own.withColumn("worded", mostly_words(F.col("item_window"), n)).filter("worded or exact")
         sides.append(own.select("item", F.col("at").alias("item_at"), "item_window", "hash", "worded", F.lit(n).alias("length")))
     if not sides:  # no items
@@ -121,19 +134,21 @@ def find_leaks(
     item_side = materialize(item_side, "leak-items")
     of_item = materialize(item_side.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows"), F.countDistinct(F.when(F.col("worded"), F.col("item_at"))).alias("item_worded")), "leak-sizes")
     small = item_side.count() <= BROADCAST_WINDOWS
-    texts = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("words")).filter("id is not null")
-    matched = None
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    texts = raw.select("id", canonical(F.col("text")).alias("words"))
+    met = None
     for n in lengths:
         own = item_side.filter(F.col("length") == n).drop("length")
-        met = windows(texts, "id", n).join(F.broadcast(own) if small else own, "hash")
-        met = met.withColumn("window", window_at(F.col("words"), F.col("at"), n))
-        # equal words or templates; as an equation it would become a join key, and be computed for all windows
-        same = lambda f: F.startswith(F.concat(f(F.col("window")), F.lit("|")), F.concat(f(F.col("item_window")), F.lit("|")))
-        met = met.filter(same(plain) | (F.col("worded") & same(template)))
-        # equal words have equal values, whatever the slots that the document's case gives them
-        met = met.select("id", "item", "item_at", "worded", (F.col("at") - F.col("item_at")).alias("shift"), F.when(same(plain), F.col("item_window")).otherwise(F.col("window")).alias("window"), "item_window")
-        matched = met if matched is None else matched.unionByName(met)
-    matched = materialize(matched, "leak-matches")
+        rows = windows(texts, ["id"], n).join(F.broadcast(own) if small else own, "hash").select("id", "item", "item_at", "item_window", "worded", F.lit(n).alias("length"), "at")
+        met = rows if met is None else met.unionByName(rows)
+    met = materialize(met.distinct(), "leak-met")
+    matched = met.join(windows_at(raw, met.select("id", "length", "at").distinct()), ["id", "length", "at"])
+    # equal words or templates; as an equation it would become a join key
+    same = lambda f: F.startswith(F.concat(f(F.col("window")), F.lit("|")), F.concat(f(F.col("item_window")), F.lit("|")))
+    matched = matched.filter(same(plain) | (F.col("worded") & same(template)))
+    # equal words have equal values, whatever the slots that the document's case gives them
+    now = F.when(same(plain), F.col("item_window")).otherwise(F.col("window"))
+    matched = materialize(matched.select("id", "item", "item_at", "worded", (F.col("at") - F.col("item_at")).alias("shift"), now.alias("window"), "item_window"), "leak-matches")
 
     slots = matched.filter("instr(item_window, '#') > 0").select("id", "item", "shift", F.explode(F.arrays_zip(_values("item_window").alias("was"), _values("window").alias("now"))).alias("s"))
     slots = slots.select("id", "item", "shift", "s.was", "s.now").distinct()

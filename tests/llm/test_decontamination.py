@@ -53,3 +53,9 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
     assert find_leaks(docs, bench).count() == 1
+
+
+def test_one_long_text_of_copies(spark):
+    """100,000 words, all of which match: each text is cut into words once, whatever the number of matches."""
+    got = found(spark, [(ITEM + " ") * 3700], [ITEM])
+    assert got[0, 0].kind == "verbatim" and got[0, 0].n_windows == got[0, 0].item_windows
