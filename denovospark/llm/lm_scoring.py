@@ -11,6 +11,8 @@ Documents are turned once into blocks of about BLOCK tokens with a vocabulary of
 its distinct tokens and bigrams: sorted 64-bit keys with the block's own counts, shuffled as arrays by ranges of the key. Each
 range adds up and answers every block in the order of its question, so that neither texts nor tokens meet the counts in a
 row-by-row join, a frequent token costs no more than a rare one (once per block), and no vocabulary is ever in one place.
+A block asks FAN ranges at most. Where more are needed, the questions of FAN blocks to one range are added up, and asked of its parts
+as one; so the number of messages grows with the data and not with its square.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_fold, lower_words, materialize, mix, pack, unpack
+from .common import discard, id_fold, lower_words, materialize, mix, pack, released, unpack
 
 BLOCK = 1_000_000
-#: Blocks whose keys a range holds, about.
-BLOCKS_PER_RANGE = 2
+#: Blocks whose keys a range holds, about, and ranges that one block asks.
+BLOCKS_PER_RANGE, FAN = 2, 256
 #: Context counts 0, 1, 2-3, 4-7, ...
 BUCKETS = 32
 #: Held-out counts are added up by estimates rounded to so many steps an octave; NONE stands for an estimate of 0.
@@ -104,7 +107,7 @@ class Block:
 
     def counts(self, which: int, mask: np.ndarray) -> np.ndarray:
         at = self.place[self.tokens[mask]] if which == TOKENS else self.pair_of[mask]
-        return np.bincount(at, minlength=len(self.token_keys if which == TOKENS else self.pair_keys)).astype(np.int32)
+        return np.bincount(at, minlength=len(self.token_keys if which == TOKENS else self.pair_keys)).astype(np.int64)
 
 
 def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
@@ -112,22 +115,69 @@ def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
         yield {name: table.column(name)[k].as_py() for name in table.schema.names}
 
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+_QUESTION = "range int, block long, keys binary, rest binary, deleted binary"
+_ANSWER = "range int, block long, rest binary, whole binary, n_rest long, n_whole long"
+
+
+def _parted(which: int, part: int, parts: int, cut: int, block: int, keys: np.ndarray, rest: np.ndarray, deleted: np.ndarray) -> list[tuple]:
+    """Questions to the ``cut`` parts of ``part``, one of ``parts`` equal ranges of the keys."""
+    low, high = (part << 64) // parts, ((part + 1) << 64) // parts
+    edges = np.array([low + (high - low) * k // cut for k in range(1, cut)], np.uint64)
+    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    slices = ((k, slice(cuts[k], cuts[k + 1])) for k in range(cut) if cuts[k] < cuts[k + 1])
+    return [(2 * (part * cut + k) + which, block, keys[s].tobytes(), pack(rest[s]), pack(deleted[s])) for k, s in slices]
+
+
+def _questions(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=["range", "block", "keys", "rest", "deleted"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in _rows(batch):
             block, out = Block(row), []
             for which, keys in ((TOKENS, block.token_keys), (PAIRS, block.pair_keys)):
-                deleted, rest = block.counts(which, block.fold_of == 1), block.counts(which, block.fold_of > 1)
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                for k in range(ranges):
-                    part = slice(cuts[k], cuts[k + 1])
-                    if cuts[k] < cuts[k + 1]:
-                        out.append((2 * k + which, row["block"], keys[part].tobytes(), pack(rest[part]), pack(deleted[part])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                names=["range", "block", "keys", "rest", "deleted"],
-            )
+                out += _parted(which, 0, 1, cut, row["block"], keys, block.counts(which, block.fold_of > 1), block.counts(which, block.fold_of == 1))
+            yield _questions(out)
+
+
+def _gather(table: pa.Table, groups: int) -> pa.Table:
+    """The questions of a group of blocks to one range as one: distinct keys with added counts, and where each block's keys are among them."""
+    asked = list(_rows(table))
+    keys, at = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in asked]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpack(r[c], np.int64) for r in asked]), len(keys)).astype(np.int64) for c in ("rest", "deleted")]
+    sizes = [len(r["keys"]) // 8 for r in asked]
+    values = [asked[0]["range"], asked[0]["range"] * groups + asked[0]["group"], keys.tobytes(), *map(pack, sums), [r["block"] for r in asked], sizes, pack(at.astype(np.int32))]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["range", "block", "keys", "rest", "deleted", "members", "sizes", "places"])
+
+
+def _ask_again(batches: Iterator[pa.RecordBatch], parts: int, cut: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in _rows(batch):
+            part, which = divmod(row["range"], 2)
+            yield _questions(_parted(which, part, parts, cut, row["block"], np.frombuffer(row["keys"], np.uint64), unpack(row["rest"], np.int64), unpack(row["deleted"], np.int64)))
+
+
+def _spread(gathered: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a question that was asked for several blocks, one for each of them."""
+    out: list[tuple] = []
+    for row in _rows(gathered):
+        heard = sorted(_rows(answers), key=lambda r: r["range"])
+        rest, whole = (np.concatenate([unpack(r[c], np.int64) for r in heard]) for c in ("rest", "whole"))
+        places, begin = unpack(row["places"], np.int32), 0
+        new = [sum(r[c] for r in heard) for c in ("n_rest", "n_whole")]
+        for k, (block, size) in enumerate(zip(row["members"], row["sizes"], strict=True)):
+            own = places[begin : begin + size]
+            out.append((row["range"], block, pack(rest[own]), pack(whole[own]), *(new if k == 0 else (0, 0))))
+            begin += size
+    return _answers(out)
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=["range", "block", "rest", "whole", "n_rest", "n_whole"])
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -135,15 +185,31 @@ def _answer(table: pa.Table) -> pa.Table:
     asked = list(_rows(table))
     keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in asked])
     distinct, at = np.unique(keys, return_inverse=True)
-    sums = {c: np.bincount(at, np.concatenate([unpack(r[c], np.int32) for r in asked]), len(distinct)).astype(np.int64) for c in ("rest", "deleted")}
+    sums = {c: np.bincount(at, np.concatenate([unpack(r[c], np.int64) for r in asked]), len(distinct)).astype(np.int64) for c in ("rest", "deleted")}
     whole = sums["rest"] + sums["deleted"]
     rest_at, whole_at, begin, out = sums["rest"][at], whole[at], 0, []
     for k, r in enumerate(asked):
         end = begin + len(r["keys"]) // 8
-        out.append((r["range"], r["block"], pack(rest_at[begin:end]), pack(whole_at[begin:end]), *([int((sums["rest"] > 0).sum()), int((whole > 0).sum())] if k == 0 else [0, 0])))
+        new = [int((sums["rest"] > 0).sum()), int((whole > 0).sum())] if k == 0 else [0, 0]
+        out.append((r["range"], r["block"], pack(rest_at[begin:end]), pack(whole_at[begin:end]), *new))
         begin = end
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["range", "block", "rest", "whole", "n_rest", "n_whole"])
+    return _answers(out)
+
+
+def answered(asked: DataFrame, blocks: int, ranges: int, parts: int) -> DataFrame:
+    """Answers (_ANSWER) to the questions of ``blocks`` blocks, which are cut into ``parts`` ranges; to be added up in ``ranges`` or a few more."""
+    if parts >= ranges:
+        return materialize(asked.groupBy("range").applyInArrow(_answer, _ANSWER), "lm-answers", "zstd")
+    groups, cut = -(-blocks // FAN), min(FAN, -(-ranges // parts))
+    grouped = asked.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("range", "group")
+    gathered = grouped.applyInArrow(lambda t: _gather(t, groups), _QUESTION + ", members array<long>, sizes array<long>, places binary")
+    gathered = materialize(gathered, "lm-gathered", "zstd")
+    finer = gathered.select("range", "block", "keys", "rest", "deleted").mapInArrow(lambda b: released(_ask_again(b, parts, cut)), _QUESTION)
+    heard = answered(finer, groups, ranges, parts * cut)
+    own = gathered.select("range", "block", "members", "sizes", "places").groupBy("block")
+    spread = materialize(own.cogroup(heard.groupBy("block")).applyInArrow(_spread, _ANSWER), "lm-answers", "zstd")
+    discard(gathered, heard)
+    return spread
 
 
 def _heard(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +287,13 @@ def expectation_maximisation(counts: list[tuple[int, int, int, int]], vocabulary
     return weights
 
 
+def _weights(counts: pa.Table, vocabulary: int) -> pa.Table:
+    """The weights of one bucket."""
+    rows = list(zip(*(counts.column(c).to_pylist() for c in ("bucket", "pair", "single", "n")), strict=True))
+    b = rows[0][0]
+    return pa.table([pa.array([x]) for x in (b, *map(float, expectation_maximisation(rows, vocabulary)[b]))], names=["bucket", "a2", "a1", "a0"])
+
+
 def _score(blocks: pa.Table, answers: pa.Table, weights: np.ndarray, n: int, v: int, kind: pa.DataType) -> pa.Table:
     tokens, pairs = _heard(answers, "whole")
     out: list[pa.Table] = []
@@ -245,22 +318,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability is uniform. An empty table gives an empty result. Other columns are not read. Blocks and answers are tables in
     the shared folder; fold 1 is the one that is deleted from the counts to fit the weights.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])]).field("id").type
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(id_fold(F.col(id_col), folds), F.lit(folds - 1)).cast("int").alias("fold"), F.col(text_col).alias("text"))
-    blocks = materialize(source.mapInArrow(lambda b: _blocks(b, arrow, block), f"block long, ids array<{kind}>, folds binary, lengths binary, tokens binary, keys binary"), "lm-blocks", "zstd")
-    ranges = blocks.count() // BLOCKS_PER_RANGE + 8
-    asked = blocks.mapInArrow(lambda b: _ask(b, ranges), "range int, block long, keys binary, rest binary, deleted binary")
-    answers = materialize(asked.groupBy("range").applyInArrow(_answer, "range int, block long, rest binary, whole binary, n_rest long, n_whole long"), "lm-answers", "zstd")
-    v_rest, v = answers.filter(F.col("range") % 2 == TOKENS).agg(F.coalesce(F.sum("n_rest"), F.lit(0)), F.coalesce(F.sum("n_whole"), F.lit(0))).first()
-    folded = blocks.select("folds", "lengths").mapInArrow(_totals, "n_rest long, n long").agg(F.coalesce(F.sum("n_rest"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_rest, n = folded
+    kind, arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    fold = F.coalesce(id_fold(F.col(id_col), folds), F.lit(folds - 1)).cast("int").alias("fold")
+    source = docs.select(F.col(id_col).alias("id"), fold, F.col(text_col).alias("text"))
+    schema = f"block long, ids array<{kind}>, folds binary, lengths binary, tokens binary, keys binary"
+    blocks = materialize(source.mapInArrow(lambda b: released(_blocks(b, arrow, block)), schema), "lm-blocks", "zstd")
+    held = blocks.count()
+    ranges = held // BLOCKS_PER_RANGE + 8
+    parts = min(ranges, FAN)
+    answers = answered(blocks.mapInArrow(lambda b: released(_ask(b, parts)), _QUESTION), held, ranges, parts)
+    none = F.lit(0)
+    v_rest, v = answers.filter(F.col("range") % 2 == TOKENS).agg(F.coalesce(F.sum("n_rest"), none), F.coalesce(F.sum("n_whole"), none)).first()
+    n_rest, n = blocks.select("folds", "lengths").mapInArrow(_totals, "n_rest long, n long").agg(F.coalesce(F.sum("n_rest"), none), F.coalesce(F.sum("n"), none)).first()
     heard = answers.select("range", "block", "rest", "whole")
-    held_out = blocks.mapInArrow(_deleted, "block long, first binary, second binary, pair binary, n binary").groupBy("block").cogroup(heard.drop("whole").groupBy("block")).applyInArrow(
-        lambda a, b: _held_out(a, b, n_rest), "bucket long, pair long, single long, n long"
-    )
-    counts = held_out.groupBy("bucket", "pair", "single").agg(F.sum("n").alias("n")).collect()  # bounded by buckets x rounded estimates
-    weights = expectation_maximisation([tuple(r) for r in counts], v_rest)
-    return blocks.groupBy("block").cogroup(heard.drop("rest").groupBy("block")).applyInArrow(
+    deleted = blocks.mapInArrow(lambda b: released(_deleted(b)), "block long, first binary, second binary, pair binary, n binary")
+    held_out = deleted.groupBy("block").cogroup(heard.drop("whole").groupBy("block")).applyInArrow(lambda a, b: _held_out(a, b, n_rest), "bucket long, pair long, single long, n long")
+    counts = held_out.groupBy("bucket", "pair", "single").agg(F.sum("n").alias("n"))
+    fitted = counts.groupBy("bucket").applyInArrow(lambda t: _weights(t, v_rest), "bucket long, a2 double, a1 double, a0 double").collect()  # BUCKETS rows at most
+    weights = expectation_maximisation([], v_rest)
+    for r in fitted:
+        weights[r["bucket"]] = [r["a2"], r["a1"], r["a0"]]
+    scored = blocks.groupBy("block").cogroup(heard.drop("rest").groupBy("block")).applyInArrow(
         lambda a, b: _score(a, b, weights, n, v, arrow), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    ).withColumnRenamed("id", id_col)
+    )
+    return scored.withColumnRenamed("id", id_col)

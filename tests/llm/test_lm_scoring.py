@@ -51,8 +51,9 @@ def brute(rows, folds=10):
     return out
 
 
-@pytest.mark.parametrize("block", [40, 1_000_000])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "fan"), [(40, 256), (200, 4), (1_000_000, 256)])
+def test_equals_brute_force(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(lm, "FAN", fan)
     words = "the of and Tion ing ble ou 日本 é x".split(" ")
     rows = [(i, " ".join(words[(i * k + k // 3) % (3 + i % 8)] for k in range(i % 40))) for i in range(300)]
     rows += [(7, rows[7][1]), (None, "the of"), (1001, None), (1002, ""), (1003, "new words only"), (1004, "the " * 3000)]
@@ -75,3 +76,28 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and math.isfinite(r.score)
+
+
+def test_messages_grow_with_the_blocks(spark, monkeypatch):
+    """However many ranges there are, a block's questions are FAN for each of its two tables and step at most."""
+    monkeypatch.setattr(lm, "FAN", 4)
+    asked, answered = [], lm.answered
+
+    def counted(questions, blocks, ranges, parts):
+        asked.append((questions.count(), blocks))
+        return answered(questions, blocks, ranges, parts)
+
+    monkeypatch.setattr(lm, "answered", counted)
+    rows = [(i, " ".join(f"w{i * k % 211}" for k in range(60))) for i in range(110)]
+    score = lambda n: lm.score_documents(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(1), block=50).count()
+    for n in (1, 10, 110):
+        asked.clear()
+        assert score(n) == n
+        assert asked[0][1] == n and all(count <= 2 * 4 * (n + 16) for count, _ in asked)
+    assert len(asked) >= 3
+
+
+def test_other_ids(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id for r in lm.score_documents(docs).collect()} == {"a", "b"}
+    assert {r.doc_id for r in lm.score_documents(docs.selectExpr("cast(ascii(doc_id) as decimal(20, 0)) doc_id", "text")).collect()} == {97, 98}
