@@ -15,20 +15,21 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the roots. Every round is written to the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))).first()
+    held = state(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: a node's larger neighbours are linked with its least neighbour
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         # small star: its smaller neighbours, and the node itself
         large = materialize(large, "cc-large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        settled = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
-        discard(least, large, low, edges)
-        edges = after
-        if settled:
+        discard(large, edges)
+        edges, before, held = after, held, state(after)
+        if held == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -17,20 +17,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, lower_words, materialize, mix, pack, released, unpack
+from .common import discard, materialize, mix, pack, released, unpack
 from .components import connected_components
 
 COMMON, COMMON_FROM = 1 << 20, 6
 _LAST = np.uint64(1 << 63)
 #: Similarity in percent from which two classes are of one family.
-FAMILY = 50
+FAMILY = 30
 #: Classes and keys of a prefix tree, about.
 BLOCK, BLOCK_KEYS = 128, 1 << 21
 #: Classes of a key up to which all their pairs are counted at once.
@@ -39,29 +39,53 @@ SMALL_GROUP = 16
 CELLS = 1 << 22
 #: Keys in a range, and ranges into which an array is cut at once.
 RANGE_KEYS, FAN = 1_500_000, 64
-#: Classes whose sets are found by a broadcast filter of eight bits each; more are found by a join.
-FILTER_CLASSES = 1 << 22
-
-
-def _word_hashes() -> Memo:
-    import xxhash
-
-    return Memo(xxhash.xxh3_64_intdigest, 1 << 17)
-
-
-def shingle_keys(text: str | None, width: int = 5, hashes: Memo | None = None) -> np.ndarray:
-    """Sorted distinct 63-bit keys of the text's shingles; of fewer words, the whole sequence is one."""
-    words = lower_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map((hashes or _word_hashes()).__getitem__, words), np.uint64, len(words))
-    width = min(width, len(h))
-    # word hashes are uniform already: a polynomial in an odd number keeps their order apart, one finaliser spreads it
-    out = h[: len(h) - width + 1] + np.uint64(width)
-    for k in range(1, width):
-        out = out * np.uint64(0x7FB5D329728EA185) + h[k : len(h) - width + 1 + k]
-    out = np.sort(mix(out) >> np.uint64(1))
-    return out[np.append(True, out[1:] != out[:-1])]
+#: Classes whose sets are found by a broadcast filter of 64 to 128 bits each; more are found by a join.
+FILTER_CLASSES = 1 << 20
+
+
+_ROOT = 0x7FB5D329728EA185
+#: A number for each byte: the same for a letter in either case, 0 for white space.
+_BYTES = np.arange(256, dtype=np.uint64)
+_BYTES[65:91] += np.uint64(32)
+_SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
+_BYTES = np.where(_SPACE, np.uint64(0), mix(_BYTES + np.uint64(0x1F83D9ABFB41BD6B)))
+
+
+class Shingles:
+    """Keys of texts' shingles. A word's hash is the sum of its bytes' numbers times powers of _ROOT, modulo 2^64."""
+
+    def __init__(self, width: int = 5) -> None:
+        self.width, self.powers, self.inverses = width, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            steps = np.ones(max(n, 1 << 16), np.uint64)
+            steps[1:] = _ROOT
+            self.powers = np.cumprod(steps)
+            steps[1:] = pow(_ROOT, -1, 1 << 64)
+            self.inverses = np.cumprod(steps)
+
+    def words(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+        self._grow(len(data))
+        space = np.concatenate([[True], _SPACE[data], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.append(np.uint64(0), np.cumsum(_BYTES[data] * self.powers[: len(data)]))
+        return mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def keys(self, text: str | None) -> np.ndarray:
+        """Sorted distinct 63-bit keys of the text's shingles; of fewer words, the whole sequence is one."""
+        h = self.words(text)
+        if not len(h):
+            return np.empty(0, np.uint64)
+        width = min(self.width, len(h))
+        # word hashes are uniform already: a polynomial in an odd number keeps their order apart, one finaliser spreads it
+        out = h[: len(h) - width + 1] + np.uint64(width)
+        for k in range(1, width):
+            out = out * np.uint64(_ROOT) + h[k : len(h) - width + 1 + k]
+        out = np.sort(mix(out) >> np.uint64(1))
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def fingerprint(keys: np.ndarray) -> bytes:
@@ -85,12 +109,12 @@ def ordered(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row (id, n, fp) for each text, and a last one for each batch with the keys that several of its classes hold."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    hashes = _word_hashes()
+    shingles = Shingles(width)
     names = ["id", "n", "fp", "keys", "held"]
     for batch in batches:
         n, fps, sets, seen = [], [], [], set()
         for value in batch.column(1):
-            keys = shingle_keys(value.as_py(), width, hashes)
+            keys = shingles.keys(value.as_py())
             n.append(len(keys))
             fps.append(fingerprint(keys) if len(keys) else None)
             if len(keys) and fps[-1] not in seen:
@@ -130,12 +154,12 @@ def _cut(flat: np.ndarray, node: np.ndarray, names: np.ndarray, length: np.ndarr
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, fan: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    hashes = _word_hashes()
+    shingles = Shingles(width)
     for batch in batches:
         seen: set[bytes] = set()
         tokens, sizes, fps = [], [], []
         for value in batch.column(0):
-            keys = shingle_keys(value.as_py(), width, hashes)
+            keys = shingles.keys(value.as_py())
             if len(keys) and (fp := fingerprint(keys)) not in seen:
                 seen.add(fp)
                 fps.append(fp)
@@ -158,8 +182,8 @@ def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.concatenate(tokens), np.concatenate(at), np.concatenate(fps), np.concatenate(sizes)
 
 
-def _cut_again(table: pa.Table, fan: int, width: int) -> pa.Table:
-    return pa.Table.from_batches([_cut(*_joined(table), table.column("range")[0].as_py(), fan, width)])
+def _cut_again(fan: int, width: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: pa.Table.from_batches([_cut(*_joined(table), table.column("range")[0].as_py(), fan, width)])
 
 
 def fans(ranges: int) -> list[int]:
@@ -184,7 +208,7 @@ def dealt(messages: DataFrame, steps: list[int], blocks: int) -> DataFrame:
         width = -(-width // fan)
         groups = -(-blocks // fan)
         message = F.pmod(F.xxhash64("tokens"), F.lit(groups)).alias("message")
-        messages = messages.withColumn("message", message).groupBy("range", "message").applyInArrow(lambda t, f=fan, w=width: _cut_again(t, f, w), _MESSAGE)
+        messages = messages.withColumn("message", message).groupBy("range", "message").applyInArrow(_cut_again(fan, width), _MESSAGE)
         blocks = groups
     return messages
 
@@ -326,13 +350,13 @@ def for_tree(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """(id, fp, keys) of the rows whose id passes the filter."""
-    hashes = _word_hashes()
+    shingles = Shingles(width)
     for batch in batches:
         at = batch.column(2).to_numpy(zero_copy_only=False)
         rows = np.arange(len(at)) if wanted is None else np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         fps, sets = [], []
         for k in rows:
-            keys = shingle_keys(batch.column(1)[int(k)].as_py(), width, hashes)
+            keys = shingles.keys(batch.column(1)[int(k)].as_py())
             fps.append(fingerprint(keys))
             sets.append(for_tree(keys, common).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(rows)), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["id", "fp", "keys"])
@@ -425,9 +449,8 @@ def _meet(rows: pa.Table, percent: int, least: int, whole: bool) -> pa.Table:
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "linked"])
 
 
-def met(meetings: DataFrame, percent: int, least: int, whole: bool) -> DataFrame:
-    """Hold all ``meetings``: rows (meeting, probe, fp, root, keys)."""
-    keys = meetings.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+def met(meetings: DataFrame, keys: int, percent: int, least: int, whole: bool) -> DataFrame:
+    """Hold all ``meetings``: rows (meeting, probe, fp, root, keys), of about so many ``keys``."""
     task = F.pmod("meeting", F.lit(keys // BLOCK_KEYS + 16)).cast("int")
     return meetings.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _meet(t, percent, least, whole), "a binary, b binary, linked boolean")
 
@@ -483,37 +506,31 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = shared.filter("tokens is null").select("range", "a", "b", "size_a", "size_b", "keys", "large")
     classes = materialize(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n")), "ngram-classes")
 
-    def sets_of(fps: DataFrame) -> DataFrame:
-        """The ordered sets (fp, keys) of classes, from the row with the least id of each (or all without one)."""
-        nodes = materialize(fps.select("fp").distinct().join(classes, "fp").select("fp", "least"), "ngram-nodes")
-        held = nodes.count()
+    def links_of(meetings: DataFrame, least: int, whole: bool) -> DataFrame:
+        """Hold ``meetings`` (meeting, probe, fp, root). A class' set is made from the row with its least id (or all without one)."""
+        nodes = materialize(meetings.groupBy("fp").agg(F.count("*").alias("times")).join(classes, "fp"), "ngram-nodes")
+        held, keys = nodes.agg(F.count("*"), F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0))).first()
+        named = "id long, fp binary, keys binary"
         if held <= FILTER_CLASSES:
-            size = 1 << max(16, (8 * held).bit_length())
+            size = 1 << max(16, (64 * held).bit_length())
             bit = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(size))).alias("bit")
             bits = nodes.select(bit("least")).groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")).toArrow()
             wanted = np.zeros(size // 8, np.uint8)
             wanted[bits.column("byte").to_numpy()] = bits.column("bits").to_numpy()
             filtered = spark.sparkContext.broadcast(wanted)
-            sets = source.select("id", "text", bit("id")).mapInArrow(lambda b: released(_sets(b, filtered.value, shipped.value, width)), "id long, fp binary, keys binary")
+            sets = source.select("id", "text", bit("id")).mapInArrow(lambda b: released(_sets(b, filtered.value, shipped.value, width)), named)
         else:
             own = nodes.select(F.col("least").alias("own")).distinct()
             texts = source.join(own, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("id", "text", F.lit(0).cast("long").alias("bit"))
-            sets = texts.mapInArrow(lambda b: released(_sets(b, None, shipped.value, width)), "id long, fp binary, keys binary")
-        named = sets.join(nodes, "fp").filter(F.col("id").eqNullSafe(F.col("least"))).select("fp", "keys")
-        found = materialize(named.dropDuplicates(["fp"]), "ngram-sets", "zstd")
-        discard(nodes)
+            sets = texts.mapInArrow(lambda b: released(_sets(b, None, shipped.value, width)), named)
+        # all by class: the sets are shuffled once for these joins, and once to the tasks that hold the meetings
+        sets = sets.join(nodes.select("fp", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["fp"]).select("fp", "keys")
+        found = materialize(met(meetings.join(sets, "fp"), keys, percent, least, whole), "ngram-links")
+        discard(nodes, meetings)
         if held <= FILTER_CLASSES:
             filtered.destroy()
         return found
 
-    def links_of(meetings: DataFrame, least: int, whole: bool) -> DataFrame:
-        sets = sets_of(meetings)
-        joined = materialize(meetings.join(sets, "fp"), "ngram-meetings", "zstd")
-        discard(sets)
-        found = materialize(met(joined, percent, least, whole), "ngram-links")
-        discard(joined, meetings)
-        return found
-
     summed = materialize(counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("keys").alias("keys"), F.max("large").alias("large")), "ngram-counted")
     # each class with the one before it by name that it shares most keys with: as many pairs as classes, and most families are one component then
     best = lambda df: df.groupBy("b").agg(F.max_by(F.struct("a", "size_b"), F.struct("keys", "a")).alias("x")).select("x.a", "b", "x.size_b")

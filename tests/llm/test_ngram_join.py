@@ -72,3 +72,46 @@ def test_tree_equals_pairwise():
     for probe in sets[::7]:
         want = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))}
         assert {k for k, _ in tree.similar(probe, 75)} == want
+
+
+def test_messages_in_steps(spark, monkeypatch):
+    """More ranges than an array is cut into at once: the same links, and as many messages a step as parts times batches."""
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(40 + i % 3))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    assert j.fans(50) == [50] and j.fans(65) == [9, 9]
+    counts, dealt = [], j.dealt
+
+    def counted(messages, steps, blocks):
+        out = dealt(messages, steps, blocks)
+        counts.extend([len(steps), messages.count(), out.count(), blocks])
+        return out
+
+    monkeypatch.setattr(j, "FAN", 3)
+    monkeypatch.setattr(j, "dealt", counted)
+    assert {tuple(r) for r in j.ngram_components(docs).collect()} == want
+    steps, first, last, blocks = counts
+    assert steps == 4 and first <= 3 * blocks and last <= 3 * (blocks + 27)
+
+
+def test_sets_by_join(spark, monkeypatch):
+    """More classes than a filter is broadcast for; small blocks and trees."""
+    draw = random.Random(4)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(draw.choice([1, 1, 2, 4])):
+            words[draw.randrange(80)] = f"x{draw.randrange(999)}"
+        rows.append((i * 5 % 91, " ".join(words)))
+    monkeypatch.setattr(j, "FILTER_CLASSES", 0)
+    monkeypatch.setattr(j, "BLOCK", 8)
+    assert {tuple(r) for r in j.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
+def test_words_are_told_apart():
+    hashes = lambda t: j.Shingles().words(t).tolist()
+    assert hashes("Ab ab\x0bAB") == hashes("ab") * 3 and hashes(None) == hashes(" \t\r\n") == []
+    words = [*{w for n in range(4) for w in map("".join, __import__("itertools").product("abc\u00e9\x1f", repeat=n + 1))}]
+    assert len(set(hashes(" ".join(words)))) == len(words)
+    assert len(hashes("x " * 300_000)) == 300_000 and len(set(hashes("x " * 300_000))) == 1
