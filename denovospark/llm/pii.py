@@ -24,7 +24,7 @@ DAYS, DAY_BITS = 73_049, 9
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _HEX = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,20}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])"
+_PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])"
 _IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 _ISO = r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}/-])"
 _DAY_FIRST = r"(?<![\p{L}\p{N}/.-])\d{2}[/.]\d{2}[/.]\d{4}(?![\p{L}\p{N}/-])"
@@ -34,6 +34,11 @@ _CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,255}(?![\p{L}\p{N}-])"
 _CARD_PARTS = [rf"(?<![\p{{L}}\p{{N}}])(?=(\d{{3}}(?:\d|[ -]\d(?=\d\d)){{{n - 3}}})(?![\p{{L}}\p{{N}}]))" for n in (16, 15, 14, 13, 19, 18, 17)]
 _IBAN_PARTS = [rf"(?<![A-Z0-9])(?=([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}})(?![A-Z0-9]))" for n in range(34, 11, -1)]
 _LOCAL_PHONE = r"(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}-])"
+#: Country calling codes of one digit and of two; all others have three.
+CODES_1 = "1 7".split(" ")
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(" ")
+#: Steps after which a walk has come back, but for a chance under 1e-36.
+WALK = 256
 #: Kinds in the order in which they are tried.
 KINDS = {"email": _EMAIL, "hex": _HEX, "iban": _IBAN, "phone": _PHONE, "ip": _IP, "iso": _ISO, "day_first": _DAY_FIRST, "ssn": _SSN, "card": _CARD, "local_phone": _LOCAL_PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -154,30 +159,38 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column, notation: str) -> Column:
-    """All notations share one permutation, so a day stays linked whichever way it is written."""
-    iso = m if notation == "iso" else F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))
-    day = F.datediff(iso.try_cast("date"), F.lit("1900-01-01").cast("date")).cast("long")
+    """All notations share one permutation, so a day stays linked whichever way it is written. What is no day first may be a month first."""
+    field = lambda at, n: F.substring(m, at, n)
+    first = F.concat_ws("-", field(7, 4), field(4, 2), field(1, 2)).try_cast("date")
+    month_first = F.concat_ws("-", field(7, 4), field(1, 2), field(4, 2)).try_cast("date")
+    day = F.datediff(m.try_cast("date") if notation == "iso" else F.coalesce(first, month_first), F.lit("1900-01-01").cast("date")).cast("long")
     walk = lambda s, _: F.when((s >= 0) & (s < DAYS), s).otherwise(_permuted_number(F.abs(s), key, "date", DAY_BITS))
     # the first step always permutes; a day outside the calendar is permuted again
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(64)), _permuted_number(day, key, "date", DAY_BITS), walk)
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _permuted_number(day, key, "date", DAY_BITS), walk)
     date = F.date_add(F.lit("1900-01-01").cast("date"), new.cast("int"))
-    said = date.cast("string") if notation == "iso" else F.concat(F.date_format(date, "dd"), F.substring(m, 3, 1), F.date_format(date, "MM"), F.substring(m, 6, 1), F.date_format(date, "yyyy"))
+    said = date.cast("string") if notation == "iso" else F.concat(
+        F.when(first.isNotNull(), F.date_format(date, "dd")).otherwise(F.date_format(date, "MM")), field(3, 1),
+        F.when(first.isNotNull(), F.date_format(date, "MM")).otherwise(F.date_format(date, "dd")), field(6, 1), F.date_format(date, "yyyy"),
+    )
     return F.when((day >= 0) & (day < DAYS), said).otherwise(m)
 
 
 def _ssn(m: Column, key: Column) -> Column:
     good = lambda d: d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$")
     digits = _digits(m)
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(digits, key, "ssn", "digits"), lambda s, _: F.when(good(s), s).otherwise(permuted(s, key, "ssn", "digits")))
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permuted(digits, key, "ssn", "digits"), lambda s, _: F.when(good(s), s).otherwise(permuted(s, key, "ssn", "digits")))
     return F.when(good(digits), _refill(m, new, "[0-9]")).otherwise(m)
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """The country code stays. Digits of 7 to 15 are a number."""
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(m, F.length(country) + 1, F.length(m))
-    digits = _digits(rest)
-    return F.when(F.length(_digits(m)).between(7, 15), F.concat(country, _refill(rest, permuted(digits, key, "phone", "digits"), "[0-9]"))).otherwise(m)
+    """The country code and a trunk 0 in brackets stay; the national digits are permuted, so a number stays linked however it is grouped."""
+    shape = F.replace(m, F.lit("(0)"), F.lit("\u0001"))
+    digits = _digits(shape)
+    code = F.when(digits.substr(1, 1).isin(CODES_1), 1).when(digits.substr(1, 2).isin(CODES_2), 2).otherwise(3)
+    code = F.when(F.startswith(m, F.lit("+")), code).otherwise(0)
+    national = F.substring(digits, code + 1, F.length(digits))
+    new = F.concat(F.substring(digits, F.lit(1), code), permuted(national, key, "phone", "digits"))
+    return F.when(F.length(digits).between(7, 15), F.replace(_refill(shape, new, "[0-9]"), F.lit("\u0001"), F.lit("(0)"))).otherwise(m)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -201,17 +214,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """``docs`` with the valid personal values in ``text_col`` replaced by their pseudonyms; with ``count_col``, how many.
 
     All rows and columns are kept; null texts stay null and have none. Rows aren't moved, so nothing depends on their number.
-    ``text_col`` is replaced in place, ``count_col`` replaces a column of that name.
+    ``text_col`` is replaced in place, ``count_col`` replaces a column of that name; no other name is special.
     """
     if not key:
         raise ValueError("an empty key protects nothing")
-    text, secret = F.col(text_col), F.lit(key)
+    text, secret, private = F.col(text_col), F.lit(key), "_private"
+    while private in docs.columns:
+        private += "_"
     candidates = F.regexp_extract_all(text, F.lit(ANY), 0)
-    out = docs.withColumn("_private", F.when(text.rlike("[0-9@]"), F.transform(candidates, lambda m: pseudonym(m, secret))))
+    out = docs.withColumn(private, F.when(text.rlike("[0-9@]"), F.transform(candidates, lambda m: pseudonym(m, secret))))
     # the gaps between the candidates, and the candidates' pseudonyms
     gaps = F.split(text, ANY, -1)
-    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform("_private", lambda p, i: F.concat(p["text"], F.get(gaps, i + 1))), ""))
-    out = out.withColumn(text_col, F.when(F.exists("_private", lambda p: p["n"] > 0), joined).otherwise(text))
+    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(private, lambda p, i: F.concat(p["text"], F.get(gaps, i + 1))), ""))
+    out = out.withColumn(text_col, F.when(F.exists(private, lambda p: p["n"] > 0), joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.when(F.col("_private").isNull(), 0).otherwise(F.aggregate("_private", F.lit(0), lambda k, p: k + p["n"])).cast("int"))
-    return out.drop("_private")
+        out = out.withColumn(count_col, F.when(F.col(private).isNull(), 0).otherwise(F.aggregate(private, F.lit(0), lambda k, p: k + p["n"])).cast("int"))
+    return out.drop(private)
