@@ -16,7 +16,7 @@ from denovospark.llm.common import materialize, table
 from denovospark.llm.decontamination import find_leaks
 from denovospark.llm.ngram_join import ngram_components
 from denovospark.llm.pii import pseudonymise
-from denovospark.llm.queries import KEY
+from denovospark.llm.queries import pseudonym_key
 from denovospark.llm.toxicity import without_toxic
 
 
@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values in the texts become pseudonyms. n_chars stays what it was: values keep their length but for addresses."""
-    return pseudonymise(docs, KEY)
+    return pseudonymise(docs, pseudonym_key(spark))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
