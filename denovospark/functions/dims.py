@@ -86,6 +86,14 @@ def all_targets(spark: SparkSession) -> DataFrame:
     return ranked_targets(out)
 
 
+def greatest_target(spark: SparkSession, kind: str) -> float:
+    """The greatest mass of a target table, from the fixed values alone."""
+    losses = max(m for _, m in P.LOSSES)
+    if kind == "pair":
+        return max(m for _, m in P.AMINOS) + losses + max(m for _, m in P.MODS)
+    return max(m for _, m in P.AMINOS) + losses + max(abs(m) for _, m in P.SERIES) + max(m for _, m in P.MODS)
+
+
 def combined_masses(spark: SparkSession, kind: str, k: int, quantum: float = 1e-6) -> DataFrame:
     """Distinct sums of ``k`` target masses, rounded to ``quantum``, and how many combinations give each.
 

@@ -26,12 +26,18 @@ ALPHABET = "ARNDCEQGHLIKMFPSTWYV"
 
 @dataclass(frozen=True)
 class AnnotationParams:
+    """``max_k``: only targets of one residue are annotated; ``dims.combined_masses`` has those of more."""
+
     query_tolerance: float = 0.015
     symmetry_tolerance: float = 0.015
     score_factor: float = 0.75
     charges: tuple[int, ...] = (1, 2, 3)
     max_k: int = 1
 
+    def __post_init__(self) -> None:
+        if self.max_k != 1:
+            raise ValueError("targets of several residues can be searched for, but not annotated: max_k has to be 1")
+
 
 @dataclass(frozen=True)
 class AlignmentParams:
@@ -46,7 +52,7 @@ class AlignmentParams:
 @dataclass(frozen=True)
 class EnumerationParams:
     cost_threshold: float = 8.0
-    max_paths: int = 10_000
+    max_paths: int | None = None
 
 
 @dataclass(frozen=True)

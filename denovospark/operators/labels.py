@@ -14,13 +14,13 @@ from .symmetry import list_matches
 NODE_TOLERANCE = 0.01
 
 
-def fragments(peaks: DataFrame, pairs: DataFrame, lower: DataFrame, upper: DataFrame, quads: DataFrame, mirrored: DataFrame) -> DataFrame:
+def fragments(peaks: DataFrame, pairs: DataFrame, lower: DataFrame, upper: DataFrame, quads: DataFrame, paired: DataFrame) -> DataFrame:
     """The union of all labelled peaks with their node: (spectrum, src, cluster_id, slot, peak_id, charge, cost, loss_id, mod_id, node_mass).
 
     Pairs give both ends, with the left and the right loss; pivots and symmetries have charge 1, no loss and no cost (infinity).
     A node is a fragment mass, m/z times charge, up to NODE_TOLERANCE. Inputs: pairs (spectrum, left_peak, right_peak,
     left_charge, right_charge, cost, left_loss_id, right_loss_id, mod_id), lower and upper (spectrum[, cluster_id], peak_id, charge,
-    cost, right_loss_id, mod_id), quads and mirrored (spectrum, cluster_id, slot, peak_id).
+    cost, right_loss_id, mod_id), quads and paired (spectrum, cluster_id, slot, peak_id).
     """
     none = F.lit(None).cast("int")
     ends = [
@@ -33,7 +33,7 @@ def fragments(peaks: DataFrame, pairs: DataFrame, lower: DataFrame, upper: DataF
     ]
     null = [
         df.select("spectrum", F.lit(src).alias("src"), "cluster_id", "slot", "peak_id", F.lit(1).alias("charge"), F.lit(float("inf")).alias("cost"), F.lit(0).alias("loss_id"), F.lit(0).alias("mod_id"))
-        for src, df in (("pivot", quads), ("symmetry", mirrored))
+        for src, df in (("pivot", quads), ("symmetry", paired))
     ]
     union = reduce(DataFrame.unionByName, [*ends, *one, *null])
     return union.join(peaks.select("spectrum", "peak_id", "mz"), ["spectrum", "peak_id"]).withColumn("node_mass", F.col("mz") * F.col("charge")).drop("mz")

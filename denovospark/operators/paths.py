@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def trace_paths(edges: dict[tuple, list[tuple[tuple, float]]], starts: list[tuple], limit: float, most: int) -> list[tuple[float, list[tuple]]]:
-    """All walks from a start to a node without edges, of two nodes or more, whose edges cost less than ``limit`` together."""
+def trace_paths(edges: dict[tuple, list[tuple[tuple, float]]], starts: list[tuple], limit: float, most: int | None = None) -> list[tuple[float, list[tuple]]]:
+    """All walks from a start to a node without edges, of two nodes or more, whose edges cost less than ``limit`` together.
+
+    With ``most``, more than that raise ValueError: nothing is left out silently.
+    """
     out: list[tuple[float, list[tuple]]] = []
     stack = [(0.0, [s]) for s in reversed(starts)]
     while stack:
@@ -17,13 +20,13 @@ def trace_paths(edges: dict[tuple, list[tuple[tuple, float]]], starts: list[tupl
         onward = edges.get(walk[-1], [])
         if not onward and len(walk) > 1:
             out.append((cost, walk))
-            if len(out) > most:
+            if most is not None and len(out) > most:
                 raise ValueError(f"more than {most} paths: lower the cost threshold")
         stack += [(cost + c, [*walk, n]) for n, c in onward if cost + c < limit and n not in walk]
     return sorted(out)
 
 
-def trace(product: DataFrame, limit: float, most: int = 10_000) -> DataFrame:
+def trace(product: DataFrame, limit: float, most: int | None = None) -> DataFrame:
     """(spectrum, cluster_id, path_id, cost, lower, upper): paths from the pivot's sink back to the source, cheapest first.
 
     Edges are followed against their direction, so the first nodes after the virtual one are next to the pivot.

@@ -33,15 +33,14 @@ def find_boundaries(aug: DataFrame, targets: DataFrame, tolerance: float) -> Dat
     return _hits(band_join(aug, targets.withColumnRenamed("mass", "target"), "mass", "target", tolerance, right_rows=targets.count()), "mass")
 
 
-def overlap_pivots(aug: DataFrame, pairs: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
+def overlap_pivots(aug: DataFrame, pairs: DataFrame, tolerance: float, most: float | None = None, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
     """Quadruples i < j < i2 < j2 in which (i, i2) is a found pair and (j, j2) has the same gap, strictly within tolerance.
 
-    Two overlapping pairs with one gap are mirror images of each other about the mean of the four masses, the pivot.
+    ``most`` bounds the gaps: the greatest target and its tolerance; without it the pairs are searched for the greatest. Two overlapping pairs with one gap are reflections of each other about the mean of the four masses, the pivot.
     """
     found = pairs.select(*on, F.col("i"), F.col("j").alias("i2"), "m1", "m2", "gap").distinct()
-    most = found.agg(F.max("gap")).first()[0]
     if most is None:
-        most = 0.0
+        most = found.agg(F.max("gap")).first()[0] or 0.0
     other = gap_join(aug.select(*on, "aug_idx", "mass"), list(on), "mass", 0.0, most + tolerance, ["j", "m3"], ["j2", "m4"])
     other = other.withColumn("other_gap", F.col("m4") - F.col("m3"))
     met = band_join(found, other, "gap", "other_gap", tolerance, on=list(on), width=max(0.05, tolerance), strict=True)

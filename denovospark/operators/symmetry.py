@@ -1,4 +1,4 @@
-"""Mirror symmetry: a greedy, order-dependent match of two descending lists, and the scores made of it."""
+"""Symmetry about a pivot: a greedy, order-dependent match of two descending lists, and the scores made of it."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def merge_match(left: list[float], right: list[float], tolerance: float) -> list
 
 
 def reflected_matches(masses: np.ndarray, pivot: float, tolerance: float) -> list[tuple[int, int, float]]:
-    """(index below, index above, delta) of the ascending ``masses`` that mirror each other about ``pivot``."""
+    """(index below, index above, delta) of the ascending ``masses`` that are reflections of each other about ``pivot``."""
     low, high = int(np.searchsorted(masses, pivot, "left")), int(np.searchsorted(masses, pivot, "right"))
     below, above = masses[:low][::-1].tolist(), (2 * pivot - masses[high:]).tolist()
     return [(low - 1 - a, high + b, abs(above[b] - below[a])) for a, b in merge_match(below, above, tolerance)]

@@ -28,7 +28,7 @@ class Annotation:
     lower: DataFrame
     quads: DataFrame
     clusters: DataFrame
-    mirrored: DataFrame
+    paired_peaks: DataFrame
     upper: DataFrame
     labels: DataFrame
     edges: DataFrame
@@ -43,7 +43,7 @@ def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) ->
     aug = keep(K.augment(peaks, params.charges))
     pairs = keep(search.find_pairs(aug, of("pair"), params.query_tolerance).withColumn("pair_id", F.col("i").cast("long") * (1 << 31) + F.col("j")))
     lower = keep(search.find_boundaries(aug, of("boundary"), params.query_tolerance).withColumn("bnd_id", F.col("aug_idx").cast("long")))
-    quads = keep(search.overlap_pivots(aug, pairs, params.query_tolerance))
+    quads = keep(search.overlap_pivots(aug, pairs, params.query_tolerance, dims.greatest_target(spark, "pair") + params.query_tolerance))
     points = keep(search.clustered(quads))
     matched = keep(symmetry.symmetries(aug, points, params.symmetry_tolerance))
     clusters = keep(symmetry.screened(symmetry.scored(matched, points), params.score_factor).select("spectrum", "cluster_id", "point", "score"))
@@ -52,10 +52,10 @@ def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) ->
 
     originals = aug.select("spectrum", "aug_idx", "peak_id", "charge")
     kept = matched.join(clusters, ["spectrum", "point"])
-    mirrored = kept.select("spectrum", "cluster_id", F.posexplode(F.array("low_idx", "high_idx")).alias("slot", "aug_idx")).join(originals, ["spectrum", "aug_idx"]).select("spectrum", "cluster_id", "slot", "peak_id")
+    paired_peaks = kept.select("spectrum", "cluster_id", F.posexplode(F.array("low_idx", "high_idx")).alias("slot", "aug_idx")).join(originals, ["spectrum", "aug_idx"]).select("spectrum", "cluster_id", "slot", "peak_id")
     of_pivot = quads.withColumn("point", F.rint(F.col("pivot") * 100.0) / 100.0).join(clusters, ["spectrum", "point"])
     quad_peaks = of_pivot.select("spectrum", "cluster_id", F.posexplode(F.array("i", "j", "i2", "j2")).alias("slot", "aug_idx")).join(originals, ["spectrum", "aug_idx"]).select("spectrum", "cluster_id", "slot", "peak_id")
-    labels = keep(L.with_nodes(L.fragments(peaks, pairs, lower, upper, quad_peaks, mirrored)))
+    labels = keep(L.with_nodes(L.fragments(peaks, pairs, lower, upper, quad_peaks, paired_peaks)))
 
     node = labels.select("spectrum", "peak_id", "charge", F.col("node_id").cast("long").alias("node")).distinct()
     side = lambda s: node.select("spectrum", F.col("peak_id").alias(f"{s}_peak"), F.col("charge").alias(f"{s}_charge"), F.col("node").alias(f"{s}_node"))
@@ -81,7 +81,7 @@ def _hits(a: Annotation) -> DataFrame:
 
 
 def align(a: Annotation, params: AlignmentParams = AlignmentParams()) -> DataFrame:
-    return product.align(a.edges, _hits(a).drop("target"), a.mirrored, params)
+    return product.align(a.edges, _hits(a).drop("target"), a.paired_peaks, params)
 
 
 def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationParams = EnumerationParams(), most: int = 5) -> DataFrame:

@@ -257,13 +257,13 @@ _QUADS = f"""(SELECT p.spectrum, p.i, a.aug_idx AS j, p.j AS i2, b.aug_idx AS j2
 @query(f"SELECT spectrum, {_MICRO.format('(round_even(pv * 100.0::DOUBLE, 0) / 100.0)')} AS point_u, count(*) AS n FROM {_QUADS} GROUP BY 1, 2")
 def event_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     aug = event_aug(spark, sf_dir)
-    return search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE)).select("spectrum", S.micro(F.col("point")).alias("point_u"), "n")
+    return search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE, dims.greatest_target(spark, "pair") + TOLERANCE)).select("spectrum", S.micro(F.col("point")).alias("point_u"), "n")
 
 
 @query()
 def event_pivot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     aug = event_aug(spark, sf_dir)
-    points = search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE))
+    points = search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE, dims.greatest_target(spark, "pair") + TOLERANCE))
     return symmetry.screened(symmetry.scored(symmetry.symmetries(aug, points, TOLERANCE), points), 0.75)
 
 
