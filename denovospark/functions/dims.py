@@ -86,6 +86,12 @@ def all_targets(spark: SparkSession) -> DataFrame:
     return ranked_targets(out)
 
 
+def target_clusters(table: DataFrame, tolerance: float) -> DataFrame:
+    """(kind, bucket, first, last, n): targets whose masses are equal in whole steps of ``tolerance``, as the span of their ``target_id``."""
+    bucket = (F.col("mass") / F.lit(tolerance)).cast("long").alias("bucket")
+    return table.groupBy("kind", bucket).agg(F.min("target_id").alias("first"), F.max("target_id").alias("last"), F.count("*").alias("n"))
+
+
 def greatest_target(spark: SparkSession, kind: str) -> float:
     """The greatest mass of a target table, from the fixed values alone."""
     losses = max(m for _, m in P.LOSSES)

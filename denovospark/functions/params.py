@@ -9,6 +9,10 @@ HYDROGEN = 1.007
 #: Public constants of the closed-form ion simulator, in nano-daltons.
 PROTON_N, WATER_N = 1_007_276_466, 18_010_564_684
 
+#: Fixed values of the simulator: neutral losses in nano-daltons, and the residues that lose them.
+NEUTRAL_N = {"H2O1": 18_010_564_684, "H3N1": 17_026_549_101}
+LOSES = {"H2O1": "STED", "H3N1": "RKNQ"}
+
 # Residues, modifications, losses and series, with the ids of what applies to each residue.
 AMINOS = [
     ("G", 57.021463735), ("A", 71.037113805), ("S", 87.032028435), ("P", 97.052763875), ("V", 99.068413945), ("T", 101.047678505), ("C", 103.009184505),
@@ -39,6 +43,19 @@ class AnnotationParams:
             raise ValueError("targets of several residues can be searched for, but not annotated: max_k has to be 1")
 
 
+@dataclass(frozen=True)
+class IonParams:
+    """What the simulator makes: series, losses of fragments that hold a residue which loses, whole precursors, charges up to ``max_charge``."""
+
+    series: tuple[str, ...] = ("b", "y")
+    losses: bool = False
+    precursors: bool = False
+    max_charge: int = 1
+
+
+SIMPLE, COMPLEX = IonParams(), IonParams(losses=True, precursors=True)
+
+
 @dataclass(frozen=True)
 class AlignmentParams:
     cost_threshold: float = 6.0

@@ -55,12 +55,21 @@ def by_peak(labels: DataFrame, on: tuple[str, ...] = ("spectrum",)) -> DataFrame
 def compared(one: DataFrame, two: DataFrame, tolerance: float = 1e-10, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
     """Peaks of two labellings (on, idx, mz, series, position, charges, losses; idx ascends with m/z) that align, and how they agree.
 
-    int_err is the difference of intensities where both have one. charge_aln and loss_aln are the first common entries.
+    int_err is the difference of intensities, where both sides have that column. charge_aln and loss_aln are the first common entries.
     """
+    both = ["intensity"] if "intensity" in one.columns and "intensity" in two.columns else []
     aligned = list_matches(one, two, on, "mz", "idx", tolerance)
-    other = two.select(*on, F.col("idx").alias("other_idx"), *(F.col(c).alias(f"other_{c}") for c in ("mz", "series", "position", "charges", "losses")))
-    joined = aligned.join(one.select(*on, "idx", "mz", "series", "position", "charges", "losses"), [*on, "idx"]).join(other, [*on, "other_idx"])
+    other = two.select(*on, F.col("idx").alias("other_idx"), *(F.col(c).alias(f"other_{c}") for c in ("mz", "series", "position", "charges", "losses", *both)))
+    joined = aligned.join(one.select(*on, "idx", "mz", "series", "position", "charges", "losses", *both), [*on, "idx"]).join(other, [*on, "other_idx"])
     return joined.select(
         *on, "idx", "other_idx", (F.col("mz") - F.col("other_mz")).alias("mz_diff"), (F.col("series") == F.col("other_series")).alias("series_err"),
         (F.col("position") - F.col("other_position")).alias("pos_err"), first_match(F.col("charges"), F.col("other_charges")).alias("charge_aln"), first_match(F.col("losses"), F.col("other_losses")).alias("loss_aln"),
+        *((F.col(c) - F.col(f"other_{c}")).alias("int_err") for c in both),
     )
+
+
+def compared_spectra(one: DataFrame, two: DataFrame, aligned: DataFrame, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
+    """(on, pivot_err, peptide_err, mz_err) of spectra (on, peptide, pivot, n peaks): the peptides' edit distance, and peaks of ``one`` that don't align."""
+    held = aligned.groupBy(*on).agg(F.count("*").alias("n_aligned"))
+    both = one.select(*on, "peptide", "pivot", "n").join(two.select(*on, F.col("peptide").alias("other"), F.col("pivot").alias("other_pivot")), list(on)).join(held, list(on), "left")
+    return both.select(*on, (F.col("pivot") - F.col("other_pivot")).alias("pivot_err"), F.levenshtein("peptide", "other").alias("peptide_err"), (F.col("n") - F.coalesce("n_aligned", F.lit(0))).alias("mz_err"))

@@ -35,6 +35,48 @@ def ions(peptide_table: DataFrame, max_charge: int = 1) -> DataFrame:
     return charged.select("peptide", "series", "position", "charge", ((F.col("nano") + F.col("charge").cast("long") * P.PROTON_N) / F.lit(1e9) / F.col("charge")).alias("mz"))
 
 
+def generated(peptide_table: DataFrame, params: P.IonParams = P.SIMPLE) -> DataFrame:
+    """Ions as a spectrum generator makes them: (peptide, series, position, loss, charge, mz); precursors are series p at the last position.
+
+    A fragment loses what one of its residues can lose, a precursor any loss. One projection: no join, no shuffle.
+    """
+    zero = F.lit(0).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
+    rows = peptide_table.select("peptide", residue_masses(F.col("peptide")).alias("m")).filter(F.size("m") > 1)
+    n = F.size("m")
+    rows = rows.select("peptide", "m", F.explode(F.sequence(F.lit(1), n)).alias("position"))
+    kind = lambda s, nano, part, when: F.when(when, F.struct(F.lit(s).alias("series"), nano.alias("nano"), part.alias("part")))
+    at = F.col("position")
+    inner, none = at < n, F.lit(False)
+    start = F.substring("peptide", F.lit(1), at)
+    end = F.substring("peptide", n - at + 1, at)
+    kinds = [
+        kind("b", total(F.slice("m", F.lit(1), at)), start, inner if "b" in params.series else none),
+        kind("y", total(F.slice("m", n - at + 1, at)) + P.WATER_N, end, inner if "y" in params.series else none),
+        kind("p", total("m") + P.WATER_N, F.lit("".join(P.LOSES.values())), at == n if params.precursors else none),
+    ]
+    whole = rows.select("peptide", "position", F.explode(F.array_compact(F.array(*kinds))).alias("i")).select("peptide", "position", "i.series", "i.nano", "i.part")
+    lost = [F.struct(F.lit("").alias("loss"), zero.alias("less"))]
+    if params.losses:
+        lost += [F.when(F.col("part").rlike(f"[{r}]"), F.struct(F.lit(x).alias("loss"), F.lit(P.NEUTRAL_N[x]).cast("long").alias("less"))) for x, r in P.LOSES.items()]
+    whole = whole.withColumn("l", F.explode(F.array_compact(F.array(*lost)))).withColumn("charge", F.explode(F.sequence(F.lit(1), F.lit(params.max_charge))))
+    mz = (F.col("nano") - F.col("l.less") + F.col("charge").cast("long") * P.PROTON_N) / F.lit(1e9) / F.col("charge")
+    return whole.select("peptide", "series", "position", "l.loss", "charge", mz.alias("mz"))
+
+
+def alignments(paths: DataFrame) -> DataFrame:
+    """(peptide, b_path, y_path, lower, upper): islands of both series (peptide, series, path, position) that spell the same residues.
+
+    An island of y, read backwards, has to have the complements of an island of b. lower is the one whose positions are all less, else y.
+    """
+    held = paths.groupBy("peptide", "series", "path").agg(F.sort_array(F.collect_list("position")).alias("at"))  # a peptide's positions
+    one = held.filter("series = 'b'").select("peptide", F.col("path").alias("b_path"), F.col("at").alias("b"))
+    two = held.filter("series = 'y'").select("peptide", F.col("path").alias("y_path"), F.reverse("at").alias("y"))
+    same = F.transform("y", lambda p: F.length("peptide") - p) == F.col("b")
+    first = F.forall(F.zip_with("b", "y", lambda x, y: x < y), lambda x: x)
+    return one.join(two, "peptide").filter(same).select("peptide", "b_path", "y_path", F.when(first, F.col("b")).otherwise(F.col("y")).alias("lower"), F.when(first, F.col("y")).otherwise(F.col("b")).alias("upper"))
+
+
 def ion_names(table: DataFrame) -> DataFrame:
     return table.withColumn("ion", F.concat("series", "position", F.repeat(F.lit("+"), F.col("charge"))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.params import AMINOS, LOSSES, SERIES, AlignmentParams, AnnotationParams, EnumerationParams
+from ..functions.params import AMINOS, LOSSES, MODS, SERIES, AlignmentParams, AnnotationParams, EnumerationParams
 from ..functions.storage import materialize
 from ..operators import candidates as C
 from ..operators import labels as L
@@ -88,8 +88,11 @@ def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationP
     """The ``most`` cheapest candidates of each cluster: (spectrum, cluster_id, rank, sequence, cost, mass, offset)."""
     on = ["spectrum", "cluster_id"]
     walks = materialize(P.trace(aligned, params.cost_threshold, params.max_paths), "paths")
-    names = a.peaks.sparkSession.createDataFrame([(i, s, m) for i, (s, m) in enumerate(AMINOS)], "amino_id int, amino string, residue double")
-    hits = _hits(a).join(F.broadcast(names), "amino_id")
+    spark = a.peaks.sparkSession
+    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(AMINOS)], "amino_id int, amino string")
+    mods = spark.createDataFrame([(i, f"[{s}]" if s else "") for i, (s, _) in enumerate(MODS)], "mod_id int, mod string")
+    # a step's mass is its target's: the residue, its modification and its losses
+    hits = _hits(a).withColumnRenamed("target", "residue").join(F.broadcast(names), "amino_id").join(F.broadcast(mods), "mod_id").withColumn("amino", F.concat("amino", "mod"))
     best = P.cheapest_first(hits, ["spectrum", "src", "id"], ["amino_id", "left_loss_id", "right_loss_id", "mod_id"]).filter("rank = 0").select("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight"), "amino", "residue", "cost", "right_loss_id")
     noted = a.edges.filter("side <> 'pivot'").withColumn("kind", F.when(F.col("src") < 0, "boundary").otherwise("pair")).join(best, ["spectrum", "kind", "weight"])
     step = P.steps(walks)
@@ -108,5 +111,6 @@ def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationP
     paired = C.pair_affixes(take("prefix", "prefix_id"), take("suffix", "suffix_id"), topology.undirected(a.edges), on)
     pivot_hits = best.filter("kind = 'pair'").join(a.clusters.select(*on), "spectrum").select(*on, F.col("weight").alias("pair_id"), F.col("amino").alias("symbol"), (2 * F.col("residue")).alias("mass"), "cost")
     named = lambda name: spelled.withColumnRenamed("path_id", name)
-    found = C.sequences(paired, named("prefix_id"), named("suffix_id"), pivot_hits, on).join(a.clusters.select(*on, "point"), on).withColumn("offset", F.col("mass") - 2 * F.col("point"))
+    pivots = a.clusters.select("spectrum", F.col("cluster_id").alias("pivot_idx"), F.col("point").alias("pivot"))
+    found = C.best_pivot(C.sequences(paired, named("prefix_id"), named("suffix_id"), pivot_hits, on), pivots, ["spectrum"], ["cluster_id", "prefix_id", "suffix_id", "sequence"])
     return C.top(found.groupBy(*on, "sequence").agg(F.min("cost").alias("cost"), F.min_by("mass", "cost").alias("mass"), F.min_by("offset", "cost").alias("offset")), most, on)

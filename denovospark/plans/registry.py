@@ -260,13 +260,6 @@ def event_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE, dims.greatest_target(spark, "pair") + TOLERANCE)).select("spectrum", S.micro(F.col("point")).alias("point_u"), "n")
 
 
-@query()
-def event_pivot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aug = event_aug(spark, sf_dir)
-    points = search.clustered(search.overlap_pivots(aug, event_pair_table(spark, sf_dir), TOLERANCE, dims.greatest_target(spark, "pair") + TOLERANCE))
-    return symmetry.screened(symmetry.scored(symmetry.symmetries(aug, points, TOLERANCE), points), 0.75)
-
-
 @query(f"""WITH m AS (SELECT spectrum, (mass + lead(mass) OVER (PARTITION BY spectrum ORDER BY aug_idx)) / 2 AS point FROM {_AUG}), p AS (SELECT * FROM m WHERE point IS NOT NULL),
  e AS (SELECT spectrum, min(point) AS low, max(point) AS high, floor((max(point) - min(point)) / 5.0::DOUBLE)::INT AS bins FROM p GROUP BY 1 HAVING bins > 0),
  c AS (SELECT spectrum, least(floor((point - low) / ((high - low) / bins))::INT, bins - 1) AS bin, low, high, bins, count(*) AS n FROM p JOIN e USING (spectrum) GROUP BY ALL),
