@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Edges that a task of a round has, about, and tasks at least.
+TASK_EDGES, TASKS = 50_000, 8
+
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b), where root is the component's least node.
@@ -17,16 +20,19 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))).first()
     held = state(edges)
+    # small tables in few tasks: rounds are many, and most of them short
+    tasks = max(TASKS, 2 * held[0] // TASK_EDGES)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: a node's larger neighbours are linked with its least neighbour
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # small star: its smaller neighbours, and the node itself
-        large = materialize(large, "cc-large")
+        large = materialize(large.coalesce(tasks).distinct().coalesce(tasks), "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        after = small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
+        after = materialize(after.coalesce(tasks), "cc-edges")
         discard(large, edges)
         edges, before, held = after, held, state(after)
         if held == before:
