@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.params import AMINOS, LOSSES, MODS, SERIES, AlignmentParams, AnnotationParams, EnumerationParams
+from ..functions.scalars import rounded
 from ..functions.storage import materialize
 from ..operators import candidates as C
 from ..operators import labels as L
@@ -40,77 +41,125 @@ def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) ->
     keep = lambda df: materialize(df, "annotate")
     targets = dims.all_targets(spark)
     of = lambda kind: targets.filter(F.col("kind") == kind).drop("kind", "k")
+    tolerance = params.query_tolerance
+    by_peak, by_cluster = ["spectrum", "aug_idx"], ["spectrum", "cluster_id"]
+
+    # pairs, lower boundaries and pivots
     aug = keep(K.augment(peaks, params.charges))
-    pairs = keep(search.find_pairs(aug, of("pair"), params.query_tolerance).withColumn("pair_id", F.col("i").cast("long") * (1 << 31) + F.col("j")))
-    lower = keep(search.find_boundaries(aug, of("boundary"), params.query_tolerance).withColumn("bnd_id", F.col("aug_idx").cast("long")))
-    quads = keep(search.overlap_pivots(aug, pairs, params.query_tolerance, dims.greatest_target(spark, "pair") + params.query_tolerance))
+    pair_id = F.col("i").cast("long") * (1 << 31) + F.col("j")
+    pairs = keep(search.find_pairs(aug, of("pair"), tolerance).withColumn("pair_id", pair_id))
+    lower = keep(search.find_boundaries(aug, of("boundary"), tolerance).withColumn("bnd_id", F.col("aug_idx").cast("long")))
+    quads = keep(search.overlap_pivots(aug, pairs, tolerance, dims.greatest_target(spark, "pair") + tolerance))
     points = keep(search.clustered(quads))
     matched = keep(symmetry.symmetries(aug, points, params.symmetry_tolerance))
-    clusters = keep(symmetry.screened(symmetry.scored(matched, points), params.score_factor).select("spectrum", "cluster_id", "point", "score"))
-    reflected = K.augment(peaks.join(clusters.select("spectrum", "cluster_id", "point"), "spectrum"), params.charges, pivot="point", on=("spectrum", "cluster_id"))
-    upper = keep(search.find_boundaries(reflected, of("reflected"), params.query_tolerance).withColumn("bnd_id", UPPER * (F.col("cluster_id").cast("long") + 1) + F.col("aug_idx")))
+    kept = symmetry.screened(symmetry.scored(matched, points), params.score_factor)
+    clusters = keep(kept.select(*by_cluster, "point", "score"))
+
+    # upper boundaries: peaks reflected about each pivot
+    placed = peaks.join(clusters.select(*by_cluster, "point"), "spectrum")
+    reflected = K.augment(placed, params.charges, pivot="point", on=tuple(by_cluster))
+    bnd_id = UPPER * (F.col("cluster_id").cast("long") + 1) + F.col("aug_idx")
+    upper = keep(search.find_boundaries(reflected, of("reflected"), tolerance).withColumn("bnd_id", bnd_id))
 
+    # labels, of the peaks of pairs, boundaries, pivots and symmetries
     originals = aug.select("spectrum", "aug_idx", "peak_id", "charge")
-    kept = matched.join(clusters, ["spectrum", "point"])
-    paired_peaks = kept.select("spectrum", "cluster_id", F.posexplode(F.array("low_idx", "high_idx")).alias("slot", "aug_idx")).join(originals, ["spectrum", "aug_idx"]).select("spectrum", "cluster_id", "slot", "peak_id")
-    of_pivot = quads.withColumn("point", F.rint(F.col("pivot") * 100.0) / 100.0).join(clusters, ["spectrum", "point"])
-    quad_peaks = of_pivot.select("spectrum", "cluster_id", F.posexplode(F.array("i", "j", "i2", "j2")).alias("slot", "aug_idx")).join(originals, ["spectrum", "aug_idx"]).select("spectrum", "cluster_id", "slot", "peak_id")
+    symmetric = matched.join(clusters, ["spectrum", "point"])
+
+    def slots(df: DataFrame, *columns: str) -> DataFrame:
+        each = df.select(*by_cluster, F.posexplode(F.array(*columns)).alias("slot", "aug_idx"))
+        return each.join(originals, by_peak).select(*by_cluster, "slot", "peak_id")
+
+    of_pivot = quads.withColumn("point", rounded(F.col("pivot"), 2)).join(clusters, ["spectrum", "point"])
+    quad_peaks, paired_peaks = slots(of_pivot, "i", "j", "i2", "j2"), slots(symmetric, "low_idx", "high_idx")
     labels = keep(L.with_nodes(L.fragments(peaks, pairs, lower, upper, quad_peaks, paired_peaks)))
 
+    # graphs: pairs are edges between nodes, boundaries hang on the source
     node = labels.select("spectrum", "peak_id", "charge", F.col("node_id").cast("long").alias("node")).distinct()
-    side = lambda s: node.select("spectrum", F.col("peak_id").alias(f"{s}_peak"), F.col("charge").alias(f"{s}_charge"), F.col("node").alias(f"{s}_node"))
-    pair_nodes = pairs.select("spectrum", "pair_id", "left_peak", "left_charge", "right_peak", "right_charge", "m1", "m2").distinct().join(side("left"), ["spectrum", "left_peak", "left_charge"]).join(side("right"), ["spectrum", "right_peak", "right_charge"])
+
+    def with_node(df: DataFrame, side: str) -> DataFrame:
+        names = {"peak_id": f"{side}_peak", "charge": f"{side}_charge", "node": f"{side}_node"}
+        return df.join(node.withColumnsRenamed(names), ["spectrum", f"{side}_peak", f"{side}_charge"])
+
+    ends = pairs.select("spectrum", "pair_id", "left_peak", "left_charge", "right_peak", "right_charge", "m1", "m2").distinct()
+    pair_nodes = with_node(with_node(ends, "left"), "right")
     low = lower.select("spectrum", "bnd_id", "peak_id", "charge", "mass").distinct().join(node, ["spectrum", "peak_id", "charge"])
-    high = upper.select("spectrum", "cluster_id", "bnd_id", "peak_id", "charge", (2 * F.col("point") - F.col("mass")).alias("mass")).distinct().join(node, ["spectrum", "peak_id", "charge"])
-    edges = keep(topology.spectrum_edges(pair_nodes, low, high, clusters.select("spectrum", "cluster_id", "point"), params.query_tolerance))
-    symmetric = keep(
-        kept.join(originals.select("spectrum", F.col("aug_idx").alias("low_idx"), F.col("peak_id").alias("p1")), ["spectrum", "low_idx"]).join(originals.select("spectrum", F.col("aug_idx").alias("high_idx"), F.col("peak_id").alias("p2")), ["spectrum", "high_idx"])
-        .join(node.filter("charge = 1").select("spectrum", F.col("peak_id").alias("p1"), F.col("node").alias("low")), ["spectrum", "p1"]).join(node.filter("charge = 1").select("spectrum", F.col("peak_id").alias("p2"), F.col("node").alias("high")), ["spectrum", "p2"])
-        .select("spectrum", "cluster_id", "low", "high").distinct()
-    )
-    return Annotation(peaks, aug, pairs, lower, quads, clusters, symmetric, upper, labels, edges)
+    back = (2 * F.col("point") - F.col("mass")).alias("mass")
+    high = upper.select(*by_cluster, "bnd_id", "peak_id", "charge", back).distinct().join(node, ["spectrum", "peak_id", "charge"])
+    edges = keep(topology.spectrum_edges(pair_nodes, low, high, clusters.select(*by_cluster, "point"), tolerance))
+
+    def single(name: str) -> DataFrame:
+        """The node at charge 1 of the peak behind an index."""
+        at = originals.select("spectrum", F.col("aug_idx").alias(f"{name}_idx"), "peak_id")
+        return at.join(node.filter("charge = 1").select("spectrum", "peak_id", F.col("node").alias(name)), ["spectrum", "peak_id"]).drop("peak_id")
+
+    mates = symmetric.join(single("low"), ["spectrum", "low_idx"]).join(single("high"), ["spectrum", "high_idx"])
+    mates = keep(mates.select(*by_cluster, "low", "high").distinct())
+    return Annotation(peaks, aug, pairs, lower, quads, clusters, mates, upper, labels, edges)
 
 
 def _hits(a: Annotation) -> DataFrame:
     columns = ["cost", "amino_id", "left_loss_id", "right_loss_id", "mod_id", "target"]
-    return (
-        a.pairs.select("spectrum", F.lit("pair").alias("src"), F.col("pair_id").alias("id"), *columns)
-        .unionByName(a.lower.select("spectrum", F.lit("boundary").alias("src"), F.col("bnd_id").alias("id"), *columns))
-        .unionByName(a.upper.select("spectrum", F.lit("boundary").alias("src"), F.col("bnd_id").alias("id"), *columns))
-    )
+    named = lambda df, src, key: df.select("spectrum", F.lit(src).alias("src"), F.col(key).alias("id"), *columns)
+    return named(a.pairs, "pair", "pair_id").unionByName(named(a.lower, "boundary", "bnd_id")).unionByName(named(a.upper, "boundary", "bnd_id"))
 
 
 def align(a: Annotation, params: AlignmentParams = AlignmentParams()) -> DataFrame:
     return product.align(a.edges, _hits(a).drop("target"), a.paired_peaks, params)
 
 
+def _loss_names(reverse: bool) -> Column:
+    """Names of the boundary losses, by id: every series with every loss."""
+    series = [s for s, _ in SERIES]
+    return F.array(*(F.lit(f"{s} {x}".strip()) for s in (reversed(series) if reverse else series) for x, _ in LOSSES))
+
+
+def _cheapest_hits(a: Annotation) -> DataFrame:
+    """(spectrum, kind, weight, symbol, mass, cost, right_loss_id): what an edge is taken for. Its mass is that of the whole target."""
+    spark = a.peaks.sparkSession
+    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(AMINOS)], "amino_id int, amino string")
+    mods = spark.createDataFrame([(i, f"[{s}]" if s else "") for i, (s, _) in enumerate(MODS)], "mod_id int, mod string")
+    hits = _hits(a).join(F.broadcast(names), "amino_id").join(F.broadcast(mods), "mod_id")  # 20 and 4 rows
+    ranked = P.cheapest_first(hits, ["spectrum", "src", "id"], ["amino_id", "left_loss_id", "right_loss_id", "mod_id"])
+    symbol = F.concat("amino", "mod").alias("symbol")
+    return ranked.filter("rank = 0").select("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight"), symbol, F.col("target").alias("mass"), "cost", "right_loss_id")
+
+
+def _spelled(a: Annotation, walks: DataFrame, best: DataFrame) -> DataFrame:
+    """(spectrum, cluster_id, path_id, step, symbol, mass, losses, rank): the steps of the paths, with the residues of both halves."""
+    on = ["spectrum", "cluster_id"]
+    kind = F.when(F.col("src") < 0, "boundary").otherwise("pair")
+    noted = a.edges.filter("side <> 'pivot'").withColumn("kind", kind).join(best, ["spectrum", "kind", "weight"])
+
+    def side(name: str, x: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{x}") for c in ("symbol", "mass", "right_loss_id")]
+        return noted.filter(F.col("side") == name).select(*on, F.col("dst").alias(f"src_{x}"), F.col("src").alias(f"dst_{x}"), *columns)
+
+    step = P.steps(walks).join(side("lower", "low"), [*on, "src_low", "dst_low"], "left").join(side("upper", "up"), [*on, "src_up", "dst_up"], "left")
+    differ = F.col("symbol_low") != F.col("symbol_up")
+    symbol = F.coalesce(F.when(differ, F.concat("symbol_low", F.lit("/"), "symbol_up")), F.col("symbol_low"), F.col("symbol_up"), F.lit(""))
+    loss = lambda reverse, x: F.when(F.col(f"dst_{x}") == topology.SOURCE, F.element_at(_loss_names(reverse), F.col(f"right_loss_id_{x}") + 1))
+    losses = F.array_compact(F.array(loss(False, "low"), loss(True, "up")))
+    mass = F.coalesce("mass_low", F.lit(0.0)) + F.coalesce("mass_up", F.lit(0.0))
+    return step.select(*on, "path_id", "step", symbol.alias("symbol"), mass.alias("mass"), losses.alias("losses"), F.lit(0).alias("rank"))
+
+
 def enumerate_candidates(a: Annotation, aligned: DataFrame, params: EnumerationParams = EnumerationParams(), most: int = 5) -> DataFrame:
     """The ``most`` cheapest candidates of each cluster: (spectrum, cluster_id, rank, sequence, cost, mass, offset)."""
     on = ["spectrum", "cluster_id"]
     walks = materialize(P.trace(aligned, params.cost_threshold, params.max_paths), "paths")
-    spark = a.peaks.sparkSession
-    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(AMINOS)], "amino_id int, amino string")
-    mods = spark.createDataFrame([(i, f"[{s}]" if s else "") for i, (s, _) in enumerate(MODS)], "mod_id int, mod string")
-    # a step's mass is its target's: the residue, its modification and its losses
-    hits = _hits(a).withColumnRenamed("target", "residue").join(F.broadcast(names), "amino_id").join(F.broadcast(mods), "mod_id").withColumn("amino", F.concat("amino", "mod"))
-    best = P.cheapest_first(hits, ["spectrum", "src", "id"], ["amino_id", "left_loss_id", "right_loss_id", "mod_id"]).filter("rank = 0").select("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight"), "amino", "residue", "cost", "right_loss_id")
-    noted = a.edges.filter("side <> 'pivot'").withColumn("kind", F.when(F.col("src") < 0, "boundary").otherwise("pair")).join(best, ["spectrum", "kind", "weight"])
-    step = P.steps(walks)
-    side = lambda s, x, y: noted.filter(F.col("side") == s).select(*on, F.col("dst").alias(f"src_{x}"), F.col("src").alias(f"dst_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("amino", "residue", "right_loss_id")))
-    spelled = step.join(side("lower", "low", "l"), [*on, "src_low", "dst_low"], "left").join(side("upper", "up", "u"), [*on, "src_up", "dst_up"], "left")
-    symbol = F.coalesce(F.when(F.col("amino_low") != F.col("amino_up"), F.concat("amino_low", F.lit("/"), "amino_up")), F.col("amino_low"), F.col("amino_up"), F.lit(""))
-    reversed_names = list(reversed([s for s, _ in SERIES]))
-    lower_names, upper_names = ([f"{s} {x}".strip() for s in order for x, _ in LOSSES] for order in ([s for s, _ in SERIES], reversed_names))
-    loss = lambda names_, c: F.element_at(F.array(*map(F.lit, names_)), F.col(c) + 1)
-    boundary = F.col("dst_low") == topology.SOURCE
-    symbols = F.array_compact(F.array(F.when(boundary, loss(lower_names, "right_loss_id_low")), F.when(F.col("dst_up") == topology.SOURCE, loss(upper_names, "right_loss_id_up"))))
-    spelled = materialize(spelled.select(*on, "path_id", "step", symbol.alias("symbol"), (F.coalesce("residue_low", F.lit(0.0)) + F.coalesce("residue_up", F.lit(0.0))).alias("mass"), symbols.alias("losses"), F.lit(0).alias("rank")), "steps")
+    best = _cheapest_hits(a)
+    spelled = materialize(_spelled(a, walks, best), "steps")
     ends = spelled.groupBy(*on, "path_id").agg(F.max_by("losses", "step").alias("symbols"))
-    affixes = C.oriented(walks.join(ends, [*on, "path_id"])).withColumn("lower", F.slice("lower", 2, F.size("lower"))).withColumn("upper", F.slice("upper", 2, F.size("upper")))
+    affixes = C.oriented(walks.join(ends, [*on, "path_id"]))
+    for half in ("lower", "upper"):  # without the virtual node
+        affixes = affixes.withColumn(half, F.slice(half, 2, F.size(half)))
     take = lambda kind, name: affixes.filter(F.col("kind").isin(kind, "infix")).select(*on, F.col("path_id").alias(name), "cost", "lower", "upper")
     paired = C.pair_affixes(take("prefix", "prefix_id"), take("suffix", "suffix_id"), topology.undirected(a.edges), on)
-    pivot_hits = best.filter("kind = 'pair'").join(a.clusters.select(*on), "spectrum").select(*on, F.col("weight").alias("pair_id"), F.col("amino").alias("symbol"), (2 * F.col("residue")).alias("mass"), "cost")
+    at_pivot = best.filter("kind = 'pair'").join(a.clusters.select(*on), "spectrum")
+    pivot_hits = at_pivot.select(*on, F.col("weight").alias("pair_id"), "symbol", (2 * F.col("mass")).alias("mass"), "cost")
     named = lambda name: spelled.withColumnRenamed("path_id", name)
+    found = C.sequences(paired, named("prefix_id"), named("suffix_id"), pivot_hits, on)
     pivots = a.clusters.select("spectrum", F.col("cluster_id").alias("pivot_idx"), F.col("point").alias("pivot"))
-    found = C.best_pivot(C.sequences(paired, named("prefix_id"), named("suffix_id"), pivot_hits, on), pivots, ["spectrum"], ["cluster_id", "prefix_id", "suffix_id", "sequence"])
-    return C.top(found.groupBy(*on, "sequence").agg(F.min("cost").alias("cost"), F.min_by("mass", "cost").alias("mass"), F.min_by("offset", "cost").alias("offset")), most, on)
+    found = C.best_pivot(found, pivots, ["spectrum"], ["cluster_id", "prefix_id", "suffix_id", "sequence"])
+    cheapest = lambda c: F.min_by(c, "cost").alias(c)
+    return C.top(found.groupBy(*on, "sequence").agg(F.min("cost").alias("cost"), cheapest("mass"), cheapest("offset")), most, on)
