@@ -20,6 +20,8 @@ from .common import materialize
 WINDOW = 8
 #: Benchmark windows up to which they are broadcast; beyond, the windows of both sides are shuffled by their hash.
 BROADCAST_WINDOWS = 200_000
+#: Documents with matches up to which their ids are broadcast before the texts are joined.
+BROADCAST_IDS = 200_000
 #: Units that are a slot after a number.
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s sec min h hr hours days weeks months years usd eur gbp dollars euros percent kmh mph kwh mb gb".split(" ")
 
@@ -85,6 +87,9 @@ def windows(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 def windows_at(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(id, length, at, window) for all ``places`` (id, length, at) of the raw texts (id, text): each text is cut into words once."""
+    ids = materialize(places.select("id").distinct(), "leak-ids")
+    if ids.count() <= BROADCAST_IDS:  # then other texts stay where they are
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     held = places.groupBy("id").agg(F.collect_set(F.struct("length", "at")).alias("places"))  # as many as the text has words
     found = texts.join(held, "id").select("id", "places", F.split(canonical(F.col("text")), " ").alias("list"))
     # named twice, so that the list isn't made anew for each place
