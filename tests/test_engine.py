@@ -128,3 +128,46 @@ def test_pipeline_on_nothing(spark):
     none = spark.createDataFrame([], "spectrum string, peak_id int, mz double, intensity double")
     a = pipeline.annotate(none)
     assert a.edges.count() == 0 and pipeline.align(a).count() == 0
+
+
+def test_paths_are_not_capped():
+    """14 layers of two nodes: 2 ** 14 paths, more than were once allowed."""
+    edges = {(k, x): [((k + 1, y), 0.0) for y in (0, 1)] for k in range(14) for x in (0, 1)}
+    assert len(paths.trace_paths(edges, [(0, 0)], 1.0)) == 2**14
+    with pytest.raises(ValueError):
+        paths.trace_paths(edges, [(0, 0)], 1.0, 100)
+
+
+def test_what_is_not_annotated_is_refused():
+    with pytest.raises(ValueError):
+        params.AnnotationParams(max_k=2)
+
+
+def test_generated_ions(spark):
+    table = spark.createDataFrame([("PEPTIDE",), ("A",)], "peptide string")
+    simple = peaks.generated(table).collect()
+    assert {(r.series, r.position, round(r.mz, 5)) for r in simple} == {(r.series, r.position, round(r.mz, 5)) for r in peaks.ions(table).collect()}
+    got = {(r.series, r.position, r.loss, r.charge): r.mz for r in peaks.generated(table, params.IonParams(("b",), True, True, 2)).collect()}
+    assert ("b", 1, "H2O1", 1) not in got and ("b", 2, "H2O1", 1) in got and ("b", 2, "H3N1", 1) not in got and not any(k[0] == "y" for k in got)
+    assert abs(got["b", 2, "", 1] - got["b", 2, "H2O1", 1] - 18.010564684) < 1e-9
+    assert abs(got["p", 7, "", 1] - 800.3672) < 1e-3 and abs(2 * got["p", 7, "", 2] - got["p", 7, "", 1] - 1.007276466) < 1e-9 and ("p", 7, "H3N1", 2) in got
+
+
+def test_candidates_weigh_what_they_are_made_of(spark):
+    """A candidate's mass holds losses and modifications, so the right sequence's is twice the pivot."""
+    found = pipeline.enumerate_candidates(a := pipeline.annotate(spectra(spark, ["PEPTIDE"]).select("spectrum", "peak_id", "mz", "intensity"), params.AnnotationParams(charges=(1,))), pipeline.align(a))
+    best = {r.sequence: r.offset for r in found.collect()}
+    assert best and min(abs(x) for x in best.values()) < 0.05
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from denovospark.functions import storage
+
+    session = lambda master, path: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: path), sparkContext=SimpleNamespace(applicationId=master, master=master))
+    assert storage.shared_dir(session("spark://x:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(session(master, None))
+    assert storage.shared_dir(session("local[4]", None)) == storage.shared_dir(session("local[4]", None))
