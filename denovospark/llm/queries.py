@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_tree import digest_bpe
 from .chat import link_calls, turns_as_calls
 from .common import table
 from .decontamination import find_leaks
+from .fill_in_middle import fill_in_middle, restored
 from .lm_scoring import score_documents
 from .ngram_join import ngram_components
+from .packing import pack_texts
 from .pii import pseudonymise
 from .quality_rules import apply_quality_rules
 from .sharding import shard_documents
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,3 +116,35 @@ sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT sides.b, reached.root FROM reached JOIN sides ON sides.a = reached.doc_id)
 SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN reached ON reached.doc_id = s.doc_id GROUP BY 1
 """
+
+
+@query
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("component", "c"), "identity_error")
+    return each.select("vec_id", (F.col("component") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, [('0x' || h[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""
+
+
+@query
+def op13_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
