@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _formed(batches: Iterator[pa.RecordBatch], seed: int, rate: int, spm: int) -
 
     for batch in batches:
         ids, keys, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-        sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < len(ids):
             base = sizes[begin - 1] if begin else 0

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -303,7 +304,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
     def items(batch: pa.RecordBatch) -> Iterator[Item]:
         if not loaded:
             loaded.append(Words(tokenizer_path))
-        sizes = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < len(sizes):
             upto = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + GROUP_BYTES, "right")))
