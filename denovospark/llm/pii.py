@@ -29,9 +29,14 @@ _IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 _ISO = r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}/-])"
 _DAY_FIRST = r"(?<![\p{L}\p{N}/.-])\d{2}[/.]\d{2}[/.]\d{4}(?![\p{L}\p{N}/-])"
 _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-_CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,255}(?![\p{L}\p{N}-])"
-#: Parts of a run that begin and end with a group, by their length; usual lengths first, as one in ten passes the check by chance.
-_CARD_PARTS = [rf"(?<![\p{{L}}\p{{N}}])(?=(\d{{3}}(?:\d|[ -]\d(?=\d\d)){{{n - 3}}})(?![\p{{L}}\p{{N}}]))" for n in (16, 15, 14, 13, 19, 18, 17)]
+#: Groups of digits, of any number; possessive, so that the match needs no stack however long it is.
+_CARD = r"(?<![\p{L}\p{N}-])(?=\d(?:[ -]?\d){12})\d++(?![\p{L}\p{N}])(?:[ -]\d++(?![\p{L}\p{N}]))*+"
+#: Lengths of card numbers; usual ones first, as one in ten runs of digits passes the check by chance.
+_CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)
+#: Groups of three digits at least that a card may have.
+_CARD_GROUPS = 6
+#: A marked group that begins no card, or begins one of so many groups, with those.
+_MARKED = "|".join(["\u00010[^\u0001]*"] + [f"\u0001{n}[^\u0001]*(?:\u0001.[^\u0001]*){{{n - 1}}}" for n in range(1, _CARD_GROUPS + 1)])
 _IBAN_PARTS = [rf"(?<![A-Z0-9])(?=([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}})(?![A-Z0-9]))" for n in range(34, 11, -1)]
 _LOCAL_PHONE = r"(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}-])"
 #: Country calling codes of one digit and of two; all others have three.
@@ -134,18 +139,59 @@ def _parts(text: Column, patterns: list[str], valid: Callable[[Column], Column],
     return F.aggregate(F.filter(parts, valid), F.struct(text.alias("text"), F.lit(0).alias("n")), step)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cards_within(text: Column, key: Column) -> Column:
+    """(text, n): card numbers that begin and end with a group of ``text`` replaced, and how many.
+
+    Each group is marked with the groups of the card that begins there, unless a more usual one begins within that; then one pattern takes them from
+    the left. The work for a group doesn't depend on the length of the text.
+    """
+    groups = F.regexp_extract_all(text, F.lit("[ -]?[^ -]+|[ -]"), 0)
+    digits = F.transform(groups, lambda g: F.when(g.rlike("^[ -]?[0-9]{3,}$"), F.ltrim(g, F.lit(" -"))).otherwise(""))
+
+    def beginning(all_digits: Column, i: Column) -> Column:
+        """(turn, groups) of the most usual card that begins with a group; null if none does."""
+        def of(n: int) -> Column:
+            some = F.slice(all_digits, i + 1, F.lit(n))
+            said = F.array_join(some, "")
+            fits = (F.size(some) == n) & ~F.array_contains(some, "") & F.length(said).between(min(_CARD_LENGTHS), max(_CARD_LENGTHS))
+            turn = F.array_position(F.array(*map(F.lit, _CARD_LENGTHS)), F.length(said))
+            return F.when(fits, F.when(luhn_sum(said) % 10 == 0, F.struct(turn.alias("turn"), F.lit(n).alias("groups"))))
+
+        return F.array_min(F.array(*map(of, range(1, _CARD_GROUPS + 1))))
+
+    def mark(found: Column, i: Column) -> Column:
+        own = F.get(found, i)
+        better = F.exists(F.slice(found, i + 2, F.greatest(own["groups"] - 1, F.lit(0))), lambda x: x["turn"] < own["turn"])
+        return F.when(own.isNull() | better, 0).otherwise(own["groups"]).cast("string")
+
+    def replaced(part: Column) -> Column:
+        body = F.regexp_replace(part, "\u0001.", "")
+        return F.when(F.substring(part, 2, 1) == "0", F.struct(body.alias("text"), F.lit(0).alias("n"))).otherwise(F.struct(_card(body, key).alias("text"), F.lit(1).alias("n")))
+
+    marked = _let(
+        F.struct(groups.alias("groups"), digits.alias("digits")),
+        lambda s: _let(F.transform(s["digits"], lambda d, i: F.when(d != "", beginning(s["digits"], i))), lambda found: F.array_join(F.transform(s["groups"], lambda g, i: F.concat(F.lit("\u0001"), mark(found, i), g)), "")),
+    )
+    parts = F.transform(F.regexp_extract_all(marked, F.lit(_MARKED), 0), replaced)
+    return _let(parts, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["text"]), "").alias("text"), F.aggregate(p, F.lit(0), lambda k, x: k + x["n"]).alias("n")))
+
+
 def _cards(m: Column, key: Column) -> Column:
     """(text, n). A run that is no longer than a card is one in whatever groups it is written."""
     once = lambda v: F.struct(v.alias("text"), (v != m).cast("int").alias("n"))
-    found = _parts(m, _CARD_PARTS, lambda c: luhn_sum(_digits(c)) % 10 == 0, lambda c: _card(c, key))
     whole = F.when(F.length(_digits(m)).between(13, 19), once(_card(m, key))).otherwise(once(m))
-    return F.transform(F.array(found), lambda f: F.when(f["n"] > 0, f).otherwise(whole))[0]
+    return _let(_cards_within(m, key), lambda f: F.when(f["n"] > 0, f).otherwise(whole))
 
 
 def _ibans(m: Column, key: Column) -> Column:
     """(text, n). What follows or precedes the account numbers may hold card numbers."""
     found = _parts(m, _IBAN_PARTS, lambda c: iban_rest(F.translate(c, " ", "")) == 1, lambda c: F.concat(F.lit("\u0001"), _iban(c, key), F.lit("\u0001")))
-    piece = lambda t, i: F.when(i % 2 == 1, F.struct(t.alias("text"), F.lit(1).alias("n"))).otherwise(_parts(t, _CARD_PARTS, lambda c: luhn_sum(_digits(c)) % 10 == 0, lambda c: _card(c, key)))
+    piece = lambda t, i: F.when(i % 2 == 1, F.struct(t.alias("text"), F.lit(1).alias("n"))).otherwise(_cards_within(t, key))
     step = lambda a, b: F.struct(F.concat(a["text"], b["text"]).alias("text"), (a["n"] + b["n"]).alias("n"))
     return F.aggregate(F.transform(F.split(found["text"], "\u0001"), piece), F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), step)
 

@@ -177,3 +177,33 @@ def test_names_and_repeated_rows(spark):
     rows = pseudonymise(docs, "k").collect()
     assert rows[0] == rows[1] and [(r._private, r._private_) for r in rows] == [("a", "b"), ("a", "b"), ("c", "d")] and rows[2].text is None
     assert pseudonymise(docs, "k").columns == docs.columns
+
+
+def test_cards_in_runs_of_any_length(spark):
+    """Groups before, after and around a card, far more than a card has."""
+    whole = run(spark, [CARD])[0].text
+    grouped = lambda card, sign: sign.join(card[k : k + 4] for k in range(0, 16, 4))
+    texts, want = [], []
+    for sign in " -":
+        for many in (62, 66, 3000):
+            for filler in ("7", "71"):  # groups that are too short to be of a card
+                around = sign.join([filler] * many)
+                for card, out in ((CARD, texts), (whole, want)):
+                    out.append(f"of {around}{sign}{grouped(card, sign)}{sign}{around} x")
+    long = [sign.join(["1234"] * 64 + [CARD] + ["5678"] * 64) for sign in " -"]
+    got = run(spark, [*texts, *long, "1" * 300_000])
+    assert [(got[k].text, got[k].n) for k in range(len(texts))] == [(x, 1) for x in want]
+    assert all(CARD not in got[len(texts) + k].text for k in (0, 1)) and got[len(texts) + 2].n == 0
+
+
+def test_of_overlapping_cards_the_usual_length_then_the_first(spark):
+    def valid(n):
+        return next(x for k in range(10) if luhn(x := "45" + "17" * ((n - 3) // 2) + "3" * ((n - 3) % 2) + str(k)))
+
+    v13 = valid(13)
+    tail = next(f"{k:03d}" for k in range(1000) if luhn(v13 + f"{k:03d}"))
+    got = run(spark, [f"{v13} {tail}", f"{v13} {CARD}", f"123 {CARD} 123"])
+    assert luhn(got[0].text) and got[0].text[-3:] != tail or got[0].text[:13] != v13
+    a, b = got[1].text.split(" ")
+    assert luhn(a) and luhn(b) and a != v13 and b != CARD and got[1].n == 2
+    assert got[2].n == 1 and re.fullmatch(r"123 \d{16} 123", got[2].text) and CARD not in got[2].text
