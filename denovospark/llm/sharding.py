@@ -3,8 +3,8 @@
 Documents that share a link value (for the query: the same text) should lie in the same shard, and all shards should have
 as many rows as the others, or one more. Links aren't expanded into pairs: a link value is a hub, and a round counts each
 hub's members by shard, sums the counts of a row's hubs, and lets the row ask for the shard with most of its neighbours.
-What moves is limited by quotas: requests from s to t pass as far as requests from t to s swap with them or t has room
-left. Rows without links have no edges to cut; they are dealt last, to exactly the room that is left, so the law holds
+What moves is limited by quotas: requests pass as far as they form swaps and longer cycles between shards, or a shard has room
+left. Exactly as many rows move as the quota says, those of a hub together where they can. Rows without links have no edges to cut; they are dealt last, to exactly the room that is left, so the law holds
 after any number of rounds, and whatever the links are: a hub larger than a shard fills one and overflows.
 
 Only tables of at most shards x shards x BUCKETS rows come to the driver. Ranks are made of counts by bucket and of ranks
@@ -38,8 +38,31 @@ def ranked(df: DataFrame, group: list[str], key: Column, rows: int, name: str) -
     return df.withColumn("_rank", within).join(starts, [*group, "_bucket"]).withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_bucket", "_rank", "_start")
 
 
+def _cycle(left: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Some cycle of shards with requests left along all of it, the shortest from its first shard; empty if there is none."""
+    onward: dict[int, list[int]] = defaultdict(list)
+    for (s, t), n in sorted(left.items()):
+        if n > 0 and s != t:
+            onward[s].append(t)
+    for first in sorted(onward):
+        came = {first: first}
+        queue = [first]
+        for s in queue:
+            for t in onward[s]:
+                if t == first:
+                    ways = [(s, t)]
+                    while s != first:
+                        ways.append((came[s], s))
+                        s = came[s]
+                    return ways
+                if t not in came:
+                    came[t] = s
+                    queue.append(t)
+    return []
+
+
 def grant(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many of the requests from s to t pass: swaps first, then what there is room for."""
+    """How many of the requests from s to t pass: swaps, then what there is room for, then longer cycles."""
     passed = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
     room, moved = list(room), True
     while moved:
@@ -51,6 +74,12 @@ def grant(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int,
                 room[t] -= more
                 room[s] += more
                 moved = True
+    left = {way: n - passed[way] for way, n in asked.items()}
+    while ways := _cycle(left):
+        most = min(left[w] for w in ways)
+        for w in ways:
+            left[w] -= most
+            passed[w] += most
     return passed
 
 
@@ -73,38 +102,37 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int) -> tuple[DataF
     first = sum(((F.col("at") >= end).cast("int") for end in ends[:-1]), F.lit(0))
     labels = materialize(start.select("row", first.cast("int").alias("shard")), "shard-labels")
     held = [end - begin for begin, end in zip([0, *ends], ends, strict=False)]
-    for _ in range(rounds):
-        best = F.array_max(F.array(*(F.struct(F.col(f"c{k}").alias("n"), (-F.pmod(F.xxhash64("first") + k, F.lit(shards))).alias("turn"), F.lit(k).alias("k")) for k in range(shards))))["k"]
+    quota = "shard int, to int, last int, rest long"
+    for turn in range(rounds):
+        # ties go another way each round, so that what is left over can swap later
+        best = F.array_max(F.array(*(F.struct(F.col(f"c{k}").alias("n"), (-F.pmod(F.xxhash64("first", F.lit(turn)) + k, F.lit(shards))).alias("turn"), F.lit(k).alias("k")) for k in range(shards))))["k"]
         bucket = F.pmod(F.xxhash64("first"), F.lit(HUB_BUCKETS)) * ROW_BUCKETS + F.pmod(F.xxhash64("row"), F.lit(ROW_BUCKETS))
-        asks = materialize(_votes(links, labels, shards).join(labels, "row").select("row", "shard", best.alias("to"), bucket.alias("bucket")), "shard-asks")
+        asks = materialize(_votes(links, labels, shards).join(labels, "row").select("row", "shard", best.alias("to"), bucket.cast("int").alias("bucket")), "shard-asks")
         counts = asks.filter("shard <> to").groupBy("shard", "to", "bucket").count().collect()  # shards x shards x BUCKETS at most
         asked: dict[tuple[int, int], int] = defaultdict(int)
         for r in counts:
             asked[r["shard"], r["to"]] += r["count"]
+        if not asked:
+            break
         passed = grant(asked, [c - h for c, h in zip(capacity, held, strict=True)])
-        limit: dict[tuple[int, int], int] = {}
-        full: set[tuple[int, int]] = set()
-        done: dict[tuple[int, int], int] = defaultdict(int)
+        # whole buckets pass in order, and of the first that doesn't as many rows as the quota leaves
+        last, rest = {}, dict(passed)
         for r in sorted(counts, key=lambda r: r["bucket"]):
             way = r["shard"], r["to"]
-            if way not in full and done[way] + r["count"] <= passed[way]:
-                done[way], limit[way] = done[way] + r["count"], r["bucket"]
-            else:
-                full.add(way)
-        if not any(done.values()):
-            break
-        # whole buckets pass, in order; swaps may then be uneven, so each shard is held to its capacity
-        while over := [t for t in range(shards) if held[t] + sum(n if b == t else -n for (a, b), n in done.items() if t in (a, b)) > capacity[t]]:
-            way = max((w for w in done if w[1] == over[0]), key=lambda w: done[w])
-            limit.pop(way, None)
-            done[way] = 0
-        for (s, t), n in done.items():
+            if way not in last:
+                if r["count"] <= rest[way]:
+                    rest[way] -= r["count"]
+                else:
+                    last[way] = r["bucket"]
+        for (s, t), n in passed.items():
             held[s] -= n
             held[t] += n
-        goes = F.lit(False)
-        for (s, t), last in limit.items():
-            goes = goes | ((F.col("shard") == s) & (F.col("to") == t) & (F.col("bucket") <= last))
-        labels = materialize(asks.select("row", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
+        ways = links.sparkSession.createDataFrame([(s, t, last.get((s, t), BUCKETS), rest[s, t]) for s, t in asked], quota)
+        told = asks.join(F.broadcast(ways), ["shard", "to"], "left")  # shards x shards rows
+        edge = F.col("bucket").eqNullSafe(F.col("last"))
+        clear = told.filter(~edge).select("row", F.when(F.col("bucket") < F.col("last"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        cut = ranked(told.filter(edge), ["shard", "to"], F.col("row"), total // BUCKETS, "at").select("row", F.when(F.col("at") < F.col("rest"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        labels = materialize(clear.unionByName(cut), "shard-labels")
     return labels, held
 
 
