@@ -56,9 +56,9 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [text_stats(v.as_py()) for v in batch.column(2)]
+        rows = [text_stats(v.as_py()) for v in batch.column(3)]
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(STATS))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "stratum", *STATS])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "stratum", "digest", *STATS])
 
 
 @dataclass(frozen=True)
@@ -130,9 +130,11 @@ def _choose(batches: Iterator[pa.RecordBatch], alpha: float, delta: float) -> It
 
 
 def levels_of(stats: DataFrame, labels: DataFrame, id_col: str, good: Column, alpha: float, delta: float) -> DataFrame:
-    """(of, level): the certified level of each labelled stratum, 0 for none."""
+    """(of, level): the certified level of each labelled stratum, 0 for none. The draws are distinct texts of distinct ids."""
     of_id = labels.groupBy(id_col).agg(F.min(good.cast("int")).alias("good")).filter("good is not null")
-    held = stats.filter(~F.col("base_failed")).join(of_id, id_col).select("stratum", "good", "first_level")
+    held = stats.filter(~F.col("base_failed")).join(of_id, id_col)
+    by_id = held.groupBy(id_col).agg(F.min(F.struct("digest", "stratum", "good", "first_level")).alias("one")).select("one.*")
+    held = by_id.groupBy("stratum", "digest").agg(F.min("good").alias("good"), F.min("first_level").alias("first_level"))
     count = lambda good, k: F.count(F.when((F.col("good") == good) & (F.col("first_level") == k), 1))
     counts = held.groupBy("stratum").agg(*(F.array(*(count(g, k) for k in range(LEVELS + 1))).alias(name) for g, name in ((1, "good"), (0, "bad"))))
     counts = materialize(counts, "quality-counts")
@@ -149,12 +151,12 @@ def apply_quality_rules(
 
     Returns (``id_col``, the STATS, base_failed, kept, stratum, level, one ``by_<rule>`` boolean each). The texts are read once and
     not shuffled; the statistics are written to the shared folder. A null or empty text has no words and fails the base.
-    A null language is a stratum of its own. Repeated ids are kept as they are; a labelled id counts once, as bad if any
-    of its labels is. Labels that are null don't count. In strata without labels no level is certified. Other columns are not read.
+    A null language is a stratum of its own. Repeated ids are kept as they are; in the holdout an id counts
+    once (by its text of least digest), and a text once in a stratum, as bad if any label is. Labels that are null don't count. In strata without labels no level is certified. Other columns are not read.
     """
     kind, of = docs.schema[id_col].dataType.simpleString(), docs.schema[stratum_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    stats = source.mapInArrow(_stats, f"id {kind}, stratum {of}, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("id", id_col)
+    source = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    stats = source.mapInArrow(_stats, f"id {kind}, stratum {of}, digest string, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("id", id_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(stats.withColumns({"base_failed": failed, "first_level": _first_level()}), "quality-stats")
     levels = levels_of(stats, labels, id_col, F.col(good_col) == 1, alpha, delta)

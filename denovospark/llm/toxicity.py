@@ -127,7 +127,7 @@ def telling(toxic: list[bytes], ordinary: list[bytes], length: int, parts: int =
     for part in range(parts):
         of = lambda t: (lambda r: np.unique(r[r % np.uint64(parts) == part]))(_runs(t, length))
         codes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(of, toxic)]), return_counts=True)
-        codes, n = codes[n > 1], n[n > 1] if len(toxic) > 1 else n
+        codes, n = codes[n > 1], n[n > 1]  # what one text alone has tells nothing
         m = np.zeros(len(codes), np.int64)
         for t in ordinary if len(codes) else ():
             r = of(t)

@@ -1,9 +1,11 @@
+import hashlib
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +56,16 @@ def verdicts(rows, labels, alpha=0.03, delta=0.05):
     for i, y in labels:
         if i is not None and y is not None:
             good[i] = min(good.get(i, 1), int(y == 1))
-    held = [(lang, good[i], s) for i, lang, s in stats if i in good and not failed(s)]
+    one = {}  # of an id the text of least digest, of texts in a stratum one
+    for (i, lang, s), (_, text, _) in zip(stats, rows, strict=True):
+        if i in good and not failed(s):
+            of = (hashlib.md5(text.encode()).hexdigest(), lang is not None, lang or "", s)
+            one[i] = min(one.get(i, of), of, key=lambda x: x[:3])
+    texts = {}
+    for i, (digest, _, _, s) in one.items():
+        lang = one[i][2] if one[i][1] else None
+        texts[lang, digest] = (lang, min(good[i], texts.get((lang, digest), (0, 1))[1]), s)
+    held = list(texts.values())
     strata, level_of = {lang for lang, _, _ in held}, {}
     for lang in strata:
         ours = [(y, s) for x, y, s in held if x == lang]
@@ -82,6 +93,8 @@ def test_verdicts_equal_brute_force(spark):
         if lang != "xx" and i % 3:
             labels.append((i, None if i % 101 == 0 else int(not bad)))
     labels += [(4, 0), (5, 1), (None, 1), (99999, 1)]
+    rows += rows[:400] + [(i + 5000, text, lang) for i, text, lang in rows[100:300]]
+    labels += [(i + 5000, i % 2) for i, _, _ in rows[100:300]]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, level string").repartition(4)
     got = q.apply_quality_rules(docs, spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, stratum string"))
     want = verdicts(rows, labels)
@@ -90,6 +103,16 @@ def test_verdicts_equal_brute_force(spark):
     assert got.filter("stratum = 'xx' and level > 0").count() == 0
 
 
+def test_repeated_rows_and_equal_texts_are_one_draw(spark):
+    good = [(i, f"good {i} " + " ".join(f"g{i}x{k}" for k in range(60)), "en") for i in range(20)]
+    bad = [(100 + i, " ".join(f"b{i}x{k}%%" for k in range(60)), "en") for i in range(20)]
+    schema = "doc_id long, text string, lang string"
+    labels = [(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad]
+    for rows, names in ((good + bad, labels), ((good + bad) * 10, labels), (good + bad + [(1000 + 20 * n + i, t, x) for n in range(9) for i, t, x in good], labels + [(1000 + i, 1) for i in range(180)])):
+        got = q.apply_quality_rules(spark.createDataFrame(rows, schema), spark.createDataFrame(names, "doc_id long, quality int")).collect()
+        assert all(r.kept and r.level == 0 for r in got)
+
+
 def test_rules_on_a_table(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     rows = [(i, (" ".join(f"{i}w{k}%%%" for k in range(60)) if i % 4 == 0 else f"{i} {clean}"), "en", "x") for i in range(4000)]
@@ -150,6 +173,16 @@ def test_toxicity_with_label_noise_quotes_and_everyday_phrases():
     assert said[truth & words].mean() >= 0.95 and said[truth & ~words].mean() >= 0.9 and said[~truth].mean() <= 0.03
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_few_toxic_texts_to_learn_from(n):
+    plain = [(f"plain words about the weather {i} and nothing else", 0, i % 2 == 0) for i in range(40)]
+    model = t.fit(plain + [("you are vile scum", 1, False)] * n + [("vile scum again", 1, True)])
+    score = lambda m, *texts: [p for _, ps, _ in t._judged(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])]), m, 0) for p in ps]
+    assert all(0 <= p <= 1 for p in score(model, "vile scum", ""))
+    assert n == 1 or score(model, "you are vile scum")[0] > score(model, "plain words about nothing")[0]
+    assert score(t.fit(plain + [("vile scum again", 1, True)]), "x")[0] < 0.5
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
