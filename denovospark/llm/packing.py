@@ -13,7 +13,9 @@ larger than a window is cut into whole sequences at once.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,9 +34,9 @@ WINDOW_TOKENS, WINDOW_ITEMS, KEPT_TOKENS = 1 << 20, 1 << 14, 1 << 17
 #: Sequences that are filled from one list of classes.
 LISTED = 64
 #: Words after which a task begins anew to remember them.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 20
 #: Bytes of texts that are encoded at once, unless one text has more.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 8 << 20
 #: Where the second round's sequences are numbered from.
 SECOND = 1 << 62
 _COLUMNS = "start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary, mask binary"
@@ -216,58 +218,105 @@ def _in_rounds(source: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[
     return first.filter("sequence_id is not null").unionByName(second).withColumnRenamed("id", id_col)
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies; the blank, which separates, stays."""
+    spare = iter(range(256, 512))
+    shown = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
+    letters = [chr(b) if shown(b) else chr(next(spare)) for b in range(256)]
+    letters[32] = " "
+    return "".join(letters)
+
+
 class Words:
     """Encodes texts word by word, for a tokenizer that drops white space: then a text's ids are those of its words in turn.
 
-    Words that aren't known yet are encoded in one call, with MARK between them, which has an id of its own, to tell where each ends.
-    What is known is a number for each word, and the ids of all words in one array.
+    The words of many texts are told apart in Arrow, and a new one is encoded once, many in a call. MARK between them, which has an id
+    of its own, tells where each ends. Where the tokenizer does no more than to lower, split by a pattern and merge bytes with word ends, words of
+    Latin letters, on which all Unicode versions agree, are split here and merged by its model alone, which takes half the time.
     """
 
     MARK = "\x01"
+    #: Letters below U+0180 but for the dotted capital I: composed already, and lowered one by one.
+    PLAIN = re.compile("[\x00\x02-\u012f\u0131-\u017f]*")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_id = self._ids(self.MARK).tolist()
+        said = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        suffix = said["model"].get("end_of_word_suffix")
+        self.special = tuple(t["content"] for t in said["added_tokens"])
+        self.bare = None
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and suffix:
+            split = said["pre_tokenizer"]["pretokenizers"][0]
+            if split["invert"] and split["behavior"] == "Removed" and all(t.startswith("<|") for t in self.special):
+                self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+                self.letters = _byte_letters()
+                self.bare = Tokenizer(self.tokenizer.model)
+                self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+                vocabulary = self.tokenizer.get_vocab()
+                self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+                self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has: pieces by the pattern, merged by the model; each piece ends in a token with the suffix."""
+        pieces = self.pieces(f" {self.MARK} ".join(words).lower())
+        marks = np.fromiter((p == self.MARK for p in pieces), bool, len(pieces))
+        text = " ".join(p for p in pieces if p != self.MARK)
+        ids = np.array(self.bare.encode_batch_fast([text.encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        behind = np.cumsum(~marks)
+        return ids, np.diff(upto[np.append(behind[marks], len(upto) - 1)], prepend=0)
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(f" {self.MARK} ".join(words))
+        at = np.flatnonzero(ids == self.mark_id[0])
+        return np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1
+
     def _learn(self, words: list[str]) -> None:
-        apart = [w for w in words if self.MARK in w] if len(self.mark_id) == 1 else words
-        words = [w for w in words if self.MARK not in w] if len(self.mark_id) == 1 else []
-        ids, lengths = [self.ids], [np.diff(self.starts)]
-        for k in range(0, len(words), 1024):
-            part = self._ids(f" {self.MARK} ".join(words[k : k + 1024]))
-            at = np.flatnonzero(part == self.mark_id[0])
-            ids.append(np.delete(part, at))
-            lengths.append(np.diff(at, prepend=-1, append=len(part)) - 1)
-        for word in apart:
-            ids.append(self._ids(word))
-            lengths.append([len(ids[-1])])
-        self.known.update(zip(words + apart, range(len(self.known), len(self.known) + len(words) + len(apart))))
-        self.ids = np.concatenate(ids)
-        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-
-    def encode(self, texts: list[str], end: int | None) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        plain, other, alone = [], [], []
+        for w in words:
+            if self.MARK in w or len(self.mark_id) != 1:
+                alone.append(w)
+            else:
+                (plain if self.bare and self.PLAIN.fullmatch(w) and "<|" not in w else other).append(w)
+        found = [(self.ids, np.diff(self.starts))]
+        for some, encode in ((plain, self._merged), (other, self._marked)):
+            found += [encode(some[k : k + 2048]) for k in range(0, len(some), 2048)]
+        for w in alone:
+            ids = self._ids(w)
+            found.append((ids, np.array([len(ids)])))
+        self.known.update(zip(plain + other + alone, range(len(self.known), len(self.known) + len(words))))
+        self.ids = np.concatenate([ids for ids, _ in found])
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in found]))])
+
+    def encode(self, texts: pa.Array, end: int | None) -> Iterator[np.ndarray]:
+        """The ids of each text; null texts aren't taken."""
+        words = pc.ascii_split_whitespace(texts)
+        n = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > MEMO_WORDS:
             self._forget()
-        self._learn(list(set(itertools.chain.from_iterable(split)).difference(self.known)))
-        n = np.array([len(words) for words in split])
-        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
+        self._learn([w for w in distinct if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.starts[at + 1] - self.starts[at]
         upto = np.cumsum(lengths)
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[at] - upto + lengths, lengths)]
+        ids = self.ids[np.arange(lengths.sum()) + np.repeat(self.starts[at] - upto + lengths, lengths)]
         last = np.array([] if end is None else [end], np.uint32)
-        ends = upto[np.cumsum(n) - 1]
+        ends = np.append(0, upto)[np.cumsum(n)]
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
             yield np.append(ids[a:b], last)
 
@@ -309,7 +358,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
         while begin < len(sizes):
             upto = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + GROUP_BYTES, "right")))
             part = batch.slice(begin, upto - begin)
-            for example, ids in zip(part.column(0).to_pylist(), loaded[0].encode(part.column(1).to_pylist(), end), strict=True):
+            for example, ids in zip(part.column(0).to_pylist(), loaded[0].encode(part.column(1), end), strict=True):
                 yield Item(example, 0, len(ids), ids, None)
             begin = upto
 

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -127,8 +128,6 @@ def test_rank_and_select(share):
 def test_groups_of_texts_and_one_larger_than_a_group(monkeypatch, docs):
     want = sorted(map(str, fim.fill_in_middle(docs).collect()))
     monkeypatch.setattr(fim, "GROUP_BYTES", 10)
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array(map(str, range(len(TEXTS)))), pa.array([(t or "").encode() for t in TEXTS])], names=["id", "key", "text"])
     parts = list(fim._formed(iter([batch]), 7, 100, 50))
     assert len(parts) > 5 and sum(p.num_rows for p in parts) == len(TEXTS)
@@ -214,12 +213,17 @@ def test_examples_with_masks(spark):
         Limits(0, 1, 1)
 
 
-def test_words_are_forgotten_without_a_change(monkeypatch):
+@pytest.mark.parametrize("bare", [True, False])
+def test_words_are_encoded_as_the_library_does(monkeypatch, bare):
     from tokenizers import Tokenizer
 
     tokenizer, words = Tokenizer.from_file(WORDS), packing.Words(WORDS)
-    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
-    texts = [t or "" for t in TEXTS] * 2
+    assert words.bare
+    words.bare = words.bare if bare else None
+    monkeypatch.setattr(packing, "MEMO_WORDS", 3)  # forgotten between the calls
+    texts = [t or "" for t in TEXTS] * 2 + ["a\x00b\x1c\x7f é\x85É \xa0x\xad İı ŸßſŒ", "don't I'LL 'S ''ve _x_ 1²³½ ª", "<|ENDOFTEXT|> <|endoftext|", "á á ´ ¸", "\v\f\r a"]
+    letters = [chr(c) for c in range(0x250)]
+    texts += ["".join(letters), " ".join(letters), "x".join(letters), " ".join(c + "a" + c for c in letters), " ".join(map(chr, range(0x250, 0x3000, 7)))]
     for text in texts:
-        assert next(words.encode([text], None)).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    assert [x.tolist() for x in words.encode(texts, 2)] == [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert next(words.encode(pa.array([text]), None)).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in words.encode(pa.array(texts), 2)] == [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
