@@ -1,98 +1,115 @@
-"""Alignment of two spectrum graphs: least costs over their sparse product, found group by group."""
+"""Alignment of two spectrum graphs: least costs over their sparse product, by joins until nothing changes.
+
+The product is never built: a round joins the nodes whose cost has changed with the edges of both graphs, takes the least cost of each node
+that they lead to, and keeps what is less than what was known. Keys are the nodes themselves, so one large cluster is dealt to all tasks.
+Costs are column expressions, and can be given.
+"""
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import AlignmentParams
+from ..functions.storage import discard, materialize
+from .topology import SINK, SOURCE
 
-Adjacency = dict[int, list[int]]
-Cost = Callable[[tuple[int, int], tuple[int, int]], float]
+KEY = ["spectrum", "cluster_id"]
+FEATURES = ["amino_id", "left_loss_id", "right_loss_id", "mod_id"]
+#: From (the annotations of a lower edge, those of an upper edge) to the cost of taking both: never negative.
+PairCost = Callable[[Column, Column], Column]
+#: From (lower node, upper node, whether they are symmetric) to the cost of a product node: never negative.
+NodeCost = Callable[[Column, Column, Column], Column]
 
 
-def neighbours(lower: Adjacency, upper: Adjacency, node: tuple[int, int]) -> list[tuple[int, int]]:
-    """Steps of the strong product: along either graph, or both at once."""
-    a, b = node
-    down, up = lower.get(a, []), upper.get(b, [])
-    return [(x, y) for x in down for y in up] + [(x, b) for x in down] + [(a, y) for y in up]
+def alone_cost(hits: Column, p: AlignmentParams) -> Column:
+    """An edge that is taken in one graph alone: its cheapest annotation and the gap's cost."""
+    return F.coalesce(F.array_min(F.transform(hits, lambda x: x["cost"])), F.lit(0.0)) + F.lit(p.edge_gap)
 
 
-def least_costs(lower: Adjacency, upper: Adjacency, starts: list[tuple[int, int]], limit: float, edge_cost: Cost, node_cost: Callable[[tuple[int, int]], float]) -> tuple[dict[tuple[int, int], float], list[tuple[tuple[int, int], tuple[int, int], float]]]:
-    """Least cost of each product node within ``limit``, and all edges (from, to, edge cost) that keep within it.
+def pair_cost(lower: Column, upper: Column, p: AlignmentParams) -> Column:
+    """The cheapest combination of two annotations: their costs, and the cost of each feature that differs. An empty side is a gap."""
+    differ = lambda x, y: sum((F.when(x[f] == y[f], F.lit(p.edge_match)).otherwise(F.lit(p.edge_mismatch)) for f in FEATURES), F.lit(0.0))
+    each = F.flatten(F.transform(lower, lambda x: F.transform(upper, lambda y: x["cost"] + y["cost"] + differ(x, y))))
+    return F.when(F.size(lower) == 0, alone_cost(upper, p)).when(F.size(upper) == 0, alone_cost(lower, p)).otherwise(F.array_min(each))
 
-    Costs aren't negative, so the result is the least fixed point whichever order the queue takes.
-    """
-    reached: dict[tuple[int, int], float] = {}
-    queue = [(0.0, s) for s in starts]
-    heapq.heapify(queue)
-    edges = []
-    while queue:
-        cost, node = heapq.heappop(queue)
-        if node in reached:
-            continue
-        reached[node] = cost
-        for step in neighbours(lower, upper, node):
-            along = edge_cost(node, step)
-            total = cost + along + node_cost(step)
-            if total <= limit:
-                edges.append((node, step, along))
-                if step not in reached:
-                    heapq.heappush(queue, (total, step))
-    return reached, edges
-
-
-def pair_cost(lower: list[dict], upper: list[dict], p: AlignmentParams) -> float:
-    """The cheapest combination of a lower and an upper annotation: their costs, and 1 for each feature that differs.
-
-    An empty side is a gap: the other's cheapest annotation and the gap's cost.
+
+def node_cost(symmetric: Column, p: AlignmentParams) -> Column:
+    return F.when(symmetric, F.lit(p.node_match)).otherwise(F.lit(p.node_mismatch))
+
+
+def annotated(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """Lower and upper edges with the array of their annotations: as many as targets fit a mass, so bounded by the target tables."""
+    notes = hits.groupBy("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight")).agg(F.collect_list(F.struct("cost", *FEATURES)).alias("hits"))
+    kind = F.when(F.col("src") < 0, "boundary").otherwise("pair")
+    none = F.array().cast(dict(notes.dtypes)["hits"])
+    return edges.filter("side <> 'pivot'").withColumn("kind", kind).join(notes, ["spectrum", "kind", "weight"], "left").select(*KEY, "side", "src", "dst", F.coalesce("hits", none).alias("hits"))
+
+
+def neighbours(nodes: DataFrame, lower: DataFrame, upper: DataFrame, alone: Callable[[Column], Column], both: PairCost) -> DataFrame:
+    """Steps of the strong product: along either graph, or both at once; ``nodes`` with low_to, up_to and the cost ``along``.
+
+    nodes: KEY, low, up. lower: KEY, low, low_to, low_hits. upper likewise. Where both halves end at the pivot in one step, it costs nothing.
     """
-    if not lower or not upper:
-        return min((x["cost"] for x in lower or upper), default=0.0) + p.edge_gap
-    differ = lambda x, y: sum(p.edge_match if x[f] == y[f] else p.edge_mismatch for f in ("amino_id", "left_loss_id", "right_loss_id", "mod_id"))
-    return min(x["cost"] + y["cost"] + differ(x, y) for x in lower for y in upper)
+    down = nodes.join(lower, [*KEY, "low"])
+    stay = nodes.withColumn("low_to", F.col("low")).withColumn("low_hits", F.lit(None).cast(dict(lower.dtypes)["low_hits"]))
+    met = down.unionByName(stay).join(upper, [*KEY, "up"])
+    cost = F.when(F.col("low_hits").isNull(), alone(F.col("up_hits"))).when((F.col("low_to") == SINK) & (F.col("up_to") == SINK), F.lit(0.0)).otherwise(both(F.col("low_hits"), F.col("up_hits")))
+    columns = [*nodes.columns, "low_to", "up_to", "along"]
+    return met.withColumn("along", cost).select(*columns).unionByName(down.withColumn("up_to", F.col("up")).withColumn("along", alone(F.col("low_hits"))).select(*columns))
 
 
-def align(edges: DataFrame, hits: DataFrame, symmetric: DataFrame, params: AlignmentParams) -> DataFrame:
+def least_costs(start: DataFrame, onward: Callable[[DataFrame], DataFrame], node: list[str], name: str) -> DataFrame:
+    """(node, dist): the least cost of every node that can be reached from ``start`` (node, dist), by semi-naive iteration.
+
+    ``onward`` takes changed nodes to the (node, dist) that they lead to, those beyond any limit left out. It ends as costs aren't negative.
+    """
+    known = changed = materialize(start.select(*node, "dist"), name)
+    while True:
+        found = onward(changed).groupBy(*node).agg(F.min("dist").alias("dist"))
+        before = known.select(*node, F.col("dist").alias("_before"))
+        better = found.join(before, node, "left").filter(F.col("_before").isNull() | (F.col("dist") < F.col("_before"))).select(*node, "dist")
+        now = materialize(better, name)
+        if now.isEmpty():
+            discard(now)
+            return known
+        wider = materialize(known.join(now, node, "left_anti").unionByName(now), name)
+        discard(*({id(t): t for t in (known, changed)}.values()))
+        known, changed = wider, now
+
+
+def align(edges: DataFrame, hits: DataFrame, symmetric: DataFrame, params: AlignmentParams, both: PairCost | None = None, of_node: NodeCost | None = None) -> DataFrame:
     """Product edges of every (spectrum, cluster): (spectrum, cluster_id, src_low, src_up, dst_low, dst_up, cost, dist).
 
-    edges: spectrum, cluster_id, side, src, dst, weight. hits: spectrum, src (pair or boundary), id, cost and feature ids, the annotations that an
-    edge's weight names. symmetric: spectrum, cluster_id, low, high. A cluster's graphs are one group; its size is that of a spectrum.
+    All steps that keep within the cost threshold, with the cost of the step and the least cost of its source. edges: spectrum, cluster_id, side, src,
+    dst, weight. hits: spectrum, src (pair or boundary), id, cost and feature ids, the annotations that an edge's weight names. symmetric:
+    spectrum, cluster_id, low, high; the sources and the sinks of both graphs are symmetric, too. ``both`` and ``of_node`` replace
+    the costs that ``params`` describe. Clusters without edges have no rows.
     """
-    kind = dict(edges.dtypes)["spectrum"]
-    key = ["spectrum", "cluster_id"]
-    is_source = F.when(F.col("src") < 0, "boundary").otherwise("pair")
-    annotated = edges.filter("side <> 'pivot'").withColumn("kind", is_source).join(
-        hits.select("spectrum", F.col("src").alias("kind"), F.col("id").alias("weight"), F.struct("cost", "amino_id", "left_loss_id", "right_loss_id", "mod_id").alias("hit")), ["spectrum", "kind", "weight"], "left"
-    ).groupBy(*key, "side", "src", "dst").agg(F.collect_list("hit").alias("hits"))
-    both = annotated.select(*key, "side", "src", "dst", F.transform("hits", lambda h: F.struct(h["cost"].alias("cost"), h["amino_id"].alias("amino_id"), h["left_loss_id"].alias("left_loss_id"), h["right_loss_id"].alias("right_loss_id"), h["mod_id"].alias("mod_id"))).alias("hits"))
-    marks = symmetric.select(*key, F.lit("symmetric").alias("side"), F.col("low").cast("long").alias("src"), F.col("high").cast("long").alias("dst"), F.lit(None).cast(dict(both.dtypes)["hits"]).alias("hits"))
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        graphs: dict[str, Adjacency] = {"lower": defaultdict(list), "upper": defaultdict(list)}
-        notes: dict[tuple[str, int, int], list[dict]] = {}
-        matched = {(-1, -1), (-2, -2)}
-        for r in rows.itertuples():
-            if r.side == "symmetric":
-                matched.add((int(r.src), int(r.dst)))
-            else:
-                graphs[r.side][int(r.src)].append(int(r.dst))
-                notes[r.side, int(r.src), int(r.dst)] = [h.asDict() if hasattr(h, "asDict") else dict(h) for h in r.hits]
-
-        def edge_cost(a: tuple[int, int], b: tuple[int, int]) -> float:
-            sides = [notes[s, x, y] if x != y else [] for s, x, y in (("lower", a[0], b[0]), ("upper", a[1], b[1]))]
-            if b[0] == -2 and b[1] == -2 and a[0] != -2 and a[1] != -2:
-                return 0.0  # both halves end at the pivot
-            return pair_cost(*sides, params)
-
-        node_cost = lambda n: params.node_match if n in matched else params.node_mismatch
-        reached, found = least_costs(graphs["lower"], graphs["upper"], [(-1, -1)], params.cost_threshold, edge_cost, node_cost)
-        out = [(rows["spectrum"].iloc[0], rows["cluster_id"].iloc[0], *a, *b, c, reached[a]) for a, b, c in found]
-        return pd.DataFrame(out, columns=[*key, "src_low", "src_up", "dst_low", "dst_up", "cost", "dist"])
-
-    return both.unionByName(marks).groupBy(*key).applyInPandas(group, f"spectrum {kind}, cluster_id int, src_low long, src_up long, dst_low long, dst_up long, cost double, dist double")
+    noted = materialize(annotated(edges, hits), "align-edges")
+    side = lambda name, x: noted.filter(F.col("side") == name).select(*KEY, F.col("src").alias(x), F.col("dst").alias(f"{x}_to"), F.col("hits").alias(f"{x}_hits"))
+    lower, upper = side("lower", "low"), side("upper", "up")
+    mates = materialize(symmetric.select(*KEY, F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("up")).distinct().withColumn("_mates", F.lit(True)), "align-mates")
+    alone = lambda x: alone_cost(x, params)
+    both = both or (lambda x, y: pair_cost(x, y, params))
+    of_node = of_node or (lambda _low, _up, same: node_cost(same, params))
+    low, up = F.col("low"), F.col("up")
+
+    def within(steps: DataFrame, before: str) -> DataFrame:
+        """Steps to nodes (low, up) with their total cost, as far as that keeps to the limit; ``before`` is the cost without the node's own."""
+        same = F.coalesce(F.col("_mates"), F.lit(False)) | ((low == SOURCE) & (up == SOURCE)) | ((low == SINK) & (up == SINK))
+        total = F.col(before) + of_node(low, up, same)
+        return steps.join(mates, [*KEY, "low", "up"], "left").withColumn("dist", total).filter(F.col("dist") <= params.cost_threshold).drop("_mates")
+
+    def onward(changed: DataFrame) -> DataFrame:
+        steps = neighbours(changed, lower, upper, alone, both).groupBy(*KEY, "low_to", "up_to").agg(F.min(F.col("dist") + F.col("along")).alias("_before"))
+        return within(steps.withColumnsRenamed({"low_to": "low", "up_to": "up"}), "_before")
+
+    source = F.lit(SOURCE).cast("long")
+    start = noted.select(*KEY).distinct().select(*KEY, source.alias("low"), source.alias("up"), F.lit(0.0).alias("dist"))
+    reached = least_costs(start, onward, [*KEY, "low", "up"], "align-costs")
+    steps = neighbours(reached, lower, upper, alone, both).withColumn("_before", F.col("dist") + F.col("along"))
+    steps = steps.withColumnsRenamed({"low": "src_low", "up": "src_up", "dist": "src_dist"}).withColumnsRenamed({"low_to": "low", "up_to": "up"})
+    return within(steps, "_before").select(*KEY, "src_low", "src_up", F.col("low").alias("dst_low"), F.col("up").alias("dst_up"), F.col("along").alias("cost"), F.col("src_dist").alias("dist"))

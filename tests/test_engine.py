@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from denovospark.functions import dims, params
-from denovospark.operators import bandjoin, paths, peaks, product, search, symmetry
+from denovospark.operators import bandjoin, peaks, search, symmetry
 from denovospark.plans import pipeline
 
 PEPTIDES = ["TEST", "PEPTIDE", "HHNIIR", "AEEHANR", "CEACPKPGTHAHK"]
@@ -82,34 +82,6 @@ def test_merge_match():
     assert symmetry.reflected_matches(np.array([1.0, 2.0, 4.0, 5.0]), 3.0, 0.01) == [(1, 2, 0.0), (0, 3, 0.0)]
 
 
-def test_least_costs_equal_relaxation():
-    draw = np.random.default_rng(0)
-    for _ in range(60):
-        graph = lambda: {i: sorted({int(j) for j in draw.integers(i + 1, 9, 2)}) for i in range(8)}
-        low, up = graph(), graph()
-        weight = {}
-        edge = lambda a, b, w=weight: w.setdefault((a, b), float(draw.integers(0, 4)))
-        node = lambda n: float(n[0] != n[1])
-        reached, edges = product.least_costs(low, up, [(0, 0)], 5.0, edge, node)
-        dist = {(0, 0): 0.0}
-        for _ in range(40):
-            for a, c in list(dist.items()):
-                for b in product.neighbours(low, up, a):
-                    total = c + edge(a, b) + node(b)
-                    if total <= 5.0 and total < dist.get(b, 9e9):
-                        dist[b] = total
-        assert reached == dist
-        assert {(a, b) for a, b, _ in edges} == {(a, b) for a in dist for b in product.neighbours(low, up, a) if dist[a] + edge(a, b) + node(b) <= 5.0}
-
-
-def test_trace_paths():
-    edges = {"s": [("a", 1.0), ("b", 0.5)], "a": [("t", 1.0)], "b": [("t", 2.0)]}
-    assert paths.trace_paths(edges, ["s"], 2.6, 10) == [(2.0, ["s", "a", "t"]), (2.5, ["s", "b", "t"])]
-    assert paths.trace_paths(edges, ["s"], 2.5, 10) == [(2.0, ["s", "a", "t"])]
-    with pytest.raises(ValueError):
-        paths.trace_paths(edges, ["s"], 9.0, 1)
-
-
 def test_pipeline_labels_every_peak_and_aligns(spark):
     a = pipeline.annotate(spectra(spark, ["TEST", "HHNIIR"]).select("spectrum", "peak_id", "mz", "intensity"), params.AnnotationParams(charges=(1,)))
     labelled = a.labels.select("spectrum", "peak_id").distinct().groupBy("spectrum").count().collect()
@@ -130,14 +102,6 @@ def test_pipeline_on_nothing(spark):
     assert a.edges.count() == 0 and pipeline.align(a).count() == 0
 
 
-def test_paths_are_not_capped():
-    """14 layers of two nodes: 2 ** 14 paths, more than were once allowed."""
-    edges = {(k, x): [((k + 1, y), 0.0) for y in (0, 1)] for k in range(14) for x in (0, 1)}
-    assert len(paths.trace_paths(edges, [(0, 0)], 1.0)) == 2**14
-    with pytest.raises(ValueError):
-        paths.trace_paths(edges, [(0, 0)], 1.0, 100)
-
-
 def test_what_is_not_annotated_is_refused():
     with pytest.raises(ValueError):
         params.AnnotationParams(max_k=2)
