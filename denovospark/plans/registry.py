@@ -336,28 +336,6 @@ def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.order(_edge_inputs(spark, sf_dir), ["spectrum", "side"])
 
 
-def _benchmark_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ions = peaks.ions(peaks.peptides(table(spark, sf_dir, "benchmark")))
-    return ions.select(F.col("peptide").alias("spectrum"), (F.row_number().over(W.partitionBy("peptide").orderBy("mz", "series")) - 1).alias("peak_id"), "mz", F.lit(1.0).alias("intensity"))
-
-
-@query()
-def annotated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of the annotation over the words of the benchmark: node labels."""
-    return pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,))).labels
-
-
-@query()
-def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.align(pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,))), P.AlignmentParams(cost_threshold=4.0))
-
-
-@query()
-def word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = pipeline.annotate(_benchmark_spectra(spark, sf_dir), P.AnnotationParams(charges=(1,)))
-    return pipeline.enumerate_candidates(a, pipeline.align(a, P.AlignmentParams(cost_threshold=4.0)), P.EnumerationParams(cost_threshold=4.0, max_paths=1_000_000))
-
-
 # ---- corpus ----------------------------------------------------------------------------------------------------------
 
 _KMERS = "(SELECT substr(peptide, i::INT, {k}) AS kmer FROM (SELECT peptide, unnest(range(1, length(peptide) - {k} + 2)) AS i FROM " + _WORDS + "))"
