@@ -1,24 +1,37 @@
-"""Symmetry about a pivot: a greedy, order-dependent match of two descending lists, and the scores made of it."""
+"""Symmetry about a pivot: a greedy, order-dependent match of two descending lists, and the scores made of it.
+
+A match never spans a gap over the tolerance, so both sides' values are sorted together and cut into runs at such gaps. A run is what a Python
+function sees; groups are never listed. Where a group is dense, its values lie in slices of mass, each sorted by itself, and the cuts
+between slices come from a slice's ends.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tolerances in a slice.
+SLICE = 1000
+
 
-def merge_match(left: list[float], right: list[float], tolerance: float) -> list[tuple[int, int]]:
-    """Indices of matches. Both lists descend; a value may match again the last matched one of the other side."""
+def merge_match(left: list[float], right: list[float], tolerance: float, more: tuple[bool, bool] = (False, False)) -> list[tuple[int, int]]:
+    """Indices of matches. Both lists descend; a value may match again the last matched one of the other side.
+
+    The match ends with either list. ``more``: whether a list goes on, with values that are too far away to match.
+    """
     out: list[tuple[int, int]] = []
+    lists = [[*x, -math.inf] if m else x for x, m in zip((left, right), more, strict=True)]
     at, last = [0, 0], [math.inf, math.inf]
     near = lambda x, y: abs(x - y) <= tolerance
-    while at[0] < len(left) and at[1] < len(right):
-        now = [left[at[0]], right[at[1]]]
+    while all(k < len(x) for k, x in zip(at, lists, strict=True)):
+        now = [x[k] for k, x in zip(at, lists, strict=True)]
+        if now[0] == now[1] == -math.inf:
+            break
         # which sides take part with their current value: both, else one with the other's last
         if near(*now):
             takes = (True, True)
@@ -37,42 +50,69 @@ def merge_match(left: list[float], right: list[float], tolerance: float) -> list
     return out
 
 
-def reflected_matches(masses: np.ndarray, pivot: float, tolerance: float) -> list[tuple[int, int, float]]:
-    """(index below, index above, delta) of the ascending ``masses`` that are reflections of each other about ``pivot``."""
-    low, high = int(np.searchsorted(masses, pivot, "left")), int(np.searchsorted(masses, pivot, "right"))
-    below, above = masses[:low][::-1].tolist(), (2 * pivot - masses[high:]).tolist()
-    return [(low - 1 - a, high + b, abs(above[b] - below[a])) for a, b in merge_match(below, above, tolerance)]
-
-
-def listed(table: DataFrame, on: tuple[str, ...], value: str, idx: str | None, name: str) -> DataFrame:
-    """A row for each group with its values in ascending order, and the ``idx`` of each. A group is a spectrum: of bounded size."""
-    entry = F.struct(F.col(value).alias("v"), (F.col(idx) if idx else F.lit(0)).cast("long").alias("i"))
-    held = table.groupBy(*on).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-    return held.select(*on, F.transform("_l", lambda x: x["v"]).alias(f"{name}_values"), F.transform("_l", lambda x: x["i"]).alias(f"{name}_idx"))
-
-
-def _mapped(rows: DataFrame, on: tuple[str, ...], match: Callable[[dict], list[tuple]], columns: str) -> DataFrame:
-    """``match`` over each row's lists; many rows a call, so that small groups cost no call each."""
+def with_runs(values: DataFrame, on: tuple[str, ...], tolerance: float) -> DataFrame:
+    """``values`` (on, v) with the number ``run`` of the run, from above, of values without a gap over ``tolerance``."""
+    reach = F.lit(tolerance * (1 + 1e-6) + 1e-9)  # differences are rounded
+    placed = values.withColumn("_slice", F.floor(F.col("v") / F.lit(SLICE * tolerance)))
+    inner = W.partitionBy(*on, "_slice").orderBy(F.desc("v"))
+    cut = F.coalesce(F.lag("v").over(inner) - F.col("v") > reach, F.lit(False)).cast("long")
+    placed = placed.withColumn("_cut", cut).withColumn("_within", F.sum("_cut").over(inner.rowsBetween(W.unboundedPreceding, 0)))
+    slices = placed.groupBy(*on, "_slice").agg(F.max("v").alias("_top"), F.min("v").alias("_bottom"), F.sum("_cut").alias("_cuts"))
+    outer = W.partitionBy(*on).orderBy(F.desc("_slice"))  # slices, not values
+    edge = F.coalesce(F.lag("_bottom").over(outer) - F.col("_top") > reach, F.lit(False)).cast("long")
+    slices = slices.withColumn("_edge", edge + F.coalesce(F.lag("_cuts").over(outer), F.lit(0)))
+    slices = slices.select(*on, "_slice", F.sum("_edge").over(outer.rowsBetween(W.unboundedPreceding, 0)).alias("_start"))
+    return placed.join(slices, [*on, "_slice"]).withColumn("run", F.col("_start") + F.col("_within")).drop("_slice", "_cut", "_within", "_start")
+
+
+def run_lists(values: DataFrame, on: tuple[str, ...], tolerance: float) -> DataFrame:
+    """The runs that hold values of both sides: (on, run, left, right, more_left, more_right), lists of (v, turn, i) that descend.
+
+    ``values``: on, side (left or right), v, turn (the order of equal values, descending), i. more_*: whether the side has values below the run.
+    """
+    of = lambda s, c: F.when(F.col("side") == s, c)
+    entry = F.struct("v", "turn", "i")
+    # aggregated by run first, so that a group's least values are found among its runs
+    held = with_runs(values, on, tolerance).groupBy(*on, "run").agg(
+        *(F.sort_array(F.collect_list(of(s, entry)), asc=False).alias(s) for s in ("left", "right")), *(F.min(of(s, F.col("v"))).alias(f"least_{s}") for s in ("left", "right"))
+    )
+    whole = W.partitionBy(*on)
+    more = {f"more_{s}": F.min(f"least_{s}").over(whole) < F.col(f"least_{s}") for s in ("left", "right")}
+    return held.withColumns(more).filter((F.size("left") > 0) & (F.size("right") > 0)).drop("least_left", "least_right")
+
+
+def _mapped(rows: DataFrame, on: tuple[str, ...], match: Callable[[list, list, tuple[bool, bool]], list[tuple]], columns: str) -> DataFrame:
+    """``match`` over each run's lists; many runs a call, so that small ones cost no call each."""
     kinds = dict(rows.dtypes)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(*(r[c] for c in on), *m) for r in batch.to_dict("records") for m in match(r)]
+            lists = zip(batch["left"], batch["right"], batch["more_left"], batch["more_right"], *(batch[c] for c in on), strict=True)
+            out = [(*key, *m) for left, right, more_left, more_right, *key in lists for m in match(list(left), list(right), (more_left, more_right))]
             yield pd.DataFrame(out, columns=[*on, *names])
 
-    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in on) + ", " + columns)
+    return rows.drop("run").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in on) + ", " + columns)
+
+
+def _values(rows: list[dict]) -> list[float]:
+    return [x["v"] for x in rows]
 
 
 def symmetries(aug: DataFrame, clusters: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
-    """(on, point, low_idx, high_idx, delta) for each cluster (on, point)."""
-    points = clusters.groupBy(*on).agg(F.collect_list("point").alias("points"))
+    """(on, point, low_idx, high_idx, delta) for each cluster (on, point): masses below the point and reflections of those above it that match."""
+    placed = aug.select(*on, F.col("aug_idx").cast("long").alias("i"), "mass").join(clusters.select(*on, "point").distinct(), list(on)).filter("mass <> point")
+    below = F.col("mass") < F.col("point")
+    values = placed.select(
+        *on, "point", F.when(below, "left").otherwise("right").alias("side"), F.when(below, F.col("mass")).otherwise(2 * F.col("point") - F.col("mass")).alias("v"),
+        F.when(below, F.col("i")).otherwise(-F.col("i")).alias("turn"), "i",
+    )
 
-    def match(row: dict) -> list[tuple]:
-        masses = np.asarray(row["a_values"], float)
-        return [(p, a, b, d) for p in row["points"] for a, b, d in reflected_matches(masses, p, tolerance)]
+    def match(left: list[dict], right: list[dict], more: tuple[bool, bool]) -> list[tuple]:
+        found = merge_match(_values(left), _values(right), tolerance, more)
+        return [(left[a]["i"], right[b]["i"], abs(right[b]["v"] - left[a]["v"])) for a, b in found]
 
-    return _mapped(listed(aug, on, "mass", None, "a").join(points, list(on)), on, match, "point double, low_idx int, high_idx int, delta double")
+    return _mapped(run_lists(values, (*on, "point"), tolerance), (*on, "point"), match, "low_idx int, high_idx int, delta double")
 
 
 def scored(matched: DataFrame, clusters: DataFrame, on: tuple[str, ...] = ("spectrum",)) -> DataFrame:
@@ -100,19 +140,22 @@ def fuzzy_matches(left: list[float], right: list[float], tolerance: float) -> li
     return out
 
 
-def list_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...], value: str, idx: str, tolerance: float) -> DataFrame:
-    """(on, idx, other_idx): the greedy match of both sides' values, from the greatest down."""
-    both = listed(left, on, value, idx, "a").join(listed(right, on, value, idx, "b"), list(on))
+def _sides(left: DataFrame, right: DataFrame, on: tuple[str, ...], value: str, idx: str | None) -> DataFrame:
+    i = (F.col(idx) if idx else F.lit(0)).cast("long")
+    side = lambda df, name: df.select(*on, F.lit(name).alias("side"), F.col(value).cast("double").alias("v"), i.alias("turn"), i.alias("i")).filter("v is not null")
+    return side(left, "left").unionByName(side(right, "right"))
 
-    def match(row: dict) -> list[tuple]:
-        i, j = list(row["a_idx"])[::-1], list(row["b_idx"])[::-1]
-        return [(i[x], j[y]) for x, y in merge_match(list(row["a_values"])[::-1], list(row["b_values"])[::-1], tolerance)]
 
-    return _mapped(both, on, match, "idx long, other_idx long")
+def list_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...], value: str, idx: str, tolerance: float) -> DataFrame:
+    """(on, idx, other_idx): the greedy match of both sides' values, from the greatest down."""
+    match = lambda a, b, more: [(a[i]["i"], b[j]["i"]) for i, j in merge_match(_values(a), _values(b), tolerance, more)]
+    return _mapped(run_lists(_sides(left, right, on, value, idx), on, tolerance), on, match, "idx long, other_idx long")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",), value: str = "mass") -> DataFrame:
     """(on, left, right): greedy one-to-one matches of the sorted values of both sides within each group."""
-    both = listed(left, on, value, None, "a").join(listed(right, on, value, None, "b"), list(on))
-    match = lambda row: [(float(row["a_values"][i]), float(row["b_values"][j])) for i, j in fuzzy_matches(list(row["a_values"]), list(row["b_values"]), tolerance)]
-    return _mapped(both, on, match, "left double, right double")
+    def match(a: list[dict], b: list[dict], _: tuple[bool, bool]) -> list[tuple]:
+        one, two = _values(a)[::-1], _values(b)[::-1]
+        return [(one[i], two[j]) for i, j in fuzzy_matches(one, two, tolerance)]
+
+    return _mapped(run_lists(_sides(left, right, on, value, None), on, tolerance), on, match, "left double, right double")

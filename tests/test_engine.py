@@ -79,7 +79,7 @@ def test_merge_match():
     assert symmetry.merge_match([5.0, 4.98, 1.0], [5.0], 0.05) == [(0, 0)]
     assert symmetry.merge_match([5.0, 4.98, 1.0], [5.0, 4.99, 0.0], 0.03) == [(0, 0), (1, 1)]
     assert symmetry.fuzzy_matches([1.0, 2.0, 3.0], [1.004, 1.006, 3.2], 0.005) == [(0, 0)]
-    assert symmetry.reflected_matches(np.array([1.0, 2.0, 4.0, 5.0]), 3.0, 0.01) == [(1, 2, 0.0), (0, 3, 0.0)]
+    assert symmetry.merge_match([5.0, 4.99], [5.0], 0.03) == [(0, 0)] and symmetry.merge_match([5.0, 4.99], [5.0], 0.03, (False, True)) == [(0, 0), (1, 0)]
 
 
 def test_pipeline_labels_every_peak_and_aligns(spark):
