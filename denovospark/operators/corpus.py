@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions.scalars import in_alphabet
+from ..functions.storage import materialize
 from .bandjoin import band_join
 from .peaks import residue_masses
 
@@ -28,16 +30,20 @@ def kmer_index(corpus: DataFrame, least: int, most: int, text: str = "peptide")
 
 
 def count_substrings(corpus: DataFrame, queries: DataFrame, text: str = "peptide") -> DataFrame:
-    """(query, n): how often each query occurs, overlaps counted, 0 for none. One k-mer pass for each distinct query length."""
-    lengths = sorted(r[0] for r in queries.filter("query <> ''").select(F.length("query")).distinct().collect())
-    out = queries.select("query").distinct()
-    found = None
-    for k in lengths:
-        counts = kmers(corpus, k, text).join(out.filter(F.length("query") == k).withColumnRenamed("query", "kmer"), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
-        found = counts if found is None else found.unionByName(counts)
-    if found is None:
-        return out.withColumn("n", F.lit(0).cast("long"))
-    return out.join(found.withColumnRenamed("kmer", "query"), "query", "left").fillna(0, ["n"])
+    """(query, n): how often each query occurs, overlaps counted, 0 for none and for empty ones. One pass over the corpus, whatever the lengths.
+
+    A query is anchored at its first letters, the greatest power of two of them. The corpus is cut at every place into pieces of twice an anchor less one, so an
+    anchor that is found has the rest of its query beside it, to be compared as text.
+    """
+    wanted = queries.select("query").filter("query is not null").distinct()
+    anchored = wanted.filter("query <> ''").withColumn("g", F.expr("shiftleft(1, length(bin(length(query))) - 1)")).withColumn("anchor", F.expr("left(query, g)"))
+    sizes = sorted(r[0] for r in anchored.select("g").distinct().collect())  # at most the logarithm of the longest query
+    if not sizes:
+        return wanted.withColumn("n", F.lit(0).cast("long"))
+    rows = corpus.select(F.col(text).alias("t"), F.explode(F.array(*map(F.lit, sizes))).alias("g")).filter("length(t) >= g")
+    pieces = rows.select("g", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("g") + 1), lambda i: F.substring(F.col("t"), i, 2 * F.col("g") - 1))).alias("piece"))
+    met = pieces.withColumn("anchor", F.expr("left(piece, g)")).join(anchored, ["g", "anchor"]).filter(F.startswith("piece", "query"))
+    return wanted.join(met.groupBy("query").agg(F.count("*").alias("n")), "query", "left").fillna(0, ["n"])
 
 
 def extensions(index: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -65,17 +71,25 @@ def by_mass(kmer_table: DataFrame) -> DataFrame:
     return kmer_table.groupBy("nano").agg(F.count("*").alias("n"), F.min("kmer").alias("first"))
 
 
-def query_mass(corpus: DataFrame, masses: DataFrame, tolerance: float, most: int = 8, text: str = "peptide") -> DataFrame:
-    """(mass, segment): distinct substrings of up to ``most`` residues whose mass is strictly within tolerance of a query's.
+def query_mass(corpus: DataFrame, masses: DataFrame, tolerance: float, text: str = "peptide") -> DataFrame:
+    """(mass, segment, segment_mass): distinct substrings of any length whose mass is strictly within tolerance of a query's.
 
-    Substrings are differences of prefix sums; only they, not the sequences, meet the queries.
+    A segment's mass is a difference of two prefix sums, so each prefix and each queried mass ask for another prefix of the same sequence in a band join:
+    no segment is listed that doesn't match. Sequences with other letters than residues are left out. The queried masses are a stated set.
     """
-    whole = corpus.filter(in_alphabet(F.col(text)) & (F.length(text) > 0)).select(F.col(text).alias("t"), residue_masses(F.col(text)).alias("m"))
-    start = whole.select("t", "m", F.explode(F.sequence(F.lit(1), F.size("m"))).alias("at"))
-    ends = start.select("t", "m", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("m") - F.col("at") + 1))).alias("k"))
-    total = F.aggregate(F.slice("m", F.col("at"), F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x)
-    pieces = ends.select(F.substring("t", F.col("at"), F.col("k")).alias("segment"), total.alias("nano")).distinct().withColumn("segment_mass", F.col("nano") / F.lit(1e9))
-    return band_join(pieces, masses.select("mass").distinct(), "segment_mass", "mass", tolerance, strict=True, right_rows=masses.count()).select("mass", "segment", "segment_mass")
+    whole = corpus.filter(in_alphabet(F.col(text)) & (F.length(text) > 0)).select(F.col(text).alias("t")).distinct()
+    whole = materialize(whole.withColumn("of", F.monotonically_increasing_id()), "mass-sequences")  # written, so that the numbers stay
+    zero = F.lit(0).cast("long")
+    sums = whole.select("of", F.posexplode(residue_masses(F.col("t"))).alias("at", "m"))
+    nano = F.sum("m").over(W.partitionBy("of").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    sums = sums.select("of", (F.col("at") + 1).alias("at"), nano.alias("nano")).unionByName(whole.select("of", F.lit(0).alias("at"), zero.alias("nano")))
+    starts = sums.select("of", F.col("at").alias("begin"), F.col("nano").alias("below")).crossJoin(masses.select("mass").distinct()).withColumn("goal", F.col("below") / F.lit(1e9) + F.col("mass"))
+    ends = sums.select("of", F.col("at").alias("end"), F.col("nano").alias("above"), (F.col("nano") / F.lit(1e9)).alias("total"))
+    met = band_join(starts, ends, "goal", "total", tolerance + 1e-6, on=["of"])
+    met = met.withColumn("segment_mass", (F.col("above") - F.col("below")) / F.lit(1e9))
+    met = met.filter((F.abs(F.col("segment_mass") - F.col("mass")) < tolerance) & (F.col("end") > F.col("begin")))
+    segment = F.substring(F.col("t"), F.col("begin") + 1, F.col("end") - F.col("begin"))
+    return met.join(whole, "of").select("mass", segment.alias("segment"), "segment_mass").distinct()
 
 
 def ranked_suffixes(corpus: DataFrame, length: int, text: str = "peptide") -> DataFrame:
@@ -83,8 +97,6 @@ def ranked_suffixes(corpus: DataFrame, length: int, text: str = "peptide") -> Da
 
     The order is found among distinct first characters, then within each, so no task sorts all suffixes.
     """
-    from pyspark.sql import Window as W
-
     cut = corpus.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.col(text), i, F.lit(length)))).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"))
     cut = cut.withColumn("head", F.left("suffix", F.lit(2)))
     heads = cut.groupBy("head").agg(F.sum("n").alias("size"))

@@ -366,10 +366,15 @@ def prefix_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.extensions(Q.kmer_index(words(spark, sf_dir), 2, 3), spark.createDataFrame([("TH",), ("IN",), ("ER",)], "prefix string"))
 
 
-@query("WITH q AS (SELECT DISTINCT substr(peptide, 1, 4) AS query FROM " + _WORDS + f" UNION SELECT 'WWWW'), c AS (SELECT kmer, count(*) AS n FROM {_KMERS.format(k=4)} GROUP BY 1) SELECT query, coalesce(n, 0) AS n FROM q LEFT JOIN c ON kmer = query")
+_EVERY_KMER = " UNION ALL ".join(f"SELECT kmer, count(*) AS n FROM {_KMERS.format(k=k)} GROUP BY 1" for k in range(1, 8))
+
+
+@query("WITH q AS (SELECT DISTINCT substr(peptide, 1, length(peptide) % 7 + 1) AS query FROM " + _WORDS + f" UNION SELECT 'WWWW'), c AS ({_EVERY_KMER}) SELECT query, coalesce(n, 0) AS n FROM q LEFT JOIN c ON kmer = query")
 def substring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the beginnings of the words, of one to seven letters, occur in all words."""
     corpus = words(spark, sf_dir)
-    return Q.count_substrings(corpus, corpus.select(F.substring("peptide", 1, 4).alias("query")).union(spark.createDataFrame([("WWWW",)], "query string")))
+    begun = corpus.select(F.expr("substring(peptide, 1, length(peptide) % 7 + 1)").alias("query"))
+    return Q.count_substrings(corpus, begun.union(spark.createDataFrame([("WWWW",)], "query string")))
 
 
 _SUFFIXES = "(SELECT substr(peptide, i::INT, 6) AS suffix FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i FROM " + _WORDS + "))"
@@ -383,7 +388,7 @@ def suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WANTED = [300.0, 400.2, 512.25, 700.35]
 
 
-@query(f"WITH r AS {_RESIDUES}, p AS (SELECT DISTINCT substr(a.peptide, a.i::INT, (b.i - a.i + 1)::INT) AS segment FROM r a JOIN r b ON a.peptide = b.peptide AND b.i BETWEEN a.i AND a.i + 7), s AS (SELECT segment, sum(nano) / 1e9::DOUBLE AS mass FROM (SELECT segment, unnest(string_split(segment, '')) AS c FROM p) JOIN {_AMINOS} ON amino = c GROUP BY 1) SELECT w.mass AS mass, segment FROM s JOIN (SELECT unnest({_WANTED})::DOUBLE AS mass) w ON abs(s.mass - w.mass) < 0.05::DOUBLE")
+@query(f"WITH r AS {_RESIDUES}, p AS (SELECT DISTINCT substr(a.peptide, a.i::INT, (b.i - a.i + 1)::INT) AS segment FROM r a JOIN r b ON a.peptide = b.peptide AND b.i >= a.i), s AS (SELECT segment, sum(nano) / 1e9::DOUBLE AS mass FROM (SELECT segment, unnest(string_split(segment, '')) AS c FROM p) JOIN {_AMINOS} ON amino = c GROUP BY 1) SELECT w.mass AS mass, segment FROM s JOIN (SELECT unnest({_WANTED})::DOUBLE AS mass) w ON abs(s.mass - w.mass) < 0.05::DOUBLE")
 def mass_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.query_mass(words(spark, sf_dir), spark.createDataFrame([(m,) for m in _WANTED], "mass double"), 0.05).select("mass", "segment")
 
