@@ -71,28 +71,47 @@ def check_arguments(calls: DataFrame, tools: DataFrame) -> DataFrame:
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): 0 without dependencies in the conversation, else one more than the deepest. No row for calls on or behind a cycle.
 
-    As many rounds as the deepest call has levels, each over the edges of the calls still open.
+    A round settles the edges to calls that were placed before, places the calls without open edges, and then lets all edges to a call with a single open
+    edge jump over it, adding up lengths. So chains halve in every round, and a graph takes about as many rounds as the logarithm of its chains, plus
+    the levels at which calls with several needs wait for each other. ``least`` is what a call's settled edges demand; a round that places nothing leaves cycles.
     """
-    ids = calls.select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key).distinct()
+    edges = calls.select(*key, F.explode("depends_on").alias("needs")).distinct()
     edges = edges.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
-    edges = materialize(edges, "chat-edges")
-    placed = ids.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0))
+    edges = materialize(edges.withColumn("length", F.lit(1)), "chat-edges")
+    held = edges.select(*key).distinct()
+    done = [ids.join(held, key, "left_anti").withColumn("depth", F.lit(0))]
     if edges.isEmpty():
-        return placed
-    placed = ready = materialize(placed, "chat-depths")
-    level = 0
-    while not edges.isEmpty():
-        # an edge is met once its need is placed; a call is placed once none of its edges is open
-        level += 1
-        left = materialize(edges.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "chat-edges")
-        ready = edges.select("conv_id", "call_id").distinct().join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        ready = materialize(ready.withColumn("depth", F.lit(level)), "chat-ready")
+        return done[0]
+    done[0] = ready = materialize(done[0], "chat-ready")
+    waiting = held.withColumn("least", F.lit(0))
+    while True:
+        met = edges.join(ready.select("conv_id", F.col("call_id").alias("needs"), "depth"), ["conv_id", "needs"], "left")
+        by_call = met.groupBy(*key).agg(
+            F.max(F.col("depth") + F.col("length")).alias("found"), F.count(F.when(F.col("depth").isNull(), 1)).alias("open"),
+            F.min(F.when(F.col("depth").isNull(), F.struct("needs", "length"))).alias("only"),
+        )
+        state = waiting.join(by_call, key, "left").select(*key, F.greatest("least", F.coalesce("found", F.lit(0))).alias("least"), F.coalesce("open", F.lit(0)).alias("open"), "only")
+        state = materialize(state, "chat-state")
+        ready = state.filter("open = 0").select(*key, F.col("least").alias("depth"))
         if ready.isEmpty():
             break
-        placed, edges = placed.unionByName(ready), left
-        if level % 32 == 0:  # else the plan grows with the levels
-            placed = materialize(placed, "chat-depths")
+        done.append(ready)
+        waiting = state.filter("open > 0").select(*key, "least")
+        # an edge to a call with one open edge goes on to what that needs, and demands what that call demands of itself
+        single = state.filter("open = 1").select("conv_id", F.col("call_id").alias("needs"), F.col("least").alias("over"), F.col("only.needs").alias("beyond"), F.col("only.length").alias("more"))
+        still = met.filter("depth is null").select(*key, "needs", "length").join(single, ["conv_id", "needs"], "left")
+        jumped = still.groupBy(*key, F.coalesce("beyond", "needs").alias("needs")).agg(F.max(F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.max(F.col("over") + F.col("length")).alias("over"))
+        jumped = materialize(jumped, "chat-edges")
+        demands = jumped.groupBy(*key).agg(F.max("over").alias("over"))
+        waiting = waiting.join(demands, key, "left").select(*key, F.greatest("least", F.coalesce("over", F.lit(0))).alias("least"))
+        edges = jumped.select(*key, "needs", "length")
+        if len(done) % 16 == 0:
+            waiting = materialize(waiting, "chat-waiting")
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
     return materialize(placed, "chat-depths")
 
 
@@ -101,17 +120,21 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFr
 
     Sort by conv_id, depth, step, part, turn for the order: step is the call's turn, part 0 the call and 1 its results. status
     of a call is ok, or its problem, or "no result", or "cycle"; of a result ok, or "orphan" without a call, whose step is its
-    own turn. Null identifiers link with nothing; repeated calls of one identifier count as the first, and say "repeated";
+    own turn. Null identifiers link with nothing; repeated calls of one identifier count as the first by turn and, within a turn, by name and arguments, and the others say "repeated";
     null arguments are an empty object. Empty tables give an empty result. Extra columns are not read.
     """
     calls = calls.select("conv_id", "turn", "call_id", "name", F.coalesce("arguments", F.create_map().cast("map<string,string>")).alias("arguments"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
     results = results.select("conv_id", "turn", "call_id", "content")
-    first = materialize(calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("step")), "chat-first")
+    # equal calls of a turn are told apart by their place in a table that is written first
+    rank = F.struct("turn", "name", F.array_sort(F.map_entries("arguments")).alias("arguments"), "at")
+    calls = materialize(calls.withColumn("at", F.monotonically_increasing_id()), "chat-calls")
+    first = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(rank).alias("one"))
+    first = materialize(first.select("conv_id", "call_id", F.col("one.turn").alias("step"), F.col("one.at").alias("first")), "chat-first")
     order = depths(calls.filter("conv_id is not null and call_id is not null"))
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     rows = check_arguments(calls, tools).join(first, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
     status = (
-        F.when(F.col("step").isNotNull() & F.col("depth").isNull(), "cycle").when(F.col("turn") > F.col("step"), "repeated")
+        F.when(F.col("step").isNotNull() & F.col("depth").isNull(), "cycle").when(F.col("at") != F.col("first"), "repeated")
         .otherwise(F.coalesce(F.col("problem"), F.when(F.col("answered").isNull(), "no result"), F.lit("ok")))
     )
     said = _object([("role", F.lit('"assistant"')), ("id", json_string(F.col("call_id"))), ("name", json_string(F.col("name"))), ("arguments", json_map(F.col("arguments"), F.col("quoted")))])
@@ -125,14 +148,18 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFr
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and tools of plain conversations: a user's turn calls the tool ``reply``, the assistant's next turn is its result.
 
-    The identifier is the turn that asks. Other roles are calls of a tool of their own name.
+    The identifier is the turn that asks; an ask depends on the one two turns before, which the turn in between answers. Other roles are calls of a tool
+    of their own name. The first number in a text is the argument ``count``, a whole number by the schema, so that dates, amounts and phone numbers fail.
     """
     text = F.coalesce("text", F.lit(""))
+    count = F.regexp_extract(text, "[0-9][0-9.,:/-]*", 0)
+    plain = F.create_map(F.lit("length"), F.length(text).cast("string"), F.lit("prompt"), text)
     asks = conversations.filter("role is null or role <> 'assistant'")
     calls = asks.select(
         "conv_id", "turn", F.col("turn").cast("string").alias("call_id"), F.when(F.col("role") == "user", "reply").otherwise(F.col("role")).alias("name"),
-        F.create_map(F.lit("length"), F.length(text).cast("string"), F.lit("prompt"), text).alias("arguments"), F.array(F.lit(None).cast("string")).alias("depends_on"),
+        F.when(count == "", plain).otherwise(F.map_concat(plain, F.create_map(F.lit("count"), count))).alias("arguments"), F.array((F.col("turn") - 2).cast("string")).alias("depends_on"),
     )
     results = conversations.filter("role = 'assistant'").select("conv_id", "turn", (F.col("turn") - 1).cast("string").alias("call_id"), text.alias("content"))
-    tools = conversations.sparkSession.createDataFrame([(n, p, k, True) for n in ("reply", "system") for p, k in (("prompt", "string"), ("length", "integer"))], TOOLS)
+    parameters = (("prompt", "string", True), ("length", "integer", True), ("count", "integer", False))
+    tools = conversations.sparkSession.createDataFrame([(n, *p) for n in ("reply", "system") for p in parameters], TOOLS)
     return calls, results, tools

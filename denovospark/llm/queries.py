@@ -92,17 +92,23 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_tool_calls"] = r"""
-WITH asks AS (SELECT conv_id, turn, coalesce(text, '') AS text, role, CASE WHEN role = 'user' THEN 'reply' ELSE role END AS name FROM conversations WHERE role IS NULL OR role <> 'assistant'),
-     answers AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
-     firsts AS (SELECT conv_id, turn AS step FROM asks WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
-SELECT conv_id, 0 AS depth, turn AS step, 0 AS part, turn, turn::VARCHAR AS call_id,
-       CASE WHEN name IS NULL OR name NOT IN ('reply', 'system') THEN 'unknown tool' WHEN EXISTS (SELECT 1 FROM answers b WHERE b.conv_id = a.conv_id AND b.turn - 1 = a.turn) THEN 'ok' ELSE 'no result' END AS status,
-       '{"arguments":{"length":' || CASE WHEN name IN ('reply', 'system') THEN length(text)::VARCHAR ELSE '"' || length(text) || '"' END || ',"prompt":' || to_json(text) || '},"id":"' || turn || '"' || coalesce(',"name":' || to_json(name), '') || ',"role":"assistant"}' AS json
-FROM asks a
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS text, role, CASE WHEN role = 'user' THEN 'reply' ELSE role END AS name, nullif(regexp_extract(coalesce(text, ''), '[0-9][0-9.,:/-]*'), '') AS c FROM conversations),
+     asks AS (SELECT *, name IN ('reply', 'system') AND (c IS NULL OR regexp_full_match(c, '0|[1-9][0-9]*')) AS good,
+                     row_number() OVER (PARTITION BY conv_id, turn ORDER BY name NULLS FIRST, c IS NULL, c, length(text)::VARCHAR, text) AS k FROM t WHERE role IS NULL OR role <> 'assistant'),
+     answers AS (SELECT conv_id, turn, text FROM t WHERE role = 'assistant'),
+     firsts AS (SELECT conv_id, turn FROM asks WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+     d AS (SELECT conv_id, turn, 0 AS depth FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM firsts g WHERE g.conv_id = f.conv_id AND g.turn = f.turn - 2)
+           UNION ALL SELECT f.conv_id, f.turn, d.depth + 1 FROM d JOIN firsts f ON f.conv_id = d.conv_id AND f.turn = d.turn + 2)
+SELECT a.conv_id, coalesce(d.depth, 0) AS depth, a.turn AS step, 0 AS part, a.turn, a.turn::VARCHAR AS call_id,
+       CASE WHEN d.turn IS NOT NULL AND k > 1 THEN 'repeated' WHEN name IS NULL OR name NOT IN ('reply', 'system') THEN 'unknown tool' WHEN NOT good THEN 'ill-typed argument'
+            WHEN EXISTS (SELECT 1 FROM answers b WHERE b.conv_id = a.conv_id AND b.turn - 1 = a.turn) THEN 'ok' ELSE 'no result' END AS status,
+       '{"arguments":{' || coalesce('"count":' || CASE WHEN good THEN c ELSE '"' || c || '"' END || ',', '') || '"length":' || CASE WHEN good THEN length(text)::VARCHAR ELSE '"' || length(text) || '"' END
+         || ',"prompt":' || to_json(text) || '},"id":"' || a.turn || '"' || coalesce(',"name":' || to_json(name), '') || ',"role":"assistant"}' AS json
+FROM asks a LEFT JOIN d ON d.conv_id = a.conv_id AND d.turn = a.turn
 UNION ALL
-SELECT b.conv_id, 0, coalesce(f.step, b.turn), 1, b.turn, (b.turn - 1)::VARCHAR, CASE WHEN f.step IS NULL THEN 'orphan' ELSE 'ok' END,
+SELECT b.conv_id, coalesce(d.depth, 0), coalesce(d.turn, b.turn), 1, b.turn, (b.turn - 1)::VARCHAR, CASE WHEN d.turn IS NULL THEN 'orphan' ELSE 'ok' END,
        '{"content":' || to_json(b.text) || ',"id":"' || (b.turn - 1) || '","role":"tool"}'
-FROM answers b LEFT JOIN firsts f ON f.conv_id = b.conv_id AND f.step = b.turn - 1
+FROM answers b LEFT JOIN d ON d.conv_id = b.conv_id AND d.turn = b.turn - 1
 """
 
 
