@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from denovospark.llm.bpe_tree import digest_bpe
 from denovospark.llm.common import materialize, table
@@ -63,7 +62,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity), ("near_copies", near_copies), ("decontamination", decontamination), ("pseudonyms", pseudonyms), ("encoding", encoding),
 ]
-#: The first stage can't be expressed in SQL; the tests hold the pipeline against a version in plain Python.
+#: The first stage can't be expressed in SQL; the tests hold the pipeline against planted cases, and its operators against plain versions.
 ORACLE_SQL = None
 
 
