@@ -30,7 +30,7 @@ ALPHABET = "ARNDCEQGHLIKMFPSTWYV"
 
 @dataclass(frozen=True)
 class AnnotationParams:
-    """``max_k``: only targets of one residue are annotated; ``dims.combined_masses`` has those of more."""
+    """``max_k``: targets of up to so many residues are searched for; graphs are made of those of one."""
 
     query_tolerance: float = 0.015
     symmetry_tolerance: float = 0.015
@@ -39,8 +39,8 @@ class AnnotationParams:
     max_k: int = 1
 
     def __post_init__(self) -> None:
-        if self.max_k != 1:
-            raise ValueError("targets of several residues can be searched for, but not annotated: max_k has to be 1")
+        if self.max_k < 1:
+            raise ValueError("a target has a residue at least")
 
 
 @dataclass(frozen=True)

@@ -13,18 +13,21 @@ def _hits(found: DataFrame, query: str) -> DataFrame:
     return found.withColumn("cost", F.abs(F.col(query) - F.col("target")) * (1 + F.col("complexity")))
 
 
+def peak_pairs(aug: DataFrame, least: float, most: float, on: tuple[str, ...] = ("spectrum",), same_peak: bool = False) -> DataFrame:
+    """(on, i, left_peak, left_charge, m1, j, right_peak, right_charge, m2, gap): masses whose gap lies in [least, most]. Pairs of one original peak are left out, unless ``same_peak``."""
+    columns = ["aug_idx", "peak_id", "charge", "mass"]
+    pairs = gap_join(aug.select(*on, *columns), list(on), "mass", least, most, ["i", "left_peak", "left_charge", "m1"], ["j", "right_peak", "right_charge", "m2"])
+    pairs = pairs.filter(F.col("i") < F.col("j")).withColumn("gap", F.col("m2") - F.col("m1"))
+    return pairs if same_peak else pairs.filter(F.col("left_peak") != F.col("right_peak"))
+
+
 def find_pairs(aug: DataFrame, targets: DataFrame, tolerance: float, on: tuple[str, ...] = ("spectrum",), same_peak: bool = False) -> DataFrame:
     """A row for each pair of masses and each target within tolerance of its gap, with cost = |gap - target| (1 + complexity).
 
-    ``aug`` has ``on``, aug_idx, peak_id, charge, mass. Pairs of one original peak are left out, unless ``same_peak``. The
-    extremes of the targets bound the gaps that are looked at; they are two numbers of a table of fixed size.
+    ``aug`` has ``on``, aug_idx, peak_id, charge, mass. The extremes of the targets bound the gaps that are looked at; they are two numbers of a table of fixed size.
     """
     low, high, n = targets.agg(F.min("mass"), F.max("mass"), F.count("*")).first()
-    columns = ["aug_idx", "peak_id", "charge", "mass"]
-    pairs = gap_join(aug.select(*on, *columns), list(on), "mass", low - tolerance, high + tolerance, ["i", "left_peak", "left_charge", "m1"], ["j", "right_peak", "right_charge", "m2"])
-    pairs = pairs.filter(F.col("i") < F.col("j")).withColumn("gap", F.col("m2") - F.col("m1"))
-    if not same_peak:
-        pairs = pairs.filter(F.col("left_peak") != F.col("right_peak"))
+    pairs = peak_pairs(aug, low - tolerance, high + tolerance, on, same_peak)
     return _hits(band_join(pairs, targets.withColumnRenamed("mass", "target"), "gap", "target", tolerance, right_rows=n), "gap")
 
 

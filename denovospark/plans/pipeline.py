@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.params import AMINOS, LOSSES, MODS, SERIES, AlignmentParams, AnnotationParams, EnumerationParams
-from ..functions.scalars import rounded
+from ..functions.scalars import combine_symbols, rounded
 from ..functions.storage import materialize
 from ..operators import candidates as C
 from ..operators import labels as L
 from ..operators import paths as P
 from ..operators import peaks as K
-from ..operators import product, search, symmetry, topology
+from ..operators import multi, product, search, symmetry, topology
 
 #: Upper boundaries of a cluster are numbered from here on, each cluster from its own multiple.
 UPPER = 1_000_000_000
@@ -33,6 +33,8 @@ class Annotation:
     upper: DataFrame
     labels: DataFrame
     edges: DataFrame
+    #: (what, k) to the hits of targets of k > 1 residues: pair, lower or upper.
+    multi: dict[tuple[str, int], DataFrame] = field(default_factory=dict)
 
 
 def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) -> Annotation:
@@ -94,7 +96,13 @@ def annotate(peaks: DataFrame, params: AnnotationParams = AnnotationParams()) ->
 
     mates = symmetric.join(single("low"), ["spectrum", "low_idx"]).join(single("high"), ["spectrum", "high_idx"])
     mates = keep(mates.select(*by_cluster, "low", "high").distinct())
-    return Annotation(peaks, aug, pairs, lower, quads, clusters, mates, upper, labels, edges)
+    several = {}
+    for k in range(2, params.max_k + 1):
+        least = k * of("pair").agg(F.min("mass")).first()[0]
+        gaps = keep(search.peak_pairs(aug, least - tolerance, k * dims.greatest_target(spark, "pair") + tolerance))
+        for name, queries, value, kind in (("pair", gaps, "gap", "pair"), ("lower", aug, "mass", "boundary"), ("upper", reflected, "mass", "reflected")):
+            several[name, k] = multi.find_multi(queries, value, kind, k, tolerance)
+    return Annotation(peaks, aug, pairs, lower, quads, clusters, mates, upper, labels, edges, several)
 
 
 def _hits(a: Annotation) -> DataFrame:
@@ -135,8 +143,8 @@ def _spelled(a: Annotation, walks: DataFrame, best: DataFrame) -> DataFrame:
         return noted.filter(F.col("side") == name).select(*on, F.col("dst").alias(f"src_{x}"), F.col("src").alias(f"dst_{x}"), *columns)
 
     step = P.steps(walks).join(side("lower", "low"), [*on, "src_low", "dst_low"], "left").join(side("upper", "up"), [*on, "src_up", "dst_up"], "left")
-    differ = F.col("symbol_low") != F.col("symbol_up")
-    symbol = F.coalesce(F.when(differ, F.concat("symbol_low", F.lit("/"), "symbol_up")), F.col("symbol_low"), F.col("symbol_up"), F.lit(""))
+    low, up = F.col("symbol_low"), F.col("symbol_up")
+    symbol = F.coalesce(combine_symbols(low, up), low, up, F.lit(""))
     loss = lambda reverse, x: F.when(F.col(f"dst_{x}") == topology.SOURCE, F.element_at(_loss_names(reverse), F.col(f"right_loss_id_{x}") + 1))
     losses = F.array_compact(F.array(loss(False, "low"), loss(True, "up")))
     mass = F.coalesce("mass_low", F.lit(0.0)) + F.coalesce("mass_up", F.lit(0.0))

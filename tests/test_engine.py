@@ -102,9 +102,23 @@ def test_pipeline_on_nothing(spark):
     assert a.edges.count() == 0 and pipeline.align(a).count() == 0
 
 
-def test_what_is_not_annotated_is_refused():
+def test_targets_of_two_residues_are_annotated(spark):
+    """Pairs two residues apart, and both ends two residues in, are among the hits, with the residues that they are."""
+    table = spectra(spark, ["PEPTIDE", "AEEHANR"])
+    a = pipeline.annotate(table.select("spectrum", "peak_id", "mz", "intensity"), params.AnnotationParams(charges=(1,), max_k=2))
+    assert set(a.multi) == {("pair", 2), ("lower", 2), ("upper", 2)}
+    ions = {(r.spectrum, r.peak_id): (r.series, r.position) for r in table.collect()}
+    letters = lambda ids: "".join(sorted(params.AMINOS[i][0] for i in ids))
+    lower = {(r.spectrum, *ions[r.spectrum, r.peak_id], letters(r.amino_ids)) for r in a.multi["lower", 2].select("spectrum", "peak_id", "amino_ids").distinct().collect()}
+    upper = {(r.spectrum, *ions[r.spectrum, r.peak_id], letters(r.amino_ids)) for r in a.multi["upper", 2].select("spectrum", "peak_id", "amino_ids").distinct().collect()}
+    pairs = {(r.spectrum, *ions[r.spectrum, r.left_peak], *ions[r.spectrum, r.right_peak], letters(r.amino_ids)) for r in a.multi["pair", 2].select("spectrum", "left_peak", "right_peak", "amino_ids").distinct().collect()}
+    for p in ("PEPTIDE", "AEEHANR"):
+        n, word = len(p), lambda s: "".join(sorted(s))
+        assert (p, "b", 2, word(p[:2])) in lower and (p, "y", 2, word(p[-2:])) in lower
+        assert (p, "b", n - 2, word(p[-2:])) in upper and (p, "y", n - 2, word(p[:2])) in upper
+        assert all((p, "b", k, "b", k + 2, word(p[k : k + 2])) in pairs for k in range(1, n - 2))
     with pytest.raises(ValueError):
-        params.AnnotationParams(max_k=2)
+        params.AnnotationParams(max_k=0)
 
 
 def test_generated_ions(spark):
