@@ -12,6 +12,7 @@ larger than a window is cut into whole sequences at once.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -33,7 +34,7 @@ from .common import materialize, released
 WINDOW_TOKENS, WINDOW_ITEMS, KEPT_TOKENS = 1 << 20, 1 << 14, 1 << 17
 #: Sequences that are filled from one list of classes.
 LISTED = 64
-#: Words after which a task begins anew to remember them.
+#: Words after which a worker begins anew to remember them, some 250 MB with their pieces.
 MEMO_WORDS = 1 << 20
 #: Bytes of texts that are encoded at once, unless one text has more.
 GROUP_BYTES = 8 << 20
@@ -337,6 +338,12 @@ class Words:
             yield np.append(ids[a:b], last)
 
 
+@functools.lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """For all tasks of a worker, one after the other: what it remembers is bounded by MEMO_WORDS."""
+    return Words(path)
+
+
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), id_col: str = "id", ids_col: str = "ids", mask_col: str | None = None) -> DataFrame:
     """Pieces of examples in sequences: (``id_col``, start, length, doc_tokens, loss_tokens, sequence_id, offset, ids, mask).
 
@@ -361,20 +368,18 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
     """Pieces of texts in sequences: columns and rules as for ``pack_examples``; every token bears loss.
 
     A text's ids are those that the library gives for the whole of it, without added special tokens, and then ``end`` unless that is None. The
-    tokenizer has to drop white space: each distinct word is encoded by the library, and remembered within a task. A null text counts as empty.
+    tokenizer has to drop white space: each distinct word is encoded by the library, and remembered by the worker. A null text counts as empty.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    loaded: list[Words] = []  # one for each task
 
     def items(batch: pa.RecordBatch) -> Iterator[Item]:
-        if not loaded:
-            loaded.append(Words(tokenizer_path))
+        words = _words(tokenizer_path)
         sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < len(sizes):
             upto = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + GROUP_BYTES, "right")))
             part = batch.slice(begin, upto - begin)
-            for example, ids in zip(part.column(0).to_pylist(), loaded[0].encode(part.column(1), end), strict=True):
+            for example, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1), end), strict=True):
                 yield Item(example, 0, len(ids), ids, None)
             begin = upto
 
