@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..functions import params as P
 from ..functions import scalars as S
-from ..operators import multi, peaks
+from ..operators import multi, peaks, search
 from . import pipeline
 from . import registry as R
 from .registry import query
@@ -131,3 +132,38 @@ def word_multi_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = multi.find_multi(R.word_spectra(spark, sf_dir).select("spectrum", "aug_idx", "mass"), "mass", "boundary", 2, R.TOLERANCE)
     pair = found.groupBy("spectrum", "aug_idx", F.get("amino_ids", F.lit(0)).alias("first"), F.get("amino_ids", F.lit(1)).alias("second"))
     return pair.agg(F.count("*").alias("n"), F.sum(S.micro(F.col("cost"))).alias("cost_u"))
+
+
+_DESCRIBED = f"JOIN {R._AMINOS} a USING (amino_id) JOIN {R._boundary_losses(False)} r ON r.loss_id = t.right_loss_id JOIN {R._MODS} m USING (mod_id)"
+
+
+@query(f"""SELECT a.amino, r.loss AS right_loss, m.mod, count(*) AS n, count(DISTINCT spectrum) AS n_spectra, sum({R._MICRO.format('(a.mass - r.mass + m.mass)')})::BIGINT AS mass_u
+ FROM {R._SPECTRA} s JOIN {R._targets('boundary')} t ON {_near('s.mass')} {_DESCRIBED} GROUP BY 1, 2, 3""")
+def word_boundary_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the boundary hits of the words stand for: residue, series with loss, and modification."""
+    hits = search.find_boundaries(R.word_spectra(spark, sf_dir), dims.targets(spark, "boundary").drop("kind", "k"), R.TOLERANCE)
+    mass = F.col("amino_mass") + F.col("left_loss_mass") - F.col("right_loss_mass") + F.col("mod_mass")
+    said = dims.described(spark, hits, "boundary").groupBy("amino", "right_loss", "mod")
+    return said.agg(F.count("*").alias("n"), F.countDistinct("spectrum").alias("n_spectra"), F.sum(S.micro(mass)).alias("mass_u"))
+
+
+@query(f"""WITH ok AS {R._values([(a, x) for a in range(len(P.AMINOS)) for x in [0, *P.LOSSES_OF.get(a, [])]], "amino_id, loss")}
+ SELECT s.spectrum, count(*) AS n_hits, count(DISTINCT aug_idx) AS n_peaks, sum({R._MICRO.format('(abs(s.mass - t.mass) * (1 + complexity))')})::BIGINT AS cost_u
+ FROM {R._SPECTRA} s JOIN {R._targets('boundary')} t ON {_near('s.mass')} JOIN ok ON ok.amino_id = t.amino_id AND ok.loss = t.right_loss_id % 5 GROUP BY 1""")
+def word_applicable_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary hits of the words whose loss applies to the residue."""
+    targets = dims.targets(spark, "boundary", conditional_losses=True).drop("kind", "k")
+    hits = search.find_boundaries(R.word_spectra(spark, sf_dir), targets, R.TOLERANCE)
+    return hits.groupBy("spectrum").agg(F.count("*").alias("n_hits"), F.countDistinct("aug_idx").alias("n_peaks"), F.sum(S.micro(F.col("cost"))).alias("cost_u"))
+
+
+@query(f"""WITH t AS (SELECT mass, row_number() OVER (ORDER BY mass, amino_id, left_loss_id, right_loss_id, mod_id) - 1 AS id FROM {R._targets('pair')}),
+ c AS (SELECT trunc(mass / 0.01::DOUBLE)::BIGINT AS bucket, min(id)::INT AS first, max(id)::INT AS last FROM t GROUP BY 1)
+ SELECT spectrum, bucket, any_value(first) AS first, any_value(last) AS last, count(*) AS n FROM (
+  SELECT spectrum, trunc((lead(mass) OVER (PARTITION BY spectrum ORDER BY aug_idx) - mass) / 0.01::DOUBLE)::BIGINT AS bucket FROM {R._SPECTRA}) g JOIN c USING (bucket) GROUP BY 1, 2""")
+def word_target_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between neighbouring masses of the words by the cluster of pair targets that they fall in, with the cluster's span of targets."""
+    order = W.partitionBy("spectrum").orderBy("aug_idx")
+    gaps = R.word_spectra(spark, sf_dir).select("spectrum", ((F.lead("mass").over(order) - F.col("mass")) / F.lit(0.01)).cast("long").alias("bucket"))
+    clusters = dims.target_clusters(dims.ranked_targets(dims.targets(spark, "pair")), 0.01).select("bucket", "first", "last")  # some hundred rows
+    return gaps.join(F.broadcast(clusters), "bucket").groupBy("spectrum", "bucket").agg(F.any_value("first").alias("first"), F.any_value("last").alias("last"), F.count("*").alias("n"))
