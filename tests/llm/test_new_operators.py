@@ -126,13 +126,12 @@ def test_rank_and_select(share):
 
 
 def test_groups_of_texts_and_one_larger_than_a_group(monkeypatch, docs):
-    want = sorted(map(str, fim.fill_in_middle(docs).collect()))
     monkeypatch.setattr(fim, "GROUP_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array(map(str, range(len(TEXTS)))), pa.array([(t or "").encode() for t in TEXTS])], names=["id", "key", "text"])
     parts = list(fim._formed(iter([batch]), 7, 100, 50))
     assert len(parts) > 5 and sum(p.num_rows for p in parts) == len(TEXTS)
     rows = [r for p in parts for r in p.to_pylist()]
-    assert {str((r["id"], r["n"], r["form"], r["output"].decode())) for r in rows} <= {str((r.doc_id, r.n, r.form, r.output)) for r in fim.fill_in_middle(docs).collect()} and want
+    assert {str((r["id"], r["n"], r["form"], r["output"].decode())) for r in rows} <= {str((r.doc_id, r.n, r.form, r.output)) for r in fim.fill_in_middle(docs).collect()}
 
 
 # packing
