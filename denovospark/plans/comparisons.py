@@ -107,5 +107,5 @@ def event_pivot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pivots of each user's events with the score of the symmetry about them, those above three quarters of the best."""
     aug = R.event_aug(spark, sf_dir)
     points = search.clustered(search.overlap_pivots(aug, R.event_pair_table(spark, sf_dir), R.TOLERANCE, dims.greatest_target(spark, "pair") + R.TOLERANCE))
-    kept = symmetry.screened(symmetry.scored(symmetry.symmetries(aug, points, R.TOLERANCE), points), 0.75)
+    kept = symmetry.screened(symmetry.symmetry_scores(aug, points, R.TOLERANCE), 0.75)
     return kept.select("spectrum", S.micro(F.col("point")).alias("point_u"), "n", S.micro(F.col("score")).alias("score_u"), "n_symmetries", "cluster_id")
