@@ -102,3 +102,29 @@ def test_comparisons_read_the_documents_once(spark, name):
     from denovospark.plans import comparisons  # noqa: F401  it registers queries
 
     assert "string_split" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) and "split(replace" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_clusters_are_aligned_alike_in_streams_and_by_joins(spark, monkeypatch):
+    from denovospark.functions.params import AlignmentParams
+    from denovospark.operators import product
+
+    draw = np.random.default_rng(3)
+    edges, hits = [], []
+    for cluster in range(3):
+        for side in ("lower", "upper"):
+            for a, b in sorted({(-1, int(x)) for x in draw.integers(0, 7, 3)} | {(int(x), -2) for x in draw.integers(0, 7, 2)} | {(int(min(x)), int(max(x))) for x in draw.integers(0, 7, (9, 2)) if x[0] != x[1]}):
+                edges.append(("w", cluster, side, a, b, len(edges) if b != -2 else -1))
+                hits += [("w", "boundary" if a < 0 else "pair", len(edges) - 1, float(c) / 4, 1, int(c), 0, 0) for c in draw.integers(0, 5, draw.integers(0, 3))] if b != -2 else []
+    tables = [
+        spark.createDataFrame(edges, "spectrum string, cluster_id int, side string, src long, dst long, weight long"),
+        spark.createDataFrame(hits, "spectrum string, src string, id long, cost double, amino_id int, left_loss_id int, right_loss_id int, mod_id int"),
+        spark.createDataFrame([("w", 0, 1, 1), ("w", 0, 40, 2), ("other", 0, 1, 1)], "spectrum string, cluster_id int, low int, high int"),
+    ]
+    rows = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in product.align(*tables, AlignmentParams(cost_threshold=5.0)).collect())
+    streamed = product.align(*tables, AlignmentParams(cost_threshold=5.0))
+    assert "MapInArrow" in plan(streamed) and "Join" not in plan(streamed)
+    want = rows()
+    monkeypatch.setattr(product, "SMALL", 27)
+    some = rows()
+    monkeypatch.setattr(product, "SMALL", 0)
+    assert want == some == rows() and len(want) > 50
