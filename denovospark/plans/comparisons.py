@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import params as P
 from ..functions import scalars as S
+from ..functions.storage import materialize
 from ..operators import labels as L
 from ..operators import peaks, search, symmetry
 from . import registry as R
@@ -64,7 +65,7 @@ _OTHER = f"""(SELECT peptide, mz, CASE WHEN position % 5 = 0 THEN (CASE WHEN ser
  FROM {R._IONS} a JOIN {_OTHER} b USING (peptide, mz) GROUP BY a.peptide""")
 def noisy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's ions against a labelling with peaks missing and labels changed; its peptide keeps seven letters, its pivot is 1.5 off."""
-    ions = R.word_ion_table(spark, sf_dir)
+    ions = peaks.ions(materialize(R.words(spark, sf_dir), "words"))  # both labellings, the pivots and the lengths are made of it
     order = W.partitionBy("spectrum").orderBy("mz")
     numbered = lambda df: df.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
     at = F.col("position")
