@@ -14,10 +14,11 @@ made of capitals, which no window holds.
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -199,19 +200,38 @@ def fit(rows: list[tuple[str, int, bool]], ordinary_bytes: int = 48 * 1024, toxi
     return ToxicityModel(*dictionaries, tuple(_logistic(x, y)), window)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, max_toxic: int, max_ordinary: int, max_bytes: int) -> list[tuple[str, int, bool]]:
-    """At most ``max_toxic`` and ``max_ordinary`` labelled texts of at most ``max_bytes`` each, lowest id hashes first; equal texts once.
+def drawn_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, max_toxic: int, max_ordinary: int, max_bytes: int) -> DataFrame:
+    """(t, y, k): at most ``max_toxic`` and ``max_ordinary`` labelled texts of at most ``max_bytes`` each, lowest id hashes k first.
 
-    Of several texts of an id one counts, so (max_toxic + max_ordinary) x max_bytes is what comes to the driver at most.
+    Of several texts of an id one counts, so these are (max_toxic + max_ordinary) x max_bytes at most.
     """
     key = F.xxhash64(F.col(id_col).cast("string"))
     once = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & may_learn).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     drawn = [once.filter(F.col("y") == y).orderBy(key, id_col).limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most max_toxic + max_ordinary rows
     held = docs.select(id_col, F.col(text_col).alias("t")).filter(F.octet_length("t") <= max_bytes).join(chosen, id_col)
-    texts = held.groupBy(id_col, "y").agg(F.min("t").alias("t")).select("t", "y", key.alias("k")).collect()
-    rows = {r["t"]: (r["t"], r["y"], r["k"] % 4 == 0) for r in sorted(texts, key=lambda r: (r["k"], r["t"]))}
-    return list(rows.values())
+    return held.groupBy(id_col, "y").agg(F.min("t").alias("t")).select("t", "y", key.alias("k"))
+
+
+def _distinct_texts(texts: list[tuple[str, int, int]]) -> list[tuple[str, int, bool]]:
+    """(text, toxic 0/1, for calibration), equal texts once."""
+    return list({t: (t, y, k % 4 == 0) for t, y, k in sorted(texts, key=lambda r: (r[2], r[0]))}.values())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, max_toxic: int, max_ordinary: int, max_bytes: int) -> list[tuple[str, int, bool]]:
+    """``drawn_texts`` in the driver, as ``fit`` takes them."""
+    return _distinct_texts([tuple(r) for r in drawn_texts(docs, labels, id_col, text_col, label_col, may_learn, max_toxic, max_ordinary, max_bytes).collect()])
+
+
+def fit_in_task(texts: DataFrame, max_snippets: int = MAX_SNIPPETS) -> ToxicityModel:
+    """``fit`` of ``drawn_texts``, a bounded sample, in one task: the driver gets the dictionaries and weights alone, some 100 KB."""
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(astuple(fit(_distinct_texts(held), max_snippets=max_snippets)))]})
+
+    # a partition without rows may not start a worker
+    found = texts.select("t", "y", "k").repartition(1).mapInArrow(lambda b: released(train(b)), "model binary").first()
+    return ToxicityModel(*pickle.loads(found["model"])) if found else fit([])
 
 
 def _judged(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -237,7 +257,7 @@ def without_toxic(
     max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_bytes: int = MAX_BYTES, max_snippets: int = MAX_SNIPPETS,
 ) -> DataFrame:
     """``docs`` without the rows that score ``least`` or more, with all columns; learnt as in ``score_toxicity``. Rows aren't moved."""
-    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
+    model = fit_in_task(drawn_texts(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda b: released(_kept(b, model, at, least)), docs.schema)
 
@@ -249,12 +269,12 @@ def score_toxicity(
     """Score the whole text of every document: (``id_col``, held_out, score, predicted, n_windows).
 
     Learns from labelled rows whose crc32(id as text) mod ``folds`` is not 0 alone: a sample bounded by ``max_toxic``,
-    ``max_ordinary`` and ``max_bytes``, the only rows that come to the driver, of whose whole texts ``max_snippets`` train the
+    ``max_ordinary`` and ``max_bytes``, which one task learns from and the driver never has, of whose whole texts ``max_snippets`` train the
     ordinary dictionary. Null and empty texts have no windows and get the curve's value there. Null ids score as others (never
     held out); repeated rows score alike; of several labels of an id the highest counts. Without labels every score is the share
     of toxic labels, or 0. Other columns are not read.
     """
-    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
+    model = fit_in_task(drawn_texts(docs, labels, id_col, text_col, label_col, id_fold(F.col(id_col), folds) != 0, max_toxic, max_ordinary, max_bytes), max_snippets=max_snippets)
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: released(_score(b, model)), f"id {kind}, score double, n_windows long")
     held_out = F.coalesce(id_fold(F.col("id"), folds) == 0, F.lit(False))

@@ -231,3 +231,15 @@ def test_training_reads_whole_texts():
     model = t.fit([*rows, ("", 0, False), ("a", 1, False)])
     meter = t.Meter(model.ordinary, model.toxic, model.window)
     assert meter.gain[b"pathetic worthless scum"] >= 5 > meter.gain[b"quiet gentle words"]
+
+
+def test_training_texts_stay_out_of_the_driver(spark, monkeypatch):
+    """The model is learnt in a task, equal to that of the driver, and only it is collected."""
+    rows = [(i, f"a plain text number {i} about trees and rivers" + (" you vile worthless scum" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sizes = ("doc_id", "text", "toxic", F.lit(True), t.MAX_TOXIC, t.MAX_ORDINARY, t.MAX_BYTES)
+    assert t.fit_in_task(t.drawn_texts(docs, labels, *sizes)) == t.fit(t.labelled_sample(docs, labels, *sizes))
+    assert t.fit_in_task(t.drawn_texts(docs, labels.limit(0), *sizes)) == t.fit([])
+    monkeypatch.setattr(t, "labelled_sample", None)
+    assert t.without_toxic(docs, labels).count() < 300
