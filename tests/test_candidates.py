@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
+from denovospark.functions import params
 from denovospark.functions import scalars as S
 from denovospark.operators import candidates as C
-from denovospark.operators import labels, symmetry
+from denovospark.operators import enumeration, labels, peaks, symmetry
+from denovospark.plans import pipeline
 
 
 def test_orientation(spark):
@@ -39,3 +42,31 @@ def test_virtual_pivots_need_a_range(spark):
 
     points = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 0.0), (2, 0.1), (2, 0.1), (2, 10.0)], "spectrum int, point double")
     assert {r.spectrum for r in search.virtual_pivots(points, 1.0).collect()} <= {2}
+
+
+def test_candidates_in_a_task_equal_joins(spark, monkeypatch):
+    """Clusters of few walks take no join of walks; with any bound on walks, pairs or edges the candidates are the same."""
+    ions = peaks.ions(spark.createDataFrame([("HHNIIR",), ("PEPTIDE",), ("TEST",)], "peptide string"))
+    table = ions.select(F.col("peptide").alias("spectrum"), (F.col("position") * 2 + (F.col("series") == "y").cast("int")).alias("peak_id"), "mz", F.lit(1.0).alias("intensity"))
+    a = pipeline.annotate(table, params.AnnotationParams(charges=(1, 2)))
+    aligned = pipeline.align(a).cache()
+
+    def found(limit=5.0, **more):
+        rows = pipeline.enumerate_candidates(a, aligned, params.EnumerationParams(limit, **more)).collect()
+        return {(r.spectrum, r.cluster_id, r["rank"]): (r.sequence, round(r.cost, 9), round(r.mass, 6), round(r.offset, 6)) for r in rows}
+
+    traced, trace = [], pipeline.P.trace
+    monkeypatch.setattr(pipeline.P, "trace", lambda *x: traced.append(x) or trace(*x))
+    streamed = found()
+    assert len(streamed) > 10 and not traced
+    with pytest.raises(ValueError):
+        found(max_paths=1)
+    assert not traced
+    monkeypatch.setattr(enumeration, "FEW", 0)
+    assert found() == streamed and not traced
+    monkeypatch.setattr(pipeline, "WALKS", 20)
+    assert found() == streamed and len(traced) == 1  # some in a task, some by joins
+    monkeypatch.setattr(pipeline, "WALKS", 50_000)
+    monkeypatch.setattr(pipeline, "EDGES", 0)
+    assert found() == streamed and len(traced) == 2
+    assert found(0.0) == {}
