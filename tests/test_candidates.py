@@ -70,3 +70,22 @@ def test_candidates_in_a_task_equal_joins(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "EDGES", 0)
     assert found() == streamed and len(traced) == 2
     assert found(0.0) == {}
+
+
+def test_candidates_of_clusters_that_lack_something(spark):
+    """One cluster has a candidate; others are without pivot edges, without a suffix, without product edges, without annotated edges, or have no rows at all."""
+    product, noted = [], []
+    for c in (1, 2, 3, 5):
+        for halves in ((10, 20), (21, 12)):
+            product += [(c, 0, -1, -1, *halves, 0.1), (c, 0, *halves, -2, -2, 0.0)]
+    for c in (1, 2, 3, 4):
+        noted += [(c, 0, "lower", -1, 10, 7, "A", 1.0, 0.1, 1), (c, 0, "upper", -1, 20, 8, "A", 1.0, 0.1, 1)]
+        noted += [(c, 0, "lower", -1, 21, 7, "B", 2.0, 0.1, 1 if c == 3 else 2), (c, 0, "upper", -1, 12, 8, "C", 2.0, 0.1, 1 if c == 3 else 2)]
+        noted += [(c, 0, "pivot", 10, 12, 5, "P", 3.0, 0.25, 0), (c, 0, "pivot", 20, 21, 6, "Q", 4.0, 0.5, 0)] if c != 2 else []
+    key = "spectrum int, cluster_id int, "
+    product = spark.createDataFrame(product, key + "src_low long, src_up long, dst_low long, dst_up long, cost double")
+    noted = spark.createDataFrame(noted, key + "side string, src long, dst long, weight long, symbol string, mass double, cost double, ends int")
+    for some in (None, 1, 2, 3, 4, 5, 6):  # together and each by itself
+        of = lambda df: df if some is None else df.filter(F.col("spectrum") == some)  # noqa: B023, E731
+        got = [(r.spectrum, r.cluster_id, r["rank"], r.sequence, round(r.cost, 9), r.mass) for r in enumeration.cheapest(of(product), of(noted), 2.0, 5, 100).collect()]
+        assert got == ([(1, 0, 0, "APB/C", 0.45, 6.0)] if some in (None, 1) else [])
