@@ -77,13 +77,11 @@ def noisy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("")).alias("losses"), (at * 2.0).alias("intensity"),
     )
     aligned = L.compared(one, numbered(two))
-    sums = aligned.groupBy("spectrum").agg(
-        F.count(F.when(F.col("series_err"), 1)).alias("n_same_series"), F.sum("pos_err").alias("pos_err"), F.count(F.when(F.col("charge_aln.i") >= 0, 1)).alias("n_charges"), F.sum("int_err").alias("int_err")
-    )
+    sums = [F.count(F.when(F.col("series_err"), 1)).alias("n_same_series"), F.sum("pos_err").alias("pos_err"), F.count(F.when(F.col("charge_aln.i") >= 0, 1)).alias("n_charges"), F.sum("int_err").alias("int_err")]
     pivots = peaks.true_pivots(ions).select(F.col("peptide").alias("spectrum"), "peptide", "pivot", (F.length("peptide").cast("long") * 2 - 2).alias("n"))
     other = pivots.select("spectrum", F.substring("peptide", 1, 7).alias("peptide"), (F.col("pivot") - 1.5).alias("pivot"))
-    whole = L.compared_spectra(pivots, other, aligned)
-    return whole.join(sums, "spectrum").select("spectrum", "mz_err", "n_same_series", "pos_err", "n_charges", "int_err", F.col("peptide_err").cast("long").alias("peptide_err"), S.micro(F.col("pivot_err")).cast("int").alias("pivot_u"))
+    whole = L.compared_spectra(pivots, other, aligned, also=sums).filter("n_same_series is not null")  # those with aligned peaks
+    return whole.select("spectrum", "mz_err", "n_same_series", "pos_err", "n_charges", "int_err", F.col("peptide_err").cast("long").alias("peptide_err"), S.micro(F.col("pivot_err")).cast("int").alias("pivot_u"))
 
 
 R.ORACLE_SQL["fuzzy_matches"] = """WITH RECURSIVE l AS (SELECT user_id AS spectrum, list_sort(list(value)) AS a FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT user_id AS spectrum, list_sort(list(value)) AS b FROM events WHERE event_id % 2 = 1 GROUP BY 1),

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from denovospark.functions import dims
@@ -104,6 +105,41 @@ def test_comparisons_read_the_documents_once(spark, name):
     assert "string_split" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) and "split(replace" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+@pytest.mark.parametrize("name", ["label_comparison", "noisy_comparison"])
+def test_comparisons_broadcast_nothing(spark, name):
+    """Labels are expanded from a small file of words, so Spark takes them for small."""
+    from denovospark.plans import comparisons  # noqa: F401  it registers queries
+
+    text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and text.count("SortMergeJoin") == {"label_comparison": 1, "noisy_comparison": 2}[name]
+
+
+def test_matches_of_two_shuffled_sides_are_whole(spark):
+    """Each side is dealt by its window already; Spark merges their partitions apart when they are of another size."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions")}
+    order = W.partitionBy("spectrum").orderBy("mz")
+    table = spark.range(24_000).select((F.col("id") % 3000).cast("string").alias("spectrum"), F.floor(F.col("id") / 3000).cast("double").alias("mz"), F.repeat(F.col("id").cast("string"), 9).alias("note"))
+    side = lambda rows: rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    try:
+        for k, v in zip(held, ("64k", "1b", "12"), strict=True):
+            spark.conf.set(k, v)
+        found = symmetry.list_matches(side(table), side(table.filter("mz % 4 = 1")), ("spectrum",), "mz", "idx", 1e-9, ("note",)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(found) == 6000 and {(r.idx, r.other_idx) for r in found} == {(1, 0), (5, 1)} and all(r.note == r.other_note for r in found)
+
+
+def test_columns_are_carried_alike_in_streams_and_by_joins(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = lambda n, seed: spark.createDataFrame([(s, k, float(m), [int(m), k], f"{seed}{s}{k}") for s in "ab" for k, m in enumerate(np.sort(draw.uniform(0, 60, n)))], "spectrum string, idx long, mass double, at array<int>, name string")
+    one, two = rows(40, "x"), rows(30, "y")
+    found = lambda: sorted(tuple(map(str, r)) for r in symmetry.list_matches(one, two, ("spectrum",), "mass", "idx", 0.7, ("at", "name")).collect())
+    want = found()
+    monkeypatch.setattr(symmetry, "GROUP", 30)
+    assert len(want) > 20 and found() == want and all(r[4] == f"x{r[0]}{r[1]}" and r[6] == f"y{r[0]}{r[2]}" for r in want)
+
+
 def test_clusters_are_aligned_alike_in_streams_and_by_joins(spark, monkeypatch):
     from denovospark.functions.params import AlignmentParams
     from denovospark.operators import product
