@@ -164,3 +164,24 @@ def test_paths_are_not_capped(spark):
         paths.trace(df, 1.0, 100)
     assert paths.trace(df.limit(0), 1.0).count() == 0
     assert paths.trace(df, 0.0).count() == 0
+
+
+def test_clusters_of_a_batch_are_aligned_at_once(spark, monkeypatch):
+    """One call for all clusters of a batch, with any feature ids and costs, and the result of the joins."""
+    draw = np.random.default_rng(11)
+    edges, hits = [], []
+    for cluster in range(4):
+        for side in ("lower", "upper")[: 1 if cluster == 3 else 2]:
+            for a, b in sorted({(-1, int(x)) for x in draw.integers(0, 6, 2)} | {(int(x), -2) for x in draw.integers(0, 6, 2)} | {(int(min(x)), int(max(x))) for x in draw.integers(0, 6, (8, 2)) if x[0] != x[1]}):
+                edges.append(("w", cluster, side, a, b, len(edges) if b != -2 else -1))
+                hits += [("w", "boundary" if a < 0 else "pair", len(edges) - 1, float(c) / 8, -1, 70000 + int(c), int(c), 300) for c in draw.integers(0, 3, draw.integers(0, 3))] if b != -2 else []
+    tables = [
+        spark.createDataFrame(edges, "spectrum string, cluster_id int, side string, src long, dst long, weight long"),
+        spark.createDataFrame(hits, "spectrum string, src string, id long, cost double, amino_id int, left_loss_id int, right_loss_id int, mod_id int"),
+        spark.createDataFrame([("w", 0, 1, 1), ("w", 1, 2, 3), ("w", 2, 40, 2), ("v", 0, 1, 1)], "spectrum string, cluster_id int, low int, high int"),
+    ]
+    p = AlignmentParams(5.0, 0.25, 0.75, 0.125, 0.5, 1.5)
+    rows = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in product.align(*tables, p).collect())
+    streamed = rows()
+    monkeypatch.setattr(product, "SMALL", 0)
+    assert streamed == rows() and {r[1] for r in streamed} == {0, 1, 2, 3} and len(streamed) > 50
